@@ -56,7 +56,9 @@ def spans_of(kind: str, pattern: str, rank: int) -> Column:
 def scan(blobs: DataFrame) -> DataFrame:
     """(blob, spans) of blobs(blob, text) that have a span, sorted by start and kind."""
     found = [spans_of(kind, pattern, i) for i, (kind, pattern, _) in enumerate(RULES)]
-    return blobs.where(F.col("text").rlike("|".join(p for _, p, _ in RULES))).select("blob", F.array_sort(F.concat(*found)).alias("spans")).where(F.size("spans") > 0)
+    # the condition names the blob too, so that it isn't pushed below the join that leaves the unseen ones
+    possible = F.when(F.col("blob").isNotNull(), F.col("text")).rlike("|".join(p for _, p, _ in RULES))
+    return blobs.where(possible).select("blob", F.array_sort(F.concat(*found)).alias("spans")).where(F.size("spans") > 0)
 
 
 def scan_incremental(versions: DataFrame, scratch: Scratch, ledger: DataFrame | None = None, findings: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,6 +73,7 @@ def scan_incremental(versions: DataFrame, scratch: Scratch, ledger: DataFrame |
     unseen = scratch.save(one if seen is None else one.join(seen, "blob", "left_anti"), "unseen")
     own = versions.select(F.col("doc_id").alias("id"), text.alias("text"))
     texts = own.join(unseen, own.id.eqNullSafe(unseen.doc_id)).where(F.unhex(F.sha2("text", 256)) == F.col("blob"))
+    # only here are texts searched
     new = scratch.save(scan(texts.select("blob", "text")).dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "findings")
     added = unseen.select("blob", F.lit(rule_version).alias("rule_version"))
     every = new if findings is None else findings.unionByName(new)
