@@ -11,11 +11,12 @@ about 1 in 10,000 at the threshold and less above it. Every link is confirmed on
 full shingle sets.
 
 Documents with the same set are one class from the start. A key's documents are
-compared with one leader at a time, never all with each other: a round links each
-document with its smallest untested leader, the linked ones join into components, and
-keys whose documents are in one component are done. What is left over after these
-rounds, pairs across components, is compared in full, so that no link that can join
-two components is lost.
+compared with one leader at a time, never all with each other: the first round tries
+each document with its smallest leader, the linked ones join into components, and keys
+whose documents are in one component are done. In the next rounds a random document
+of a key's largest component meets the documents outside it. After these rounds every
+pair across components that shares a key and is near by signature is compared, so
+that no near pair that can join two components is left out.
 
 Defined results: a null or wordless text has an empty set and stays alone. Fewer
 words than a shingle give one shingle of all words. Repeated rows of a doc_id count
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from strandmill.llm.base import Scratch, gram_hashes, lower, mix, sized, span_hashes, table, text_chunks, words
 from strandmill.llm.components import connected_components
 
-SLOTS, CHUNKS, DISTANCE, ROUNDS = 128, 22, 42, 4
+SLOTS, CHUNKS, DISTANCE, ROUNDS, PART = 128, 22, 42, 3, 2000
 _SEEDS = np.random.RandomState(1).randint(0, 2**32, (SLOTS, 2), dtype=np.uint32)
 _SEEDS[:, 1] |= 1
 
@@ -92,7 +93,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = np.full(len(sig), number, np.uint64)
                 for s in slots:
                     value = value * np.uint64(257) + sig[:, s]
-                keys[:, k] = mix(value)
+                keys[:, k] = mix(value) & np.uint64(0xFFFFFFFFFFFFF000) | np.uint64(number)  # the low bits tell the key's place
             ids = part.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, len(plan)))], ["key", "node"])
 
@@ -161,35 +162,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, numerator:
     verify = _Verifier(docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(read) else docs, classes, size, numerator, denominator, scratch)
     empty = classes.sparkSession.createDataFrame([], f"a {kind}, b {kind}, linked boolean")
     tested, labels, open_keys = empty, None, index
-    for step in range(ROUNDS + 1):
-        here = open_keys if labels is None else open_keys.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    for step in range(ROUNDS + 2):
         if labels is None:
-            leader = here.groupBy("key").agg(F.min("node").alias("leader"))
-            asked = here.join(leader, "key").where("node > leader").groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
+            leader = index.groupBy("key").agg(F.min("node").alias("leader"))
+            asked = index.join(leader, "key").where("node > leader").groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
         else:
-            per = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            mixed = per.where("lo < hi").select("key")
-            open_keys = scratch.save(here.join(mixed, "key", "left_semi").select("key", "node"), f"open_{step}")
             here = open_keys.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-            parts = here.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            across = parts.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("x"), F.sum("s").alias("rows")).head()
-            last = step == ROUNDS or (across.x or 0) <= 4 * (across.rows or 0)
-            a = here.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            b = here.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            if last:
-                pairs = a.join(b, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            else:  # another leader for each key: the smallest document of another component than the smallest's
-                first = per.select("key", F.col("lo")).join(here, "key").where("component > lo").groupBy("key").agg(F.min(F.struct("component", "node")).alias("m"))
-                lead = first.select("key", F.col("m.node").alias("leader"), F.col("m.component").alias("cl"))
-                pairs = here.join(lead, "key").where("component <> cl").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            parts = here.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "key", F.lit(step)).alias("h"), "node")).alias("pick"))
+            mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component", F.col("pick.node").alias("leader"))).alias("top"), F.count("*").alias("k")).where("k > 1")
+            here = scratch.save(here.join(mixed.select("key", F.col("top.component").alias("main"), F.col("top.c").alias("n_main"), F.col("top.leader").alias("leader")), "key"), f"open_{step}")
+            open_keys = here.select("key", "node")
+            if step <= ROUNDS:  # a random document of each key's largest component meets the key's other documents
+                pairs = here.where("component <> main").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            else:
+                pairs = _near_pairs(here, classes, kind)
             asked = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            if last:
-                asked = scratch.save(_near(asked, classes), f"asked_{step}")
         found = verify(asked.select("a", "b"), f"tested_{step}")
         tested = found if labels is None else tested.unionByName(found)
         labels = connected_components(tested.where("linked").select("a", "b"), scratch, f"cc{step}")
-        if labels is not None and step and last:
-            break
     linked = tested.where("linked")
     degree = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of_class = classes.join(labels, "node", "left").join(degree, "node", "left").select("set_key", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("links"))
@@ -198,17 +188,59 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, numerator:
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures differ in at most DISTANCE slots."""
-    of = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
+def _near_pairs(here: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """Pairs of different components that share a key and differ in at most DISTANCE slots.
+
+    A key's largest component is dealt out in parts of about PART documents, each with all of the others.
+    """
+    parts = F.ceil(F.col("n_main") / PART).cast("int")
+    part = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+    dealt = here.join(classes.select("node", "sig"), "node").select("key", F.explode(part).alias("part"), "node", "component", "sig")
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_pair_batches, f"a {kind}, b {kind}").distinct()
 
-    @F.arrow_udf("boolean")
-    def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        left = np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SLOTS)
-        right = np.frombuffer(b"".join(y.to_pylist()), np.uint8).reshape(-1, SLOTS)
-        return pa.array((left != right).sum(1) <= DISTANCE)
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(near("sig_a", "sig_b")).select("a", "b")
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bounds = np.linspace(0, SLOTS, CHUNKS + 1).astype(int)
+    chunk_of = np.repeat(np.arange(CHUNKS), np.diff(bounds))
+
+    def pairs(key: int, node: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair only at the first key that it shares."""
+        left, right = [], []
+        for i in range(len(node) - 1):
+            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            differ = sig[other] != sig[i]
+            near = differ.sum(1) <= DISTANCE
+            other, differ = other[near], differ[near]
+            errors = np.add.reduceat(differ, bounds[:-1], axis=1, dtype=np.int16)
+            chunk = (errors <= 1).argmax(1)
+            wrong = differ & (chunk_of == chunk[:, None])
+            slot = np.where(wrong.any(1), wrong.argmax(1), bounds[chunk])
+            other = other[chunk * SLOTS + slot == (key & 0xFFF)]
+            left.append(np.full(len(other), node[i]))
+            right.append(node[other])
+        return (np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
+
+    group: tuple | None = None
+    held: list[pa.RecordBatch] = []
+
+    def done():
+        t = pa.Table.from_batches(held)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        a, b = pairs(group[0] & (2**64 - 1), t.column("node").to_numpy(), t.column("component").to_numpy(), sig)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+        for i, j in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            if j > i:
+                if held and group != (int(key[i]), int(part[i])):
+                    yield done()
+                    held = []
+                group = (int(key[i]), int(part[i]))
+                held.append(batch.slice(i, j - i))
+    if held:
+        yield done()
 
 
 def _repeats(read: DataFrame) -> bool:
