@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from strandmill.llm.base import Scratch, gram_hashes, lower, mix, sized, span_hashes, table, text_chunks, words
 from strandmill.llm.components import connected_components
 
-SLOTS, CHUNKS, DISTANCE, ROUNDS, PART = 128, 22, 42, 3, 2000
+SLOTS, CHUNKS, DISTANCE, ROUNDS, PART = 128, 22, 42, 5, 250
 _SEEDS = np.random.RandomState(1).randint(0, 2**32, (SLOTS, 2), dtype=np.uint32)
 _SEEDS[:, 1] |= 1
 
@@ -93,7 +93,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = np.full(len(sig), number, np.uint64)
                 for s in slots:
                     value = value * np.uint64(257) + sig[:, s]
-                keys[:, k] = mix(value) & np.uint64(0xFFFFFFFFFFFFF000) | np.uint64(number)  # the low bits tell the key's place
+                keys[:, k] = mix(value)
             ids = part.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, len(plan)))], ["key", "node"])
 
@@ -172,10 +172,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, numerator:
             mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component", F.col("pick.node").alias("leader"))).alias("top"), F.count("*").alias("k")).where("k > 1")
             here = scratch.save(here.join(mixed.select("key", F.col("top.component").alias("main"), F.col("top.c").alias("n_main"), F.col("top.leader").alias("leader")), "key"), f"open_{step}")
             open_keys = here.select("key", "node")
-            if step <= ROUNDS:  # a random document of each key's largest component meets the key's other documents
-                pairs = here.where("component <> main").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-            else:
-                pairs = _near_pairs(here, classes, kind)
+            if step > ROUNDS:  # what is left, in full
+                tested = tested.unionByName(scratch.save(_across(here, verify.docs, kind, size, numerator, denominator), "across"))
+                labels = connected_components(tested.where("linked").select("a", "b"), scratch, f"cc{step}")
+                break
+            # each document outside its keys' largest components meets a random document of one of those
+            met = here.where("component <> main").groupBy("node").agg(F.min(F.struct(F.xxhash64("leader", "node"), "leader")).alias("m"))
+            pairs = met.select(F.least("node", "m.leader").alias("a"), F.greatest("node", "m.leader").alias("b")).distinct()
             asked = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         found = verify(asked.select("a", "b"), f"tested_{step}")
         tested = found if labels is None else tested.unionByName(found)
@@ -188,59 +191,59 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, numerator:
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _near_pairs(here: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """Pairs of different components that share a key and differ in at most DISTANCE slots.
+def _across(here: DataFrame, docs: DataFrame, kind: str, size: int, numerator: int, denominator: int) -> DataFrame:
+    """Confirmed links between documents of different components that share a key: (a, b, linked).
 
-    A key's largest component is dealt out in parts of about PART documents, each with all of the others.
+    Documents meet below the largest component of their keys. That component is dealt out
+    in parts of PART documents, each with all documents outside it, so a text is sent
+    once, or once for each part, and only links leave a task.
     """
-    parts = F.ceil(F.col("n_main") / PART).cast("int")
-    part = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
-    dealt = here.join(classes.select("node", "sig"), "node").select("key", F.explode(part).alias("part"), "node", "component", "sig")
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_pair_batches, f"a {kind}, b {kind}").distinct()
+    members = here.select("main", "node", "component").distinct()
+    sizes = members.where("component = main").groupBy("main").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    part = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    texts = docs.join(sized(members.select(F.col("node").alias("doc_id")).distinct(), 2_000_000), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+    dealt = members.join(sizes, "main").join(texts, "node").select("main", F.explode(part).alias("part"), "node", "component", "text")
+    found = dealt.repartition("main", "part").sortWithinPartitions("main", "part").mapInArrow(_across_batches(size, numerator, denominator), f"a {kind}, b {kind}, linked boolean")
+    return found.distinct()
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bounds = np.linspace(0, SLOTS, CHUNKS + 1).astype(int)
-    chunk_of = np.repeat(np.arange(CHUNKS), np.diff(bounds))
-
-    def pairs(key: int, node: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each pair only at the first key that it shares."""
-        left, right = [], []
-        for i in range(len(node) - 1):
-            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            differ = sig[other] != sig[i]
-            near = differ.sum(1) <= DISTANCE
-            other, differ = other[near], differ[near]
-            errors = np.add.reduceat(differ, bounds[:-1], axis=1, dtype=np.int16)
-            chunk = (errors <= 1).argmax(1)
-            wrong = differ & (chunk_of == chunk[:, None])
-            slot = np.where(wrong.any(1), wrong.argmax(1), bounds[chunk])
-            other = other[chunk * SLOTS + slot == (key & 0xFFF)]
-            left.append(np.full(len(other), node[i]))
-            right.append(node[other])
-        return (np.concatenate(left), np.concatenate(right)) if left else (node[:0], node[:0])
-
-    group: tuple | None = None
-    held: list[pa.RecordBatch] = []
-
-    def done():
+def _across_batches(size: int, numerator: int, denominator: int):
+    def links(key: tuple, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        a, b = pairs(group[0] & (2**64 - 1), t.column("node").to_numpy(), t.column("component").to_numpy(), sig)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        sets = [s for _, _, data, offsets in text_chunks(t.column("text")) for s in shingle_sets(data, offsets, size)]
+        sig, n = np.stack([signature(s) for s in sets]), np.array([len(s) for s in sets])
+        node, comp = t.column("node").to_numpy(), t.column("component").to_numpy()
+        inside = comp == key[0]
+        outside = np.flatnonzero(~inside)
+        left, right = [], []
+        for at, i in enumerate(outside):
+            others = np.flatnonzero(inside) if key[1] else np.concatenate([np.flatnonzero(inside), outside[at + 1 :]])
+            others = others[(comp[others] != comp[i]) & (np.minimum(n[others], n[i]) * denominator >= np.maximum(n[others], n[i]) * numerator)]
+            for j in others[(sig[others] != sig[i]).sum(1) <= DISTANCE]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if denominator * both >= numerator * (len(sets[i]) + len(sets[j]) - both):
+                    left.append(min(node[i], node[j]))
+                    right.append(max(node[i], node[j]))
+        kind = t.schema.field("node").type
+        return pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind), pa.array([True] * len(left), pa.bool_())], ["a", "b", "linked"])
 
-    for batch in batches:
-        key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-        for i, j in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            if j > i:
-                if held and group != (int(key[i]), int(part[i])):
-                    yield done()
-                    held = []
-                group = (int(key[i]), int(part[i]))
-                held.append(batch.slice(i, j - i))
-    if held:
-        yield done()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            main, part = batch.column("main").to_numpy(), batch.column("part").to_numpy()
+            cuts = (np.flatnonzero((main[1:] != main[:-1]) | (part[1:] != part[:-1])) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(main)], strict=True):
+                if j > i:
+                    if held and group != (main[i], part[i]):
+                        yield links(group, held)
+                        held = []
+                    group = (main[i], part[i])
+                    held.append(batch.slice(i, j - i))
+        if held:
+            yield links(group, held)
+
+    return run
 
 
 def _repeats(read: DataFrame) -> bool:
