@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.base import Scratch, sized, table
 
-SOURCE_POWER, BUDGET, ROUNDS, PASSES = 0.5, 0.6, 4, 5
+SOURCE_POWER, BUDGET, ROUNDS, PASSES = 0.5, 0.6, 4, 3
 LANGUAGE_SHARES = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 MARGINALS = ("source", "lang", "topic")
 SEED = 6
@@ -72,9 +72,7 @@ def rake(cells: DataFrame, scratch: Scratch, rounds: int = ROUNDS, passes: int =
             now = state.groupBy(c).agg(F.sum("weight").alias("now")).withColumnRenamed(c, "value")
             factor = now.join(targets[c], F.col("value").eqNullSafe(F.col(c))).select("value", (F.col("target") / F.col("now")).alias("factor"))
             state = state.join(F.broadcast(factor) if c != "source" else factor, F.col(c).eqNullSafe(F.col("value"))).withColumn("weight", F.col("weight") * F.col("factor")).drop("value", "factor")
-        state = scratch.save(state, f"round_{step}")
-        if step:
-            scratch.drop(f"round_{step - 1}")
+            state = scratch.save(state, f"round_{step}_{c}")  # the next step reads it twice
     return state
 
 
@@ -83,11 +81,12 @@ def probabilities(raked: DataFrame, scratch: Scratch, budget: float = BUDGET, pa
     total = raked.agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_weight"))
     state = raked.crossJoin(F.broadcast(total)).withColumn("ratio", F.col("weight") / F.col("all_weight") * F.col("all_mass") * budget / F.col("mass"))  # total is one row
     state = state.withColumn("prob", F.least("ratio", F.lit(1.0)))
-    for _ in range(passes):
+    for step in range(passes):
         full = F.col("prob") >= 1
         left = state.agg((F.first("all_mass") * budget - F.coalesce(F.sum(F.when(full, F.col("mass"))), F.lit(0))).alias("left"), F.sum(F.when(~full, F.col("mass") * F.col("prob"))).alias("used"))
         grown = F.least(F.lit(1.0), F.col("prob") * F.greatest(F.lit(1.0), F.coalesce(F.col("left") / F.col("used"), F.lit(1.0))))
         state = state.crossJoin(F.broadcast(left)).withColumn("prob", F.when(full, 1.0).otherwise(grown)).drop("left", "used")  # left is one row
+        state = scratch.save(state, f"pass_{step}")
     return scratch.save(state.select(*MARGINALS, "n_docs", "mass", "weight", "prob"), "probabilities")
 
 
