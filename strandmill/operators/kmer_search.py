@@ -9,6 +9,8 @@ from strandmill.functions.alignment import infix_distance_udf
 from strandmill.functions.sequences import canonical, kmers
 from strandmill.operators.hits import top_k
 
+PIECE = 256
+
 
 def kmer_counts(queries: DataFrame, contigs: DataFrame, k: int, most: int = 100, both_strands: bool = True) -> DataFrame:
     """(query_id, accession, score, rank): query positions whose k-mer the accession has.
@@ -18,7 +20,10 @@ def kmer_counts(queries: DataFrame, contigs: DataFrame, k: int, most: int = 100,
     """
     form = canonical if both_strands else (lambda x: x)
     asked = queries.select("query_id", F.explode(kmers(F.col("sequence"), k)).alias("kmer")).select("query_id", form(F.col("kmer")).alias("kmer")).groupBy("query_id", "kmer").agg(F.count("*").alias("n"))
-    held = contigs.select("accession", F.explode(F.array_distinct(kmers(F.col("sequence"), k))).alias("kmer")).select("accession", form(F.col("kmer")).alias("kmer")).join(asked.select("kmer").distinct(), "kmer", "left_semi").distinct()
+    # pieces that overlap by k - 1: finding a place in a long string costs its distance from the start
+    places = F.explode(F.sequence(F.lit(0), F.length("sequence"), F.lit(PIECE))).alias("at")
+    pieces = contigs.select("accession", "sequence", places).select("accession", F.substring("sequence", F.col("at") + 1, F.lit(PIECE + k - 1)).alias("piece"))
+    held = pieces.select("accession", F.explode(F.array_distinct(kmers(F.col("piece"), k))).alias("kmer")).select("accession", form(F.col("kmer")).alias("kmer")).join(asked.select("kmer").distinct(), "kmer", "left_semi").distinct()
     counts = asked.join(held, "kmer").groupBy("query_id", "accession").agg(F.sum("n").cast("double").alias("score"))
     return top_k(counts, most, tie="accession")
 
