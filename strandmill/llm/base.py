@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes up to which a side of a join is broadcast. Beyond it a shuffle join is planned.
 BROADCAST_ROWS = 500_000
@@ -42,7 +43,11 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.read(df.schema, name)
+
+    def read(self, schema: StructType, *names: str) -> DataFrame:
+        """Saved tables of one schema together, as one scan."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}" for name in names])
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

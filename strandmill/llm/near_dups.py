@@ -160,29 +160,33 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, numerator:
     of_key = Window.partitionBy("key")
     index = scratch.save(by_key.select("key", "node", F.count("*").over(of_key).alias("n")).where("n > 1").select("key", "node"), "index")
     verify = _Verifier(docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(read) else docs, classes, size, numerator, denominator, scratch)
-    empty = classes.sparkSession.createDataFrame([], f"a {kind}, b {kind}, linked boolean")
-    tested, labels, open_keys = empty, None, index
+    # rounds have plans of one shape, whose generated code the driver keeps once
+    tested, labels, open_keys, tried = None, None, index, []
     for step in range(ROUNDS + 2):
         if labels is None:
             leader = index.groupBy("key").agg(F.min("node").alias("leader"))
             asked = index.join(leader, "key").where("node > leader").groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
         else:
             here = open_keys.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-            parts = here.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "key", F.lit(step)).alias("h"), "node")).alias("pick"))
+            parts = here.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "key", F.lit(str(step))).alias("h"), "node")).alias("pick"))
             mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component", F.col("pick.node").alias("leader"))).alias("top"), F.count("*").alias("k")).where("k > 1")
             here = scratch.save(here.join(mixed.select("key", F.col("top.component").alias("main"), F.col("top.c").alias("n_main"), F.col("top.leader").alias("leader")), "key"), f"open_{step}")
+            scratch.drop(f"open_{step - 1}")
             open_keys = here.select("key", "node")
-            if step > ROUNDS:  # what is left, in full
-                tested = tested.unionByName(scratch.save(_across(here, verify.docs, kind, size, numerator, denominator), "across"))
-                labels = connected_components(tested.where("linked").select("a", "b"), scratch, f"cc{step}")
+            if not here.limit(1).count():
                 break
             # each document outside its keys' largest components meets a random document of one of those
             met = here.where("component <> main").groupBy("node").agg(F.min(F.struct(F.xxhash64("leader", "node"), "leader")).alias("m"))
             pairs = met.select(F.least("node", "m.leader").alias("a"), F.greatest("node", "m.leader").alias("b")).distinct()
             asked = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = verify(asked.select("a", "b"), f"tested_{step}")
-        tested = found if labels is None else tested.unionByName(found)
-        labels = connected_components(tested.where("linked").select("a", "b"), scratch, f"cc{step}")
+        tried.append(f"tested_{step}")
+        if step > ROUNDS:  # what is left, in full
+            found = scratch.save(_across(here, verify.docs, kind, size, numerator, denominator), tried[-1])
+        else:
+            found = verify(asked.select("a", "b"), tried[-1])
+        tested = scratch.read(found.schema, *tried)
+        if labels is None or found.where("linked").limit(1).count():
+            labels = connected_components(tested.where("linked").select("a", "b"), scratch, f"cc{step}")
     linked = tested.where("linked")
     degree = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of_class = classes.join(labels, "node", "left").join(degree, "node", "left").select("set_key", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("links"))
