@@ -65,3 +65,10 @@ def merge_indexes(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
 def reusable(cached: DataFrame, queries: DataFrame) -> bool:
     """Whether cached hits cover every query."""
     return queries.select("query_id").join(cached.select("query_id").distinct(), "query_id", "left_anti").limit(1).count() == 0
+
+
+def resolve_contigs(flat: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the contig and start of their window, from chunks(vector_id, contig, start). An id without a window raises."""
+    of = chunks.select("vector_id", "contig", "start", F.lit(True).alias("known"))
+    out = flat.join(of, "vector_id", "left").withColumn("ok", F.assert_true(F.col("known").isNotNull(), F.lit("a hit names a vector that has no window")))
+    return out.where(F.col("ok").isNull()).drop("ok", "known")

@@ -76,6 +76,19 @@ def bootstrap_half_width(values: DataFrame, column: str, samples: int = 1000, se
     return float(x.mean()), float(1.96 * means.std())
 
 
+def paired_deltas(one: DataFrame, base: DataFrame, column: str) -> DataFrame:
+    """(query_id, delta) over the queries both have; ``bootstrap_half_width`` gives its margin."""
+    return one.select("query_id", F.col(column).alias("_one")).join(base.select("query_id", F.col(column).alias("_base")), "query_id").select("query_id", (F.col("_one") - F.col("_base")).alias("delta"))
+
+
+def binned_report(values: DataFrame, bins: DataFrame, column: str) -> DataFrame:
+    """(bin, n_queries, n_scored, mean) for each bin of bins(query_id, bin) and for "all". A scored query without a bin raises."""
+    own = values.select("query_id", F.col(column).alias("_v"), F.lit(True).alias("scored")).join(bins.select("query_id", "bin"), "query_id", "full")
+    own = own.withColumn("ok", F.assert_true(F.col("bin").isNotNull(), F.lit("a scored query has no bin"))).where(F.col("ok").isNull())
+    both = own.withColumn("bin", F.explode(F.array("bin", F.lit("all"))))
+    return both.groupBy("bin").agg(F.count("*").alias("n_queries"), F.count("scored").alias("n_scored"), F.avg("_v").alias("mean"))
+
+
 def spearman(df: DataFrame, x: str, y: str):
     """Rank correlation with average ranks of ties."""
     def rank(c):

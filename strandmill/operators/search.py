@@ -244,18 +244,97 @@ def random_sample(vectors: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     return ranked.where(F.col("_r") <= F.greatest(F.lit(1.0), F.rint(F.col("_n") / ratio))).drop("_n", "_r")
 
 
+def _greedy_rows(x: np.ndarray, epsilon: float, seed: int, batch: int) -> np.ndarray:
+    """Rows that become centres, in the order they do; rows of one batch aren't compared with each other."""
+    order = np.random.default_rng(seed).permutation(len(x))
+    kept = np.zeros(0, np.int64)
+    for at in range(0, len(order), batch):
+        rows = order[at : at + batch]
+        far = np.ones(len(rows), bool) if not len(kept) else (x[rows] @ x[kept].T).max(1) < 1 - epsilon
+        kept = np.concatenate([kept, rows[far]])
+    return kept
+
+
 def greedy_net(vectors: DataFrame, epsilon: float, seed: int = 0, batch: int = 4096) -> DataFrame:
     """Centres of each accession: in hashed order, a row becomes one if no earlier batch's centre is within epsilon."""
-    def run(key, batches):
-        t = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
+    def run(key, t):
+        t = t.sort_by("vector_id")
+        return t.take(pa.array(np.sort(_greedy_rows(fv.matrix(t.column("embedding")), epsilon, seed, batch))))
+
+    return vectors.select("vector_id", "accession", "embedding").groupBy("accession").applyInArrow(run, "vector_id long, accession string, embedding array<float>")
+
+
+def merged_net(net: DataFrame, epsilon: float, seed: int = 0, batch: int = 4096) -> DataFrame:
+    """A second net over the centres of all accessions: each with its nearest merged centre and whether it is one itself.
+
+    The choice is sequential, so one task holds the first net's centres (not the vectors).
+    """
+    def run(key, t):
+        t = t.sort_by("vector_id")
         x = fv.matrix(t.column("embedding"))
-        order = np.random.default_rng(seed).permutation(len(x))
-        kept = np.zeros(0, np.int64)
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            far = np.ones(len(rows), bool) if not len(kept) else (x[rows] @ x[kept].T).max(1) < 1 - epsilon
-            kept = np.concatenate([kept, rows[far]])
-        return t.take(pa.array(np.sort(kept)))
-
-    ordered = vectors.select("vector_id", "accession", "embedding")
-    return ordered.groupBy("accession").applyInArrow(lambda key, table: run(key, table.sort_by("vector_id")), "vector_id long, accession string, embedding array<float>")
+        kept = _greedy_rows(x, epsilon, seed, batch)
+        near = np.concatenate([(x[at : at + batch] @ x[kept].T).argmax(1) for at in range(0, len(x), batch)])
+        return t.append_column("center", t.column("vector_id").take(pa.array(kept[near]))).append_column("is_center", pa.array(np.isin(np.arange(len(x)), kept)))
+
+    own = net.select("vector_id", "accession", "embedding")
+    return own.groupBy().applyInArrow(run, "vector_id long, accession string, embedding array<float>, center long, is_center boolean")
+
+
+def merged_net_search(queries: DataFrame, merged: DataFrame, k: int) -> DataFrame:
+    """Accessions (query_id, rank, accession, score) of the k best merged centres, each with its best centre's score."""
+    found = exact(queries, merged.where("is_center").select("vector_id", "accession", "embedding"), k)
+    entries = merged.groupBy("center", "accession").agg(F.count("*").alias("n"))
+    best = found.select("query_id", "score", F.col("vector_id").alias("center")).join(entries, "center").groupBy("query_id", "accession").agg(F.max("score").alias("score"))
+    return top_k(best, k, tie="accession").select("query_id", "rank", "accession", "score")
+
+
+def pq_books(cells: DataFrame, centroids: np.ndarray, parts: int = 8, codes: int = 256, sample: int = 100_000, rounds: int = 10, seed: int = 0) -> np.ndarray:
+    """Codebooks (parts, codes, d / parts) of residuals, fitted on the ``sample`` rows of lowest hash; every row is coded."""
+    rows = cells.orderBy(F.xxhash64("vector_id", F.lit(seed)), "vector_id").limit(sample).select("cell", "embedding").collect()
+    left = np.array([r["embedding"] for r in rows], np.float32) - centroids[[r["cell"] for r in rows]]
+    if left.shape[1] % parts:
+        raise ValueError("the dimension must be a multiple of parts")
+    rng, books = np.random.default_rng(seed), []
+    for x in np.split(left, parts, axis=1):
+        c = x[rng.permutation(len(x))[: min(codes, len(x))]]
+        for _ in range(rounds):
+            to = _nearest_code(x, c)
+            n = np.bincount(to, minlength=len(c))
+            total = np.zeros(c.shape)
+            np.add.at(total, to, x)
+            c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c).astype(np.float32)
+        books.append(c)
+    return np.stack(books)
+
+
+def _nearest_code(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
+
+
+def pq_encode(cells: DataFrame, centroids: np.ndarray, books: np.ndarray) -> DataFrame:
+    """vector_id, accession, cell and one byte for each part of the residual."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                left = fv.matrix(b.column("embedding")) - centroids[b.column("cell").to_numpy()]
+                code = np.stack([_nearest_code(x, c) for x, c in zip(np.split(left, len(books), axis=1), books, strict=True)], axis=1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column("vector_id"), b.column("accession"), b.column("cell"), pa.array([c.tobytes() for c in code], pa.binary())], ["vector_id", "accession", "cell", "code"])
+
+    return cells.select("vector_id", "accession", "cell", "embedding").mapInArrow(run, "vector_id long, accession string, cell int, code binary")
+
+
+def pq_decode(codes: DataFrame, centroids: np.ndarray, books: np.ndarray) -> DataFrame:
+    """The coded rows with the vector their code stands for; its inner products equal the sums of table look-ups."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                x = centroids[b.column("cell").to_numpy()] + np.concatenate([c[code[:, m]] for m, c in enumerate(books)], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("vector_id"), b.column("accession"), b.column("cell"), fv.lists(x)], ["vector_id", "accession", "cell", "embedding"])
+
+    return codes.select("vector_id", "accession", "cell", "code").mapInArrow(run, "vector_id long, accession string, cell int, embedding array<float>")
+
+
+def ivf_pq(queries: DataFrame, codes: DataFrame, centroids: np.ndarray, books: np.ndarray, k: int, nprobe: int) -> DataFrame:
+    """Approximate scores within the probed cells; ``rerank`` gives the head exact ones."""
+    return ivf(queries, pq_decode(codes, centroids, books), centroids, k, nprobe)

@@ -241,6 +241,43 @@ def net_search(spark, sf) -> DataFrame:
     return _score_only(search.exact(query_vectors(spark, sf), search.greedy_net(vectors(spark, sf), 0.5), K))
 
 
+def merged_net_top(spark, sf) -> DataFrame:
+    merged = search.merged_net(search.greedy_net(vectors(spark, sf), 0.5), 0.7)
+    return rounded(search.merged_net_search(query_vectors(spark, sf), merged, K), "score")
+
+
+def ivf_pq_search(spark, sf) -> DataFrame:
+    """Eight of the eight cells probed, the head of 100 candidates reranked."""
+    v, q = vectors(spark, sf), query_vectors(spark, sf)
+    c = search.kmeans(v, 8, 5)
+    cells = search.assign_cells(v, c)
+    books = search.pq_books(cells, c)
+    head = search.ivf_pq(q, search.pq_encode(cells, c, books), c, books, 100, 8)
+    return _score_only(search.rerank(head, q, v, K))
+
+
+def chunks(spark, sf) -> DataFrame:
+    """Windows with the row id they have in accession order."""
+    within = Window.partitionBy("accession").orderBy("contig", "no")
+    start = row_ranges(spark, sf).select("accession", "start_row")
+    return chunk_windows(spark, sf).join(F.broadcast(start), "accession").select((F.col("start_row") + F.row_number().over(within) - 1).alias("vector_id"), "contig", "start")  # a row for each accession
+
+
+def hit_contigs(spark, sf) -> DataFrame:
+    flat = found(spark, sf).select("query_id", "rank", "vector_id")
+    return hits.resolve_contigs(flat, chunks(spark, sf)).select("query_id", "rank", "vector_id", "contig", "start")
+
+
+def recall_by_label(spark, sf) -> DataFrame:
+    bins = query_vectors(spark, sf).select("query_id", F.concat(F.lit("label"), "label").alias("bin"))
+    return rounded(metrics.binned_report(metrics.recall_at(judged(spark, sf), 3), bins, "recall"), "mean")
+
+
+def recall_deltas(spark, sf) -> DataFrame:
+    j = judged(spark, sf)
+    return rounded(metrics.paired_deltas(metrics.recall_at(j, 5), metrics.recall_at(j, 3), "recall"), "delta")
+
+
 def training_pairs(spark, sf) -> DataFrame:
     w = table(spark, sf, "documents").where("length(text) >= 150").select(F.col("doc_id").alias("window_id"), F.substring(F.upper("text"), 1, 256).alias("seq"))
     return training_data.pairs(w)
@@ -297,6 +334,11 @@ _ALL = {
     "rabitq_search": (rabitq_search, None),
     "ivf_search": (ivf_search, None),
     "epsilon_net_search": (net_search, None),
+    "merged_net_search": (merged_net_top, None),
+    "ivf_pq_search": (ivf_pq_search, None),
+    "hit_contigs": (hit_contigs, None),
+    "binned_report": (recall_by_label, _q("SELECT b.bin, count(*) AS n_queries, count(x.recall) AS n_scored, round(avg(x.recall), 6) AS mean FROM (SELECT query_id, unnest(['label' || label, 'all']) AS bin FROM q) b LEFT JOIN (SELECT query_id, CAST(sum(CASE WHEN rn <= 3 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS recall FROM j GROUP BY 1) x USING (query_id) GROUP BY 1", _JUDGED)),
+    "paired_deltas": (recall_deltas, _q("SELECT query_id, round(CAST(sum(CASE WHEN rn <= 5 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) - CAST(sum(CASE WHEN rn <= 3 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel), 6) AS delta FROM j GROUP BY 1", _JUDGED)),
     "training_pairs": (training_pairs, None),
 }
 
