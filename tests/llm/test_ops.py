@@ -117,3 +117,18 @@ def test_passages(spark, docs):
     seven = [r for r in got if r.doc_id == 7]
     assert seven and all(r.start_word >= 85 and r.similarity >= 0.8 for r in seven)
     assert not [r for r in got if r.doc_id in (4, 5, 6, 8)]
+
+
+def whole_passages(spark, one: list[str], two: list[str]) -> tuple[set, set]:
+    """Words of both texts that the passages cover."""
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")
+    got = passages.repeated_passages(docs, Scratch(spark, "t")).collect()
+    return tuple({k for r in got if r.doc_id == i for k in range(r.start_word, r.end_word)} for i in (1, 2))
+
+
+def test_passages_moved_apart(spark):
+    a, b, more = ([f"{x}{i}" for i in range(n)] for x, n in (("a", 500), ("b", 500), ("m", 260)))
+    one, two = whole_passages(spark, a + b, a + more + b)
+    assert one == set(range(1000)) and two >= set(range(500)) | set(range(760, 1260))
+    one, two = whole_passages(spark, a[:60] + b[:60], b[:60] + a[:60])
+    assert one == two == set(range(120))
