@@ -132,3 +132,12 @@ def test_passages_moved_apart(spark):
     assert one == set(range(1000)) and two >= set(range(500)) | set(range(760, 1260))
     one, two = whole_passages(spark, a[:60] + b[:60], b[:60] + a[:60])
     assert one == two == set(range(120))
+
+
+def test_passages_twice_in_one_document(spark):
+    p, x = [f"p{i}" for i in range(70)], [f"x{i}" for i in range(900)]
+    twice = p + x[:100] + p + x[100:200] + p
+    for one, two in ((twice, x[300:400] + p), (x[300:400] + p, twice)):
+        got = whole_passages(spark, one, two)
+        for text, words in zip((one, two), got, strict=True):
+            assert words == {k for k, w in enumerate(text) if w.startswith("p")}
