@@ -130,14 +130,36 @@ def kmer_top(spark, sf) -> DataFrame:
     return kmer_search.kmer_counts(reads, contigs(spark, sf), 21, 20, both_strands=False).select("query_id", "accession", "score", "rank")
 
 
+def kmer_top_whole(spark, sf) -> DataFrame:
+    """kmer_top with whole reads."""
+    reads = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("sequence"))
+    return kmer_search.kmer_counts(reads, contigs(spark, sf), 21, 20, both_strands=False).select("query_id", "accession", "score", "rank")
+
+
 def strands_of_text(spark, sf) -> DataFrame:
-    c = contigs(spark, sf)
-    part = F.substring("sequence", 1, 200)
+    return _strand_columns(contigs(spark, sf), F.substring("sequence", 1, 200))
+
+
+def strands_of_whole_text(spark, sf) -> DataFrame:
+    return _strand_columns(contigs(spark, sf), F.col("sequence"))
+
+
+def _strand_columns(c: DataFrame, part) -> DataFrame:
     return c.select("contig", sq.reverse_complement(part).alias("rc"), F.round(F.when(F.length(part) > 0, sq.gc_fraction(part)).otherwise(0.0), 6).alias("gc"), sq.bin_label(F.col("contig") % 100 / 100.0).alias("bin"))
 
 
 def kmer_entropy(spark, sf) -> DataFrame:
-    part = contigs(spark, sf).select("contig", F.explode(sq.kmers(F.substring("sequence", 1, 200), 3)).alias("kmer"))
+    return _entropy(contigs(spark, sf).select("contig", F.explode(sq.kmers(F.substring("sequence", 1, 200), 3)).alias("kmer")))
+
+
+def kmer_entropy_whole(spark, sf) -> DataFrame:
+    """Over whole texts, in pieces that overlap by k - 1."""
+    places = F.explode(F.sequence(F.lit(0), F.length("sequence"), F.lit(kmer_search.PIECE))).alias("at")
+    pieces = contigs(spark, sf).select("contig", "sequence", places).select("contig", F.substring("sequence", F.col("at") + 1, F.lit(kmer_search.PIECE + 2)).alias("piece"))
+    return _entropy(pieces.select("contig", F.explode(sq.kmers(F.col("piece"), 3)).alias("kmer")))
+
+
+def _entropy(part: DataFrame) -> DataFrame:
     n = part.groupBy("contig", "kmer").agg(F.count("*").cast("double").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("contig")))
     return n.groupBy("contig").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"), F.count("*").alias("n_kmers"))
 
@@ -145,6 +167,16 @@ def kmer_entropy(spark, sf) -> DataFrame:
 def edit_distances(spark, sf) -> DataFrame:
     b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "?").alias("s"))
     p = b.alias("a").join(b.alias("b"), F.floor(F.col("a.item_id") / 20) == F.floor(F.col("b.item_id") / 20)).where("a.item_id < b.item_id")
+    return _distances(p)
+
+
+def edit_distances_whole(spark, sf) -> DataFrame:
+    """Every pair of items, with their whole texts."""
+    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("s"))
+    return _distances(b.alias("a").join(b.alias("b"), F.col("a.item_id") < F.col("b.item_id")))
+
+
+def _distances(p: DataFrame) -> DataFrame:
     d = F.levenshtein(F.col("a.s"), F.col("b.s"))
     return p.select(F.col("a.item_id").alias("one"), F.col("b.item_id").alias("two"), d.cast("long").alias("distance"), F.round(d / F.greatest(F.length("a.s"), F.length("b.s")), 6).alias("by_longest"))
 
@@ -279,8 +311,11 @@ def recall_deltas(spark, sf) -> DataFrame:
 
 
 def training_pairs(spark, sf) -> DataFrame:
-    w = table(spark, sf, "documents").where("length(text) >= 150").select(F.col("doc_id").alias("window_id"), F.substring(F.upper("text"), 1, 256).alias("seq"))
-    return training_data.pairs(w)
+    """Of all windows of 256 without overlap, the tail included if it has 150 characters. window_id: doc_id * 2^20 + number of the window."""
+    text = table(spark, sf, "documents").where("length(text) >= 150").select("doc_id", F.upper("text").alias("seq"))
+    w = text.select("doc_id", "seq", F.posexplode(sq.query_starts(F.length("seq"), 256)).alias("no", "start"))
+    w = w.select((F.col("doc_id") * 2**20 + F.col("no")).alias("window_id"), F.substring("seq", F.col("start") + 1, F.lit(256)).alias("seq"))
+    return training_data.pairs(w.where("length(seq) >= 150"))
 
 
 def _q(sql: str, with_: str) -> str:
@@ -343,6 +378,25 @@ _ALL = {
 }
 
 
+def _whole(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query without its cuts."""
+    sql = _ALL[name][1]
+    for cut, whole in cuts:
+        if cut not in sql:
+            raise ValueError(f"{name} has no {cut!r}")
+        sql = sql.replace(cut, whole)
+    return sql
+
+
+#: The same over whole texts.
+_ALL |= {
+    "kmer_search_whole": (kmer_top_whole, _whole("kmer_search", ("substr(text, 1, 120)", "text"))),
+    "reverse_complement_whole": (strands_of_whole_text, _whole("reverse_complement", ("substr(sequence, 1, 200)", "sequence"))),
+    "kmer_entropy_whole": (kmer_entropy_whole, _whole("kmer_entropy", ("substr(sequence, 1, 200)", "sequence"))),
+    "edit_distances_whole": (edit_distances_whole, _whole("edit_distances", ("substr(text, 1, 60)", "text"), ("a.item_id // 20 = b.item_id // 20 AND ", ""))),
+}
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _ALL.items()}
 
