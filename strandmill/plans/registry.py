@@ -125,6 +125,13 @@ def resolve_rows(spark, sf) -> DataFrame:
     return ids.join(F.broadcast(meta), (F.col("row_id") >= F.col("start_row")) & (F.col("row_id") < F.col("start_row") + F.col("num_rows"))).select("row_id", "accession")  # a row for each accession
 
 
+def resolve_rows_whole(spark, sf) -> DataFrame:
+    """Every row id back to its accession."""
+    meta = row_ranges(spark, sf)
+    rows = meta.agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
+    return spark.range(rows).withColumnRenamed("id", "row_id").join(F.broadcast(meta), (F.col("row_id") >= F.col("start_row")) & (F.col("row_id") < F.col("start_row") + F.col("num_rows"))).select("row_id", "accession")  # a row for each accession
+
+
 def kmer_top(spark, sf) -> DataFrame:
     reads = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 120).alias("sequence"))
     return kmer_search.kmer_counts(reads, contigs(spark, sf), 21, 20, both_strands=False).select("query_id", "accession", "score", "rank")
@@ -250,6 +257,15 @@ def overlap_pairs(spark, sf) -> DataFrame:
     return p.select("user_id", F.col("a.event_id").alias("one"), F.col("b.event_id").alias("two"), o.alias("overlap")).where("overlap > 0")
 
 
+def overlap_pairs_whole(spark, sf) -> DataFrame:
+    """Of all events. Intervals are 10 long, so those that overlap start in the same cell of 10 or in neighbours; a user's events are joined by cell."""
+    e = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 97).alias("s"), (F.col("event_id") % 97 + 10).alias("e")).withColumn("cell", F.floor(F.col("s") / 10))
+    around = e.withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])))
+    p = e.alias("a").join(around.alias("b"), ["user_id", "cell"]).where("a.event_id < b.event_id")
+    o = sq.overlap(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))
+    return p.select("user_id", F.col("a.event_id").alias("one"), F.col("b.event_id").alias("two"), o.alias("overlap")).where("overlap > 0")
+
+
 def rank_correlation(spark, sf) -> DataFrame:
     return rounded(metrics.spearman(table(spark, sf, "part"), "p_size", "p_retailprice"), "rho")
 
@@ -388,12 +404,14 @@ def _whole(name: str, *cuts: tuple[str, str]) -> str:
     return sql
 
 
-#: The same over whole texts.
+#: The same over whole texts and tables.
 _ALL |= {
     "kmer_search_whole": (kmer_top_whole, _whole("kmer_search", ("substr(text, 1, 120)", "text"))),
     "reverse_complement_whole": (strands_of_whole_text, _whole("reverse_complement", ("substr(sequence, 1, 200)", "sequence"))),
     "kmer_entropy_whole": (kmer_entropy_whole, _whole("kmer_entropy", ("substr(sequence, 1, 200)", "sequence"))),
     "edit_distances_whole": (edit_distances_whole, _whole("edit_distances", ("substr(text, 1, 60)", "text"), ("a.item_id // 20 = b.item_id // 20 AND ", ""))),
+    "resolve_rows_whole": (resolve_rows_whole, _whole("resolve_rows", ("SELECT unnest(range(0, 1500, 3)) AS row_id", "SELECT unnest(range(0, (SELECT CAST(sum(num_rows) AS BIGINT) FROM m))) AS row_id"))),
+    "interval_overlap_whole": (overlap_pairs_whole, _whole("interval_overlap", ("a.event_id < 2000 AND b.event_id < 2000 AND ", ""))),
 }
 
 
