@@ -275,14 +275,18 @@ def _score_only(df: DataFrame) -> DataFrame:
 
 
 def rabitq_search(spark, sf, mode: str = "reference") -> DataFrame:
+    """The head of 200 by estimates, reranked."""
     n, total, _ = search.moments(vectors(spark, sf))
     center = (total / n).astype("float32")
-    return _score_only(search.rabitq(query_vectors(spark, sf), search.rabitq_encode(vectors(spark, sf), center), center, K, mode))
+    v, q = vectors(spark, sf), query_vectors(spark, sf)
+    head = search.rabitq(q, search.rabitq_encode(v, center), center, 20 * K, mode)
+    return _score_only(search.rerank(head, q, v, K))
 
 
 def ivf_search(spark, sf) -> DataFrame:
+    """Seven of the eight cells probed."""
     c = search.kmeans(vectors(spark, sf), 8, 5)
-    return _score_only(search.ivf(query_vectors(spark, sf), search.assign_cells(vectors(spark, sf), c), c, K, 3))
+    return _score_only(search.ivf(query_vectors(spark, sf), search.assign_cells(vectors(spark, sf), c), c, K, 7))
 
 
 def net_search(spark, sf) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries over whole tables and texts, against plain recounts."""
 
 import pyarrow.parquet as pq
+import pytest
 
 from strandmill.plans import registry
 
@@ -31,3 +32,11 @@ def test_all_rows(spark):
         of.setdefault(r["user_id"], []).append(r["event_id"])
     want = {(a, b) for ids in of.values() for a in ids for b in ids if a < b and abs(a % 97 - b % 97) < 10}
     assert {(r["one"], r["two"]) for r in registry.queries()["interval_overlap_whole"](spark, "/root/testdata/sf0.01").collect()} == want
+
+
+@pytest.mark.parametrize("name", ["ivf_search", "rabitq_search"])
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_recall(spark, sf, name):
+    want = {(r["query_id"], r["vector_id"]) for r in registry.found(spark, sf).collect()}
+    got = {(r["query_id"], r["vector_id"]) for r in registry.queries()[name](spark, sf).collect()}
+    assert len(want & got) >= 0.9 * len(want)
