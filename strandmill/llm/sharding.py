@@ -3,8 +3,9 @@
 Documents that are linked (in the query: equal texts) should share a shard, while the
 counts of any two shards differ by one at most (law ``rows``). Links are a bipartite
 table of documents and hubs, so a group of n copies has n links, not n squared. A
-hub of more documents than a share of a shard's quota is split first by a hash of
-the document, so that no hub needs more room than a shard has.
+hub of more documents than a shard's quota is split first by a hash of the document,
+so that no hub needs more room than a shard has. Large hubs, or their parts, are
+placed first, whole and in order of size, each in the shard with the most room.
 
 Each round, a hub counts its documents by shard and asks those elsewhere to come to
 its most frequent shard. A shard takes requests up to its quota: hubs are put into
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from strandmill.llm.base import Scratch, sized, table
 
 SHARDS, ROUNDS, BUCKETS = 16, 3, 256
-#: A hub has at most this share of a shard's quota.
+#: A hub of more than this share of a shard's quota is large. There are at most SHARDS / HUB_SHARE of them.
 HUB_SHARE = 0.05
 
 
@@ -54,14 +55,28 @@ def _quota(shard, rows: int, shards: int):
 def propagate(nodes: DataFrame, rows: int, scratch: Scratch, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(node, hub, shard) of nodes(node, hub), linked documents only; no shard above its quota is asked for more."""
     sizes = nodes.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
-    most = max(1, int(rows // shards * HUB_SHARE))
+    most = max(1, rows // shards)
     split = nodes.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.ceil(F.col("n") / most)))
-    state = scratch.save(split.select("node", F.concat_ws("/", "hub", "part").alias("hub"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(shards)).cast("int").alias("shard")), "linked_0")
+    split = scratch.save(split.select("node", F.concat_ws("/", "hub", "part").alias("hub")), "hubs")
+    room, placed = quotas(rows, shards), []
+    large = split.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > most * HUB_SHARE).collect()
+    for r in sorted(large, key=lambda r: (-r["n"], r["hub"])):
+        to = max(room, key=lambda s: (room[s], -s))
+        room[to] -= r["n"]
+        placed.append((r["hub"], to))
+    large = F.broadcast(nodes.sparkSession.createDataFrame(placed, "hub string, shard int"))
+    fixed = scratch.save(split.join(large, "hub").select("node", "hub", "shard"), "linked_large")
+    # the others start by hash, in proportion to the room that is left
+    free = [max(0, n) for n in room.values()]
+    at, start = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, sum(free)))), F.lit(shards - 1)
+    for s in reversed(range(shards)):
+        start = F.when(at < sum(free[: s + 1]), F.lit(s)).otherwise(start)
+    state = scratch.save(split.join(large, "hub", "left_anti").select("node", "hub", start.cast("int").alias("shard")), "linked_0")
     for step in range(rounds):
         votes = state.groupBy("hub", "shard").agg(F.count("*").alias("n"))
         best = votes.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("h"), "shard")).alias("m"), F.sum("n").alias("all"))
         wish = scratch.save(best.select("hub", F.col("m.shard").alias("to"), (F.col("all") - F.col("m.n")).alias("moving"), F.col("all"), F.pmod(F.xxhash64("hub", F.lit(2)), F.lit(BUCKETS)).alias("bucket")), f"wish_{step}")
-        load = state.groupBy("shard").agg(F.count("*").alias("load"))
+        load = state.select("shard").unionByName(fixed.select("shard")).groupBy("shard").agg(F.count("*").alias("load"))
         per = wish.groupBy("to", "bucket").agg(F.sum("moving").alias("moving"))
         upto = Window.partitionBy("to").orderBy("bucket")  # at most BUCKETS rows for each shard
         fits = per.withColumn("sum", F.sum("moving").over(upto)).join(F.broadcast(load), F.col("to") == F.col("shard"), "left")  # load has a row for each shard
@@ -69,7 +84,7 @@ def propagate(nodes: DataFrame, rows: int, scratch: Scratch, shards: int = SHARD
         moves = wish.join(F.broadcast(taken), ["to", "bucket"]).select("hub", "to")  # at most shards * BUCKETS rows
         state = scratch.save(state.join(moves, "hub", "left").select("node", "hub", F.coalesce("to", "shard").alias("shard")), f"linked_{step + 1}")
         scratch.drop(f"linked_{step}")
-    return state
+    return state.unionByName(fixed)
 
 
 def shard(docs: DataFrame, scratch: Scratch, shards: int = SHARDS) -> DataFrame:

@@ -141,3 +141,14 @@ def test_passages_twice_in_one_document(spark):
         got = whole_passages(spark, one, two)
         for text, words in zip((one, two), got, strict=True):
             assert words == {k for k, w in enumerate(text) if w.startswith("p")}
+
+
+def test_sharding_keeps_groups_whole(spark):
+    sizes = [20, 12, 9, 9, 6, 4, 3, 2]
+    texts = [f"copy {g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"own {k}" for k in range(200 - sum(sizes))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard(docs, Scratch(spark, "t"), 8).collect()
+    counts = [sum(r.shard == s for r in got) for s in range(8)]
+    assert counts == [25] * 8
+    for g in range(len(sizes)):
+        assert len({r.shard for r in got if texts[r.doc_id] == f"copy {g}"}) == 1
