@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows and bytes up to which a side of a join is broadcast. Beyond it a shuffle join is planned.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,9 @@ class Scratch:
         if not root:
             root = spark.sparkContext.getCheckpointDir()
         if not root:
-            root = tempfile.mkdtemp(prefix="checkpoints-")
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="checkpoints-")  # one machine, as in tests
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
@@ -67,8 +69,11 @@ class Scratch:
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``limit`` rows (counted, not guessed)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df``, a saved table, with a broadcast hint if it has no more than ``limit`` rows and BROADCAST_BYTES of strings (counted, not guessed)."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    heavy = F.sum(sum(wide[1:], wide[0])) if wide else F.lit(0)
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(heavy, F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
 
 
 # --- bytes and words of Arrow text columns -----------------------------------

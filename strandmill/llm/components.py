@@ -29,3 +29,15 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "cc") -
         if not changed:
             scratch.drop(f"{name}_edges")
             return labels
+
+
+def contracted(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """labels(node, component) after links(a, b) between their nodes have joined components.
+
+    Only links between different components take part, each pair of components once,
+    so the work follows what is new and not all links so far.
+    """
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+    roots = connected_components(scratch.save(edges, f"{name}_links"), scratch, f"{name}_cc").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return scratch.save(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), name)
