@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes up to which a side of a join is broadcast. Beyond it a shuffle join is planned.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
@@ -43,8 +44,13 @@ class Scratch:
         atexit.register(self.clear)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """The table written and read back. Shuffle files that led to it are deleted, since nothing is computed from them again."""
+        conf, old = self.spark.conf, self.spark.conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            conf.set(CLEAN_UP, old)
         return self.read(df.schema, name)
 
     def read(self, schema: StructType, *names: str) -> DataFrame:
@@ -58,8 +64,9 @@ class Scratch:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
 
     def clear(self) -> None:
         try:
@@ -76,6 +83,15 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
 
 
+def join_spread(pairs: DataFrame, side: DataFrame, key: str, other: str, scratch: Scratch, name: str, most: int = 256) -> DataFrame:
+    """pairs joined with side, which has one row for each ``key``. A key of more than ``most`` pairs is dealt to several places by a hash of ``other``."""
+    hot = pairs.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1")
+    hot = sized(scratch.save(hot, f"{name}_hot"))
+    salted = pairs.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    spread = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
+
+
 # --- bytes and words of Arrow text columns -----------------------------------
 
 _SPACE = np.zeros(256, bool)

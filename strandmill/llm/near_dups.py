@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.base import Scratch, gram_hashes, lower, mix, sized, span_hashes, table, text_chunks, words
+from strandmill.llm.base import Scratch, gram_hashes, join_spread, lower, mix, sized, span_hashes, table, text_chunks, words
 from strandmill.llm.components import contracted
 
-SLOTS, CHUNKS, DISTANCE, ROUNDS, PART, SALTS = 128, 22, 42, 3, 250, 64
+SLOTS, CHUNKS, DISTANCE, ROUNDS, PART = 128, 22, 42, 3, 125
 _SEEDS = np.random.RandomState(1).randint(0, 2**32, (SLOTS, 2), dtype=np.uint32)
 _SEEDS[:, 1] |= 1
 
@@ -136,13 +136,6 @@ def _distance_batches(numerator: int, denominator: int):
     return run
 
 
-def _with_leader(pairs: DataFrame, side: DataFrame, leader: str, other: str) -> DataFrame:
-    """pairs joined with side on ``leader``; a leader of many pairs is dealt to up to SALTS places."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    places = side.join(salted.select(leader, "salt").distinct(), leader)
-    return salted.join(places, [leader, "salt"]).drop("salt")
-
-
 class _Verifier:
     """Tests pairs of class representatives: by signature, then on full sets."""
 
@@ -155,7 +148,8 @@ class _Verifier:
     def nearest(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b), a the smaller, of each node of pairs(node, leader) and the leader nearest to it by signature."""
         of = lambda x: self.classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-        both = _with_leader(pairs.join(of("node"), "node"), of("leader"), "leader", "node")
+        pairs = self.scratch.save(pairs, f"{name}_pairs")
+        both = join_spread(pairs.join(of("node"), "node"), of("leader"), "leader", "node", self.scratch, name)
         near = both.select("node", "leader", "sig_node", "sig_leader", "n_node", "n_leader").mapInArrow(self.distances, f"node {self.kind}, leader {self.kind}, d int")
         best = near.groupBy("node").agg(F.min(F.struct("d", "leader")).alias("m"))
         return self.scratch.save(best.select(F.least("node", "m.leader").alias("a"), F.greatest("node", "m.leader").alias("b")).distinct(), name)
@@ -165,9 +159,9 @@ class _Verifier:
         needed = self.scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}_needed")
         texts = self.scratch.save(self.docs.join(sized(needed), "doc_id", "left_semi"), f"{name}_texts")
         of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-        both = _with_leader(_with_leader(pairs, of("b"), "b", "a"), of("a"), "a", "b")
+        both = join_spread(join_spread(pairs, of("b"), "b", "a", self.scratch, f"{name}_b"), of("a"), "a", "b", self.scratch, f"{name}_a")
         out = self.scratch.save(both.select("a", "b", "text_a", "text_b").mapInArrow(self.verify, f"a {self.kind}, b {self.kind}, linked boolean"), name)
-        self.scratch.drop(f"{name}_texts")
+        self.scratch.drop(f"{name}_texts", f"{name}_needed")
         return out
 
 
@@ -185,9 +179,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, numerator:
     read = scratch.save(docs.mapInArrow(_signature_batches(size), f"doc_id {kind}, n_shingles long, set_key binary, sig binary"), "signatures")
     known = read.where("doc_id is not null and n_shingles > 0")
     classes = scratch.save(known.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count("*").alias("members")), "classes")
-    by_key = classes.select("node", "sig").mapInArrow(_key_batches, f"key long, node {kind}")
+    # dealt anew, so that a task's keys fit its memory; the join never broadcasts, since keys grow with the documents
+    by_key = classes.select("node", "sig").repartition(max(32, classes.count() // 8000)).mapInArrow(_key_batches, f"key long, node {kind}")
     keys = scratch.save(by_key.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader"), "keys")
-    index = scratch.save(by_key.join(sized(keys), "key"), "index")
+    index = scratch.save(by_key.join(keys.hint("merge"), "key"), "index")
+    scratch.drop("keys")
     labels = scratch.save(index.select("node").distinct().withColumn("component", F.col("node")), "labels")
     verify = _Verifier(docs, classes, size, numerator, denominator, scratch)
     tested: list[str] = []
@@ -199,6 +195,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, numerator:
             parts = here.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "key", F.lit(step)).alias("h"), "node")).alias("pick"))
             mixed = parts.groupBy("key").agg(F.max(F.struct("c", "component", F.col("pick.node").alias("leader"))).alias("top"), F.count("*").alias("k")).where("k > 1")
             index = scratch.save(here.join(mixed.select("key", F.col("top.component").alias("main"), F.col("top.leader").alias("leader")), "key"), f"open_{step}")
+            scratch.drop("index" if step == 1 else f"open_{step - 1}")
             if not index.limit(1).count():
                 break
             if step == ROUNDS:
@@ -237,7 +234,8 @@ def _dealt(members: DataFrame, payload: DataFrame, scratch: Scratch, name: str)
     with_inside = F.transform(F.sequence(F.col("p"), F.col("p") + F.col("q") - 1), lambda j: F.struct(F.col("own").alias("x"), j.alias("y")))
     blocks = F.when(F.col("own") >= F.col("p"), with_outside).otherwise(F.concat(with_outside, with_inside))
     placed = own.select("node", "main", "component", "own", F.explode(blocks).alias("block")).select("node", "main", "component", "own", "block.x", "block.y")
-    return _with_leader(placed, payload, "node", "main").repartition("main", "x", "y").sortWithinPartitions("main", "x", "y", "node")
+    placed = scratch.save(placed, f"{name}_placed")
+    return join_spread(placed, payload, "node", "main", scratch, f"{name}_nodes").repartition("main", "x", "y").sortWithinPartitions("main", "x", "y", "node")
 
 
 def _across(members: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, size: int, numerator: int, denominator: int) -> DataFrame:
