@@ -1,18 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text, from
-a bounded sample of labelled documents. The toxic one ends with the same ordinary
-stretch, so that ordinary matches have equal distances in both, and starts with
-fragments that toxic text has and ordinary text hasn't: a window's two compressed
-lengths differ only by what is toxic in it. Every
-window of about ``WINDOW`` bytes, cut at spaces, is compressed with both. From the
-byte savings a document gets three figures (the largest, their sum, the number of
-windows) and a logistic curve that is fitted on other labelled documents
-than the dictionaries turns them into a score that passes 0.5 at the calibrated
-threshold.
+zstandard's trainer makes two dictionaries from a bounded sample of labelled
+documents: one from windows of ordinary text, one from what toxic text has and ordinary
+text hasn't. The latter's samples are the words of toxic documents whose start (a space
+and 3 to 9 bytes) is in ``LEAST_DOCS`` toxic documents or more and has there ``LIFT`` times
+its share of ordinary documents, cut ``MORE`` bytes after that start. Both dictionaries are
+loaded as content, and the ordinary one also stands behind the toxic one, so that
+ordinary matches have equal distances and lengths in both: a window's two compressed
+lengths differ only by what is toxic in it. Every window of about ``WINDOW`` bytes, cut at
+spaces, is compressed with both. From the byte savings a document gets three figures
+(the largest, their sum, the number of windows) and a logistic curve, fitted on the
+labelled documents that the dictionaries weren't trained on, turns them into a score that
+passes 0.5 at the calibrated threshold.
 
 Sample: at most about ``SAMPLE_DOCS`` labelled documents of each class, chosen by hash
-of doc_id. The dictionaries have at most ``ORDINARY_BYTES`` and ``TOXIC_BYTES``.
+of doc_id, and of those the first in order of the hash that have ``SAMPLE_BYTES`` of text
+together. Three of four train the dictionaries, which have at most ``ORDINARY_BYTES`` and
+``TOXIC_BYTES``, the fourth calibrates.
 
 Defined results: a null or empty text, and any text when the labels lack a class,
 scores the base rate, below 0.5. Null labels teach nothing. Repeated rows score
@@ -21,7 +25,6 @@ alike; a text's score doesn't depend on any other row or column.
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +38,9 @@ from strandmill.llm.base import table, text_chunks
 
 WINDOW = 48
 SAMPLE_DOCS = 3000
-ORDINARY_BYTES, TOXIC_BYTES = 16_000, 800
-SAMPLE_CHARS = 40_000_000  # bytes of text that come to the driver at most
+SAMPLE_BYTES = 40_000_000  # of text that come to the driver at most
+ORDINARY_BYTES, TOXIC_BYTES = 16_000, 1000
+LEAST_DOCS, LIFT, MORE = 3, 25, 4
 _SPACES = bytes([9, 10, 11, 12, 13, 32])
 _PARAMS = {"window_log": 17, "chain_log": 17, "hash_log": 17, "search_log": 7, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_GREEDY}
 _FRAME = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
@@ -84,37 +88,47 @@ class Distance:
         return float(max(saved)), float(sum(s - 1 for s in saved if s > 1)), float(len(saved))
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Distance:
-    """Ordinary: what zstandard's trainer picks from ordinary windows. Toxic: words that toxic documents have far more often."""
-    samples = [w for t in ordinary for w in pieces(t.lower())]
+def _trained(samples: list[bytes], size: int, **how: int) -> bytes:
+    """A dictionary by zstandard's trainer, or the samples themselves if they are too few or too uniform to train on."""
     try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes() if len(samples) > 100 else b" ".join(samples)
-    except zstandard.ZstdError:  # too few or too uniform samples to train on
-        base = b" ".join(samples)
-    base = (base + b" " + b" ".join(samples[:200]))[-ORDINARY_BYTES:]
-    of = lambda texts: Counter(w for t in texts for w in set(t.lower().split()))
-    seen, usual = of(toxic), of(ordinary)
-    t, o = len(toxic) + 1.0, len(ordinary) + 1.0
-    lift = {w: (n / t) / ((usual[w] + 0.5) / o) for w, n in seen.items() if n >= 3 and len(w) >= 3}
-    weight = {w: seen[w] * float(np.log(x)) for w, x in lift.items() if x >= 8}
-    least = 0.05 * max(weight.values(), default=0.0)  # rarer words are those of single documents and their copies
-    marked = sorted((w for w, x in weight.items() if x >= least), key=lambda w: (weight[w], w))
-    content = (b" " + b" ".join(stems(marked)) + b" ")[-TOXIC_BYTES:] if marked else b""
-    return Distance(base, content)
-
-
-def stems(marked: list[bytes], more: int = 3, kept: int = 6) -> list[bytes]:
-    """Words that start alike are cut ``more`` bytes after their common start, so that no ordinary ending enters the dictionary. marked: the weightiest last."""
-    groups: dict[bytes, list[bytes]] = {}
-    for w in marked:
-        groups.setdefault(w[:4], []).append(w)
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def starts(text: bytes) -> set[bytes]:
+    """A space and the first 3 to 9 bytes of every word."""
+    led = {b" " + w for w in set(text.lower().split())}
+    return {w[:n] for w in led for n in range(4, min(len(w), 10) + 1)}
+
+
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """The shortest starts of words that toxic documents have LIFT times as often."""
+    seen, usual = (Counter(x for t in texts for x in starts(t)) for texts in (toxic, ordinary))
+    least = LIFT * (len(toxic) + 1.0) / (len(ordinary) + 1.0)
+    good = {x for x, n in seen.items() if n >= LEAST_DOCS and n >= least * (usual[x] + 0.5)}
+    return {x for x in good if not any(x[:n] in good for n in range(4, len(x)))}
+
+
+def fragments(texts: list[bytes], marks: set[bytes]) -> list[bytes]:
+    """For each text the words with a telling start, cut MORE bytes after it."""
     out = []
-    for g in groups.values():
-        start = len(os.path.commonprefix(g))
-        out += dict.fromkeys(w[: start + more] if len(g) > 1 else w[:40] for w in g[-kept:])
+    for t in texts:
+        found = []
+        for w in t.lower().split():
+            w = b" " + w
+            found += [w[: n + MORE] for n in range(4, min(len(w), 10) + 1) if w[:n] in marks]
+        if found:
+            out.append(b"".join(found))
     return out
 
 
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Distance:
+    base = _trained([w for t in ordinary for w in pieces(t.lower())], ORDINARY_BYTES)
+    marked = fragments(toxic, telling(toxic, ordinary))
+    return Distance(base, _trained(marked, TOXIC_BYTES, k=48, d=8) if marked else b"")
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> np.ndarray:
     """Weights (the last is the intercept) by Newton steps, in a fixed order of rows."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -161,21 +175,22 @@ def sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -
     for r in rows.orderBy("h", "doc_id", "toxic", "text").toLocalIterator():
         out.append((r["toxic"], r["text"].encode()))
         size += len(out[-1][1])
-        if size > SAMPLE_CHARS:
+        if size > SAMPLE_BYTES:
             break
     return out, counts
 
 
 def train(rows: list[tuple[int, bytes]], known: dict[int, int] | None = None) -> Scorer:
-    """Dictionaries from every other row of the sample, the logistic curve from the rest. known: labelled rows of each class, of which rows is a sample."""
+    """Dictionaries from three of four rows of the sample, the logistic curve from the rest. known: labelled rows of each class, of which rows is a sample."""
     parts = {y: [t for v, t in rows if v == y] for y in (0, 1)}
     known = known or {y: len(t) for y, t in parts.items()}
     rate = (known.get(1, 0) + 0.5) / (sum(known.values()) + 1.0)
     floor = min(0.4, rate)
     if min(len(parts[0]), len(parts[1])) < 4:
         return Scorer(None, None, floor)
-    distance = train_dictionaries(parts[1][::2], parts[0][::2])
-    rest = [(0, t) for t in parts[0][1::2]] + [(1, t) for t in parts[1][1::2]]
+    taught = {y: [t for i, t in enumerate(texts) if i % 4 != 3] for y, texts in parts.items()}
+    distance = train_dictionaries(taught[1], taught[0])
+    rest = [(y, t) for y in (0, 1) for t in parts[y][3::4]]
     x = _inputs(np.array([distance.figures(t) for _, t in rest]))
     share = {y: max(known[y], 1) / len(t) for y, t in parts.items()}
     y = np.array([y for y, _ in rest])
