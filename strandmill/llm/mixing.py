@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Documents are counted into cells (source, language, topic) with their tokens. The
-token weights of the cells are raked, one marginal after the other, until source,
-language and topic shares meet their targets. Each document then stays with the
+token weights of the cells are raked, one marginal after the other, until no source,
+language or topic share is more than ``TOLERANCE`` (relative) off its target, or ``ROUNDS`` are over. Each document then stays with the
 probability wanted tokens / present tokens of its cell, scaled to the token budget,
 at most 1, decided by a hash of its doc_id so that a rerun keeps the same ones.
 
@@ -14,7 +14,8 @@ tokens are spread over the rest.
 Defined results: null source, language or topic are values of their own. A null or
 empty text has one token, so that every document can be drawn. Rows with a null
 doc_id share one draw. Repeated rows of a doc_id stay or go together. An empty table
-gives an empty result. Columns that the operator doesn't name pass through untouched.
+gives an empty result. The input's columns travel as one struct, so none can clash with
+those that the operator adds, and ``keep_mixed`` returns them untouched.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.base import Scratch, sized, table
 
-SOURCE_POWER, BUDGET, ROUNDS, PASSES = 0.5, 0.6, 4, 3
+SOURCE_POWER, BUDGET, ROUNDS, PASSES, TOLERANCE = 0.5, 0.6, 20, 3, 0.005
 LANGUAGE_SHARES = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 MARGINALS = ("source", "lang", "topic")
 SEED = 6
@@ -38,7 +39,7 @@ def topic():
 
 def tokens():
     """Whitespace words, one at least."""
-    return F.greatest(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")), F.lit(1)).cast("long")
+    return F.greatest(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "")), F.lit(1)).cast("long")
 
 
 def cells_of(docs: DataFrame) -> DataFrame:
@@ -63,16 +64,22 @@ def targets_of(cells: DataFrame, column: str) -> DataFrame:
     return wished.crossJoin(F.broadcast(total)).select(column, (F.col("wish") / F.col("total")).alias("target"))  # total is one row
 
 
-def rake(cells: DataFrame, scratch: Scratch, rounds: int = ROUNDS, passes: int = PASSES) -> DataFrame:
-    """Cells with weight, the wanted share of all tokens. Each round is written before the next."""
-    targets = {c: sized(scratch.save(targets_of(cells, c), f"target_{c}")) for c in MARGINALS}
+def rake(cells: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Cells with weight, the wanted share of all tokens. Each round is written before the next; one number of each round comes to the driver."""
+    targets = {c: scratch.save(targets_of(cells, c), f"target_{c}") for c in MARGINALS}
+
+    def factors(state: DataFrame, c: str) -> DataFrame:
+        now = state.groupBy(c).agg(F.sum("weight").alias("now")).withColumnRenamed(c, "value")
+        return now.join(targets[c], F.col("value").eqNullSafe(F.col(c))).select("value", (F.col("target") / F.col("now")).alias("factor"))
+
     state = cells.withColumn("weight", F.col("mass").cast("double"))
     for step in range(rounds):
         for c in MARGINALS:
-            now = state.groupBy(c).agg(F.sum("weight").alias("now")).withColumnRenamed(c, "value")
-            factor = now.join(targets[c], F.col("value").eqNullSafe(F.col(c))).select("value", (F.col("target") / F.col("now")).alias("factor"))
-            state = state.join(F.broadcast(factor) if c != "source" else factor, F.col(c).eqNullSafe(F.col("value"))).withColumn("weight", F.col("weight") * F.col("factor")).drop("value", "factor")
+            state = state.join(factors(state, c), F.col(c).eqNullSafe(F.col("value"))).withColumn("weight", F.col("weight") * F.col("factor")).drop("value", "factor")
             state = scratch.save(state, f"round_{step}_{c}")  # the next step reads it twice
+        gaps = [factors(state, c).agg(F.max(F.abs(F.col("factor") - 1)).alias("gap")) for c in MARGINALS[:-1]]  # the last one has just been met
+        if (gaps[0].unionByName(gaps[1]).agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+            break
     return state
 
 
@@ -91,19 +98,21 @@ def probabilities(raked: DataFrame, scratch: Scratch, budget: float = BUDGET, pa
 
 
 def mix(docs: DataFrame, scratch: Scratch, budget: float = BUDGET) -> DataFrame:
-    """Every document with its own columns and mix_topic, mix_tokens, mix_prob, mix_kept."""
+    """(row, topic, n_tokens, prob, kept) of every document; row has its own columns."""
     cells = scratch.save(cells_of(docs), "cells")
-    prob = probabilities(rake(cells, scratch), scratch, budget).select(*[F.col(c).alias(f"_{c}") for c in MARGINALS], F.col("prob").alias("mix_prob"))
-    out = docs.withColumns({"mix_topic": topic(), "mix_tokens": tokens()})
-    out = out.join(sized(prob), F.col("source").cast("string").eqNullSafe(F.col("_source")) & F.col("lang").cast("string").eqNullSafe(F.col("_lang")) & (F.col("mix_topic") == F.col("_topic"))).drop("_source", "_lang", "_topic")
+    prob = probabilities(rake(cells, scratch), scratch, budget).select(*[F.col(c).alias(f"of_{c}") for c in MARGINALS], "prob")
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn("mix_kept", draw < F.col("mix_prob"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic().alias("topic"), tokens().alias("n_tokens"), draw.alias("draw"))
+    same = F.col("source").eqNullSafe(F.col("of_source")) & F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("topic") == F.col("of_topic"))
+    return out.join(sized(prob), same).select("row", "topic", "n_tokens", "prob", (F.col("draw") < F.col("prob")).alias("kept"))
 
 
 def keep_mixed(docs: DataFrame, scratch: Scratch, budget: float = BUDGET) -> DataFrame:
-    return mix(docs, scratch, budget).where("mix_kept").select(docs.columns)
+    """The documents that stay, with their own columns."""
+    return mix(docs, scratch, budget).where("kept").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs, Scratch(spark, "mixing")).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_prob").alias("prob"), F.col("mix_kept").alias("kept"))
+    return mix(docs, Scratch(spark, "mixing")).select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "prob", "kept")

@@ -1,17 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
-Four text ratios are measured for each document. Labelled holdout rows of good
-quality decide, for each stratum (language) and rule, how strict the cutoff may
-be: cutoffs are tried from lax to strict (fixed-sequence testing), and a cutoff is
-accepted while the exact binomial (Clopper-Pearson) upper bound of its false
-rejection rate stays below ``risk``. The error level is split over all strata and
-rules (Bonferroni), so with probability 1 - ``error`` every accepted cutoff in every
-stratum keeps its promise. A stratum with too few labelled rows gets no cutoff, so
-nothing is rejected there beyond the base rule.
+Four text ratios are measured for each document. Levels run from lax to strict, each
+with one cutoff for every ratio; a document is rejected at a level when any of its
+ratios is above its cutoff. Labelled holdout rows of good quality decide, for each
+stratum (language), how strict a level may be: levels are tried from lax to strict
+(fixed-sequence testing), and one is accepted while the exact binomial
+(Clopper-Pearson) upper bound of its false rejection rate, by all rules together,
+stays below ``risk``. The error is split over the strata (Bonferroni), so with
+probability 1 - ``error`` every stratum loses at most ``risk`` of its good documents.
+Strata with too few labelled rows to accept anything are pooled, told by their counts
+alone; the promise then holds for the pool as a whole. A stratum without any labelled
+row gets no level, so nothing is rejected there beyond the base rule.
 
 Defined results: a null or empty text has no words and fails the base rule. A null
-language is a stratum of its own. Repeated rows are judged alike, and a repeated
-label counts each time. Empty tables give empty results. Only the named columns are
+language is a stratum of its own, apart from an empty one. Repeated rows are judged
+alike. A labelled doc_id counts once, as rejected if any of its rows is, however often
+it or its label is repeated. Empty tables give empty results. Only the named columns are
 read, so further columns do no harm.
 """
 
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.base import Scratch, gram_hashes, mix, row_sums, span_hashes, spans, table, text_chunks, words
 
-#: Cutoffs of each rule from lax to strict: a document is rejected when its ratio is above the cutoff.
+#: Cutoffs of each rule from lax to strict: a document is rejected when its ratio is above the cutoff. Level t takes the entry t of each, or its last.
 CUTOFFS = {
     "symbol_ratio": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05),
     "dup_line_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
@@ -110,44 +114,68 @@ def upper_bound(bad: int, n: int, level: float) -> float:
     return hi
 
 
-def choose(counts: dict[str, tuple[int, dict[str, list[int]]]], risk: float, error: float, cutoffs=CUTOFFS) -> dict[str, dict[str, float]]:
-    """For each stratum the strictest accepted cutoff of each rule. counts: good rows, and of those the rejected ones by rule and cutoff."""
-    level = error / max(1, len(counts) * len(cutoffs))
-    found: dict[str, dict[str, float]] = {}
-    for stratum, (n, bad) in counts.items():
-        for rule, tried in cutoffs.items():
-            for cutoff, x in zip(tried, bad[rule], strict=True):
-                if upper_bound(x, n, level) > risk:
-                    break
-                found.setdefault(stratum, {})[rule] = cutoff
-    return found
+LEVELS = max(map(len, CUTOFFS.values()))
+POOL = "pool"
 
 
-def fit(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, float]]:
-    """Cutoffs from the rows labelled as good. One aggregate row for each stratum comes to the driver."""
-    good = labels.where("quality = 1").select("doc_id")
-    aggregates = [F.count("*").alias("n")] + [F.sum((F.col(rule) > c).cast("long")).alias(f"{rule}_{i}") for rule, tried in CUTOFFS.items() for i, c in enumerate(tried)]
-    rows = measured.where(~base_failed()).join(good, "doc_id").groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(*aggregates).collect()
-    return choose({r["stratum"]: (r["n"], {rule: [r[f"{rule}_{i}"] for i in range(len(tried))] for rule, tried in CUTOFFS.items()}) for r in rows}, risk, error)
+def cutoffs_at(level: int) -> dict[str, float]:
+    return {rule: tried[min(level, len(tried) - 1)] for rule, tried in CUTOFFS.items()}
+
+
+def choose(counts: dict[str, tuple[int, list[int]]], risk: float, error: float) -> dict[str, int]:
+    """The strictest accepted level of each stratum. counts: good rows, and of those the rejected ones at each level."""
+    share = error / (len(counts) + 1)
+    small = [s for s, (n, _) in counts.items() if upper_bound(0, n, share) > risk]
+    tested = {s: x for s, x in counts.items() if s not in small}
+    if small:
+        tested[POOL] = (sum(counts[s][0] for s in small), [sum(x) for x in zip(*(counts[s][1] for s in small), strict=True)])
+    found: dict[str, int] = {}
+    for s, (n, bad) in tested.items():
+        for level, x in enumerate(bad):
+            if upper_bound(x, n, share) > risk:
+                break
+            found[s] = level
+    pooled = found.pop(POOL, None)
+    return found | ({} if pooled is None else dict.fromkeys(small, pooled))
+
+
+def stratum():
+    """The language as text; null and every language are told apart by their first character."""
+    return F.when(F.col("lang").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("lang")))
+
+
+def rejected_at(level: int):
+    out = F.lit(False)
+    for rule, cutoff in cutoffs_at(level).items():
+        out = out | (F.col(rule) > cutoff)
+    return out
+
+
+def fit(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, int]:
+    """Levels from the rows labelled as good. One aggregate row for each stratum comes to the driver."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    flags = [F.max(rejected_at(t).cast("int")).alias(f"at_{t}") for t in range(LEVELS)]
+    once = measured.where(~base_failed()).join(good, "doc_id").groupBy("doc_id", stratum().alias("stratum")).agg(*flags)
+    rows = once.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(f"at_{t}").alias(f"at_{t}") for t in range(LEVELS)]).collect()
+    return choose({r["stratum"]: (r["n"], [r[f"at_{t}"] for t in range(LEVELS)]) for r in sorted(rows, key=lambda r: r["stratum"])}, risk, error)
 
 
 def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def verdict(cutoffs: dict[str, dict[str, float]]):
-    """True where no accepted cutoff of the row's stratum is exceeded."""
+def verdict(levels: dict[str, int]):
+    """True where the level of the row's stratum doesn't reject it."""
     rejected = F.lit(False)
-    for stratum, rules in cutoffs.items():
-        for rule, cutoff in rules.items():
-            rejected = rejected | ((F.coalesce("lang", F.lit("")) == stratum) & (F.col(rule) > cutoff))
+    for own, level in levels.items():
+        rejected = rejected | ((stratum() == own) & rejected_at(level))
     return ~rejected
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = RISK, error: float = ERROR) -> DataFrame:
     measured = scratch.save(features(docs), "measured")
-    cutoffs = fit(measured, labels, risk, error)
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
+    levels = fit(measured, labels, risk, error)
+    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(levels))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

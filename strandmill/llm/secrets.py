@@ -71,8 +71,8 @@ def scan_incremental(versions: DataFrame, scratch: Scratch, ledger: DataFrame |
     one = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     seen = None if ledger is None else ledger.where(F.col("rule_version") == rule_version).select("blob")
     unseen = scratch.save(one if seen is None else one.join(seen, "blob", "left_anti"), "unseen")
-    own = versions.select(F.col("doc_id").alias("id"), text.alias("text"))
-    texts = own.join(unseen, own.id.eqNullSafe(unseen.doc_id)).where(F.unhex(F.sha2("text", 256)) == F.col("blob"))
+    own = versions.select(F.col("doc_id").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("own"))
+    texts = own.join(unseen, own.id.eqNullSafe(unseen.doc_id) & (F.col("own") == F.col("blob")))  # both, so that versions of a path don't meet each other's blobs
     # only here are texts searched
     new = scratch.save(scan(texts.select("blob", "text")).dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "findings")
     added = unseen.select("blob", F.lit(rule_version).alias("rule_version"))

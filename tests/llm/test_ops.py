@@ -82,7 +82,7 @@ def test_decontamination(spark, docs, rows):
 
 def test_mixing_and_sharding(spark, docs):
     mixed = mixing.mix(docs, Scratch(spark, "t")).collect()
-    assert len(mixed) == 9 and all(0 <= r.mix_prob <= 1 for r in mixed)
+    assert len(mixed) == 9 and all(0 <= r.prob <= 1 for r in mixed)
     placed = sharding.shard(docs, Scratch(spark, "t"), 4).collect()
     counts = [sum(r.shard == s for r in placed) for s in range(4)]
     assert len(placed) == 9 and max(counts) - min(counts) <= 1
@@ -152,3 +152,70 @@ def test_sharding_keeps_groups_whole(spark):
     assert counts == [25] * 8
     for g in range(len(sizes)):
         assert len({r.shard for r in got if texts[r.doc_id] == f"copy {g}"}) == 1
+
+
+def test_raking_against_numpy(spark):
+    """Cells raked by plain loops until nothing moves; also columns that clash with the operator's own."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randrange(1, 400), rng.choice(["en", "de", "fr", None]), rng.choice("abc")) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = mixing.cells_of(d)
+    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, Scratch(spark, "t")).collect()}
+    want = {(r.source, r.lang, r.topic): float(r.mass) for r in cells.collect()}
+    targets = [{r[c]: r.target for r in mixing.targets_of(cells, c).collect()} for c in mixing.MARGINALS]
+    for _ in range(200):
+        for k, target in enumerate(targets):
+            now = {v: sum(w for key, w in want.items() if key[k] == v) for v in target}
+            want = {key: w * target[key[k]] / now[key[k]] for key, w in want.items()}
+    assert sum(got.values()) == pytest.approx(1) and all(got[key] == pytest.approx(w, rel=0.03) for key, w in want.items())
+    assert {r.n_tokens for r in mixing.mix(d, Scratch(spark, "t")).where("row.doc_id = 0").collect()} == {len(rows[0][1].split())}
+    clash = d.selectExpr("*", "'x' AS topic", "1.5 AS prob", "7 AS n_tokens", "'k' AS `row`", "2 AS mix_topic", "3 AS _source", "4 AS draw", "5 AS value", "6 AS weight", "true AS kept")
+    left = mixing.keep_mixed(clash, Scratch(spark, "t"))
+    assert left.columns == clash.columns and {tuple(r)[4:] for r in left.collect()} == {("x", 1.5, 7, "k", 2, 3, 4, 5, 6, True)}
+
+
+def test_quality_levels():
+    """Cutoffs against the definition: bounds of the joint rejection, small strata pooled."""
+    n, bad = 1000, [0, 2, 5, 30, 40, 50, 60, 70, 80, 90, 100]
+    small = (120, [0] * 5 + [60] * 6)
+    got = quality.choose({"=en": (n, bad), "=de": small, "=fr": small}, 0.02, 0.05)
+    share = 0.05 / 4
+    assert quality.upper_bound(5, n, share) <= 0.02 < quality.upper_bound(30, n, share) and got["=en"] == 2
+    assert quality.upper_bound(0, 120, share) > 0.02 >= quality.upper_bound(0, 240, share) and got["=de"] == got["=fr"] == 4
+    assert quality.choose({"=en": (10, [0] * 11)}, 0.02, 0.05) == {} and quality.choose({}, 0.02, 0.05) == {}
+
+
+def test_quality_verdict(spark):
+    """Every row's verdict against plain Python; a repeated label counts once."""
+    rng = random.Random(2)
+    texts = {}
+    for i in range(900):
+        w = [f"v{rng.randrange(5000)}" for _ in range(60)]
+        if i % 6 == 0:
+            w = [x + "#" * rng.randrange(1, 12) for x in w]
+        texts[i] = " ".join(w)
+    texts |= {900: None, 901: "", 902: "short"}
+    d = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in texts.items()], "doc_id long, text string, lang string")
+    good = [(i, 1) for i in range(900) if i % 6 for _ in range(1 + (i == 1) * 5000)]
+    labels = spark.createDataFrame(good + [(i, 0) for i in range(0, 900, 6)], "doc_id long, quality int")
+    scratch = Scratch(spark, "t")
+    got = {r.doc_id: r for r in quality.quality_rules(d, labels, scratch).collect()}
+    levels = quality.fit(quality.features(d), labels)
+    assert set(levels) == {"-", "=en"} and levels["-"] == levels["=en"] == quality.LEVELS - 1
+    limit = quality.cutoffs_at(quality.LEVELS - 1)["symbol_ratio"]
+    for i, t in texts.items():
+        w = (t or "").split()
+        ratio = (t or "").count("#") / max(1, sum(map(len, w)))
+        assert got[i].kept == (len(w) >= 50 and ratio <= limit and got[i].word_length <= 10.0)
+
+
+def test_ledger_rule_bump(spark):
+    d = spark.createDataFrame([(1, "0" * 30), (1, "x " + "0" * 30), (1, "plain"), (None, "0" * 30), (None, None)], "doc_id long, text string")
+    first, ledger, every = secrets.scan_incremental(d, Scratch(spark, "t"))
+    assert ledger.count() == 4 and first.count() == 5
+    more = d.unionByName(spark.createDataFrame([(2, "new " + "a" * 25), (3, "plain")], "doc_id long, text string"))
+    second, ledger2, every2 = secrets.scan_incremental(more, Scratch(spark, "t"), ledger, every)
+    assert ledger2.count() == 5 and sorted(len(r.spans) for r in second.collect()) == [0, 0, 0, 1, 1, 1, 1]
+    bumped, ledger3, every3 = secrets.scan_incremental(more, Scratch(spark, "t"), ledger2, every2, rule_version=2)
+    assert ledger3.count() == 10 and every3.count() == 2 * every2.count()
+    assert sorted(map(str, bumped.collect())) == sorted(map(str, second.collect()))
