@@ -30,41 +30,86 @@ def _query_blocks(queries: DataFrame):
         yield ids, np.array(rows, np.float32)
 
 
-def _hits_batch(ids, scores: np.ndarray, batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    """The k best of a block of scores (queries x vectors) by score, then vector_id."""
-    vid = batch.column("vector_id").to_numpy()
-    k = min(k, scores.shape[1])
-    order = np.lexsort((np.broadcast_to(vid, scores.shape), -scores), axis=1)[:, :k]
-    q = np.repeat(np.arange(len(ids)), k)
-    at = order.ravel()
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids).take(pa.array(q)), batch.column("accession").take(pa.array(at)), pa.array(np.take_along_axis(scores, order, 1).ravel().astype(np.float64)), pa.array(vid[at])], ["query_id", "accession", "score", "vector_id"]
-    )
+class _Best:
+    """The k best rows of each query so far, by score, then vector_id, over the batches of a task."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.held: list[tuple] = []
+        self.rows = 0
+
+    def add(self, scores: np.ndarray, vid: np.ndarray, accession: pa.Array) -> None:
+        """scores: queries x vectors of a batch."""
+        if not scores.size:
+            return
+        least = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else scores.min(1)
+        q, at = np.nonzero(scores >= least[:, None])  # more than k only where scores tie
+        if isinstance(accession, pa.ChunkedArray):
+            accession = accession.combine_chunks()
+        self.held.append((q, scores[q, at].astype(np.float64), vid[at], accession.take(pa.array(at))))
+        self.rows += len(q)
+        if self.rows > 4 * self.k * len(scores):
+            self.held = [self.best()]
+            self.rows = len(self.held[0][0])
+
+    def best(self) -> tuple:
+        q, score, vid = (np.concatenate([x[i] for x in self.held]) for i in range(3))
+        accession = pa.concat_arrays([x[3] for x in self.held])
+        order = np.lexsort((vid, -score, q))
+        first = np.searchsorted(q[order], q[order], "left")
+        order = order[np.arange(len(order)) - first < self.k]
+        return q[order], score[order], vid[order], accession.take(pa.array(order))
 
 
 def scan_top_k(queries: DataFrame, vectors: DataFrame, k: int, score, columns: tuple[str, ...] = ("embedding",)) -> DataFrame:
-    """Block scan: ``score(query matrix, batch)`` gives a block of scores; each batch keeps its k best, then the best of all remain."""
+    """Block scan: ``score(query matrix, batch)`` gives a block of scores; each task keeps its k best, then the best of all remain."""
+    found = _scan(queries, vectors, k, score, columns, (None,))
+    return top_k(found.drop("cutoff"), k)
+
+
+def masked_top_k(queries: DataFrame, vectors: DataFrame, k: int, cutoffs: tuple[int, ...]) -> DataFrame:
+    """(query_id, cutoff, rank, accession, score, vector_id): the k best vectors of at least that ``length`` for each cutoff, in one scan."""
+    found = _scan(queries, vectors, k, _inner, ("embedding", "length"), cutoffs)
+    best = Window.partitionBy("query_id", "cutoff").orderBy(F.desc("score"), "vector_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _scan(queries: DataFrame, vectors: DataFrame, k: int, score, columns: tuple[str, ...], cutoffs: tuple) -> DataFrame:
     kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, accession string, score double, vector_id long, cutoff int"
     out = None
     for ids, q in _query_blocks(queries):
         sent = vectors.sparkSession.sparkContext.broadcast((ids, q))  # QUERY_BLOCK rows at most
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, matrix = sent.value
+            best = {c: _Best(k) for c in cutoffs}
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
-                    yield _hits_batch(own, score(matrix, part), part, k)
-
-        found = vectors.select("vector_id", "accession", *columns).mapInArrow(run, f"query_id {kind}, accession string, score double, vector_id long")
+                    scores, vid, accession = score(matrix, part), part.column("vector_id").to_numpy(), part.column("accession")
+                    for c, kept in best.items():
+                        if c is None:
+                            kept.add(scores, vid, accession)
+                        else:
+                            long = np.flatnonzero(part.column("length").to_numpy() >= c)
+                            kept.add(scores[:, long], vid[long], accession.take(pa.array(long)))
+            for c, kept in best.items():
+                if kept.held:
+                    q, value, vid, accession = kept.best()
+                    yield pa.RecordBatch.from_arrays([pa.array(own).take(pa.array(q)), accession, pa.array(value), pa.array(vid), pa.array([c] * len(q), pa.int32())], ["query_id", "accession", "score", "vector_id", "cutoff"])
+
+        found = vectors.select("vector_id", "accession", *columns).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, accession string, score double, vector_id long, rank int")
-    return top_k(out, k)
+    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _inner(q: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    return q.astype(np.float64) @ fv.matrix(batch.column("embedding")).astype(np.float64).T
 
 
 def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    return scan_top_k(queries, vectors, k, lambda q, b: q.astype(np.float64) @ fv.matrix(b.column("embedding")).astype(np.float64).T)
+    return scan_top_k(queries, vectors, k, _inner)
 
 
 def quantized_exact(queries: DataFrame, vectors: DataFrame, k: int, kind: str = "bf16") -> DataFrame:
@@ -77,9 +122,29 @@ def exhaustive(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 
     queries(query_id, strand, chunk, embedding)
     """
-    pairs = F.broadcast(queries.select("query_id", "strand", "chunk", F.col("embedding").alias("q"))) if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else queries.select("query_id", "strand", "chunk", F.col("embedding").alias("q"))
-    scored = vectors.join(pairs).select("query_id", "strand", "chunk", "accession", fv.inner_product(F.col("q"), F.col("embedding")).alias("s"))
-    best = scored.groupBy("query_id", "strand", "chunk", "accession").agg(F.max("s").alias("s"))
+    keyed = queries.select(F.struct("query_id", "strand", "chunk").alias("query_id"), "embedding")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    best = None
+    for ids, q in _query_blocks(keyed):
+        sent = vectors.sparkSession.sparkContext.broadcast((np.arange(len(ids), dtype=np.int32), q))  # QUERY_BLOCK rows at most
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own, matrix = sent.value
+            held: dict[str, np.ndarray] = {}  # a row of maxima for each accession of the task
+            for batch in batches:
+                names = np.array(batch.column("accession").to_pylist(), object)
+                scores = _inner(matrix, batch)
+                for name in dict.fromkeys(names.tolist()):
+                    most = scores[:, names == name].max(1)
+                    held[name] = np.maximum(held[name], most) if name in held else most
+            for name, most in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([name] * len(own), pa.string()), pa.array(most)], ["at", "accession", "s"])
+
+        of = vectors.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(ids)], f"at int, query_id {kind}, strand string, chunk int")
+        part = vectors.select("accession", "embedding").mapInArrow(run, "at int, accession string, s double").groupBy("at", "accession").agg(F.max("s").alias("s")).join(F.broadcast(of), "at")  # QUERY_BLOCK rows at most
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, accession string, score double")
     return best.groupBy("query_id", "strand", "accession").agg(F.sum("s").alias("s")).groupBy("query_id", "accession").agg(F.max("s").alias("score"))
 
 
@@ -163,7 +228,7 @@ def rabitq(queries: DataFrame, codes: DataFrame, center: np.ndarray, k: int, mod
         sign = fv.unpack_signs(np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1))
         norm, dot = b.column("norm").to_numpy().astype(np.float64), np.maximum(b.column("dot").to_numpy().astype(np.float64), 1e-12)
         factor = norm / (np.sqrt(d) * dot) * (norm if mode == "corrected" else 1.0)
-        base = (q if mode == "reference" else q - 0) @ center
+        base = q @ center
         estimate = ((q - center) @ turn) @ sign.T * factor
         if mode == "corrected":
             residual = (sign @ (turn.T @ center)) * factor  # <c, x - c>

@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, and their SQL. Accessions are labels, queries are vectors below 50."""
+"""Queries over the driver's tables, and their SQL. Accessions are labels, queries are the vectors whose id is divisible by 20."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def vectors(spark, sf) -> DataFrame:
 
 
 def query_vectors(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").where("vec_id < 50").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), "embedding", "label")
+    return table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), "embedding", "label")
 
 
 def accessions(spark, sf) -> DataFrame:
@@ -52,7 +52,7 @@ def contigs(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("contig"), F.col("source").alias("accession"), F.coalesce("text", F.lit("")).alias("sequence"))
 
 
-_V = "v AS (SELECT vec_id AS vector_id, 'acc' || label AS accession, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id < 50)"
+_V = "v AS (SELECT vec_id AS vector_id, 'acc' || label AS accession, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id % 20 = 0)"
 _HITS = f"{_V}, s AS (SELECT query_id, accession, list_inner_product(q.e, v.e) AS score, vector_id FROM q, v), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM s QUALIFY rank <= {K})"
 _RESULTS = f"{_HITS}, b AS (SELECT query_id, accession, max(score) AS score FROM h GROUP BY ALL), r AS (SELECT q.query_id, a.accession, coalesce(b.score, -2.0) AS score FROM q CROSS JOIN (SELECT DISTINCT accession FROM v) a LEFT JOIN b ON b.query_id = q.query_id AND b.accession = a.accession)"
 _JUDGED = f"{_RESULTS}, t AS (SELECT query_id, 'acc' || unnest([label, (label + 1) % 10]) AS accession FROM q), j0 AS (SELECT r.*, CASE WHEN t.accession IS NULL THEN 0 ELSE 1 END AS rel FROM r LEFT JOIN t USING (query_id, accession)), j AS (SELECT *, sum(rel) OVER (PARTITION BY query_id) AS n_rel, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, accession) AS rn FROM j0 QUALIFY n_rel > 0)"
@@ -79,9 +79,7 @@ def search_strands(spark, sf) -> DataFrame:
 def masked_cutoffs(spark, sf) -> DataFrame:
     """Top-k for several filters in one pass over the pairs."""
     lengths = vectors(spark, sf).withColumn("length", F.col("vector_id") % 300)
-    flat = lengths.join(F.broadcast(query_vectors(spark, sf).select("query_id", F.col("embedding").alias("q")))).select("query_id", "vector_id", "accession", "length", fv.inner_product(F.col("q"), F.col("embedding")).alias("score"))  # 50 queries
-    cut = flat.select("*", F.explode(F.array(*[F.lit(c) for c in (0, 64, 128, 256)])).alias("cutoff")).where("length >= cutoff")
-    best = cut.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "cutoff").orderBy(F.desc("score"), "vector_id"))).where("rank <= 5")
+    best = search.masked_top_k(query_vectors(spark, sf), lengths, 5, (0, 64, 128, 256))
     return rounded(best.select("query_id", "cutoff", "rank", "vector_id", "score"), "score")
 
 
@@ -92,12 +90,10 @@ def nested_hits(spark, sf) -> DataFrame:
 
 def participation_ratio(spark, sf) -> DataFrame:
     """(trace C)^2 / sum of squares of the covariance, from partial moments."""
-    x = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = x.groupBy("i").agg(F.avg("x").alias("m"))
-    c = x.join(F.broadcast(mean), "i").select("vec_id", "i", (F.col("x") - F.col("m")).alias("x"))  # a row for each dimension
-    cov = c.alias("a").join(c.alias("b"), "vec_id").groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("k")).agg(F.avg(F.col("a.x") * F.col("b.x")).alias("c"))
-    trace = F.sum(F.when(F.col("i") == F.col("k"), F.col("c")))
-    return cov.agg(F.round(trace * trace / F.sum(F.col("c") * F.col("c")), 6).alias("participation_ratio"), F.round(trace, 6).alias("trace"))
+    n, total, second = search.moments(vectors(spark, sf))
+    mean = total / n
+    cov = second / n - mean[:, None] * mean[None, :]
+    return rounded(spark.createDataFrame([(float(cov.trace() ** 2 / (cov * cov).sum()), float(cov.trace()))], "participation_ratio double, trace double"), "participation_ratio", "trace")
 
 
 def chunk_windows(spark, sf) -> DataFrame:
@@ -119,13 +115,6 @@ def row_ranges(spark, sf) -> DataFrame:
 
 
 def resolve_rows(spark, sf) -> DataFrame:
-    """Row ids back to accessions by range."""
-    meta = row_ranges(spark, sf)
-    ids = spark.range(0, 500).select((F.col("id") * 3).alias("row_id"))
-    return ids.join(F.broadcast(meta), (F.col("row_id") >= F.col("start_row")) & (F.col("row_id") < F.col("start_row") + F.col("num_rows"))).select("row_id", "accession")  # a row for each accession
-
-
-def resolve_rows_whole(spark, sf) -> DataFrame:
     """Every row id back to its accession."""
     meta = row_ranges(spark, sf)
     rows = meta.agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
@@ -133,21 +122,11 @@ def resolve_rows_whole(spark, sf) -> DataFrame:
 
 
 def kmer_top(spark, sf) -> DataFrame:
-    reads = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 120).alias("sequence"))
-    return kmer_search.kmer_counts(reads, contigs(spark, sf), 21, 20, both_strands=False).select("query_id", "accession", "score", "rank")
-
-
-def kmer_top_whole(spark, sf) -> DataFrame:
-    """kmer_top with whole reads."""
     reads = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("sequence"))
     return kmer_search.kmer_counts(reads, contigs(spark, sf), 21, 20, both_strands=False).select("query_id", "accession", "score", "rank")
 
 
 def strands_of_text(spark, sf) -> DataFrame:
-    return _strand_columns(contigs(spark, sf), F.substring("sequence", 1, 200))
-
-
-def strands_of_whole_text(spark, sf) -> DataFrame:
     return _strand_columns(contigs(spark, sf), F.col("sequence"))
 
 
@@ -156,10 +135,6 @@ def _strand_columns(c: DataFrame, part) -> DataFrame:
 
 
 def kmer_entropy(spark, sf) -> DataFrame:
-    return _entropy(contigs(spark, sf).select("contig", F.explode(sq.kmers(F.substring("sequence", 1, 200), 3)).alias("kmer")))
-
-
-def kmer_entropy_whole(spark, sf) -> DataFrame:
     """Over whole texts, in pieces that overlap by k - 1."""
     places = F.explode(F.sequence(F.lit(0), F.length("sequence"), F.lit(kmer_search.PIECE))).alias("at")
     pieces = contigs(spark, sf).select("contig", "sequence", places).select("contig", F.substring("sequence", F.col("at") + 1, F.lit(kmer_search.PIECE + 2)).alias("piece"))
@@ -172,18 +147,9 @@ def _entropy(part: DataFrame) -> DataFrame:
 
 
 def edit_distances(spark, sf) -> DataFrame:
-    b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "?").alias("s"))
-    p = b.alias("a").join(b.alias("b"), F.floor(F.col("a.item_id") / 20) == F.floor(F.col("b.item_id") / 20)).where("a.item_id < b.item_id")
-    return _distances(p)
-
-
-def edit_distances_whole(spark, sf) -> DataFrame:
-    """Every pair of items, with their whole texts."""
+    """Every twentieth item against all others, with their whole texts."""
     b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("s"))
-    return _distances(b.alias("a").join(b.alias("b"), F.col("a.item_id") < F.col("b.item_id")))
-
-
-def _distances(p: DataFrame) -> DataFrame:
+    p = b.where("item_id % 20 = 0").alias("a").join(b.alias("b"), F.col("a.item_id") != F.col("b.item_id"))
     d = F.levenshtein(F.col("a.s"), F.col("b.s"))
     return p.select(F.col("a.item_id").alias("one"), F.col("b.item_id").alias("two"), d.cast("long").alias("distance"), F.round(d / F.greatest(F.length("a.s"), F.length("b.s")), 6).alias("by_longest"))
 
@@ -251,13 +217,6 @@ def histogram(spark, sf) -> DataFrame:
 
 
 def overlap_pairs(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").where("event_id < 2000").select("user_id", "event_id", (F.col("event_id") % 97).alias("s"), (F.col("event_id") % 97 + 10).alias("e"))
-    p = e.alias("a").join(e.alias("b"), "user_id").where("a.event_id < b.event_id")
-    o = sq.overlap(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))
-    return p.select("user_id", F.col("a.event_id").alias("one"), F.col("b.event_id").alias("two"), o.alias("overlap")).where("overlap > 0")
-
-
-def overlap_pairs_whole(spark, sf) -> DataFrame:
     """Of all events. Intervals are 10 long, so those that overlap start in the same cell of 10 or in neighbours; a user's events are joined by cell."""
     e = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 97).alias("s"), (F.col("event_id") % 97 + 10).alias("e")).withColumn("cell", F.floor(F.col("s") / 10))
     around = e.withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])))
@@ -364,11 +323,11 @@ _ALL = {
     "chunk_windows": (chunk_windows, _q("SELECT contig, accession, CAST(no - 1 AS INT) AS no, CAST(starts[no] AS INT) AS start, CAST(length(substr(sequence, starts[no] + 1, 256)) AS INT) AS length, md5(substr(sequence, starts[no] + 1, 256)) AS digest FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS no FROM (SELECT *, CASE WHEN length(sequence) <= 256 THEN [0] ELSE list_concat(range(0, length(sequence) - 255, 106), CASE WHEN (length(sequence) - 256) % 106 > 50 THEN [length(sequence) - 256] ELSE [] END) END AS starts FROM c))", _CONTIGS)),
     "window_counts": (window_counts, _q("SELECT accession, num_rows FROM m", _META)),
     "row_ranges": (row_ranges, _q("SELECT accession, num_rows, start_row FROM r", _META)),
-    "resolve_rows": (resolve_rows, _q("SELECT row_id, accession FROM (SELECT unnest(range(0, 1500, 3)) AS row_id) i JOIN r ON row_id >= start_row AND row_id < start_row + num_rows", _META)),
-    "kmer_search": (kmer_top, _q("SELECT query_id, accession, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, accession) AS INT) AS rank FROM (SELECT query_id, accession, CAST(sum(n) AS DOUBLE) AS score FROM a JOIN h USING (kmer) GROUP BY ALL) QUALIFY rank <= 20", f"{_CONTIGS}, b AS (SELECT item_id AS query_id, substr(text, 1, 120) AS s FROM benchmark), a AS (SELECT query_id, substr(s, i, 21) AS kmer, count(*) AS n FROM (SELECT *, unnest(range(1, length(s) - 19)) AS i FROM b) GROUP BY ALL), h AS (SELECT DISTINCT accession, substr(sequence, i, 21) AS kmer FROM (SELECT accession, sequence, unnest(range(1, length(sequence) - 19)) AS i FROM c))")),
-    "reverse_complement": (strands_of_text, _q("SELECT contig, translate(reverse(p), 'ACGTUNRYSWKMBDHVacgtunryswkmbdhv', 'TGCAANYRSWMKVHDBtgcaanyrswmkvhdb') AS rc, round(CASE WHEN length(p) > 0 THEN CAST(length(regexp_replace(p, '[^GCgc]', '', 'g')) AS DOUBLE) / length(p) ELSE 0 END, 6) AS gc, CASE WHEN contig % 100 / 100.0 < 0.9 THEN '<0.90' WHEN contig % 100 / 100.0 < 0.95 THEN '0.90-0.95' WHEN contig % 100 / 100.0 < 0.99 THEN '0.95-0.99' ELSE '>=0.99' END AS bin FROM (SELECT contig, substr(sequence, 1, 200) AS p FROM c)", _CONTIGS)),
-    "kmer_entropy": (kmer_entropy, _q("SELECT contig, round(-sum(p * log2(p)), 6) AS entropy, count(*) AS n_kmers FROM (SELECT contig, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY contig) AS p FROM (SELECT contig, substr(s, i, 3) AS kmer, count(*) AS n FROM (SELECT contig, s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT contig, substr(sequence, 1, 200) AS s FROM c)) GROUP BY ALL)) GROUP BY 1", _CONTIGS)),
-    "edit_distances": (edit_distances, "WITH x AS (SELECT item_id, regexp_replace(substr(text, 1, 60), '[^ -~]', '?', 'g') AS s FROM benchmark) SELECT a.item_id AS one, b.item_id AS two, levenshtein(a.s, b.s) AS distance, round(CAST(levenshtein(a.s, b.s) AS DOUBLE) / greatest(length(a.s), length(b.s)), 6) AS by_longest FROM x a JOIN x b ON a.item_id // 20 = b.item_id // 20 AND a.item_id < b.item_id"),
+    "resolve_rows": (resolve_rows, _q("SELECT row_id, accession FROM (SELECT unnest(range(0, (SELECT CAST(sum(num_rows) AS BIGINT) FROM m))) AS row_id) i JOIN r ON row_id >= start_row AND row_id < start_row + num_rows", _META)),
+    "kmer_search": (kmer_top, _q("SELECT query_id, accession, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, accession) AS INT) AS rank FROM (SELECT query_id, accession, CAST(sum(n) AS DOUBLE) AS score FROM a JOIN h USING (kmer) GROUP BY ALL) QUALIFY rank <= 20", f"{_CONTIGS}, b AS (SELECT item_id AS query_id, text AS s FROM benchmark), a AS (SELECT query_id, substr(s, i, 21) AS kmer, count(*) AS n FROM (SELECT *, unnest(range(1, length(s) - 19)) AS i FROM b) GROUP BY ALL), h AS (SELECT DISTINCT accession, substr(sequence, i, 21) AS kmer FROM (SELECT accession, sequence, unnest(range(1, length(sequence) - 19)) AS i FROM c))")),
+    "reverse_complement": (strands_of_text, _q("SELECT contig, translate(reverse(p), 'ACGTUNRYSWKMBDHVacgtunryswkmbdhv', 'TGCAANYRSWMKVHDBtgcaanyrswmkvhdb') AS rc, round(CASE WHEN length(p) > 0 THEN CAST(length(regexp_replace(p, '[^GCgc]', '', 'g')) AS DOUBLE) / length(p) ELSE 0 END, 6) AS gc, CASE WHEN contig % 100 / 100.0 < 0.9 THEN '<0.90' WHEN contig % 100 / 100.0 < 0.95 THEN '0.90-0.95' WHEN contig % 100 / 100.0 < 0.99 THEN '0.95-0.99' ELSE '>=0.99' END AS bin FROM (SELECT contig, sequence AS p FROM c)", _CONTIGS)),
+    "kmer_entropy": (kmer_entropy, _q("SELECT contig, round(-sum(p * log2(p)), 6) AS entropy, count(*) AS n_kmers FROM (SELECT contig, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY contig) AS p FROM (SELECT contig, substr(s, i, 3) AS kmer, count(*) AS n FROM (SELECT contig, s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT contig, sequence AS s FROM c)) GROUP BY ALL)) GROUP BY 1", _CONTIGS)),
+    "edit_distances": (edit_distances, "WITH x AS (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM benchmark) SELECT a.item_id AS one, b.item_id AS two, levenshtein(a.s, b.s) AS distance, round(CAST(levenshtein(a.s, b.s) AS DOUBLE) / greatest(length(a.s), length(b.s)), 6) AS by_longest FROM x a JOIN x b ON a.item_id % 20 = 0 AND a.item_id <> b.item_id"),
     "fpr_calibration": (calibration, None),
     "negatives": (lambda s, d: rounded(negatives(s, d), "score"), _q("SELECT query_id, round(score, 6) AS score FROM n", _NEG)),
     "apply_cutoffs": (cutoffs_applied, _q("SELECT query_id, accession, round(CASE WHEN score >= 0.35 THEN score ELSE -2.0 END, 6) AS score FROM r", _RESULTS)),
@@ -381,7 +340,7 @@ _ALL = {
     "keep_first": (keep_first, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1"),
     "quantiles": (quantiles, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS p500, round(quantile_cont(l_extendedprice, 0.975), 6) AS p975 FROM lineitem GROUP BY 1"),
     "histogram": (histogram, "SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bucket, count(*) AS n FROM lineitem GROUP BY 1"),
-    "interval_overlap": (overlap_pairs, "SELECT a.user_id, a.event_id AS one, b.event_id AS two, least(a.event_id % 97, b.event_id % 97) + 10 - greatest(a.event_id % 97, b.event_id % 97) AS overlap FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE a.event_id < 2000 AND b.event_id < 2000 AND least(a.event_id % 97, b.event_id % 97) + 10 > greatest(a.event_id % 97, b.event_id % 97)"),
+    "interval_overlap": (overlap_pairs, "SELECT a.user_id, a.event_id AS one, b.event_id AS two, least(a.event_id % 97, b.event_id % 97) + 10 - greatest(a.event_id % 97, b.event_id % 97) AS overlap FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE least(a.event_id % 97, b.event_id % 97) + 10 > greatest(a.event_id % 97, b.event_id % 97)"),
     "spearman": (rank_correlation, "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS x, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS y FROM part) SELECT round(corr(x, y), 6) AS rho FROM r"),
     "quantized_search": (lambda s, d: _score_only(search.quantized_exact(query_vectors(s, d), vectors(s, d), K)), None),
     "pca_search": (lambda s, d: _score_only(search.pca(query_vectors(s, d), vectors(s, d), K, 16)), None),
@@ -398,27 +357,6 @@ _ALL = {
 }
 
 
-def _whole(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a query without its cuts."""
-    sql = _ALL[name][1]
-    for cut, whole in cuts:
-        if cut not in sql:
-            raise ValueError(f"{name} has no {cut!r}")
-        sql = sql.replace(cut, whole)
-    return sql
-
-
-#: The same over whole texts and tables.
-_ALL |= {
-    "kmer_search_whole": (kmer_top_whole, _whole("kmer_search", ("substr(text, 1, 120)", "text"))),
-    "reverse_complement_whole": (strands_of_whole_text, _whole("reverse_complement", ("substr(sequence, 1, 200)", "sequence"))),
-    "kmer_entropy_whole": (kmer_entropy_whole, _whole("kmer_entropy", ("substr(sequence, 1, 200)", "sequence"))),
-    "edit_distances_whole": (edit_distances_whole, _whole("edit_distances", ("substr(text, 1, 60)", "text"), ("a.item_id // 20 = b.item_id // 20 AND ", ""))),
-    "resolve_rows_whole": (resolve_rows_whole, _whole("resolve_rows", ("SELECT unnest(range(0, 1500, 3)) AS row_id", "SELECT unnest(range(0, (SELECT CAST(sum(num_rows) AS BIGINT) FROM m))) AS row_id"))),
-    "interval_overlap_whole": (overlap_pairs_whole, _whole("interval_overlap", ("a.event_id < 2000 AND b.event_id < 2000 AND ", ""))),
-}
-
-
 def queries() -> dict:
     return {name: f for name, (f, _) in _ALL.items()}
 

@@ -19,19 +19,19 @@ def test_training_pairs_whole_texts(spark):
 
 def test_kmers_of_whole_texts(spark):
     n = {r["doc_id"]: len({t[k : k + 3] for t in [r["text"] or ""] for k in range(len(t) - 2)}) for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
-    assert {r["contig"]: r["n_kmers"] for r in registry.queries()["kmer_entropy_whole"](spark, SF).collect()} == {i: k for i, k in n.items() if k}
-    items = pq.read_table(f"{SF}/benchmark.parquet").num_rows
-    assert registry.queries()["edit_distances_whole"](spark, SF).count() == items * (items - 1) // 2
+    assert {r["contig"]: r["n_kmers"] for r in registry.queries()["kmer_entropy"](spark, SF).collect()} == {i: k for i, k in n.items() if k}
+    items = pq.read_table(f"{SF}/benchmark.parquet")["item_id"].to_pylist()
+    assert registry.queries()["edit_distances"](spark, SF).count() == sum(i % 20 == 0 for i in items) * (len(items) - 1)
 
 
 def test_all_rows(spark):
     rows = registry.window_counts(spark, SF).groupBy().sum("num_rows").first()[0]
-    assert {r["row_id"] for r in registry.queries()["resolve_rows_whole"](spark, SF).collect()} == set(range(rows))
+    assert {r["row_id"] for r in registry.queries()["resolve_rows"](spark, SF).collect()} == set(range(rows))
     of = {}
     for r in pq.read_table("/root/testdata/sf0.01/events.parquet", columns=["user_id", "event_id"]).to_pylist():
         of.setdefault(r["user_id"], []).append(r["event_id"])
     want = {(a, b) for ids in of.values() for a in ids for b in ids if a < b and abs(a % 97 - b % 97) < 10}
-    assert {(r["one"], r["two"]) for r in registry.queries()["interval_overlap_whole"](spark, "/root/testdata/sf0.01").collect()} == want
+    assert {(r["one"], r["two"]) for r in registry.queries()["interval_overlap"](spark, "/root/testdata/sf0.01").collect()} == want
 
 
 @pytest.mark.parametrize("name", ["ivf_search", "rabitq_search"])
