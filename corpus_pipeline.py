@@ -14,22 +14,27 @@ from strandmill.llm.base import Scratch, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more by compression distance go; null and empty texts stay."""
     return toxicity.reject_toxic(docs, toxicity.learn(spark, docs, table(spark, sf_dir, "labels")))
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the smallest doc_id; rows with a null doc_id stay."""
     return near_dups.drop_near_duplicates(docs, Scratch(spark, "near-dups"), size=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; rows with a null doc_id, and null and empty texts, stay."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "decontamination"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay by their cell's probability, decided by a hash of doc_id; repeated rows stay or go together."""
     return mixing.keep_mixed(docs, Scratch(spark, "mixing"))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets a shard and a slot; null texts count as empty, repeated rows as documents of their own."""
     return sharding.shard(docs, Scratch(spark, "sharding"))
 
 
