@@ -58,16 +58,6 @@ def per_query(results: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("margin", F.col("best_relevant") - F.col("best_irrelevant"))
 
 
-def threshold_at_fpr(negatives: DataFrame, fpr: float) -> float:
-    """The cutoff that lets floor(fpr * n) of negatives(score) through."""
-    n = negatives.count()
-    m = int(np.floor(fpr * n))
-    at = negatives.orderBy(F.desc("score")).limit(max(1, m)).agg(F.min("score")).head()[0]
-    if m == 0:
-        return float(np.nextafter(at, np.inf))
-    return float(np.nextafter(MISS_SCORE, np.inf)) if at <= MISS_SCORE else float(at)
-
-
 def bootstrap_half_width(values: DataFrame, column: str, samples: int = 1000, seed: int = 0) -> tuple[float, float]:
     """Mean and 1.96 deviations of resampled means. One value for each query comes to the driver."""
     x = np.array([r[0] for r in values.select(column).orderBy(column).toLocalIterator()])

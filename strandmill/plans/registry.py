@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import sequences as sq
 from strandmill.functions import vectors as fv
-from strandmill.operators import hits, kmer_search, metrics, search, training_data
+from strandmill.operators import evaluation, hits, kmer_search, metrics, search, training_data
 
 K = 10
 
@@ -154,12 +154,86 @@ def edit_distances(spark, sf) -> DataFrame:
     return p.select(F.col("a.item_id").alias("one"), F.col("b.item_id").alias("two"), d.cast("long").alias("distance"), F.round(d / F.greatest(F.length("a.s"), F.length("b.s")), 6).alias("by_longest"))
 
 
+def runs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Results and judgements of two runs: the queries at rate 0, and at rate 0.1, with "-", their vectors reversed."""
+    q, t = query_vectors(spark, sf), truth(spark, sf)
+    noisy = F.concat("query_id", F.lit("-")).alias("query_id")
+    both = q.select("query_id", "embedding").unionByName(q.select(noisy, F.reverse("embedding").alias("embedding")))
+    flat = search.exact(both, vectors(spark, sf), K)
+    out = hits.regroup(flat, both, accessions(spark, sf), K)
+    return out, t.unionByName(t.select(noisy, "accession"))
+
+
+def _run_scores(spark, sf) -> DataFrame:
+    rate = F.when(F.col("query_id").endswith("-"), 0.1).otherwise(0.0).alias("rate")
+    return metrics.per_query(*runs(spark, sf)).select("query_id", F.lit("exact").alias("model"), rate, "best_relevant", "best_irrelevant", "margin")
+
+
+def _run_cutoffs(each: DataFrame) -> DataFrame:
+    neg = each.select("model", "rate", F.coalesce("best_irrelevant", F.lit(-2.0)).alias("score"))
+    return evaluation.cutoffs(neg, [0.01, 0.05, 0.2], ["model", "rate"])
+
+
 def calibration(spark, sf) -> DataFrame:
-    """Cutoffs at false-positive rates: negatives are each query's best score outside its own label."""
-    neg = negatives(spark, sf)
-    values = [(fpr, metrics.threshold_at_fpr(neg, fpr)) for fpr in (0.01, 0.05, 0.2)]
-    cut = spark.createDataFrame(values, "fpr double, cutoff double")
-    return neg.crossJoin(F.broadcast(cut)).groupBy("fpr").agg(F.round(F.max("cutoff"), 6).alias("cutoff"), F.round(F.avg((F.col("score") >= F.col("cutoff")).cast("int")), 6).alias("realized"))  # three cutoffs
+    """Cutoffs at false-positive rates: negatives are each query's best score outside its relevant labels."""
+    return rounded(_run_cutoffs(_run_scores(spark, sf)), "cutoff", "realized", "no_hit_fraction")
+
+
+def true_positives(spark, sf) -> DataFrame:
+    each = _run_scores(spark, sf)
+    return rounded(evaluation.true_positive_rates(each.select("model", "rate", "best_relevant"), _run_cutoffs(each), 0.0), "cutoff_fixed", "cutoff_matched", "tpr_fixed", "tpr_matched")
+
+
+def margins_by_rate(spark, sf) -> DataFrame:
+    return rounded(evaluation.margin_summary(_run_scores(spark, sf), ["rate"]), "floor_med", "floor_p90", "true_med", "margin_med", "true_wins")
+
+
+def run_outcomes(spark, sf) -> DataFrame:
+    """Which queries fail, with an R-precision below 1, at rate 0.1 against rate 0."""
+    each = metrics.r_precision(metrics.judged(*runs(spark, sf)))
+    noisy = each.where("endswith(query_id, '-')").withColumn("query_id", F.regexp_replace("query_id", "-$", ""))
+    return evaluation.outcomes(noisy, each.where("not endswith(query_id, '-')"), "r_precision", 1.0)
+
+
+def run_overlap(spark, sf) -> DataFrame:
+    """Vectors that a query finds at both rates."""
+    q = query_vectors(spark, sf)
+    noisy = search.exact(q.select("query_id", F.reverse("embedding").alias("embedding")), vectors(spark, sf), 50)
+    return rounded(evaluation.set_overlap(found(spark, sf, 50), noisy), "overlap")
+
+
+def _systems(spark, sf) -> DataFrame:
+    """A method for each label modulo 3, the first without a chunk type."""
+    m = F.col("label") % 3
+    return table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), F.concat(F.lit("m"), m).alias("model"), F.when(m > 0, F.concat(F.lit("c"), m)).alias("chunk_type"), F.lit(0.0).alias("rate"), (F.col("vec_id") % 5).cast("double").alias("index_size_gb"), (F.col("vec_id") / 20 % 7).alias("avg_time"))
+
+
+def recall_by_time(spark, sf) -> DataFrame:
+    s = _systems(spark, sf)
+    each = flagship(spark, sf).join(s, "query_id").select("model", "chunk_type", "rate", "r_precision")
+    return rounded(evaluation.recall_by_time(each, s, ["model", "chunk_type"], 0.0), "recall", "avg_time")
+
+
+def perfect_results(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return evaluation.oracle_results(e.select(F.concat(F.lit("q"), F.col("vec_id") % 50).alias("query_id"), F.concat(F.lit("acc"), "label").alias("accession"), (F.col("vec_id") % 101 / 101).alias("identity")))
+
+
+def substitution(spark, sf) -> DataFrame:
+    """Accuracy if every relevant accession scored 0.5 or its own score, whichever is given by the substitute."""
+    better = truth(spark, sf).withColumn("score", F.lit(0.5))
+    return rounded(evaluation.hits_accuracy(metrics.judged(evaluation.substituted(results(spark, sf), better), truth(spark, sf))), "auprc", "rprec", "recall7")
+
+
+def _identity_bins(spark, sf) -> DataFrame:
+    """Orders as queries, lines as their alignments."""
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("accession"), (1 - 1.5 * F.col("l_discount").cast("double")).alias("identity"), F.col("l_quantity").cast("double").alias("matches"), (F.col("l_linenumber") == 1).alias("is_primary"))
+    return evaluation.identity_bins(table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id")), line)
+
+
+def organism_bins(spark, sf) -> DataFrame:
+    own = _identity_bins(spark, sf).withColumn("organism", F.concat(F.lit("o"), F.col("accession") % 3))
+    return evaluation.bin_table(own.where("organism is not null"), "organism", ["lt0.90", "0.90-0.95", "0.95-0.99", "ge0.99"]).toDF("organism", "under_90", "from_90", "from_95", "from_99")
 
 
 def negatives(spark, sf) -> DataFrame:
@@ -306,6 +380,12 @@ _NWIN = "CASE WHEN length(sequence) < 45 THEN 0 WHEN length(sequence) <= 256 THE
 _META = f"{_CONTIGS}, m AS (SELECT accession, CAST(sum({_NWIN}) AS BIGINT) AS num_rows FROM c GROUP BY 1), r AS (SELECT *, CAST(coalesce(sum(num_rows) OVER (ORDER BY accession ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_row FROM m)"
 _NEG = f"{_V}, s AS (SELECT query_id, accession, 'acc' || label AS own, list_inner_product(q.e, v.e) AS score, vector_id FROM q, v), h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) <= 100), n AS (SELECT query_id, max(score) AS score FROM h WHERE accession <> own GROUP BY 1), z AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS rn FROM n), f AS (SELECT unnest([0.05, 0.2])::DOUBLE AS fpr)"
 
+_RUNS = _RESULTS.replace("q AS (", "q0 AS (", 1).replace(", s AS (", ", q AS (SELECT query_id, 0.0::DOUBLE AS rate, e, label FROM q0 UNION ALL SELECT query_id || '-', 0.1::DOUBLE, list_reverse(e), label FROM q0), s AS (", 1)
+_RUN_JUDGED = _JUDGED.replace(_RESULTS, _RUNS) + ", p AS (SELECT query_id, rate, max(score) FILTER (score > -2 AND rel = 1) AS br, max(score) FILTER (score > -2 AND rel = 0) AS bi FROM j JOIN q USING (query_id) GROUP BY ALL)"
+_CUTS = f"{_RUN_JUDGED}, n AS (SELECT rate, coalesce(bi, -2.0) AS score FROM p), z AS (SELECT rate, score, row_number() OVER (PARTITION BY rate ORDER BY score DESC) AS place, count(*) OVER (PARTITION BY rate) AS n FROM n), f AS (SELECT unnest([0.01, 0.05, 0.2])::DOUBLE AS fpr), k AS (SELECT rate, fpr, n AS n_negatives, score AS cutoff, floor(fpr * n) < 1 OR score <= -2 AS above FROM z, f WHERE place = greatest(1, floor(fpr * n)))"
+_SYSTEMS = "y AS (SELECT 'q' || vec_id AS query_id, 'm' || label % 3 AS model, CASE WHEN label % 3 > 0 THEN 'c' || label % 3 END AS chunk_type, CAST(vec_id % 5 AS DOUBLE) AS index_size_gb, CAST(vec_id // 20 % 7 AS DOUBLE) AS avg_time FROM embeddings WHERE vec_id % 20 = 0)"
+_BINS = "a AS (SELECT l_orderkey AS query_id, l_suppkey AS accession, 1 - 1.5 * CAST(l_discount AS DOUBLE) AS identity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY identity DESC, l_quantity DESC, l_linenumber = 1 DESC, l_suppkey) = 1), b AS (SELECT o_orderkey AS query_id, accession, identity, CASE WHEN identity IS NULL THEN 'unaligned' WHEN identity < 0.9 THEN 'lt0.90' WHEN identity < 0.95 THEN '0.90-0.95' WHEN identity < 0.99 THEN '0.95-0.99' ELSE 'ge0.99' END AS bin FROM orders LEFT JOIN a ON query_id = o_orderkey)"
+
 #: name -> (query, SQL or None)
 _ALL = {
     "exact_topk": (lambda s, d: rounded(found(s, d).select("query_id", "rank", "accession", "score", "vector_id"), "score"), _q("SELECT query_id, CAST(rank AS INT) AS rank, accession, round(score, 6) AS score, vector_id FROM h", _HITS)),
@@ -328,7 +408,21 @@ _ALL = {
     "reverse_complement": (strands_of_text, _q("SELECT contig, translate(reverse(p), 'ACGTUNRYSWKMBDHVacgtunryswkmbdhv', 'TGCAANYRSWMKVHDBtgcaanyrswmkvhdb') AS rc, round(CASE WHEN length(p) > 0 THEN CAST(length(regexp_replace(p, '[^GCgc]', '', 'g')) AS DOUBLE) / length(p) ELSE 0 END, 6) AS gc, CASE WHEN contig % 100 / 100.0 < 0.9 THEN '<0.90' WHEN contig % 100 / 100.0 < 0.95 THEN '0.90-0.95' WHEN contig % 100 / 100.0 < 0.99 THEN '0.95-0.99' ELSE '>=0.99' END AS bin FROM (SELECT contig, sequence AS p FROM c)", _CONTIGS)),
     "kmer_entropy": (kmer_entropy, _q("SELECT contig, round(-sum(p * log2(p)), 6) AS entropy, count(*) AS n_kmers FROM (SELECT contig, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY contig) AS p FROM (SELECT contig, substr(s, i, 3) AS kmer, count(*) AS n FROM (SELECT contig, s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT contig, sequence AS s FROM c)) GROUP BY ALL)) GROUP BY 1", _CONTIGS)),
     "edit_distances": (edit_distances, "WITH x AS (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM benchmark) SELECT a.item_id AS one, b.item_id AS two, levenshtein(a.s, b.s) AS distance, round(CAST(levenshtein(a.s, b.s) AS DOUBLE) / greatest(length(a.s), length(b.s)), 6) AS by_longest FROM x a JOIN x b ON a.item_id % 20 = 0 AND a.item_id <> b.item_id"),
-    "fpr_calibration": (calibration, None),
+    "fpr_calibration": (calibration, _q("SELECT 'exact' AS model, k.rate, fpr, n_negatives, round(cutoff, 6) AS cutoff, round(avg(CASE WHEN n.score > cutoff OR (n.score = cutoff AND NOT above) THEN 1 ELSE 0 END), 6) AS realized, round(avg(CASE WHEN n.score <= -2 THEN 1 ELSE 0 END), 6) AS no_hit_fraction FROM k JOIN n ON n.rate = k.rate GROUP BY ALL", _CUTS)),
+    "true_positive_rates": (true_positives, _q("SELECT 'exact' AS model, p.rate, m.fpr, count(*) AS n_positives, round(f0.cutoff, 6) AS cutoff_fixed, round(m.cutoff, 6) AS cutoff_matched, round(avg(CASE WHEN br > f0.cutoff OR (br = f0.cutoff AND NOT f0.above) THEN 1 ELSE 0 END), 6) AS tpr_fixed, round(avg(CASE WHEN br > m.cutoff OR (br = m.cutoff AND NOT m.above) THEN 1 ELSE 0 END), 6) AS tpr_matched FROM p JOIN k m ON m.rate = p.rate JOIN k f0 ON f0.rate = 0 AND f0.fpr = m.fpr GROUP BY p.rate, m.fpr, f0.cutoff, m.cutoff", _CUTS)),
+    "margin_summary": (margins_by_rate, _q("SELECT rate, round(quantile_cont(bi, 0.5), 6) AS floor_med, round(quantile_cont(bi, 0.9), 6) AS floor_p90, round(quantile_cont(br, 0.5), 6) AS true_med, round(quantile_cont(br - bi, 0.5), 6) AS margin_med, round(avg(CASE WHEN br > bi THEN 1 ELSE 0 END), 6) AS true_wins FROM p GROUP BY 1", _RUN_JUDGED)),
+    "first_relevant": (lambda s, d: evaluation.first_relevant(judged(s, d)), _q("SELECT query_id, CAST(min(rn) FILTER (rel = 1 AND score > -2) AS INT) AS first_rank FROM j GROUP BY 1", _JUDGED)),
+    "run_outcomes": (run_outcomes, _q("SELECT CASE WHEN x.v < 1 AND w.v < 1 THEN 'both fail' WHEN w.v < 1 THEN 'rescued' WHEN x.v < 1 THEN 'newly failing' ELSE 'both ok' END AS outcome, count(*) AS n FROM e x JOIN e w ON x.query_id = w.query_id || '-' GROUP BY 1", _RUN_JUDGED + ", e AS (SELECT query_id, CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM j GROUP BY 1)")),
+    "run_overlap": (run_overlap, _q("SELECT query_id, round(count(*) FILTER (n = 2) / 50.0, 6) AS overlap FROM (SELECT query_id, vector_id, count(*) AS n FROM (SELECT query_id, vector_id, noisy FROM (SELECT query_id, vector_id, noisy, list_inner_product(CASE WHEN noisy THEN list_reverse(q.e) ELSE q.e END, v.e) AS s FROM q, v, (SELECT unnest([true, false]) AS noisy)) QUALIFY row_number() OVER (PARTITION BY query_id, noisy ORDER BY s DESC, vector_id) <= 50) GROUP BY ALL) GROUP BY 1", _V)),
+    "hits_accuracy": (lambda s, d: rounded(evaluation.hits_accuracy(judged(s, d)), "auprc", "rprec", "recall7"), _q("SELECT (SELECT round(avg(ap), 6) FROM (SELECT sum(CAST(r AS DOUBLE) * cr / cn) / sum(r) AS ap FROM (SELECT query_id, r, sum(n) OVER w AS cn, sum(r) OVER w AS cr FROM (SELECT query_id, score, count(*) AS n, sum(rel) AS r FROM j GROUP BY ALL) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY query_id)) AS auprc, round(avg(rp), 6) AS rprec, round(avg(r7), 6) AS recall7 FROM (SELECT CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS rp, CAST(sum(CASE WHEN rn <= 7 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS r7 FROM j GROUP BY query_id)", _JUDGED)),
+    "substitution_ceiling": (substitution, _q("SELECT (SELECT round(avg(ap), 6) FROM (SELECT sum(CAST(r AS DOUBLE) * cr / cn) / sum(r) AS ap FROM (SELECT query_id, r, sum(n) OVER w AS cn, sum(r) OVER w AS cr FROM (SELECT query_id, score, count(*) AS n, sum(rel) AS r FROM i GROUP BY ALL) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY query_id)) AS auprc, round(avg(rp), 6) AS rprec, round(avg(r7), 6) AS recall7 FROM (SELECT CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS rp, CAST(sum(CASE WHEN rn <= 7 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS r7 FROM i GROUP BY query_id)", _JUDGED + ", i AS (SELECT query_id, accession, rel, n_rel, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, accession) AS rn FROM (SELECT query_id, accession, rel, n_rel, CASE WHEN rel = 1 THEN 0.5 ELSE score END AS score FROM j))")),
+    "accession_recall": (lambda s, d: rounded(evaluation.accession_recall(results(s, d), truth(s, d)), "recall"), _q("SELECT query_id, round(avg(CASE WHEN score > -2 THEN 1 ELSE 0 END), 6) AS recall FROM r JOIN (SELECT query_id, 'acc' || unnest([label, (label + 1) % 10]) AS accession FROM q) USING (query_id, accession) GROUP BY 1", _RESULTS)),
+    "oracle_results": (lambda s, d: rounded(perfect_results(s, d), "score"), "SELECT 'q' || vec_id % 50 AS query_id, 'acc' || label AS accession, round(max(vec_id % 101 / 101.0), 6) AS score FROM embeddings GROUP BY 1, 2"),
+    "recall_by_time": (recall_by_time, _q("SELECT x.model, x.chunk_type, round(x.r, 6) AS recall, round(t.a, 6) AS avg_time FROM (SELECT model, chunk_type, avg(v) AS r FROM y JOIN (SELECT query_id, round(CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel), 6) AS v FROM j GROUP BY 1) USING (query_id) GROUP BY ALL) x JOIN (SELECT model, chunk_type, avg(avg_time) AS a FROM y WHERE avg_time > 0 GROUP BY ALL) t ON x.model = t.model AND x.chunk_type IS NOT DISTINCT FROM t.chunk_type", f"{_JUDGED}, {_SYSTEMS}")),
+    "systems_table": (lambda s, d: rounded(evaluation.systems_table(_systems(s, d), ["model", "chunk_type"]), "index_size_gb", "avg_time"), _q("SELECT model, chunk_type, round(avg(index_size_gb), 6) AS index_size_gb, round(avg(avg_time), 6) AS avg_time FROM y GROUP BY 1, 2", _SYSTEMS)),
+    "top_k_accuracy": (lambda s, d: evaluation.top_k_accuracy(table(s, d, "embeddings").select(F.col("embedding").alias("output"), F.col("label").alias("target")), [1, 5]), "SELECT round(100 * avg(CASE WHEN ahead < 1 THEN 1 ELSE 0 END), 6) AS top_1, round(100 * avg(CASE WHEN ahead < 5 THEN 1 ELSE 0 END), 6) AS top_5 FROM (SELECT vec_id, count(*) FILTER (x > own OR (x = own AND i < label + 1)) AS ahead FROM (SELECT vec_id, label, embedding[label + 1] AS own, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1)"),
+    "identity_bins": (lambda s, d: rounded(_identity_bins(s, d).select("query_id", "accession", "identity", "bin"), "identity"), _q("SELECT query_id, accession, round(identity, 6) AS identity, bin FROM b", _BINS)),
+    "organism_bins": (organism_bins, _q("SELECT 'o' || accession % 3 AS organism, count(*) FILTER (bin = 'lt0.90') AS under_90, count(*) FILTER (bin = '0.90-0.95') AS from_90, count(*) FILTER (bin = '0.95-0.99') AS from_95, count(*) FILTER (bin = 'ge0.99') AS from_99 FROM b WHERE accession IS NOT NULL GROUP BY 1", _BINS)),
     "negatives": (lambda s, d: rounded(negatives(s, d), "score"), _q("SELECT query_id, round(score, 6) AS score FROM n", _NEG)),
     "apply_cutoffs": (cutoffs_applied, _q("SELECT query_id, accession, round(CASE WHEN score >= 0.35 THEN score ELSE -2.0 END, 6) AS score FROM r", _RESULTS)),
     "random_sample": (random_rows, "SELECT 'acc' || label AS accession, CAST(greatest(1, round_even(count(*) / 3.0, 0)) AS BIGINT) AS n FROM embeddings GROUP BY 1"),
