@@ -49,8 +49,10 @@ def with_buckets(df: DataFrame, *keep: str, buckets: int = BUCKETS) -> DataFrame
 def bucket_totals(df: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Features of all texts in each bucket; the driver gets one row for each bucket."""
     out = [0] * buckets
-    for r in with_buckets(df, buckets=buckets).select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect():
-        out[r["b"]] = r["n"]
+    each = with_buckets(df, buckets=buckets).select(F.explode_outer("buckets").alias("b"))  # for explode Spark would add a filter that makes the arrays once more
+    for r in each.groupBy("b").agg(F.count("*").alias("n")).collect():
+        if r["b"] is not None:
+            out[r["b"]] = r["n"]
     return out
 
 
