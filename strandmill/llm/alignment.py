@@ -1,14 +1,23 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Both tokenizers encode every text in Arrow batches; from there on all is relational. Each
-side's tokens are exploded with their places, a running sum of byte lengths gives
-every token's end, and a full equi-join on document and end puts the two sides in one
-order of bytes: a row where both end is a cut, and the running count of cuts before a
-row is its group. Groups are joined within themselves to links.
+Both tokenizers encode every text in Arrow batches. Running sums of byte lengths give every
+token's end, ends that both sides have cut the tokens into groups, running counts of
+cuts are the groups' numbers, and the tokens of a group are linked. There are two forms
+of that step with equal results: ``aligned``, relational from the tokens on, and
+``aligned_in_tasks``, which does the same on arrays where the tokens are made. A text
+gives about as many tokens as it has words and half again, on two sides, and each token's row is
+sorted, summed, joined and grouped in the relational form; README has its figures. The
+query takes the second.
+
+Relational form: tokens are exploded with their places, a window sums byte lengths, a full
+equi-join on document and end puts the two sides in one order of bytes, where the count
+of rows before that have both is the group.
 
 An id pair's count is the number of documents that hold it linked. Pairs are made
 distinct within a document first, so counting them shuffles totals of each map task.
-A document is one row of the table: its key is made when the table is read.
+Counts return to the documents' pairs by a broadcast of up to ``BROADCAST_PAIRS`` of
+them, the most common ones; the others are joined by a shuffle. A document is one row
+of the table: its key is made when the table is read.
 
 Defined results: null and empty texts, and texts whose tokens' bytes differ from a
 space and the text (those that a tokenizer normalises, or that hold U+2581), have no
@@ -20,6 +29,7 @@ special strings are plain text. Extra columns aren't read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import importlib.util
 import re
 from collections.abc import Iterator
@@ -30,11 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.base import Scratch, sized, table
+from strandmill.llm.base import Scratch, table
 
 TOKENIZERS = "/opt/tokenizers"
 #: Pairs of ids that are broadcast with their counts at most; each takes two ints and two longs.
 BROADCAST_PAIRS = 2_000_000
+#: Links of a group up to which they are listed; beyond it each side's distinct ids are paired.
+LISTED_LINKS = 4096
 #: Rows of tokens that a task sorts at most, about.
 TOKENS_PER_TASK = 4_000_000
 
@@ -59,6 +71,8 @@ class _Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.b_size = np.array([len(p) for p in self.b_bytes], np.int64)
+        #: What an id looks like inside and at the end of its side of a group.
+        self.text = [f"{i}{end}".encode() for end, n in ((",", len(self.a_size)), ("|", len(self.a_size)), (",", len(self.b_size)), (";", len(self.b_size))) for i in range(n)]
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
@@ -123,28 +137,111 @@ def aligned(encoded: DataFrame) -> DataFrame:
     return sides.join(pairs, "key")
 
 
+def _links(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct linked pairs as a * 2^32 + b, and their numbers of links. ga and gb: the tokens' groups, ascending."""
+    na, nb = np.bincount(ga), np.bincount(gb)
+    start = np.cumsum(nb) - nb
+    large = na * nb > LISTED_LINKS
+    own = np.flatnonzero(~large[ga])
+    reps = nb[ga[own]]
+    first = np.cumsum(reps) - reps
+    codes = [np.repeat(a[own] << 32, reps) + b[np.repeat(start[ga[own]] - first, reps) + np.arange(reps.sum())]]
+    times = [np.ones(len(codes[0]), np.int64)]
+    for g in np.flatnonzero(large):
+        (ua, ca), (ub, cb) = (np.unique(x[np.searchsorted(of, g) : np.searchsorted(of, g, "right")], return_counts=True) for x, of in ((a, ga), (b, gb)))
+        codes.append(((ua << 32)[:, None] + ub).ravel())
+        times.append((ca[:, None] * cb).ravel())
+    codes, times = np.concatenate(codes), np.concatenate(times)
+    order = np.argsort(codes, kind="stable")
+    codes, times = codes[order], times[order]
+    new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[new], np.add.reduceat(times, new)
+
+
+def _row(both: _Pair, text: str | None) -> tuple:
+    """n_a, n_b, n_groups, n_links, groups_sha256, pairs and their links of one text."""
+    a, b = both.encode(text)
+    if not len(a):
+        return 0, 0, 0, 0, "", a, a
+    ea, eb = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
+    cut_a, cut_b = eb[np.searchsorted(eb, ea)] == ea, ea[np.searchsorted(ea, eb)] == eb  # both end with the text
+    ga, gb = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    na, nb = np.bincount(ga), np.bincount(gb)
+    shown = np.empty(len(a) + len(b), np.int64)  # every group's ids, those of one side before the other's
+    n, m = len(both.a_size), len(both.b_size)
+    shown[np.arange(len(a)) + (np.cumsum(nb) - nb)[ga]] = a + n * cut_a
+    shown[np.arange(len(b)) + np.cumsum(na)[gb]] = b + 2 * n + m * cut_b
+    digest = hashlib.sha256(b"".join(map(both.text.__getitem__, shown.tolist()))[:-1]).hexdigest()
+    return len(a), len(b), len(na), int((na * nb).sum()), digest, *_links(a, b, ga, gb)
+
+
+def aligned_in_tasks(keyed: DataFrame, folder: str = TOKENIZERS, key: str = "long") -> DataFrame:
+    """What ``aligned`` gives, for every row of keyed; key is the type of its key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = _pair(folder)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = list(zip(*[_row(both, t.as_py()) for t in part.column("text")], strict=True))
+                codes, n = np.concatenate(rows[5]), np.concatenate(rows[6])
+                pair = pa.StructArray.from_arrays([pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+                pairs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows[5])]), pa.int32()), pair)
+                yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array(r, pa.int64()) for r in rows[:4]], pa.array(rows[4], pa.string()), pairs], ["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
+
+    return keyed.select("key", "text").mapInArrow(run, f"key {key}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a:int,b:int,n:bigint>>")
+
+
+def counted(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """pairs with the columns of counts(a, b, count, ..), a saved table: the most common ones by a broadcast, what it can't hold by a shuffle."""
+    power = F.floor(F.log2("count")).cast("int")
+    sizes = sorted(((r["p"], r["n"]) for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 64 rows at most
+    held, least = 0, None
+    for p, n in sizes:
+        if held + n > BROADCAST_PAIRS:
+            least = p + 1
+            break
+        held += n
+    if least is None:
+        return pairs.join(F.broadcast(counts), ["a", "b"])
+    common, rare = F.broadcast(counts.where(power >= least)), counts.where(power < least)
+    others = pairs.join(common.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.join(common, ["a", "b"]).unionByName(others.join(rare.hint("merge"), ["a", "b"]))
+
+
 def summaries(keyed: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of keyed, from aligned's saved table."""
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of keyed, from the saved table of either form."""
     pairs = found.select("key", F.inline("pairs"))
-    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("count"))
-    counts = scratch.save(counts, "counts")
-    best = counts.groupBy("a").agg(F.max("count").alias("best"))
-    counts = sized(scratch.save(counts.join(sized(best), "a").withColumn("is_best", F.col("count") == F.col("best")).drop("best"), "ranked"), BROADCAST_PAIRS)
-    sums = pairs.join(counts, ["a", "b"]).groupBy("key").agg(F.sum(F.when(F.col("is_best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
+    counts = scratch.save(pairs.groupBy("a", "b").agg(F.count("*").alias("count")), "counts")
+    best = counts.groupBy("a").agg(F.max("count").alias("best"))  # a row for each id of the vocabulary
+    counts = scratch.save(counts.join(F.broadcast(best), "a").select("a", "b", "count", (F.col("count") == F.col("best")).alias("is_best")), "ranked")
+    sums = counted(pairs, counts).groupBy("key").agg(F.sum(F.when(F.col("is_best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
     out = keyed.select("doc_id", "key").join(found.drop("pairs"), "key", "left").join(sums, "key", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     return out.select("doc_id", *zero, F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key"))
+
+
 def align(docs: DataFrame, scratch: Scratch, folder: str = TOKENIZERS) -> DataFrame:
-    """The summaries of docs, whose tokens meet in one shuffle by document."""
+    """The summaries of docs, aligned where the tokens are made. No text and no token is shuffled."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = aligned_in_tasks(_keyed(docs).withColumn("key", F.struct("doc_id", "key")), folder, f"struct<doc_id:{kind},key:bigint>")
+    found = scratch.save(made.select("key.doc_id", "key.key", *made.columns[1:]), "aligned")
+    return summaries(found, found.drop("doc_id"), scratch)
+
+
+def align_relational(docs: DataFrame, scratch: Scratch, folder: str = TOKENIZERS) -> DataFrame:
+    """The summaries of docs by the relational form, whose tokens meet in one shuffle by document."""
     conf, key = scratch.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     old = conf.get(key)
     conf.set(key, "false")  # what is dealt by document stays so for joins on document and end
     try:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         parts = max(int(conf.get("spark.sql.shuffle.partitions")), size // TOKENS_PER_TASK + 1)  # tokens are fewer than bytes
-        keyed = scratch.save(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")), "keyed")
+        keyed = scratch.save(_keyed(docs), "keyed")
         return summaries(keyed, scratch.save(aligned(tokens(keyed, folder).repartition(parts, "key")), "aligned"), scratch)
     finally:
         conf.set(key, old)

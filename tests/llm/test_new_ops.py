@@ -198,18 +198,24 @@ def plain_alignment(texts, both):
     return out
 
 
-def test_alignment_brute_force(spark, plain_tokenizers):
+@pytest.mark.parametrize("form", ["align", "align_relational", "small bounds"])
+def test_alignment_brute_force(spark, plain_tokenizers, monkeypatch, form):
+    if form == "small bounds":
+        monkeypatch.setattr(alignment, "BROADCAST_PAIRS", 40)
+        monkeypatch.setattr(alignment, "LISTED_LINKS", 2)
+        form = "align"
     some = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY length(text) LIMIT 60").fetchall()]
     texts = [*TEXTS, *some, None, "", some[-1], some[-1]]
     d = spark.createDataFrame([(i if i < len(texts) - 1 else i - 1, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).withColumnsRenamed({"lang": "key", "source": "n_a"})
-    got = alignment.align(d, Scratch(spark, "t")).collect()
+    got = getattr(alignment, form)(d, Scratch(spark, "t")).collect()
     want = [(i if i < len(texts) - 1 else i - 1, *row) for i, row in enumerate(plain_alignment(texts, plain_tokenizers))]
     assert sorted(map(tuple, got)) == sorted(want)
     assert sum(row[1] > 0 for row in want) > 60
 
 
 def test_alignment_empty(spark):
-    assert alignment.align(spark.createDataFrame([], DOCS), Scratch(spark, "t")).collect() == []
+    for form in (alignment.align, alignment.align_relational):
+        assert form(spark.createDataFrame([], DOCS), Scratch(spark, "t")).collect() == []
 
 
 def test_same_vocabulary(plain_tokenizers):
