@@ -193,7 +193,7 @@ def aligned_in_tasks(keyed: DataFrame, folder: str = TOKENIZERS, key: str = "lon
 
 
 def counted(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """pairs with the columns of counts(a, b, count, ..), a saved table: the most common ones by a broadcast, what it can't hold by a shuffle."""
+    """pairs with the columns of counts(a, b, count, ..), a saved table: the most common ones by a broadcast, what it can't hold by a shuffle. Rows without a pair stay."""
     power = F.floor(F.log2("count")).cast("int")
     sizes = sorted(((r["p"], r["n"]) for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 64 rows at most
     held, least = 0, None
@@ -203,22 +203,23 @@ def counted(pairs: DataFrame, counts: DataFrame) -> DataFrame:
             break
         held += n
     if least is None:
-        return pairs.join(F.broadcast(counts), ["a", "b"])
+        return pairs.join(F.broadcast(counts), ["a", "b"], "left")
     common, rare = F.broadcast(counts.where(power >= least)), counts.where(power < least)
-    others = pairs.join(common.select("a", "b"), ["a", "b"], "left_anti")
-    return pairs.join(common, ["a", "b"]).unionByName(others.join(rare.hint("merge"), ["a", "b"]))
+    some = pairs.where("a is not null")
+    others = some.join(common.select("a", "b"), ["a", "b"], "left_anti").join(rare.hint("merge"), ["a", "b"])
+    return some.join(common, ["a", "b"]).unionByName(others).unionByName(pairs.where("a is null"), allowMissingColumns=True)
 
 
-def summaries(keyed: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of keyed, from the saved table of either form."""
-    pairs = found.select("key", F.inline("pairs"))
-    counts = scratch.save(pairs.groupBy("a", "b").agg(F.count("*").alias("count")), "counts")
+def summaries(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of found, a saved table with a key for each row."""
+    counts = found.select(F.inline("pairs")).groupBy("a", "b").agg(F.count("*").alias("count"))
+    counts = scratch.save(counts, "counts")
     best = counts.groupBy("a").agg(F.max("count").alias("best"))  # a row for each id of the vocabulary
     counts = scratch.save(counts.join(F.broadcast(best), "a").select("a", "b", "count", (F.col("count") == F.col("best")).alias("is_best")), "ranked")
-    sums = counted(pairs, counts).groupBy("key").agg(F.sum(F.when(F.col("is_best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
-    out = keyed.select("doc_id", "key").join(found.drop("pairs"), "key", "left").join(sums, "key", "left")
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    return out.select("doc_id", *zero, F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
+    own = ["key", *(c for c in found.columns if c not in ("key", "pairs"))]
+    each = counted(found.select(*own, F.inline_outer("pairs")), counts)
+    out = each.groupBy(*own).agg(F.sum(F.when(F.col("is_best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.coalesce(F.col("n") * F.col("count"), F.lit(0))).alias("count_sum"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def align(docs: DataFrame, scratch: Scratch, folder: str = TOKENIZERS) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = aligned_in_tasks(_keyed(docs).withColumn("key", F.struct("doc_id", "key")), folder, f"struct<doc_id:{kind},key:bigint>")
     found = scratch.save(made.select("key.doc_id", "key.key", *made.columns[1:]), "aligned")
-    return summaries(found, found.drop("doc_id"), scratch)
+    return summaries(found, scratch)
 
 
 def align_relational(docs: DataFrame, scratch: Scratch, folder: str = TOKENIZERS) -> DataFrame:
@@ -242,7 +243,9 @@ def align_relational(docs: DataFrame, scratch: Scratch, folder: str = TOKENIZERS
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         parts = max(int(conf.get("spark.sql.shuffle.partitions")), size // TOKENS_PER_TASK + 1)  # tokens are fewer than bytes
         keyed = scratch.save(_keyed(docs), "keyed")
-        return summaries(keyed, scratch.save(aligned(tokens(keyed, folder).repartition(parts, "key")), "aligned"), scratch)
+        found = keyed.select("doc_id", "key").join(aligned(tokens(keyed, folder).repartition(parts, "key")), "key", "left")
+        zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        return summaries(scratch.save(found.withColumns(zero).withColumn("groups_sha256", F.coalesce("groups_sha256", F.lit(""))), "aligned"), scratch)
     finally:
         conf.set(key, old)
 
