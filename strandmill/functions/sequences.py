@@ -66,10 +66,12 @@ def longest_run(seq: Column) -> Column:
 
 
 def bin_label(identity: Column, edges: tuple[float, ...] = (0.90, 0.95, 0.99)) -> Column:
-    out = F.lit(f">={edges[-1]:.2f}")
-    for lo, hi in reversed(list(zip((None, *edges[:-1]), edges, strict=True))):
-        out = F.when(identity < hi, F.lit(f"<{hi:.2f}" if lo is None else f"{lo:.2f}-{hi:.2f}")).otherwise(out)
-    return out
+    """Bins closed below; without an identity "unaligned"."""
+    edges = sorted(edges)
+    out = F.when(identity.isNull(), "unaligned").when(identity < edges[0], f"lt{edges[0]:.2f}")
+    for low, high in zip(edges, edges[1:]):
+        out = out.when(identity < high, f"{low:.2f}-{high:.2f}")
+    return out.otherwise(f"ge{edges[-1]:.2f}")
 
 
 def cigar_matches(cigar: Column) -> Column:
@@ -80,6 +82,11 @@ def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.least(e1, e2) - F.greatest(s1, s2), F.lit(0))
 
 
+def contained(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """Whether the first interval lies within the second."""
+    return (s2 <= s1) & (e2 >= e1)
+
+
 def beta_parameters(mean: float, sd: float, top: float) -> tuple[float, float]:
     """Of the Beta distribution with this mean and deviation after scaling by top."""
     m, v = mean / top, (sd / top) ** 2

@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.operators import metrics
+from strandmill.functions.sequences import bin_label
+from strandmill.operators import metrics, ordering
 from strandmill.schemas import MISS_SCORE
 
 
@@ -114,15 +115,20 @@ def recall_by_time(per_query: DataFrame, timings: DataFrame, by: list[str], rate
     return recall.join(times, same).select(*by, "recall", "avg_time")
 
 
-def margin_summary(per_query: DataFrame, by: list[str]) -> DataFrame:
+def margin_summary(per_query: DataFrame, by: list[str], save) -> DataFrame:
     """Quantiles of the best irrelevant and best relevant scores and their margin, and how often the relevant one wins.
 
-    A query without one of them takes no part in its quantiles and doesn't win.
-    Quantiles are exact; a run's distinct scores meet in one task.
+    A query without one of them takes no part in its quantiles and doesn't win. Quantiles are
+    exact; a run's scores are counted in ranges. ``save`` writes a table and reads it back.
     """
     wins = F.coalesce(F.col("best_relevant") > F.col("best_irrelevant"), F.lit(False)).cast("int")
-    at = lambda c, p, name: F.percentile(c, F.lit(p)).alias(name)
-    return per_query.groupBy(*by).agg(at("best_irrelevant", 0.5, "floor_med"), at("best_irrelevant", 0.9, "floor_p90"), at("best_relevant", 0.5, "true_med"), at("margin", 0.5, "margin_med"), F.avg(wins).alias("true_wins"))
+    out = per_query.groupBy(*by).agg(F.avg(wins).alias("true_wins"))
+    asked = {"best_irrelevant": {0.5: "floor_med", 0.9: "floor_p90"}, "best_relevant": {0.5: "true_med"}, "margin": {0.5: "margin_med"}}
+    for column, shares in asked.items():
+        part = ordering.percentiles(per_query.select(*by, column), by, column, list(shares), lambda df, name, c=column: save(df, f"{name}{c}"))
+        wide = part.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(*[F.max(F.when(F.col("share") == p, F.col(column))).alias(name) for p, name in shares.items()])
+        out = out.join(wide, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*[f"_{c}" for c in by])
+    return out.select(*by, "floor_med", "floor_p90", "true_med", "margin_med", "true_wins")
 
 
 def first_relevant(judgements: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def outcomes(one: DataFrame, base: DataFrame, column: str, least: float) -> Data
     """(outcome, n) over the queries of both: which fail, with ``column`` below ``least``, in one run or the other."""
     fails = lambda df, name: df.select("query_id", (F.col(column) < least).alias(name))
     both = fails(one, "now").join(fails(base, "before"), "query_id")
-    name = F.when(F.col("now") & F.col("before"), "both fail").when(F.col("before"), "rescued").when(F.col("now"), "newly failing").otherwise("both ok")
+    name = F.when(F.col("now") & F.col("before"), "fails twice").when(F.col("before"), "mended").when(F.col("now"), "broken").otherwise("holds")
     return both.groupBy(name.alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -175,11 +181,7 @@ def identity_bins(queries: DataFrame, alignments: DataFrame, edges: tuple[float,
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("identity"), F.desc("matches"), F.desc("is_primary"), "accession")
     best = alignments.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
-    edges = sorted(edges)
-    label = F.when(F.col("identity").isNull(), "unaligned").when(F.col("identity") < edges[0], f"lt{edges[0]:.2f}")
-    for low, high in zip(edges, edges[1:]):
-        label = label.when(F.col("identity") < high, f"{low:.2f}-{high:.2f}")
-    return queries.select("query_id").join(best, "query_id", "left").withColumn("bin", label.otherwise(f"ge{edges[-1]:.2f}"))
+    return queries.select("query_id").join(best, "query_id", "left").withColumn("bin", bin_label(F.col("identity"), edges))
 
 
 def bin_table(bins: DataFrame, row: str, labels: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Search by shared k-mers, and the k-mer prefilter ahead of alignments."""
+"""Search by shared k-mers, and k-mer counts ahead of alignments."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.alignment import infix_distance_udf
@@ -83,10 +83,42 @@ def kmer_counts(queries: DataFrame, contigs: DataFrame, k: int, most: int = 100,
     return top_k(counts, most, tie="accession")
 
 
-def infix_filter(queries: DataFrame, targets: DataFrame, k: int, identity: float) -> DataFrame:
-    """(query_id, target_id, distance) of targets that contain the query with that identity, sharing a k-mer by the q-gram lemma."""
-    left = queries.select("query_id", F.explode(F.array_distinct(kmers(F.col("sequence"), k))).alias("kmer"))
-    right = targets.select("target_id", F.explode(F.array_distinct(kmers(F.col("sequence"), k))).alias("kmer"))
-    pairs = left.join(right, "kmer").select("query_id", "target_id").distinct()
+def _shared_grams(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(query_id, target_id, q, t, size, shared) of pairs that share a k-mer: places of the shorter text whose k-mer the longer has, of ``size`` places."""
+    grams = lambda df, name: df.select(name, F.explode(kmers(F.col("sequence"), k)).alias("kmer")).groupBy(name, "kmer").agg(F.count("*").alias(f"n_{name}"))
+    left = grams(queries, "query_id")
+    pairs = left.join(grams(targets, "target_id"), "kmer").groupBy("query_id", "target_id").agg(F.sum("n_query_id").alias("of_query"), F.sum("n_target_id").alias("of_target"))
     both = pairs.join(queries.select("query_id", F.col("sequence").alias("q")), "query_id").join(targets.select("target_id", F.col("sequence").alias("t")), "target_id")
-    return both.withColumn("distance", infix_distance_udf()("q", "t")).where(F.col("distance") <= F.floor(F.length("q") * (1 - identity))).select("query_id", "target_id", "distance")
+    short = F.length("q") <= F.length("t")
+    return both.select("query_id", "target_id", F.when(short, F.col("q")).otherwise(F.col("t")).alias("q"), F.when(short, F.col("t")).otherwise(F.col("q")).alias("t"), F.when(short, F.col("of_query")).otherwise(F.col("of_target")).alias("shared"))
+
+
+def _least_distance(k: int):
+    """An edit changes k k-mers at most, so what isn't shared takes that many edits."""
+    return F.greatest(F.lit(0), F.ceil((F.length("q") - k + 1 - F.col("shared")) / k))
+
+
+def infix_filter(queries: DataFrame, targets: DataFrame, k: int, identity: float) -> DataFrame:
+    """(query_id, target_id, distance) of pairs whose shorter text lies in the longer with that identity, sharing a k-mer by the q-gram lemma."""
+    cap = F.floor(F.length("q") * F.lit(1 - identity) + 1e-9).cast("bigint")
+    pairs = _shared_grams(queries, targets, k).where(_least_distance(k) <= cap)
+    return pairs.withColumn("distance", infix_distance_udf()("q", "t", cap)).where(F.col("distance").isNotNull()).select("query_id", "target_id", "distance")
+
+
+def hard_negatives(anchors: DataFrame, pool: DataFrame, q: int, k: int) -> DataFrame:
+    """(query_id, rank, target_id, distance, score): of the texts that share a k-mer with an anchor, the k of highest infix identity.
+
+    anchors(query_id, sequence), pool(target_id, sequence); an anchor isn't its own negative. The count of shared
+    k-mers bounds the identity from above: the 2k pairs of highest bound are aligned first, and
+    of the others those whose bound reaches an anchor's k-th identity, capped there.
+    """
+    size = F.length("q")
+    pairs = _shared_grams(anchors, pool, q).where(F.col("query_id") != F.col("target_id")).withColumn("most", 1 - _least_distance(q) / size)
+    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "target_id")
+    pairs = pairs.withColumn("place", F.row_number().over(order))
+    scored = lambda df, cap: df.withColumn("distance", infix_distance_udf()("q", "t", cap)).where("distance is not null").withColumn("score", 1 - F.col("distance") / size).select("query_id", "target_id", "distance", "score")
+    first = scored(pairs.where(F.col("place") <= 2 * k), F.lit(None).cast("bigint"))
+    reach = top_k(first, k, tie="target_id").groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("reach"))
+    rest = pairs.where(F.col("place") > 2 * k).join(reach, "query_id").where(F.col("most") >= F.col("reach") - 1e-9)
+    rest = scored(rest, F.floor((1 - F.col("reach")) * size + 1e-6).cast("bigint"))
+    return top_k(first.unionByName(rest), k, tie="target_id")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.operators import ordering
 from strandmill.schemas import MISS_SCORE
 
 
@@ -79,10 +80,8 @@ def binned_report(values: DataFrame, bins: DataFrame, column: str) -> DataFrame:
     return both.groupBy("bin").agg(F.count("*").alias("n_queries"), F.count("scored").alias("n_scored"), F.avg("_v").alias("mean"))
 
 
-def spearman(df: DataFrame, x: str, y: str):
-    """Rank correlation with average ranks of ties."""
-    def rank(c):
-        w = Window.orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    return df.select(rank(x).alias("rx"), rank(y).alias("ry")).agg(F.corr("rx", "ry").alias("rho"))
+def spearman(df: DataFrame, x: str, y: str, save) -> DataFrame:
+    """(rho): rank correlation with average ranks of ties. Ranks come from sorted ranges; ``save`` writes a table and reads it back."""
+    own = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    ranked_ = own.join(ordering.average_ranks(own, "_x", "rx", save), "_x").join(ordering.average_ranks(own, "_y", "ry", save), "_y")
+    return ranked_.agg(F.corr("rx", "ry").alias("rho"))

@@ -11,24 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import vectors as fv
+from strandmill.operators import blocks
 from strandmill.operators.hits import top_k
-
-#: Queries that are sent to the executors at once; more are searched block by block.
-QUERY_BLOCK = 4096
-
-
-def _query_blocks(queries: DataFrame):
-    """(ids, matrix) of QUERY_BLOCK queries at a time."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["embedding"])
-        if len(ids) == QUERY_BLOCK:
-            yield ids, np.array(rows, np.float32)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float32)
-
+from strandmill.sources import store
 
 class _Best:
     """The k best rows of each query so far, by score, then vector_id, over the batches of a task."""
@@ -74,34 +59,33 @@ def masked_top_k(queries: DataFrame, vectors: DataFrame, k: int, cutoffs: tuple[
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+class _Scan:
+    """A block of queries and its best rows for each cutoff."""
+
+    def __init__(self, asked: pa.RecordBatch, k: int, score, cutoffs: tuple):
+        self.own, self.q, self.score = asked.column("query_id"), fv.matrix(asked.column("embedding")), score
+        self.best = {c: _Best(k) for c in cutoffs}
+
+    def add(self, part: pa.RecordBatch) -> None:
+        scores, vid, accession = self.score(self.q, part), part.column("vector_id").to_numpy(), part.column("accession")
+        for c, kept in self.best.items():
+            if c is None:
+                kept.add(scores, vid, accession)
+            else:
+                long = np.flatnonzero(part.column("length").to_numpy() >= c)
+                kept.add(scores[:, long], vid[long], accession.take(pa.array(long)))
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        for c, kept in self.best.items():
+            if kept.held:
+                q, value, vid, accession = kept.best()
+                yield pa.RecordBatch.from_arrays([self.own.take(pa.array(q)), accession, pa.array(value), pa.array(vid), pa.array([c] * len(q), pa.int32())], ["query_id", "accession", "score", "vector_id", "cutoff"])
+
+
 def _scan(queries: DataFrame, vectors: DataFrame, k: int, score, columns: tuple[str, ...], cutoffs: tuple) -> DataFrame:
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, accession string, score double, vector_id long, cutoff int"
-    out = None
-    for ids, q in _query_blocks(queries):
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, q))  # QUERY_BLOCK rows at most
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, matrix = sent.value
-            best = {c: _Best(k) for c in cutoffs}
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    scores, vid, accession = score(matrix, part), part.column("vector_id").to_numpy(), part.column("accession")
-                    for c, kept in best.items():
-                        if c is None:
-                            kept.add(scores, vid, accession)
-                        else:
-                            long = np.flatnonzero(part.column("length").to_numpy() >= c)
-                            kept.add(scores[:, long], vid[long], accession.take(pa.array(long)))
-            for c, kept in best.items():
-                if kept.held:
-                    q, value, vid, accession = kept.best()
-                    yield pa.RecordBatch.from_arrays([pa.array(own).take(pa.array(q)), accession, pa.array(value), pa.array(vid), pa.array([c] * len(q), pa.int32())], ["query_id", "accession", "score", "vector_id", "cutoff"])
-
-        found = vectors.select("vector_id", "accession", *columns).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+    return blocks.scan(queries.select("query_id", "embedding"), vectors.select("vector_id", "accession", *columns), lambda asked, _: _Scan(asked, k, score, cutoffs), schema)
 
 
 def _inner(q: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
@@ -117,34 +101,36 @@ def quantized_exact(queries: DataFrame, vectors: DataFrame, k: int, kind: str =
     return exact(queries, vectors.withColumn("embedding", fv.rounded(kind)("embedding")), k)
 
 
+class _Maxima:
+    """A block of query chunks and their best score of each accession."""
+
+    def __init__(self, asked: pa.RecordBatch):
+        self.asked, self.q = asked, fv.matrix(asked.column("embedding"))
+        self.held: dict[str, np.ndarray] = {}
+
+    def add(self, part: pa.RecordBatch) -> None:
+        names = np.array(part.column("accession").to_pylist(), object)
+        scores = _inner(self.q, part)
+        for name in dict.fromkeys(names.tolist()):
+            most = scores[:, names == name].max(1)
+            self.held[name] = np.maximum(self.held[name], most) if name in self.held else most
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        for name, most in self.held.items():
+            own = [self.asked.column(c) for c in ("query_id", "strand", "chunk")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([name] * len(most), pa.string()), pa.array(most)], ["query_id", "strand", "chunk", "accession", "s"])
+
+
 def exhaustive(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, accession, score): over chunks of a strand the sum of the best of each accession, then the best strand.
 
     queries(query_id, strand, chunk, embedding)
     """
-    keyed = queries.select(F.struct("query_id", "strand", "chunk").alias("query_id"), "embedding")
-    kind = queries.schema["query_id"].dataType.simpleString()
-    best = None
-    for ids, q in _query_blocks(keyed):
-        sent = vectors.sparkSession.sparkContext.broadcast((np.arange(len(ids), dtype=np.int32), q))  # QUERY_BLOCK rows at most
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, matrix = sent.value
-            held: dict[str, np.ndarray] = {}  # a row of maxima for each accession of the task
-            for batch in batches:
-                names = np.array(batch.column("accession").to_pylist(), object)
-                scores = _inner(matrix, batch)
-                for name in dict.fromkeys(names.tolist()):
-                    most = scores[:, names == name].max(1)
-                    held[name] = np.maximum(held[name], most) if name in held else most
-            for name, most in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([name] * len(own), pa.string()), pa.array(most)], ["at", "accession", "s"])
-
-        of = vectors.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(ids)], f"at int, query_id {kind}, strand string, chunk int")
-        part = vectors.select("accession", "embedding").mapInArrow(run, "at int, accession string, s double").groupBy("at", "accession").agg(F.max("s").alias("s")).join(F.broadcast(of), "at")  # QUERY_BLOCK rows at most
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, accession string, score double")
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    asked = queries.select("query_id", "strand", "chunk", "embedding")
+    schema = f"query_id {kinds['query_id']}, strand {kinds['strand']}, chunk {kinds['chunk']}, accession string, s double"
+    each = blocks.scan(asked, vectors.select("accession", "embedding"), lambda a, _: _Maxima(a), schema)
+    best = each.groupBy("query_id", "strand", "chunk", "accession").agg(F.max("s").alias("s"))
     return best.groupBy("query_id", "strand", "accession").agg(F.sum("s").alias("s")).groupBy("query_id", "accession").agg(F.max("s").alias("score"))
 
 
@@ -183,9 +169,11 @@ def project(df: DataFrame, projector: np.ndarray) -> DataFrame:
     return df.withColumn("embedding", run("embedding"))
 
 
-def pca(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
+def pca(queries: DataFrame, vectors: DataFrame, k: int, dim: int, head: int = 0) -> DataFrame:
+    """The k best by projected vectors; of a ``head`` of more, the k best by exact scores."""
     p = pca_projector(vectors, dim)
-    return exact(project(queries, p), project(vectors, p), k)
+    found = exact(project(queries, p), project(vectors, p), max(k, head))
+    return rerank(found, queries, vectors, k) if head else found
 
 
 def whitening(second: np.ndarray, alpha: float, floor: float = 1e-4) -> np.ndarray:
@@ -309,40 +297,125 @@ def random_sample(vectors: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     return ranked.where(F.col("_r") <= F.greatest(F.lit(1.0), F.rint(F.col("_n") / ratio))).drop("_n", "_r")
 
 
+def _thinned(x: np.ndarray, epsilon: float) -> np.ndarray:
+    """Rows, in order, that no earlier kept row covers."""
+    open_, kept = np.ones(len(x), bool), []
+    for i in range(len(x)):
+        if open_[i]:
+            kept.append(i)
+            open_ &= x @ x[i] < 1 - epsilon
+    return np.array(kept, np.int64)
+
+
 def _greedy_rows(x: np.ndarray, epsilon: float, seed: int, batch: int) -> np.ndarray:
-    """Rows that become centres, in the order they do; rows of one batch aren't compared with each other."""
+    """Rows that become centres: in random order those that no earlier one covers. A batch is held against the centres so far, then thinned in itself."""
     order = np.random.default_rng(seed).permutation(len(x))
     kept = np.zeros(0, np.int64)
     for at in range(0, len(order), batch):
         rows = order[at : at + batch]
-        far = np.ones(len(rows), bool) if not len(kept) else (x[rows] @ x[kept].T).max(1) < 1 - epsilon
-        kept = np.concatenate([kept, rows[far]])
+        for c in range(0, len(kept), batch):
+            rows = rows[(x[rows] @ x[kept[c : c + batch]].T).max(1) < 1 - epsilon] if len(rows) else rows
+        kept = np.concatenate([kept, rows[_thinned(x[rows], epsilon)]])
     return kept
 
 
-def greedy_net(vectors: DataFrame, epsilon: float, seed: int = 0, batch: int = 4096) -> DataFrame:
-    """Centres of each accession: in hashed order, a row becomes one if no earlier batch's centre is within epsilon."""
+#: Rows of which one task makes a net.
+NET_ROWS = 8192
+
+
+def _nets(rows: DataFrame, epsilon: float, seed: int, parts: int, by: tuple[str, ...]) -> DataFrame:
+    """Nets of the rows of each ``by`` and part, dealt to parts by hash; no task holds a larger group than chance makes."""
     def run(key, t):
         t = t.sort_by("vector_id")
-        return t.take(pa.array(np.sort(_greedy_rows(fv.matrix(t.column("embedding")), epsilon, seed, batch))))
+        return t.take(pa.array(np.sort(_greedy_rows(fv.matrix(t.column("embedding")), epsilon, seed, 4096))))
 
-    return vectors.select("vector_id", "accession", "embedding").groupBy("accession").applyInArrow(run, "vector_id long, accession string, embedding array<float>")
+    dealt = rows.select("vector_id", "accession", "embedding").withColumn("part", F.pmod(F.xxhash64("vector_id", F.lit(seed)), F.lit(parts)))
+    return dealt.groupBy(*by, "part").applyInArrow(lambda key, t: run(key, t).select(["vector_id", "accession", "embedding"]), "vector_id long, accession string, embedding array<float>")
 
 
-def merged_net(net: DataFrame, epsilon: float, seed: int = 0, batch: int = 4096) -> DataFrame:
-    """A second net over the centres of all accessions: each with its nearest merged centre and whether it is one itself.
+def _net(rows: DataFrame, epsilon: float, seed: int, by: tuple[str, ...], save) -> DataFrame:
+    """Centres of rows so that every row has one of its ``by`` within epsilon.
 
-    The choice is sequential, so one task holds the first net's centres (not the vectors).
+    Nets of parts are joined and thinned again in ever fewer parts. A row whose centre went
+    in a later step may be left without one, so at the end all rows are held against
+    the centres, and those left bare make a net of their own, until none is.
     """
-    def run(key, t):
-        t = t.sort_by("vector_id")
-        x = fv.matrix(t.column("embedding"))
-        kept = _greedy_rows(x, epsilon, seed, batch)
-        near = np.concatenate([(x[at : at + batch] @ x[kept].T).argmax(1) for at in range(0, len(x), batch)])
-        return t.append_column("center", t.column("vector_id").take(pa.array(kept[near]))).append_column("is_center", pa.array(np.isin(np.arange(len(x)), kept)))
-
-    own = net.select("vector_id", "accession", "embedding")
-    return own.groupBy().applyInArrow(run, "vector_id long, accession string, embedding array<float>, center long, is_center boolean")
+    bare, centers, round_ = rows.select("vector_id", "accession", "embedding"), None, 0
+    while True:
+        most = bare.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if not most:
+            return centers if centers is not None else bare
+        left, parts = bare, max(1, -(-most // NET_ROWS))
+        while True:
+            left = save(_nets(left, epsilon, seed + round_, parts, by), f"net{round_}")
+            round_ += 1
+            if parts == 1:
+                break
+            now = left.groupBy(*by).count().agg(F.max("count")).first()[0]
+            parts = min(parts - 1, -(-now // NET_ROWS)) if now < 0.9 * most else 1 if now <= 2 * NET_ROWS else 0
+            if not parts:  # what is left hardly shrinks: its parts stay side by side
+                break
+            most = now
+        centers = left if centers is None else centers.unionByName(left)
+        bare = save(_uncovered(bare, left, epsilon, bool(by)), f"bare{round_}")
+
+
+def _uncovered(rows: DataFrame, centers: DataFrame, epsilon: float, own: bool) -> DataFrame:
+    """Rows without a centre, of their own accession if ``own``, within epsilon."""
+    near = _covering(rows, centers, own).where(F.col("score") >= 1 - epsilon - 1e-6)
+    return rows.join(near.select("vector_id"), "vector_id", "left_anti")
+
+
+def _covering(rows: DataFrame, centers: DataFrame, own: bool) -> DataFrame:
+    """(vector_id, center, score): each row's nearest centre, among those of its accession if ``own``."""
+    asked = rows.select(F.col("vector_id").alias("query_id"), F.col("accession").alias("name"), "embedding")
+    found = blocks.scan(asked, centers.select("vector_id", "accession", "embedding"), lambda a, _: _Nearest(a, own), "vector_id long, center long, score double")
+    return found.groupBy("vector_id").agg(F.max(F.struct("score", -F.col("center"))).alias("m")).select("vector_id", (-F.col("m.col2")).alias("center"), "m.score")
+
+
+class _Nearest:
+    """Rows and the best centre of each so far, ties to the smaller id."""
+
+    def __init__(self, asked: pa.RecordBatch, own: bool):
+        self.ids, self.x = asked.column("query_id"), fv.matrix(asked.column("embedding"))
+        self.names = np.array(asked.column("name").to_pylist(), object) if own else None
+        self.score, self.at = np.full(len(self.x), -np.inf), np.zeros(len(self.x), np.int64)
+
+    def add(self, part: pa.RecordBatch) -> None:
+        vid = part.column("vector_id").to_numpy()
+        order = np.argsort(vid, kind="stable")
+        s = (self.x.astype(np.float64) @ fv.matrix(part.column("embedding")).astype(np.float64).T)[:, order]
+        if self.names is not None:
+            s = np.where(self.names[:, None] == np.array(part.column("accession").to_pylist(), object)[order], s, -np.inf)
+        best = s.argmax(1)
+        value, at = s[np.arange(len(s)), best], vid[order][best]
+        better = (value > self.score) | ((value == self.score) & (at < self.at))
+        self.score[better], self.at[better] = value[better], at[better]
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(np.isfinite(self.score))
+        yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(some)), pa.array(self.at[some]), pa.array(self.score[some])], ["vector_id", "center", "score"])
+
+
+def greedy_net(vectors: DataFrame, epsilon: float, seed: int = 0) -> DataFrame:
+    """Centres of each accession: every vector has one of its accession within epsilon. Large accessions are split."""
+    return _net(vectors, epsilon, seed, ("accession",), store.scratch(vectors.sparkSession, "net"))
+
+
+def merged_net(net: DataFrame, epsilon: float, seed: int = 0) -> DataFrame:
+    """A second net over the centres of all accessions: each with its nearest merged centre and whether it is one itself."""
+    save = store.scratch(net.sparkSession, "merged-net")
+    own = save(net.select("vector_id", "accession", "embedding"), "centers")
+    centers = _net(own, epsilon, seed, (), save)
+    near = _covering(own, centers, False)
+    return own.join(near.select("vector_id", "center"), "vector_id").withColumn("is_center", F.col("vector_id") == F.col("center"))
+
+
+def net_cover(vectors: DataFrame, centers: DataFrame, epsilon: float) -> DataFrame:
+    """(accession, n_rows, n_centers, n_bare): how a net serves the vectors of each accession."""
+    bare = _uncovered(vectors, centers, epsilon, True).groupBy("accession").agg(F.count("*").alias("n_bare"))
+    n, m = vectors.groupBy("accession").agg(F.count("*").alias("n_rows")), centers.groupBy("accession").agg(F.count("*").alias("n_centers"))
+    return n.join(m, "accession", "left").join(bare, "accession", "left").na.fill(0, ["n_centers", "n_bare"])
 
 
 def merged_net_search(queries: DataFrame, merged: DataFrame, k: int) -> DataFrame:
@@ -351,55 +424,3 @@ def merged_net_search(queries: DataFrame, merged: DataFrame, k: int) -> DataFram
     entries = merged.groupBy("center", "accession").agg(F.count("*").alias("n"))
     best = found.select("query_id", "score", F.col("vector_id").alias("center")).join(entries, "center").groupBy("query_id", "accession").agg(F.max("score").alias("score"))
     return top_k(best, k, tie="accession").select("query_id", "rank", "accession", "score")
-
-
-def pq_books(cells: DataFrame, centroids: np.ndarray, parts: int = 8, codes: int = 256, sample: int = 100_000, rounds: int = 10, seed: int = 0) -> np.ndarray:
-    """Codebooks (parts, codes, d / parts) of residuals, fitted on the ``sample`` rows of lowest hash; every row is coded."""
-    rows = cells.orderBy(F.xxhash64("vector_id", F.lit(seed)), "vector_id").limit(sample).select("cell", "embedding").collect()
-    left = np.array([r["embedding"] for r in rows], np.float32) - centroids[[r["cell"] for r in rows]]
-    if left.shape[1] % parts:
-        raise ValueError("the dimension must be a multiple of parts")
-    rng, books = np.random.default_rng(seed), []
-    for x in np.split(left, parts, axis=1):
-        c = x[rng.permutation(len(x))[: min(codes, len(x))]]
-        for _ in range(rounds):
-            to = _nearest_code(x, c)
-            n = np.bincount(to, minlength=len(c))
-            total = np.zeros(c.shape)
-            np.add.at(total, to, x)
-            c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c).astype(np.float32)
-        books.append(c)
-    return np.stack(books)
-
-
-def _nearest_code(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
-
-
-def pq_encode(cells: DataFrame, centroids: np.ndarray, books: np.ndarray) -> DataFrame:
-    """vector_id, accession, cell and one byte for each part of the residual."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                left = fv.matrix(b.column("embedding")) - centroids[b.column("cell").to_numpy()]
-                code = np.stack([_nearest_code(x, c) for x, c in zip(np.split(left, len(books), axis=1), books, strict=True)], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("vector_id"), b.column("accession"), b.column("cell"), pa.array([c.tobytes() for c in code], pa.binary())], ["vector_id", "accession", "cell", "code"])
-
-    return cells.select("vector_id", "accession", "cell", "embedding").mapInArrow(run, "vector_id long, accession string, cell int, code binary")
-
-
-def pq_decode(codes: DataFrame, centroids: np.ndarray, books: np.ndarray) -> DataFrame:
-    """The coded rows with the vector their code stands for; its inner products equal the sums of table look-ups."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                x = centroids[b.column("cell").to_numpy()] + np.concatenate([c[code[:, m]] for m, c in enumerate(books)], axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("vector_id"), b.column("accession"), b.column("cell"), fv.lists(x)], ["vector_id", "accession", "cell", "embedding"])
-
-    return codes.select("vector_id", "accession", "cell", "code").mapInArrow(run, "vector_id long, accession string, cell int, embedding array<float>")
-
-
-def ivf_pq(queries: DataFrame, codes: DataFrame, centroids: np.ndarray, books: np.ndarray, k: int, nprobe: int) -> DataFrame:
-    """Approximate scores within the probed cells; ``rerank`` gives the head exact ones."""
-    return ivf(queries, pq_decode(codes, centroids, books), centroids, k, nprobe)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequences as sq
 from strandmill.functions import vectors as fv
-from strandmill.operators import evaluation, hits, kmer_search, metrics, search, training_data
+from strandmill.operators import alignment_search, evaluation, hits, inverted_file, kmer_search, metrics, ordering, probing, search, training_data
+from strandmill.sources import store
 
 K = 10
+#: Cells of an inverted file, and the reach of a net's centres, for vectors as spread as these.
+CELLS, EPSILON = 128, 0.75
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -96,11 +100,28 @@ def participation_ratio(spark, sf) -> DataFrame:
     return rounded(spark.createDataFrame([(float(cov.trace() ** 2 / (cov * cov).sum()), float(cov.trace()))], "participation_ratio double, trace double"), "participation_ratio", "trace")
 
 
+#: Window starts of a piece of text; a place in a string costs its distance from the start, so windows are cut from pieces.
+STARTS = 40
+
+
 def chunk_windows(spark, sf) -> DataFrame:
-    c = contigs(spark, sf)
-    starts = sq.window_starts(F.length("sequence"), 256, 106, 50)
-    w = c.select("contig", "accession", F.posexplode(starts).alias("no", "start"), "sequence")
-    return w.select("contig", "accession", "no", "start", F.length(F.expr("substring(sequence, start + 1, 256)")).alias("length"), F.md5(F.expr("substring(sequence, start + 1, 256)").cast("binary")).alias("digest"))
+    return windows_of(contigs(spark, sf)).select("contig", "accession", "no", "start", F.length("window").alias("length"), F.md5(F.col("window").cast("binary")).alias("digest"))
+
+
+def windows_of(c: DataFrame) -> DataFrame:
+    """(contig, accession, no, start, window): windows of 256 that overlap by 150, and an end window for a tail over 50."""
+    starts, stretch = sq.window_starts(F.length("sequence"), 256, 106, 50), 106 * STARTS
+    last = F.element_at(starts, -1)
+    pieces = c.select("contig", "accession", F.length("sequence").alias("n"), F.explode(F.sequence(F.lit(0), F.floor(last / stretch).cast("int"))).alias("p"), "sequence")
+    pieces = pieces.select("contig", "accession", "n", "p", F.substring("sequence", F.col("p") * stretch + 1, F.lit(stretch + 256)).alias("piece"))
+    # the strided starts of a piece, and the end window's start where it falls in it
+    full = F.floor((F.col("n") - 256) / 106).cast("int")
+    low, high = F.col("p") * STARTS, F.least((F.col("p") + 1) * STARTS - 1, full)
+    strided = F.when(F.col("n") <= 256, F.array(F.struct(F.lit(0).alias("no"), F.lit(0).alias("start")))).when(low <= high, F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("no"), (i * 106).alias("start")))).otherwise(F.array().cast("array<struct<no:int,start:int>>"))
+    tail = (F.col("n") > 256) & ((F.col("n") - 256) % 106 > 50) & (F.floor((F.col("n") - 256) / stretch) == F.col("p"))
+    both = F.when(tail, F.concat(strided, F.array(F.struct((full + 1).alias("no"), (F.col("n") - 256).alias("start"))))).otherwise(strided)
+    each = pieces.select("contig", "accession", "p", "piece", F.inline(both))
+    return each.select("contig", "accession", "no", "start", F.substring("piece", F.col("start") - F.col("p") * stretch + 1, F.lit(256)).alias("window"))
 
 
 def window_counts(spark, sf) -> DataFrame:
@@ -185,7 +206,7 @@ def true_positives(spark, sf) -> DataFrame:
 
 
 def margins_by_rate(spark, sf) -> DataFrame:
-    return rounded(evaluation.margin_summary(_run_scores(spark, sf), ["rate"]), "floor_med", "floor_p90", "true_med", "margin_med", "true_wins")
+    return rounded(evaluation.margin_summary(_run_scores(spark, sf), ["rate"], store.scratch(spark, "margins")), "floor_med", "floor_p90", "true_med", "margin_med", "true_wins")
 
 
 def run_outcomes(spark, sf) -> DataFrame:
@@ -283,7 +304,9 @@ def keep_first(spark, sf) -> DataFrame:
 
 
 def quantiles(spark, sf) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", p), 6).alias(f"p{int(p * 1000)}") for p in (0.025, 0.5, 0.975)])
+    """Exact, from prices counted in sorted ranges."""
+    at = ordering.percentiles(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", [0.025, 0.5, 0.975], store.scratch(spark, "quantiles"))
+    return at.groupBy("l_returnflag").agg(*[F.round(F.max(F.when(F.col("share") == p, F.col("l_extendedprice"))), 6).alias(f"p{int(p * 1000)}") for p in (0.025, 0.5, 0.975)])
 
 
 def histogram(spark, sf) -> DataFrame:
@@ -300,7 +323,7 @@ def overlap_pairs(spark, sf) -> DataFrame:
 
 
 def rank_correlation(spark, sf) -> DataFrame:
-    return rounded(metrics.spearman(table(spark, sf, "part"), "p_size", "p_retailprice"), "rho")
+    return rounded(metrics.spearman(table(spark, sf, "part"), "p_size", "p_retailprice", store.scratch(spark, "ranks")), "rho")
 
 
 def _score_only(df: DataFrame) -> DataFrame:
@@ -317,28 +340,130 @@ def rabitq_search(spark, sf, mode: str = "reference") -> DataFrame:
 
 
 def ivf_search(spark, sf) -> DataFrame:
-    """Seven of the eight cells probed."""
-    c = search.kmeans(vectors(spark, sf), 8, 5)
-    return _score_only(search.ivf(query_vectors(spark, sf), search.assign_cells(vectors(spark, sf), c), c, K, 7))
+    """Half of the cells probed, exact scores within them."""
+    c = search.kmeans(vectors(spark, sf), CELLS, 10)
+    return _score_only(search.ivf(query_vectors(spark, sf), search.assign_cells(vectors(spark, sf), c), c, K, CELLS // 2))
+
+
+def _cells_found(spark, sf) -> DataFrame:
+    path = store.shared(spark, "cells")
+    inverted_file.build_cells(vectors(spark, sf), path, CELLS)
+    return inverted_file.search_cells(spark, path, query_vectors(spark, sf), K, CELLS // 2, 20 * K)
+
+
+def ivf_rabitq_search(spark, sf) -> DataFrame:
+    """Half of the cells probed by 1-bit codes, the head of 200 scored exactly."""
+    return _score_only(_cells_found(spark, sf))
+
+
+def _shards_found(spark, sf) -> DataFrame:
+    path, v = store.shared(spark, "shards"), vectors(spark, sf)
+    inverted_file.build_shards(v, path, 2, CELLS, 16)
+    return inverted_file.search_shards(spark, path, query_vectors(spark, sf), v, K, CELLS // 2, 10 * K, 16)
+
+
+def ivf_pq_search(spark, sf) -> DataFrame:
+    """Two shards, half of each one's lists probed by product codes, the head of 100 scored exactly."""
+    return _score_only(_shards_found(spark, sf))
+
+
+def recall_of(spark, sf, find) -> DataFrame:
+    return inverted_file.recall(find(spark, sf), found(spark, sf), 0.9)
+
+
+def _pca_found(spark, sf) -> DataFrame:
+    return search.pca(query_vectors(spark, sf), vectors(spark, sf), K, 40, 20 * K)
 
 
 def net_search(spark, sf) -> DataFrame:
-    return _score_only(search.exact(query_vectors(spark, sf), search.greedy_net(vectors(spark, sf), 0.5), K))
+    return _score_only(search.exact(query_vectors(spark, sf), search.greedy_net(vectors(spark, sf), EPSILON), K))
+
+
+def net_cover(spark, sf) -> DataFrame:
+    v = vectors(spark, sf)
+    each = search.net_cover(v, search.greedy_net(v, EPSILON), EPSILON)
+    return each.select("accession", "n_rows", (F.col("n_centers") < F.col("n_rows")).alias("smaller"), (F.col("n_bare") == 0).alias("covered"))
+
+
+def _merged(spark, sf) -> DataFrame:
+    return search.merged_net(search.greedy_net(vectors(spark, sf), EPSILON), EPSILON)
 
 
 def merged_net_top(spark, sf) -> DataFrame:
-    merged = search.merged_net(search.greedy_net(vectors(spark, sf), 0.5), 0.7)
-    return rounded(search.merged_net_search(query_vectors(spark, sf), merged, K), "score")
+    return rounded(search.merged_net_search(query_vectors(spark, sf), _merged(spark, sf), K), "score")
 
 
-def ivf_pq_search(spark, sf) -> DataFrame:
-    """Eight of the eight cells probed, the head of 100 candidates reranked."""
+PROBES = (1, 2, 4, 8, 16, 32)
+
+
+def oracle_probe(spark, sf) -> DataFrame:
+    """Cells around the first 32 vectors: what the exact top 10 and its R-precision lose by probing few of them."""
     v, q = vectors(spark, sf), query_vectors(spark, sf)
-    c = search.kmeans(v, 8, 5)
-    cells = search.assign_cells(v, c)
-    books = search.pq_books(cells, c)
-    head = search.ivf_pq(q, search.pq_encode(cells, c, books), c, books, 100, 8)
-    return _score_only(search.rerank(head, q, v, K))
+    c = np.array([r["embedding"] for r in v.where("vector_id < 32").orderBy("vector_id").collect()], np.float32)  # 32 rows
+    placed = probing.probe_ranks(found(spark, sf), q, v, c)
+    shares = probing.scanned_shares(q, v, c, list(PROBES))
+    out = probing.probe_table(placed, shares, list(PROBES), [1, 10], q, accessions(spark, sf), truth(spark, sf), K)
+    return rounded(out, "scanned", "top_1", "top_10", "r_precision")
+
+
+def _spans(spark, sf) -> DataFrame:
+    """For each query the middle of the window with its number and of the one 5 before it, as aligned spans."""
+    w = chunks(spark, sf).join(contigs(spark, sf).select("contig", "accession"), "contig")
+    q = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), F.explode(F.array(F.col("vec_id"), F.col("vec_id") - 5)).alias("vector_id"))
+    return w.join(q, "vector_id").select("query_id", "accession", "contig", (F.col("start") + 64).alias("s"), (F.col("start") + 192).alias("e"))
+
+
+def window_recall(spark, sf) -> DataFrame:
+    """Whether the hits' windows lie on the query's spans, at 3 and 10."""
+    of = chunks(spark, sf).join(contigs(spark, sf).select("contig", "accession"), "contig").select("vector_id", "accession")
+    flat = found(spark, sf).select("query_id", "rank", "vector_id").join(of, "vector_id")
+    return probing.window_recall(flat, _spans(spark, sf), chunks(spark, sf), 256, [3, 10])
+
+
+def window_cover(spark, sf) -> DataFrame:
+    """Every window over a query's spans, and how much of them it covers."""
+    return probing.window_cover(_spans(spark, sf), chunks(spark, sf), 256).select("query_id", "contig", "s", "vector_id", F.col("overlap").cast("long").alias("overlap"), "contains")
+
+
+def decoy_pairs(spark, sf) -> DataFrame:
+    """Every event with an event of another user and the same type."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), F.col("event_type").alias("rate"), F.col("user_id").alias("query_id"))
+    return probing.decoys(rows, "rate", 7, store.scratch(spark, "decoys")).select("row_id", "decoy")
+
+
+def audit(spark, sf) -> DataFrame:
+    """Lines of orders as alignments: quantity as coverage, discount as lost identity."""
+    line = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("rate"), (F.col("l_linenumber") == 1).alias("relevant"), (1 - 4 * F.col("l_discount").cast("double")).alias("identity"), (F.col("l_quantity").cast("double") / 50).alias("coverage"))
+    out = probing.audit_summary(line, ["rate", "relevant"], 0.5, store.scratch(spark, "audit"))
+    return rounded(out, "pass_share", "share_75", "share_95", "id_median", "id_p10", "id_p90")
+
+
+def audit_bins(spark, sf) -> DataFrame:
+    line = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("rate"), (1 - 4 * F.col("l_discount").cast("double") + 0.001).alias("identity"), (F.col("l_quantity").cast("double") / 50).alias("coverage"))
+    return probing.identity_histogram(line, ["rate"], 0.5)
+
+
+def _reads(spark, sf) -> DataFrame:
+    """Every twentieth item."""
+    return table(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("sequence"))
+
+
+def aligned_reads(spark, sf) -> DataFrame:
+    """Seeds of 12, the 50 best documents extended on both strands, the best 10 sources."""
+    out = alignment_search.search(_reads(spark, sf), contigs(spark, sf), 12, 50, K, store.scratch(spark, "alignments"))
+    return rounded(out, "identity", "coverage")
+
+
+def hard_negatives(spark, sf) -> DataFrame:
+    """For every twentieth item the 5 items that hold most of it."""
+    pool = table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("sequence"))
+    return rounded(kmer_search.hard_negatives(_reads(spark, sf), pool, 5, 5).select("query_id", "rank", "target_id", "distance", "score"), "score")
+
+
+def contained_items(spark, sf) -> DataFrame:
+    """Pairs of items of which one lies in the other with nine tenths of its characters."""
+    pool = table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("sequence"))
+    return kmer_search.infix_filter(_reads(spark, sf), pool, sq.k_of_identity(0.9), 0.9)
 
 
 def chunks(spark, sf) -> DataFrame:
@@ -364,11 +489,10 @@ def recall_deltas(spark, sf) -> DataFrame:
 
 
 def training_pairs(spark, sf) -> DataFrame:
-    """Of all windows of 256 without overlap, the tail included if it has 150 characters. window_id: doc_id * 2^20 + number of the window."""
-    text = table(spark, sf, "documents").where("length(text) >= 150").select("doc_id", F.upper("text").alias("seq"))
-    w = text.select("doc_id", "seq", F.posexplode(sq.query_starts(F.length("seq"), 256)).alias("no", "start"))
-    w = w.select((F.col("doc_id") * 2**20 + F.col("no")).alias("window_id"), F.substring("seq", F.col("start") + 1, F.lit(256)).alias("seq"))
-    return training_data.pairs(w.where("length(seq) >= 150"))
+    """Of all full windows of 256 without overlap. window_id: doc_id * 2^20 + number of the window."""
+    text = table(spark, sf, "documents").select(F.col("doc_id").alias("contig"), F.col("text").alias("sequence"))
+    w = training_data.full_windows(text, 256, 256)
+    return training_data.pairs(w.select((F.col("contig") * 2**20 + F.floor(F.col("start") / 256)).alias("window_id"), "seq"))
 
 
 def _q(sql: str, with_: str) -> str:
@@ -386,6 +510,14 @@ _CUTS = f"{_RUN_JUDGED}, n AS (SELECT rate, coalesce(bi, -2.0) AS score FROM p),
 _SYSTEMS = "y AS (SELECT 'q' || vec_id AS query_id, 'm' || label % 3 AS model, CASE WHEN label % 3 > 0 THEN 'c' || label % 3 END AS chunk_type, CAST(vec_id % 5 AS DOUBLE) AS index_size_gb, CAST(vec_id // 20 % 7 AS DOUBLE) AS avg_time FROM embeddings WHERE vec_id % 20 = 0)"
 _BINS = "a AS (SELECT l_orderkey AS query_id, l_suppkey AS accession, 1 - 1.5 * CAST(l_discount AS DOUBLE) AS identity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY identity DESC, l_quantity DESC, l_linenumber = 1 DESC, l_suppkey) = 1), b AS (SELECT o_orderkey AS query_id, accession, identity, CASE WHEN identity IS NULL THEN 'unaligned' WHEN identity < 0.9 THEN 'lt0.90' WHEN identity < 0.95 THEN '0.90-0.95' WHEN identity < 0.99 THEN '0.95-0.99' ELSE 'ge0.99' END AS bin FROM orders LEFT JOIN a ON query_id = o_orderkey)"
 
+_WINDOWS = f"{_CONTIGS}, w0 AS (SELECT contig, accession, CAST(no - 1 AS INT) AS no, starts[no] AS start FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS no FROM (SELECT *, CASE WHEN length(sequence) <= 256 THEN [0] ELSE list_concat(range(0, length(sequence) - 255, 106), CASE WHEN (length(sequence) - 256) % 106 > 50 THEN [length(sequence) - 256] ELSE [] END) END AS starts FROM c))), m0 AS (SELECT accession, CAST(sum({_NWIN}) AS BIGINT) AS num_rows FROM c GROUP BY 1), r0 AS (SELECT accession, CAST(coalesce(sum(num_rows) OVER (ORDER BY accession ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_row FROM m0), w AS (SELECT start_row + row_number() OVER (PARTITION BY accession ORDER BY contig, no) - 1 AS vector_id, contig, accession, start FROM w0 JOIN r0 USING (accession))"
+_SPANS = f"{_WINDOWS}, p AS (SELECT query_id, accession, contig, start + 64 AS s, start + 192 AS e FROM w JOIN (SELECT 'q' || vec_id AS query_id, unnest([vec_id, vec_id - 5]) AS vector_id FROM embeddings WHERE vec_id % 20 = 0) USING (vector_id))"
+_COVER = f"{_SPANS}, x AS (SELECT p.query_id, p.accession, p.contig, s, vector_id, least(e, start + 256) - greatest(s, start) AS overlap, start <= s AND start + 256 >= e AS contains FROM p JOIN w ON w.contig = p.contig AND start < e AND start + 256 > s)"
+_PROBE = f"{_JUDGED.replace(', j0 AS', ', j1 AS')}, cc AS (SELECT vector_id AS cell, e FROM v WHERE vector_id < 32), a AS (SELECT vector_id, arg_max(cell, (p, -cell)) AS cell FROM (SELECT v.vector_id, cell, list_inner_product(v.e, cc.e) AS p FROM v, cc) GROUP BY 1), qp AS (SELECT query_id, cell, list_inner_product(q.e, cc.e) AS p FROM q, cc), o AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, cell) AS place, rank() OVER (PARTITION BY query_id ORDER BY p DESC) - 1 AS ahead FROM qp), n AS (SELECT cell, count(*) / (SELECT count(*) FROM v) AS share FROM a GROUP BY 1), pr AS (SELECT unnest([1, 2, 4, 8, 16, 32]) AS nprobe), hp AS (SELECT h.query_id, h.rank, h.accession, h.score, ahead FROM h JOIN a USING (vector_id) JOIN o ON o.query_id = h.query_id AND o.cell = a.cell), cov AS (SELECT nprobe, avg(CASE WHEN rank <= 1 THEN CAST(ahead < nprobe AS INT) END) AS top_1, avg(CAST(ahead < nprobe AS INT)) AS top_10 FROM hp, pr GROUP BY 1), scan AS (SELECT nprobe, sum(coalesce(share, 0)) / (SELECT count(*) FROM q) AS scanned FROM pr JOIN o ON place <= nprobe LEFT JOIN n USING (cell) GROUP BY 1), bp AS (SELECT nprobe, query_id, accession, max(score) AS score FROM hp, pr WHERE ahead < nprobe GROUP BY ALL), rp AS (SELECT nprobe, query_id, accession, coalesce(score, -2.0) AS score FROM (SELECT nprobe, q.query_id, accession FROM pr, q, (SELECT DISTINCT accession FROM v)) LEFT JOIN bp USING (nprobe, query_id, accession)), jp AS (SELECT rp.*, CASE WHEN t.accession IS NULL THEN 0 ELSE 1 END AS rel FROM rp LEFT JOIN t USING (query_id, accession)), jr AS (SELECT *, sum(rel) OVER (PARTITION BY nprobe, query_id) AS n_rel, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY score DESC, accession) AS rn FROM jp QUALIFY n_rel > 0), ce AS (SELECT nprobe, avg(v) AS r_precision FROM (SELECT nprobe, query_id, CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM jr GROUP BY ALL) GROUP BY 1)"
+
+#: What a search that finds nine tenths of the exact top K reports.
+_RECALL = f"WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT count(*) AS n_queries, CAST(sum(least({K}, n)) AS BIGINT) AS n_wanted, true AS reached FROM embeddings, n WHERE vec_id % 20 = 0"
+
 #: name -> (query, SQL or None)
 _ALL = {
     "exact_topk": (lambda s, d: rounded(found(s, d).select("query_id", "rank", "accession", "score", "vector_id"), "score"), _q("SELECT query_id, CAST(rank AS INT) AS rank, accession, round(score, 6) AS score, vector_id FROM h", _HITS)),
@@ -405,14 +537,14 @@ _ALL = {
     "row_ranges": (row_ranges, _q("SELECT accession, num_rows, start_row FROM r", _META)),
     "resolve_rows": (resolve_rows, _q("SELECT row_id, accession FROM (SELECT unnest(range(0, (SELECT CAST(sum(num_rows) AS BIGINT) FROM m))) AS row_id) i JOIN r ON row_id >= start_row AND row_id < start_row + num_rows", _META)),
     "kmer_search": (kmer_top, _q("SELECT query_id, accession, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, accession) AS INT) AS rank FROM (SELECT query_id, accession, CAST(sum(n) AS DOUBLE) AS score FROM a JOIN h USING (kmer) GROUP BY ALL) QUALIFY rank <= 20", f"{_CONTIGS}, b AS (SELECT item_id AS query_id, text AS s FROM benchmark), a AS (SELECT query_id, substr(s, i, 21) AS kmer, count(*) AS n FROM (SELECT *, unnest(range(1, length(s) - 19)) AS i FROM b) GROUP BY ALL), h AS (SELECT DISTINCT accession, substr(sequence, i, 21) AS kmer FROM (SELECT accession, sequence, unnest(range(1, length(sequence) - 19)) AS i FROM c))")),
-    "reverse_complement": (strands_of_text, _q("SELECT contig, translate(reverse(p), 'ACGTUNRYSWKMBDHVacgtunryswkmbdhv', 'TGCAANYRSWMKVHDBtgcaanyrswmkvhdb') AS rc, round(CASE WHEN length(p) > 0 THEN CAST(length(regexp_replace(p, '[^GCgc]', '', 'g')) AS DOUBLE) / length(p) ELSE 0 END, 6) AS gc, CASE WHEN contig % 100 / 100.0 < 0.9 THEN '<0.90' WHEN contig % 100 / 100.0 < 0.95 THEN '0.90-0.95' WHEN contig % 100 / 100.0 < 0.99 THEN '0.95-0.99' ELSE '>=0.99' END AS bin FROM (SELECT contig, sequence AS p FROM c)", _CONTIGS)),
+    "reverse_complement": (strands_of_text, _q("SELECT contig, translate(reverse(p), 'ACGTUNRYSWKMBDHVacgtunryswkmbdhv', 'TGCAANYRSWMKVHDBtgcaanyrswmkvhdb') AS rc, round(CASE WHEN length(p) > 0 THEN CAST(length(regexp_replace(p, '[^GCgc]', '', 'g')) AS DOUBLE) / length(p) ELSE 0 END, 6) AS gc, CASE WHEN contig % 100 / 100.0 < 0.9 THEN 'lt0.90' WHEN contig % 100 / 100.0 < 0.95 THEN '0.90-0.95' WHEN contig % 100 / 100.0 < 0.99 THEN '0.95-0.99' ELSE 'ge0.99' END AS bin FROM (SELECT contig, sequence AS p FROM c)", _CONTIGS)),
     "kmer_entropy": (kmer_entropy, _q("SELECT contig, round(-sum(p * log2(p)), 6) AS entropy, count(*) AS n_kmers FROM (SELECT contig, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY contig) AS p FROM (SELECT contig, substr(s, i, 3) AS kmer, count(*) AS n FROM (SELECT contig, s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT contig, sequence AS s FROM c)) GROUP BY ALL)) GROUP BY 1", _CONTIGS)),
     "edit_distances": (edit_distances, "WITH x AS (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM benchmark) SELECT a.item_id AS one, b.item_id AS two, levenshtein(a.s, b.s) AS distance, round(CAST(levenshtein(a.s, b.s) AS DOUBLE) / greatest(length(a.s), length(b.s)), 6) AS by_longest FROM x a JOIN x b ON a.item_id % 20 = 0 AND a.item_id <> b.item_id"),
     "fpr_calibration": (calibration, _q("SELECT 'exact' AS model, k.rate, fpr, n_negatives, round(cutoff, 6) AS cutoff, round(avg(CASE WHEN n.score > cutoff OR (n.score = cutoff AND NOT above) THEN 1 ELSE 0 END), 6) AS realized, round(avg(CASE WHEN n.score <= -2 THEN 1 ELSE 0 END), 6) AS no_hit_fraction FROM k JOIN n ON n.rate = k.rate GROUP BY ALL", _CUTS)),
     "true_positive_rates": (true_positives, _q("SELECT 'exact' AS model, p.rate, m.fpr, count(*) AS n_positives, round(f0.cutoff, 6) AS cutoff_fixed, round(m.cutoff, 6) AS cutoff_matched, round(avg(CASE WHEN br > f0.cutoff OR (br = f0.cutoff AND NOT f0.above) THEN 1 ELSE 0 END), 6) AS tpr_fixed, round(avg(CASE WHEN br > m.cutoff OR (br = m.cutoff AND NOT m.above) THEN 1 ELSE 0 END), 6) AS tpr_matched FROM p JOIN k m ON m.rate = p.rate JOIN k f0 ON f0.rate = 0 AND f0.fpr = m.fpr GROUP BY p.rate, m.fpr, f0.cutoff, m.cutoff", _CUTS)),
     "margin_summary": (margins_by_rate, _q("SELECT rate, round(quantile_cont(bi, 0.5), 6) AS floor_med, round(quantile_cont(bi, 0.9), 6) AS floor_p90, round(quantile_cont(br, 0.5), 6) AS true_med, round(quantile_cont(br - bi, 0.5), 6) AS margin_med, round(avg(CASE WHEN br > bi THEN 1 ELSE 0 END), 6) AS true_wins FROM p GROUP BY 1", _RUN_JUDGED)),
     "first_relevant": (lambda s, d: evaluation.first_relevant(judged(s, d)), _q("SELECT query_id, CAST(min(rn) FILTER (rel = 1 AND score > -2) AS INT) AS first_rank FROM j GROUP BY 1", _JUDGED)),
-    "run_outcomes": (run_outcomes, _q("SELECT CASE WHEN x.v < 1 AND w.v < 1 THEN 'both fail' WHEN w.v < 1 THEN 'rescued' WHEN x.v < 1 THEN 'newly failing' ELSE 'both ok' END AS outcome, count(*) AS n FROM e x JOIN e w ON x.query_id = w.query_id || '-' GROUP BY 1", _RUN_JUDGED + ", e AS (SELECT query_id, CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM j GROUP BY 1)")),
+    "run_outcomes": (run_outcomes, _q("SELECT CASE WHEN x.v < 1 AND w.v < 1 THEN 'fails twice' WHEN w.v < 1 THEN 'mended' WHEN x.v < 1 THEN 'broken' ELSE 'holds' END AS outcome, count(*) AS n FROM e x JOIN e w ON x.query_id = w.query_id || '-' GROUP BY 1", _RUN_JUDGED + ", e AS (SELECT query_id, CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM j GROUP BY 1)")),
     "run_overlap": (run_overlap, _q("SELECT query_id, round(count(*) FILTER (n = 2) / 50.0, 6) AS overlap FROM (SELECT query_id, vector_id, count(*) AS n FROM (SELECT query_id, vector_id, noisy FROM (SELECT query_id, vector_id, noisy, list_inner_product(CASE WHEN noisy THEN list_reverse(q.e) ELSE q.e END, v.e) AS s FROM q, v, (SELECT unnest([true, false]) AS noisy)) QUALIFY row_number() OVER (PARTITION BY query_id, noisy ORDER BY s DESC, vector_id) <= 50) GROUP BY ALL) GROUP BY 1", _V)),
     "hits_accuracy": (lambda s, d: rounded(evaluation.hits_accuracy(judged(s, d)), "auprc", "rprec", "recall7"), _q("SELECT (SELECT round(avg(ap), 6) FROM (SELECT sum(CAST(r AS DOUBLE) * cr / cn) / sum(r) AS ap FROM (SELECT query_id, r, sum(n) OVER w AS cn, sum(r) OVER w AS cr FROM (SELECT query_id, score, count(*) AS n, sum(rel) AS r FROM j GROUP BY ALL) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY query_id)) AS auprc, round(avg(rp), 6) AS rprec, round(avg(r7), 6) AS recall7 FROM (SELECT CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS rp, CAST(sum(CASE WHEN rn <= 7 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS r7 FROM j GROUP BY query_id)", _JUDGED)),
     "substitution_ceiling": (substitution, _q("SELECT (SELECT round(avg(ap), 6) FROM (SELECT sum(CAST(r AS DOUBLE) * cr / cn) / sum(r) AS ap FROM (SELECT query_id, r, sum(n) OVER w AS cn, sum(r) OVER w AS cr FROM (SELECT query_id, score, count(*) AS n, sum(rel) AS r FROM i GROUP BY ALL) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY query_id)) AS auprc, round(avg(rp), 6) AS rprec, round(avg(r7), 6) AS recall7 FROM (SELECT CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS rp, CAST(sum(CASE WHEN rn <= 7 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS r7 FROM i GROUP BY query_id)", _JUDGED + ", i AS (SELECT query_id, accession, rel, n_rel, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, accession) AS rn FROM (SELECT query_id, accession, rel, n_rel, CASE WHEN rel = 1 THEN 0.5 ELSE score END AS score FROM j))")),
@@ -437,13 +569,27 @@ _ALL = {
     "interval_overlap": (overlap_pairs, "SELECT a.user_id, a.event_id AS one, b.event_id AS two, least(a.event_id % 97, b.event_id % 97) + 10 - greatest(a.event_id % 97, b.event_id % 97) AS overlap FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE least(a.event_id % 97, b.event_id % 97) + 10 > greatest(a.event_id % 97, b.event_id % 97)"),
     "spearman": (rank_correlation, "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS x, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS y FROM part) SELECT round(corr(x, y), 6) AS rho FROM r"),
     "quantized_search": (lambda s, d: _score_only(search.quantized_exact(query_vectors(s, d), vectors(s, d), K)), None),
-    "pca_search": (lambda s, d: _score_only(search.pca(query_vectors(s, d), vectors(s, d), K, 16)), None),
+    "pca_search": (lambda s, d: _score_only(_pca_found(s, d)), None),
     "whitened_search": (lambda s, d: _score_only(search.whitened(query_vectors(s, d), vectors(s, d), K, 0.25)), None),
     "rabitq_search": (rabitq_search, None),
     "ivf_search": (ivf_search, None),
     "epsilon_net_search": (net_search, None),
     "merged_net_search": (merged_net_top, None),
     "ivf_pq_search": (ivf_pq_search, None),
+    "ivf_rabitq_search": (ivf_rabitq_search, None),
+    "ivf_rabitq_recall": (lambda s, d: recall_of(s, d, _cells_found), _RECALL),
+    "ivf_pq_recall": (lambda s, d: recall_of(s, d, _shards_found), _RECALL),
+    "pca_recall": (lambda s, d: recall_of(s, d, _pca_found), _RECALL),
+    "oracle_probe": (oracle_probe, _q("SELECT nprobe, round(scanned, 6) AS scanned, round(top_1, 6) AS top_1, round(top_10, 6) AS top_10, round(r_precision, 6) AS r_precision FROM cov JOIN scan USING (nprobe) JOIN ce USING (nprobe)", _PROBE)),
+    "window_cover": (window_cover, _q("SELECT query_id, contig, s, vector_id, overlap, contains FROM x", _COVER)),
+    "window_recall": (window_recall, _q("SELECT query_id, accession, " + ", ".join(f"coalesce({f} <= {k}, false) AS {c}_{k}" for k in (3, 10) for c, f in (("acc", "acc"), ("win", "win"), ("contain", "con"))) + " FROM (SELECT DISTINCT query_id, accession FROM p) LEFT JOIN (SELECT f.query_id, f.accession, min(rank) AS acc, min(rank) FILTER (w2) AS win, min(rank) FILTER (c2) AS con FROM f LEFT JOIN (SELECT query_id, accession, vector_id, bool_or(overlap >= 64) AS w2, bool_or(contains) AS c2 FROM x GROUP BY ALL) z USING (query_id, accession, vector_id) GROUP BY ALL) USING (query_id, accession) WHERE query_id IN (SELECT query_id FROM f)", f"{_HITS}, {_COVER.replace(', p AS', ', p AS', 1)}, f AS (SELECT query_id, rank, vector_id, w.accession FROM h JOIN w USING (vector_id))")),
+    "decoy_pairs": (decoy_pairs, "WITH r AS (SELECT event_id AS row_id, event_type AS rate, user_id AS query_id FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY rate ORDER BY md5('7:' || query_id), query_id, row_id) - 1 AS place, count(*) OVER (PARTITION BY rate) AS n FROM r), s AS (SELECT rate, max(c) AS step FROM (SELECT rate, query_id, count(*) AS c FROM r GROUP BY ALL) GROUP BY 1) SELECT x.row_id, CASE WHEN y.query_id <> x.query_id THEN y.row_id END AS decoy FROM o x JOIN s USING (rate) JOIN o y ON y.rate = x.rate AND y.place = (x.place + step) % x.n"),
+    "alignment_audit": (audit, "SELECT rate, relevant, count(*) AS n_hits, round(avg(CAST(c >= 0.5 AS INT)), 6) AS pass_share, round(avg(CAST(i >= 0.75 AS INT)) FILTER (c >= 0.5), 6) AS share_75, round(avg(CAST(i >= 0.95 AS INT)) FILTER (c >= 0.5), 6) AS share_95, round(quantile_cont(i, 0.5) FILTER (c >= 0.5), 6) AS id_median, round(quantile_cont(i, 0.1) FILTER (c >= 0.5), 6) AS id_p10, round(quantile_cont(i, 0.9) FILTER (c >= 0.5), 6) AS id_p90 FROM (SELECT l_returnflag AS rate, l_linenumber = 1 AS relevant, 1 - 4 * CAST(l_discount AS DOUBLE) AS i, CAST(l_quantity AS DOUBLE) / 50 AS c FROM lineitem) GROUP BY 1, 2"),
+    "audit_bins": (audit_bins, "SELECT rate, count(*) FILTER (c < 0.5) AS fail, " + ", ".join(f"count(*) FILTER (c >= 0.5 AND i > {low} AND i <= {high if high < 1 else 9}) AS under_{round(100 * high)}" for low, high in zip((-9, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95), (0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1))) + " FROM (SELECT l_returnflag AS rate, 1 - 4 * CAST(l_discount AS DOUBLE) + 0.001 AS i, CAST(l_quantity AS DOUBLE) / 50 AS c FROM lineitem) GROUP BY 1"),
+    "alignment_search": (aligned_reads, None),
+    "hard_negatives": (hard_negatives, None),
+    "contained_items": (contained_items, None),
+    "epsilon_net_cover": (net_cover, "SELECT 'acc' || label AS accession, count(*) AS n_rows, true AS smaller, true AS covered FROM embeddings GROUP BY 1"),
     "hit_contigs": (hit_contigs, None),
     "binned_report": (recall_by_label, _q("SELECT b.bin, count(*) AS n_queries, count(x.recall) AS n_scored, round(avg(x.recall), 6) AS mean FROM (SELECT query_id, unnest(['label' || label, 'all']) AS bin FROM q) b LEFT JOIN (SELECT query_id, CAST(sum(CASE WHEN rn <= 3 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS recall FROM j GROUP BY 1) x USING (query_id) GROUP BY 1", _JUDGED)),
     "paired_deltas": (recall_deltas, _q("SELECT query_id, round(CAST(sum(CASE WHEN rn <= 5 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) - CAST(sum(CASE WHEN rn <= 3 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel), 6) AS delta FROM j GROUP BY 1", _JUDGED)),

@@ -1,73 +1,29 @@
-"""FASTA and fbin files as Spark data sources, and writers."""
+"""FASTA files: read in splits by Spark's text reader, written as text."""
 
 from __future__ import annotations
 
-import os
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """contigs(accession, contig_ord, contig_id, sequence); the accession is the name of the file's folder.
 
-    Files are read by Spark's own text reader, so any store that Spark opens will do.
+    Records end where a line begins with ">", so large files are read in splits. A record's number in
+    its file is its place within a split and the counts of the splits before, a row for each split.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("accession", F.element_at(F.split(F.input_file_name(), "/"), -2))
-    records = files.select("accession", F.posexplode(F.filter(F.split("value", r"(?m)^>"), lambda r: F.trim(r) != "")).alias("contig_ord", "record"))
-    head = F.regexp_extract("record", r"^([^\s]*)", 1)
-    body = F.regexp_replace(F.regexp_replace("record", r"^[^\n]*", ""), r"\s+", "")
-    return records.select("accession", F.col("contig_ord").cast("long"), head.alias("contig_id"), body.alias("sequence"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("split")
+    text = spark.read.option("recursiveFileLookup", True).text(path, lineSep="\n>").select("value", place, F.monotonically_increasing_id().alias("at"))
+    records = text.where(F.trim(F.translate("value", "\r\n>", "")) != "")
+    splits = records.groupBy("split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.aggregate(F.filter("all", lambda x: (x["split"]["file"] == F.col("split.file")) & (x["split"]["block"] < F.col("split.block"))), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    files = splits.groupBy("split.file").agg(F.collect_list(F.struct("split", "first", "n")).alias("all"))  # a list of a file's splits
+    starts = files.select(F.explode("all").alias("own"), "all").select("own.*", "all").select("split", "first", before.alias("before"))
+    own = records.join(F.broadcast(starts), "split")  # a row for each split of the input
+    head = F.regexp_extract("value", r"^>?([^\s]*)", 1)
+    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s+", "")
+    return own.select(F.element_at(F.split("split.file", "/"), -2).alias("accession"), (F.col("before") + F.col("at") - F.col("first")).alias("contig_ord"), head.alias("contig_id"), body.alias("sequence"))
 
 
 def write_fasta(df: DataFrame, path: str, name: str = "query_id", sequence: str = "sequence") -> None:
     df.select(F.concat(F.lit(">"), F.col(name).cast("string"), F.lit("\n"), F.col(sequence)).alias("value")).write.text(path)
-
-
-class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        super().__init__((start, end))
-        self.start, self.end = start, end
-
-
-class FbinReader(DataSourceReader):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
-
-    def partitions(self):
-        n = int(np.fromfile(self.path, np.uint32, 2)[0])
-        return [_Range(a, min(n, a + self.rows)) for a in range(0, n, self.rows)] or [_Range(0, 0)]
-
-    def read(self, partition):
-        with open(self.path, "rb") as f:
-            d = int(np.fromfile(f, np.uint32, 2)[1])
-            f.seek(8 + 4 * d * partition.start)
-            rows = np.fromfile(f, np.float32, d * (partition.end - partition.start)).reshape(-1, d)
-        for i, row in enumerate(rows):
-            yield partition.start + i, row.tolist()
-
-
-class FbinSource(DataSource):
-    """spark.read.format("fbin").load(path): two uint32 (rows, dimension), then float32 rows, on a path that executors can open."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fbin"
-
-    def schema(self) -> str:
-        return "vector_id long, embedding array<float>"
-
-    def reader(self, schema):
-        return FbinReader(self.options["path"], int(self.options.get("rows", 100_000)))
-
-
-def write_fbin(vectors: DataFrame, path: str, dim: int) -> None:
-    """One file in order of vector_id, streamed row by row and renamed when whole."""
-    n = vectors.count()
-    with open(path + ".tmp", "wb") as f:
-        np.array([n, dim], np.uint32).tofile(f)
-        for r in vectors.orderBy("vector_id").select("embedding").toLocalIterator(prefetchPartitions=True):
-            np.array(r[0], np.float32).tofile(f)
-    os.replace(path + ".tmp", path)
