@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequences import bin_label
+from strandmill.functions.tables import cut
 from strandmill.operators import metrics, ordering
 from strandmill.schemas import MISS_SCORE
 
@@ -131,6 +132,12 @@ def margin_summary(per_query: DataFrame, by: list[str], save) -> DataFrame:
     return out.select(*by, "floor_med", "floor_p90", "true_med", "margin_med", "true_wins")
 
 
+def ratio_table(windows: DataFrame, edges: list[float], labels: list[str]) -> DataFrame:
+    """(ratio, n, mean_score, above_floor) of windows(ratio, score, floor) by ranges of their ratio, closed above: how often the score beats the best irrelevant one."""
+    own = windows.groupBy(cut(F.col("ratio"), edges, labels).alias("ratio"))
+    return own.agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg((F.col("score") > F.col("floor")).cast("int")).alias("above_floor"))
+
+
 def first_relevant(judgements: DataFrame) -> DataFrame:
     """(query_id, first_rank): rank of the first relevant accession that was reached, null if none was."""
     reached = (F.col("rel") == 1) & (F.col("score") > MISS_SCORE)

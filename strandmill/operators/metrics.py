@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +58,37 @@ def per_query(results: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("margin", F.col("best_relevant") - F.col("best_irrelevant"))
 
 
-def bootstrap_half_width(values: DataFrame, column: str, samples: int = 1000, seed: int = 0) -> tuple[float, float]:
-    """Mean and 1.96 deviations of resampled means. One value for each query comes to the driver."""
-    x = np.array([r[0] for r in values.select(column).orderBy(column).toLocalIterator()])
-    rng = np.random.default_rng(seed)
-    means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(samples)])
-    return float(x.mean()), float(1.96 * means.std())
+#: Shares of Poisson(1) draws up to 0, 1, 2 ..; fixed values.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
+def bootstrap_margins(values: DataFrame, by: list[str], key: str, column: str, samples: int = 1000, seed: int = 0) -> DataFrame:
+    """(by, n, mean, margin): the mean and 1.96 deviations of resampled means, nulls left out.
+
+    A row takes part in a sample as often as a Poisson draw says, from a hash of its key
+    and the sample's number, so samples are added up where the rows are. A sample that drew no row is left out.
+    """
+    own = values.where(F.col(column).isNotNull()).select(*by, key, F.col(column).cast("double").alias("_v"))
+    drawn = own.withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_s").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296
+    times = sum(((u > p).cast("int") for p in POISSON), F.lit(0))
+    means = drawn.withColumn("_w", times).groupBy(*by, "_s").agg(F.sum("_w").alias("_n"), (F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    spread = means.groupBy(*by).agg((1.96 * F.stddev_pop("_m")).alias("margin"))
+    plain = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    if not by:
+        return plain.crossJoin(spread)  # one row each
+    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+    return plain.alias("x").join(spread.alias("y"), on).select(*[F.col(f"x.{c}") for c in plain.columns], "margin")
+
+
+def wide_margins(margins: DataFrame, row: str, column: str, labels: list[str], digits: int = 3) -> DataFrame:
+    """A row for each value of ``row`` and a column for each label of ``column``: the mean and its margin as text, null where there is none."""
+    text = F.format_string(f"%.{digits}f±%.{digits}f", "mean", "margin")
+    return margins.groupBy(row).agg(*[F.max(F.when(F.col(column) == c, text)).alias(c) for c in labels])
 
 
 def paired_deltas(one: DataFrame, base: DataFrame, column: str) -> DataFrame:
-    """(query_id, delta) over the queries both have; ``bootstrap_half_width`` gives its margin."""
+    """(query_id, delta) over the queries both have; ``bootstrap_margins`` gives its margin."""
     return one.select("query_id", F.col(column).alias("_one")).join(base.select("query_id", F.col(column).alias("_base")), "query_id").select("query_id", (F.col("_one") - F.col("_base")).alias("delta"))
 
 

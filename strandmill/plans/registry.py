@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequences as sq
+from strandmill.functions import tables
 from strandmill.functions import vectors as fv
 from strandmill.operators import alignment_search, evaluation, hits, inverted_file, kmer_search, metrics, ordering, probing, search, training_data
 from strandmill.sources import store
@@ -290,7 +291,8 @@ def null_safe(spark, sf) -> DataFrame:
 
 
 def anti_join(spark, sf) -> DataFrame:
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a large order."""
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def semi_join(spark, sf) -> DataFrame:
@@ -393,6 +395,87 @@ def merged_net_top(spark, sf) -> DataFrame:
     return rounded(search.merged_net_search(query_vectors(spark, sf), _merged(spark, sf), K), "score")
 
 
+def model_names(spark, sf) -> DataFrame:
+    """Orders as runs: priorities as encoders, the fifth none, and statuses as indexes."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(~F.col("o_orderpriority").startswith("5"), F.concat(F.substring("o_orderpriority", 3, 4), F.lit("-v1@9"))).alias("encoder"), F.concat(F.element_at(F.create_map(*[F.lit(x) for x in ("F", "ivfpq", "O", "exact", "P", "rabitq")]), F.col("o_orderstatus")), F.lit("8")).alias("index"), (F.col("o_orderkey") % 5 / 20).alias("rate"))
+    name = tables.display_name(F.col("encoder"), F.col("index"), {"HIGH": "High"}, {"ivfpq": "+PQ", "rabitq": "+1bit"})
+    return o.select("o_orderkey", tables.model_key(F.col("encoder"), F.col("index"), F.lit("s")).alias("model"), name.alias("shown"), tables.mapped(F.col("index"), {"exact8": "whole"}, strict=True).alias("strict"), tables.rate_name(F.col("rate")).alias("rate"), tables.rate_of(F.concat(tables.rate_name(F.col("rate")), F.lit(".parquet"))).alias("back"))
+
+
+def line_labels(spark, sf) -> DataFrame:
+    """Lines by cuts of their price, and how many have any of three flags."""
+    line = table(spark, sf, "lineitem")
+    label = tables.cut(F.col("l_extendedprice").cast("double"), [1000.0, 20000.0, 50000.0], ["low", "middle", "high", "top"])
+    any_flag = tables.any_of(F.when(F.col("l_linenumber") != 3, F.col("l_returnflag") == "R"), F.col("l_quantity") > 45, F.col("l_discount") > 0.09)
+    return line.groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.count_if(any_flag).alias("n_flagged"))
+
+
+def event_runs(spark, sf) -> DataFrame:
+    """A user's consecutive events of one type as one row."""
+    return tables.merged_runs(table(spark, sf, "events"), ["user_id"], "event_type", ["event_id"]).select("user_id", "event_type", "first.event_id", "n")
+
+
+def first_orders(spark, sf) -> DataFrame:
+    """The 25 dearest orders after nulls are put last, of a column that is null for every third status."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("price"))
+    return o.orderBy(F.desc_nulls_last("price"), "o_orderkey").limit(25)
+
+
+def sampled_orders(spark, sf) -> DataFrame:
+    return tables.sample_rows(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100, 3)
+
+
+def list_unions(spark, sf) -> DataFrame:
+    """Suppliers of an order by line and by price, as one list; its first three; and lines with a price under 30000 kept of a list."""
+    item = F.struct(F.when(F.col("l_extendedprice") < 30000, F.col("l_extendedprice")).alias("price"), F.col("l_suppkey").alias("s"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", item.alias("item"))
+    lists = rows.groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("a"),
+        F.transform(F.array_sort(F.collect_list(F.struct("l_extendedprice", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("b"), F.collect_list("item").alias("items"))
+    joined = tables.ordered_union(F.col("b"), F.col("a"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return lists.select("l_orderkey", text(joined).alias("suppliers"), text(tables.head(joined, 3)).alias("first_three"), F.size(tables.without_nulls(F.col("items"), "price")).cast("long").alias("n_kept"))
+
+
+def bootstrap_table(spark, sf) -> DataFrame:
+    """Recall at 3 by label, and over all, with margins of 40 samples."""
+    each = metrics.recall_at(judged(spark, sf), 3).join(query_vectors(spark, sf).select("query_id", "label"), "query_id")
+    both = each.select("query_id", "recall", F.explode(F.array(F.concat(F.lit("label"), "label"), F.lit("overall"))).alias("bin"))
+    return metrics.bootstrap_margins(both, ["bin"], "query_id", "recall", 40)
+
+
+def bootstrap_wide(spark, sf) -> DataFrame:
+    own = bootstrap_table(spark, sf).withColumn("model", F.lit("exact"))
+    return metrics.wide_margins(own, "model", "bin", ["overall", "label0", "label1"])
+
+
+def prefix_sweep(spark, sf) -> DataFrame:
+    """Mean average precision of searches over the first 16, 32 and 64 dimensions, by how much smaller they are."""
+    out = None
+    for d in (16, 32, 64):
+        short = lambda df, d=d: df.withColumn("embedding", F.slice("embedding", 1, d))
+        flat = search.exact(short(query_vectors(spark, sf)), short(vectors(spark, sf)), K)
+        each = metrics.average_precision(metrics.judged(hits.regroup(flat, query_vectors(spark, sf), accessions(spark, sf), K), truth(spark, sf)))
+        row = each.agg(F.avg("ap").alias("auprc")).select(F.lit(d).alias("dims"), tables.compression_ratio(F.lit(4.0 * d), F.lit(4.0 * 64)).alias("ratio"), "auprc")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, "auprc")
+
+
+def vector_multipliers(spark, sf) -> DataFrame:
+    """Vectors that other windows and steps would take, by those of the plain ones, from the histogram of text lengths."""
+    lengths = contigs(spark, sf).groupBy(F.length("sequence").alias("length")).agg(F.count("*").alias("n"))
+    n = lambda w, s: F.sum(sq.n_windows(F.col("length"), w, s, None, 45) * F.col("n"))
+    plain = n(256, 106)
+    out = lengths.agg(*[(n(w, s) / plain).alias(f"w{w}_s{s}") for w, s in ((128, 64), (256, 256), (512, 128))])
+    return rounded(out, *out.columns)
+
+
+def ratio_table(spark, sf) -> DataFrame:
+    """Lines as windows: discount by tax as ratio, quantity as score, against the best quantity of another supplier's lines of the order."""
+    line = table(spark, sf, "lineitem").select((F.col("l_tax").cast("double") * 10).alias("ratio"), F.col("l_quantity").cast("double").alias("score"), (F.col("l_extendedprice").cast("double") / 2000).alias("floor"))
+    return rounded(evaluation.ratio_table(line, [0.2, 0.4, 0.6], ["r0", "r2", "r4", "r6"]), "mean_score", "above_floor")
+
+
 PROBES = (1, 2, 4, 8, 16, 32)
 
 
@@ -515,6 +598,21 @@ _SPANS = f"{_WINDOWS}, p AS (SELECT query_id, accession, contig, start + 64 AS s
 _COVER = f"{_SPANS}, x AS (SELECT p.query_id, p.accession, p.contig, s, vector_id, least(e, start + 256) - greatest(s, start) AS overlap, start <= s AND start + 256 >= e AS contains FROM p JOIN w ON w.contig = p.contig AND start < e AND start + 256 > s)"
 _PROBE = f"{_JUDGED.replace(', j0 AS', ', j1 AS')}, cc AS (SELECT vector_id AS cell, e FROM v WHERE vector_id < 32), a AS (SELECT vector_id, arg_max(cell, (p, -cell)) AS cell FROM (SELECT v.vector_id, cell, list_inner_product(v.e, cc.e) AS p FROM v, cc) GROUP BY 1), qp AS (SELECT query_id, cell, list_inner_product(q.e, cc.e) AS p FROM q, cc), o AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, cell) AS place, rank() OVER (PARTITION BY query_id ORDER BY p DESC) - 1 AS ahead FROM qp), n AS (SELECT cell, count(*) / (SELECT count(*) FROM v) AS share FROM a GROUP BY 1), pr AS (SELECT unnest([1, 2, 4, 8, 16, 32]) AS nprobe), hp AS (SELECT h.query_id, h.rank, h.accession, h.score, ahead FROM h JOIN a USING (vector_id) JOIN o ON o.query_id = h.query_id AND o.cell = a.cell), cov AS (SELECT nprobe, avg(CASE WHEN rank <= 1 THEN CAST(ahead < nprobe AS INT) END) AS top_1, avg(CAST(ahead < nprobe AS INT)) AS top_10 FROM hp, pr GROUP BY 1), scan AS (SELECT nprobe, sum(coalesce(share, 0)) / (SELECT count(*) FROM q) AS scanned FROM pr JOIN o ON place <= nprobe LEFT JOIN n USING (cell) GROUP BY 1), bp AS (SELECT nprobe, query_id, accession, max(score) AS score FROM hp, pr WHERE ahead < nprobe GROUP BY ALL), rp AS (SELECT nprobe, query_id, accession, coalesce(score, -2.0) AS score FROM (SELECT nprobe, q.query_id, accession FROM pr, q, (SELECT DISTINCT accession FROM v)) LEFT JOIN bp USING (nprobe, query_id, accession)), jp AS (SELECT rp.*, CASE WHEN t.accession IS NULL THEN 0 ELSE 1 END AS rel FROM rp LEFT JOIN t USING (query_id, accession)), jr AS (SELECT *, sum(rel) OVER (PARTITION BY nprobe, query_id) AS n_rel, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY score DESC, accession) AS rn FROM jp QUALIFY n_rel > 0), ce AS (SELECT nprobe, avg(v) AS r_precision FROM (SELECT nprobe, query_id, CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM jr GROUP BY ALL) GROUP BY 1)"
 
+_BOOT = _JUDGED + ", rc AS (SELECT query_id, CAST(sum(CASE WHEN rn <= 3 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM j GROUP BY 1), rb AS (SELECT query_id, v, unnest(['label' || label, 'overall']) AS bin FROM rc JOIN q USING (query_id)), rs AS (SELECT *, CAST(CAST('0x' || substr(md5('0:' || s || ':' || query_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u FROM rb, (SELECT unnest(range(1, 41)) AS s)), rw AS (SELECT bin, s, v, " + " + ".join(f"CAST(u > {p:.8f} AS INT)" for p in metrics.POISSON) + " AS w FROM rs), rm AS (SELECT bin, s, sum(w * v) / nullif(sum(w), 0) AS m FROM rw GROUP BY 1, 2), rt AS (SELECT bin, count(*) AS n, avg(v) AS mean FROM rb GROUP BY 1), ru AS (SELECT bin, 1.96 * stddev_pop(m) AS margin FROM rm GROUP BY 1)"
+
+
+def _sweep_sql() -> str:
+    parts = []
+    for d in (16, 32, 64):
+        short = _JUDGED.replace("CAST(embedding AS DOUBLE[]) AS e", f"CAST(embedding AS DOUBLE[])[1:{d}] AS e")
+        parts.append(f"SELECT {d} AS dims, {64 / d} AS ratio, round(avg(ap), 6) AS auprc FROM (WITH {short} SELECT query_id, sum(CAST(r AS DOUBLE) * cr / cn) / sum(r) AS ap FROM (SELECT query_id, r, sum(n) OVER w AS cn, sum(r) OVER w AS cr FROM (SELECT query_id, score, count(*) AS n, sum(rel) AS r FROM j GROUP BY ALL) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1)")
+    return " UNION ALL ".join(parts)
+
+
+def _windows_sql(w: int, s: int) -> str:
+    return f"sum(CASE WHEN length(sequence) < 45 THEN 0 WHEN length(sequence) <= {w} THEN 1 ELSE (length(sequence) - {w}) // {s} + 1 END)"
+
+
 #: What a search that finds nine tenths of the exact top K reports.
 _RECALL = f"WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT count(*) AS n_queries, CAST(sum(least({K}, n)) AS BIGINT) AS n_wanted, true AS reached FROM embeddings, n WHERE vec_id % 20 = 0"
 
@@ -561,7 +659,7 @@ _ALL = {
     "centroids": (centroids, "SELECT accession, CAST(i - 1 AS INT) AS i, round(avg(x), 6) AS mean FROM (SELECT 'acc' || label AS accession, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2"),
     "pivot_bins": (pivot_bins, "SELECT o_orderstatus, count(*) FILTER (o_totalprice < 100000) AS low, count(*) FILTER (o_totalprice >= 100000 AND o_totalprice < 250000) AS mid, count(*) FILTER (o_totalprice >= 250000) AS high FROM orders GROUP BY 1"),
     "null_safe_join": (null_safe, "SELECT nullif(o_orderstatus, 'F') AS k, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1"),
-    "anti_join": (anti_join, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "anti_join": (anti_join, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
     "semi_join": (semi_join, "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
     "keep_first": (keep_first, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1"),
     "quantiles": (quantiles, "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS p25, round(quantile_cont(l_extendedprice, 0.5), 6) AS p500, round(quantile_cont(l_extendedprice, 0.975), 6) AS p975 FROM lineitem GROUP BY 1"),
@@ -586,6 +684,17 @@ _ALL = {
     "decoy_pairs": (decoy_pairs, "WITH r AS (SELECT event_id AS row_id, event_type AS rate, user_id AS query_id FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY rate ORDER BY md5('7:' || query_id), query_id, row_id) - 1 AS place, count(*) OVER (PARTITION BY rate) AS n FROM r), s AS (SELECT rate, max(c) AS step FROM (SELECT rate, query_id, count(*) AS c FROM r GROUP BY ALL) GROUP BY 1) SELECT x.row_id, CASE WHEN y.query_id <> x.query_id THEN y.row_id END AS decoy FROM o x JOIN s USING (rate) JOIN o y ON y.rate = x.rate AND y.place = (x.place + step) % x.n"),
     "alignment_audit": (audit, "SELECT rate, relevant, count(*) AS n_hits, round(avg(CAST(c >= 0.5 AS INT)), 6) AS pass_share, round(avg(CAST(i >= 0.75 AS INT)) FILTER (c >= 0.5), 6) AS share_75, round(avg(CAST(i >= 0.95 AS INT)) FILTER (c >= 0.5), 6) AS share_95, round(quantile_cont(i, 0.5) FILTER (c >= 0.5), 6) AS id_median, round(quantile_cont(i, 0.1) FILTER (c >= 0.5), 6) AS id_p10, round(quantile_cont(i, 0.9) FILTER (c >= 0.5), 6) AS id_p90 FROM (SELECT l_returnflag AS rate, l_linenumber = 1 AS relevant, 1 - 4 * CAST(l_discount AS DOUBLE) AS i, CAST(l_quantity AS DOUBLE) / 50 AS c FROM lineitem) GROUP BY 1, 2"),
     "audit_bins": (audit_bins, "SELECT rate, count(*) FILTER (c < 0.5) AS fail, " + ", ".join(f"count(*) FILTER (c >= 0.5 AND i > {low} AND i <= {high if high < 1 else 9}) AS under_{round(100 * high)}" for low, high in zip((-9, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95), (0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1))) + " FROM (SELECT l_returnflag AS rate, 1 - 4 * CAST(l_discount AS DOUBLE) + 0.001 AS i, CAST(l_quantity AS DOUBLE) / 50 AS c FROM lineitem) GROUP BY 1"),
+    "model_names": (model_names, "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority[1] <> '5' THEN substr(o_orderpriority, 3, 4) END AS base, CASE o_orderstatus WHEN 'F' THEN 'ivfpq8' WHEN 'O' THEN 'exact8' ELSE 'rabitq8' END AS index, o_orderkey % 5 / 20.0 AS rate FROM orders) SELECT o_orderkey, concat_ws('/', base || '-v1@9', index, 's') AS model, CASE WHEN base = 'HIGH' THEN 'High' ELSE coalesce(base, index) END || CASE WHEN index = 'ivfpq8' THEN '+PQ' WHEN index = 'rabitq8' THEN '+1bit' ELSE '' END AS shown, CASE WHEN index = 'exact8' THEN 'whole' END AS strict, printf('mut%.2f', CAST(rate AS DOUBLE)) AS rate, CAST(printf('%.2f', CAST(rate AS DOUBLE)) AS DOUBLE) AS back FROM o"),
+    "line_labels": (line_labels, "SELECT CASE WHEN l_extendedprice <= 1000 THEN 'low' WHEN l_extendedprice <= 20000 THEN 'middle' WHEN l_extendedprice <= 50000 THEN 'high' ELSE 'top' END AS label, count(*) AS n, count(*) FILTER ((l_linenumber <> 3 AND l_returnflag = 'R') OR l_quantity > 45 OR l_discount > 0.09) AS n_flagged FROM lineitem GROUP BY 1"),
+    "event_runs": (event_runs, "SELECT user_id, event_type, min(event_id) AS event_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS g FROM events) GROUP BY user_id, event_type, g"),
+    "first_orders": (first_orders, "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS price FROM orders ORDER BY price DESC NULLS LAST, o_orderkey LIMIT 25"),
+    "sampled_orders": (sampled_orders, "SELECT o_orderkey FROM orders ORDER BY md5('3:' || o_orderkey), o_orderkey LIMIT 100"),
+    "list_unions": (list_unions, "WITH b AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_suppkey) AS p FROM lineitem), u AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(p)) AS p FROM b GROUP BY 1, 2) SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY p) AS suppliers, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY p) FILTER (p <= 3) AS first_three, (SELECT count(*) FROM lineitem k WHERE k.l_orderkey = u.l_orderkey AND l_extendedprice < 30000) AS n_kept FROM u GROUP BY 1"),
+    "bootstrap_margins": (lambda s, d: rounded(bootstrap_table(s, d), "mean", "margin"), _q("SELECT bin, n, round(mean, 6) AS mean, round(margin, 6) AS margin FROM rt JOIN ru USING (bin)", _BOOT)),
+    "binned_margins_wide": (bootstrap_wide, _q("SELECT 'exact' AS model, " + ", ".join(f"max(t) FILTER (bin = '{b}') AS \"{b}\"" for b in ("overall", "label0", "label1")) + " FROM (SELECT bin, printf('%.3f±%.3f', mean, margin) AS t FROM rt JOIN ru USING (bin))", _BOOT)),
+    "prefix_sweep": (prefix_sweep, _sweep_sql()),
+    "vector_multipliers": (vector_multipliers, _q("SELECT " + ", ".join(f"round({_windows_sql(w, s)} / {_windows_sql(256, 106)}, 6) AS w{w}_s{s}" for w, s in ((128, 64), (256, 256), (512, 128))) + " FROM c", _CONTIGS)),
+    "ratio_table": (ratio_table, "SELECT CASE WHEN r <= 0.2 THEN 'r0' WHEN r <= 0.4 THEN 'r2' WHEN r <= 0.6 THEN 'r4' ELSE 'r6' END AS ratio, count(*) AS n, round(avg(l_quantity), 6) AS mean_score, round(avg(CAST(l_quantity > l_extendedprice / 2000 AS INT)), 6) AS above_floor FROM (SELECT *, CAST(l_tax AS DOUBLE) * 10 AS r FROM lineitem) GROUP BY 1"),
     "alignment_search": (aligned_reads, None),
     "hard_negatives": (hard_negatives, None),
     "contained_items": (contained_items, None),
