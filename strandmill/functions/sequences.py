@@ -52,19 +52,15 @@ def canonical(kmer: Column) -> Column:
 
 
 def k_of_identity(cutoff: float) -> int:
-    """The longest k that a match of that identity must share."""
-    return math.ceil(1 / (1 - cutoff)) - 1
+    """The longest k that a match of that identity must share: errors as evenly spread as can be leave runs one shorter than their distance."""
+    spacing = round(1 / (1 - cutoff), 9)  # 1 / (1 - 0.9) is a little over 10 in floats
+    return math.ceil(spacing) - 1
 
 
 def gc_fraction(seq: Column) -> Column:
     return F.length(F.regexp_replace(seq, "[^GCgc]", "")) / F.length(seq)
 
 
-def longest_run(seq: Column) -> Column:
-    """Length of the longest run of one character."""
-    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(seq, F.lit(r"((.)\2*)"), F.lit(1)), F.length)), F.lit(0))
-
-
 def bin_label(identity: Column, edges: tuple[float, ...] = (0.90, 0.95, 0.99)) -> Column:
     """Bins closed below; without an identity "unaligned"."""
     edges = sorted(edges)

@@ -71,3 +71,17 @@ def unpack_signs(codes: np.ndarray) -> np.ndarray:
 def rotation(d: int, seed: int = 0) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
     return (q * np.sign(np.diag(r))).astype(np.float32)
+
+
+def ulp_distance(a: Column, b: Column) -> Column:
+    """Representable floats between two floats, across zero too; null where one isn't a number."""
+    @F.arrow_udf("bigint")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        def line(v: pa.Array) -> np.ndarray:
+            bits = v.to_numpy(zero_copy_only=False).astype(np.float32).view(np.uint32).astype(np.int64)
+            return np.where(bits >> 31, -(bits & 0x7FFFFFFF), bits)
+
+        bad = ~(np.isfinite(x.to_numpy(zero_copy_only=False).astype(np.float32)) & np.isfinite(y.to_numpy(zero_copy_only=False).astype(np.float32)))
+        return pa.array(np.abs(line(x) - line(y)), mask=bad)
+
+    return run(a.cast("float"), b.cast("float"))

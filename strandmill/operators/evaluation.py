@@ -40,7 +40,7 @@ def _scores_at(negatives: DataFrame, wanted: DataFrame, by: list[str], deepest:
 def cutoffs(negatives: DataFrame, rates: list[float], by: list[str]) -> DataFrame:
     """(by, fpr, n_negatives, cutoff, realized, no_hit_fraction) of negatives(by, score), for all runs and rates at once.
 
-    At most floor(fpr * n) negatives score the cutoff or more. A run without negatives has no row.
+    At most floor(fpr * n) negatives score the cutoff or more, unless scores tie there. A run without negatives has no row.
     """
     asked = _counts(negatives, rates, by)
     schema = f"{negatives.select(*by).schema.simpleString()[7:-1]}, fpr double, n_negatives long, passing long, at int"
@@ -132,6 +132,23 @@ def margin_summary(per_query: DataFrame, by: list[str], save) -> DataFrame:
     return out.select(*by, "floor_med", "floor_p90", "true_med", "margin_med", "true_wins")
 
 
+def validation(results: DataFrame, truth: DataFrame, rates: DataFrame, k: int = 10) -> DataFrame:
+    """(rate, n_queries, recall): mean recall among the first k for each rate of rates(query_id, rate)."""
+    each = metrics.recall_at(metrics.judged(results, truth), k).join(rates.select("query_id", "rate"), "query_id")
+    return each.groupBy("rate").agg(F.count("*").alias("n_queries"), F.avg("recall").alias("recall"))
+
+
+def rank_substituted(results: DataFrame, ranks: DataFrame) -> DataFrame:
+    """results in another run's order: the accession at each of a query's places of ranks(query_id, accession, rank) gets the score held at that place.
+
+    Scores stay as they are spread; only who has them changes. Accessions that the other run doesn't place follow in their own order.
+    """
+    own = results.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "accession")))
+    placed = results.select("query_id", "accession").join(ranks.select("query_id", "accession", F.col("rank").alias("_r")), ["query_id", "accession"], "left").join(own.select("query_id", "accession", F.col("_at").alias("_own")), ["query_id", "accession"])
+    to = placed.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("_r"), "_own"))).select("query_id", "_at", "accession")
+    return to.join(own.select("query_id", "_at", "score"), ["query_id", "_at"]).drop("_at")
+
+
 def ratio_table(windows: DataFrame, edges: list[float], labels: list[str]) -> DataFrame:
     """(ratio, n, mean_score, above_floor) of windows(ratio, score, floor) by ranges of their ratio, closed above: how often the score beats the best irrelevant one."""
     own = windows.groupBy(cut(F.col("ratio"), edges, labels).alias("ratio"))

@@ -42,6 +42,25 @@ def merge_hits(parts: list[DataFrame], k: int) -> DataFrame:
     return top_k(out.drop("rank"), k)
 
 
+def merge_partials(parts: list[DataFrame], queries: DataFrame, accessions: DataFrame) -> DataFrame:
+    """Exhaustive results (query_id, accession, score) of shards of accessions, each query's as one list in order of accession. A query that lacks an accession, or has one twice, raises."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    lists = out.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("accession", "score"))).alias("results"))
+    size = accessions.agg(F.countDistinct("accession").alias("n_all"))  # one row
+    own = queries.select("query_id").join(lists, "query_id", "left").crossJoin(F.broadcast(size))
+    whole = F.coalesce(F.size(F.array_distinct(F.transform("results", lambda x: x["accession"]))) == F.col("n_all"), F.lit(False)) & (F.size("results") == F.col("n_all"))
+    return own.withColumn("ok", F.assert_true(whole, F.lit("a query hasn't one score for each accession"))).where(F.col("ok").isNull()).select("query_id", "results")
+
+
+def unique(df: DataFrame, *keys: str) -> DataFrame:
+    """df, which raises where rows share the keys, such as contigs of one name in two accessions."""
+    twice = F.count("*").over(Window.partitionBy(*keys)) > 1
+    checked = df.withColumn("_ok", F.assert_true(~twice, F.concat(F.lit(f"rows share {', '.join(keys)}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))))
+    return checked.where(F.col("_ok").isNull()).drop("_ok")
+
+
 def regroup(flat: DataFrame, queries: DataFrame, accessions: DataFrame, k: int) -> DataFrame:
     """(query_id, accession, score) of every pair: the best of the first k hits, misses at MISS_SCORE. Unknown accessions raise."""
     best = flat.where(F.col("rank") <= k).groupBy("query_id", "accession").agg(F.max("score").alias("score"))

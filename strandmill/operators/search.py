@@ -194,6 +194,35 @@ def whitened(queries: DataFrame, vectors: DataFrame, k: int, alpha: float) -> Da
     return scan_top_k(queries, vectors, k, score)
 
 
+class _Sweep:
+    """A block of queries and its best rows under each of several transforms, by cosine."""
+
+    def __init__(self, asked: pa.RecordBatch, k: int, transforms: dict[float, np.ndarray]):
+        self.own, q = asked.column("query_id"), fv.matrix(asked.column("embedding")).astype(np.float64)
+        self.best = {a: (_Best(k), m, q @ m / np.sqrt(np.einsum("ij,jk,ik->i", q, m, q))[:, None]) for a, m in transforms.items()}
+
+    def add(self, part: pa.RecordBatch) -> None:
+        v = fv.matrix(part.column("embedding")).astype(np.float64)
+        for best, m, q in self.best.values():
+            best.add(q @ v.T / np.sqrt(((v @ m) * v).sum(1)), part.column("vector_id").to_numpy(), part.column("accession"))
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        for a, (best, _, _) in self.best.items():
+            if best.held:
+                q, value, vid, accession = best.best()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), a)), self.own.take(pa.array(q)), accession, pa.array(value), pa.array(vid)], ["alpha", "query_id", "accession", "score", "vector_id"])
+
+
+def whitened_sweep(queries: DataFrame, vectors: DataFrame, k: int, alphas: tuple[float, ...] = (0.0, 0.125, 0.25, 0.375, 0.5)) -> DataFrame:
+    """(alpha, query_id, rank, accession, score, vector_id): ``whitened`` for every power, in one scan."""
+    n, _, second = moments(vectors)
+    transforms = {float(a): whitening(second / n, a) for a in alphas}
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = blocks.scan(queries.select("query_id", "embedding"), vectors.select("vector_id", "accession", "embedding"), lambda asked, _: _Sweep(asked, k, transforms), f"alpha double, query_id {kind}, accession string, score double, vector_id long")
+    best = Window.partitionBy("alpha", "query_id").orderBy(F.desc("score"), "vector_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def rabitq_encode(vectors: DataFrame, center: np.ndarray, seed: int = 0) -> DataFrame:
     """vector_id, accession, code (sign bits), norm, dot of rotated residuals."""
     turn = fv.rotation(len(center), seed)

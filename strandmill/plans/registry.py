@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandmill.functions import composition
 from strandmill.functions import sequences as sq
 from strandmill.functions import tables
 from strandmill.functions import vectors as fv
-from strandmill.operators import alignment_search, evaluation, hits, inverted_file, kmer_search, metrics, ordering, probing, search, training_data
+from strandmill.operators import alignment_search, evaluation, hits, inverted_file, kmer_search, metrics, ordering, probing, search, survival, training_data
 from strandmill.sources import store
 
 K = 10
@@ -156,16 +157,18 @@ def _strand_columns(c: DataFrame, part) -> DataFrame:
     return c.select("contig", sq.reverse_complement(part).alias("rc"), F.round(F.when(F.length(part) > 0, sq.gc_fraction(part)).otherwise(0.0), 6).alias("gc"), sq.bin_label(F.col("contig") % 100 / 100.0).alias("bin"))
 
 
+def _composition(spark, sf) -> DataFrame:
+    return contigs(spark, sf).select("contig", composition.composition(3)("sequence").alias("c")).select("contig", "c.*")
+
+
 def kmer_entropy(spark, sf) -> DataFrame:
-    """Over whole texts, in pieces that overlap by k - 1."""
-    places = F.explode(F.sequence(F.lit(0), F.length("sequence"), F.lit(kmer_search.PIECE))).alias("at")
-    pieces = contigs(spark, sf).select("contig", "sequence", places).select("contig", F.substring("sequence", F.col("at") + 1, F.lit(kmer_search.PIECE + 2)).alias("piece"))
-    return _entropy(pieces.select("contig", F.explode(sq.kmers(F.col("piece"), 3)).alias("kmer")))
+    """Over whole texts, of those that have a 3-mer."""
+    return _composition(spark, sf).where("n_kmers > 0").select("contig", F.round("entropy", 6).alias("entropy"), "n_kmers")
 
 
-def _entropy(part: DataFrame) -> DataFrame:
-    n = part.groupBy("contig", "kmer").agg(F.count("*").cast("double").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("contig")))
-    return n.groupBy("contig").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"), F.count("*").alias("n_kmers"))
+def complexity(spark, sf) -> DataFrame:
+    """Low-complexity score, longest run of a character and share of the commonest one."""
+    return rounded(_composition(spark, sf).where("length > 0").select("contig", "dust", "longest_run", "top_share"), "dust", "top_share")
 
 
 def edit_distances(spark, sf) -> DataFrame:
@@ -395,6 +398,41 @@ def merged_net_top(spark, sf) -> DataFrame:
     return rounded(search.merged_net_search(query_vectors(spark, sf), _merged(spark, sf), K), "score")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def length_survival(spark, sf) -> DataFrame:
+    """Crops of 24, 48 and 96 characters of all items, clean and with a tenth of their letters changed, searched by 11-mers in all items."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("parent_id"), F.concat(F.lit("item"), "item_id").alias("accession"), F.col("text").alias("sequence"))
+    reads = survival.nested_reads(items, [24, 48, 96], [0.0, 0.1], 2, 100, LETTERS)
+    hit = kmer_search.kmer_counts(reads, items, 11, 5, both_strands=False)
+    return rounded(survival.survival(hit, reads, items.select("parent_id", "accession"), [1, 5]), "found_1", "found_5")
+
+
+def near_vectors(spark, sf) -> DataFrame:
+    """All vectors within a product of 0.35 of a query."""
+    return rounded(survival.within(query_vectors(spark, sf), vectors(spark, sf), 0.35).select("query_id", "vector_id", "score"), "score")
+
+
+def validation(spark, sf) -> DataFrame:
+    out, t = runs(spark, sf)
+    rate = F.when(F.col("query_id").endswith("-"), 0.1).otherwise(0.0).alias("rate")
+    return rounded(evaluation.validation(out, t, out.select("query_id", rate).distinct()), "recall")
+
+
+def rank_ceiling(spark, sf) -> DataFrame:
+    """Accuracy with the order of a search by reversed queries and the scores of the plain one."""
+    noisy = search.exact(query_vectors(spark, sf).withColumn("embedding", F.reverse("embedding")), vectors(spark, sf), K)
+    best = noisy.groupBy("query_id", "accession").agg(F.max("score").alias("s"))
+    ranks = best.select("query_id", "accession", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "accession")).alias("rank"))
+    return rounded(metrics.r_precision(metrics.judged(evaluation.rank_substituted(results(spark, sf), ranks), truth(spark, sf))), "r_precision")
+
+
+def whitened_sweep(spark, sf) -> DataFrame:
+    found_ = search.whitened_sweep(query_vectors(spark, sf), vectors(spark, sf), K)
+    return rounded(found_.select("alpha", "query_id", "rank", "vector_id", "score"), "score")
+
+
 def model_names(spark, sf) -> DataFrame:
     """Orders as runs: priorities as encoders, the fifth none, and statuses as indexes."""
     o = table(spark, sf, "orders").select("o_orderkey", F.when(~F.col("o_orderpriority").startswith("5"), F.concat(F.substring("o_orderpriority", 3, 4), F.lit("-v1@9"))).alias("encoder"), F.concat(F.element_at(F.create_map(*[F.lit(x) for x in ("F", "ivfpq", "O", "exact", "P", "rabitq")]), F.col("o_orderstatus")), F.lit("8")).alias("index"), (F.col("o_orderkey") % 5 / 20).alias("rate"))
@@ -695,6 +733,12 @@ _ALL = {
     "prefix_sweep": (prefix_sweep, _sweep_sql()),
     "vector_multipliers": (vector_multipliers, _q("SELECT " + ", ".join(f"round({_windows_sql(w, s)} / {_windows_sql(256, 106)}, 6) AS w{w}_s{s}" for w, s in ((128, 64), (256, 256), (512, 128))) + " FROM c", _CONTIGS)),
     "ratio_table": (ratio_table, "SELECT CASE WHEN r <= 0.2 THEN 'r0' WHEN r <= 0.4 THEN 'r2' WHEN r <= 0.6 THEN 'r4' ELSE 'r6' END AS ratio, count(*) AS n, round(avg(l_quantity), 6) AS mean_score, round(avg(CAST(l_quantity > l_extendedprice / 2000 AS INT)), 6) AS above_floor FROM (SELECT *, CAST(l_tax AS DOUBLE) * 10 AS r FROM lineitem) GROUP BY 1"),
+    "complexity": (complexity, _q("SELECT d.contig, round(coalesce(dust, 0), 6) AS dust, longest_run, round(top_share, 6) AS top_share FROM (SELECT contig, CAST(max(n) AS BIGINT) AS longest_run FROM (SELECT contig, count(*) AS n FROM (SELECT contig, c, i - row_number() OVER (PARTITION BY contig, c ORDER BY i) AS g FROM ch) GROUP BY contig, c, g) GROUP BY 1) d JOIN (SELECT contig, max(n) / sum(n) AS top_share FROM (SELECT contig, c, count(*) AS n FROM ch GROUP BY 1, 2) GROUP BY 1) t USING (contig) LEFT JOIN (SELECT contig, CASE WHEN sum(n) > 1 THEN sum(n * (n - 1) / 2) / (sum(n) - 1) ELSE 0 END AS dust FROM (SELECT contig, substr(sequence, i, 3) AS w, count(*) AS n FROM (SELECT contig, sequence, unnest(range(1, length(sequence) - 1)) AS i FROM c) GROUP BY 1, 2) GROUP BY 1) u USING (contig)", f"{_CONTIGS}, ch AS (SELECT contig, i, substr(sequence, i, 1) AS c FROM (SELECT contig, sequence, unnest(range(1, length(sequence) + 1)) AS i FROM c))")),
+    "length_survival": (length_survival, "WITH p AS (SELECT item_id AS parent_id, text AS s FROM benchmark WHERE length(text) >= 100), a AS (SELECT parent_id, substr(s, 1 + CAST('0x' || substr(md5('0:' || parent_id), 1, 8) AS BIGINT) % (length(s) - 99), 100) AS w FROM p), l AS (SELECT parent_id, w, unnest([24, 48, 96]) AS length FROM a), v AS (SELECT 0.0::DOUBLE AS rate, 0 AS draw UNION ALL SELECT 0.1, 0 UNION ALL SELECT 0.1, 1), c AS (SELECT parent_id, length, rate, draw, i, substr(w, i + 1, 1) AS c FROM (SELECT *, unnest(range(length)) AS i FROM l, v)), m AS (SELECT *, strpos('abcdefghijklmnopqrstuvwxyz', c) AS at_, concat_ws(':', '0', parent_id, CAST(round(rate * 10000) AS INT), draw) AS key FROM c), n AS (SELECT parent_id, length, rate, draw, i, CASE WHEN rate > 0 AND at_ > 0 AND CAST('0x' || substr(md5(key || ':x:' || i), 1, 8) AS BIGINT) < rate * 4294967296 THEN substr('abcdefghijklmnopqrstuvwxyz', CAST((at_ + CAST('0x' || substr(md5(key || ':' || i), 1, 8) AS BIGINT) % 25) % 26 + 1 AS INT), 1) ELSE c END AS c FROM m), r AS (SELECT parent_id, length, rate, draw, string_agg(c, '' ORDER BY i) AS s FROM n GROUP BY ALL), k AS (SELECT parent_id, length, rate, draw, substr(s, i, 11) AS w, count(*) AS n FROM (SELECT *, unnest(range(1, length(s) - 9)) AS i FROM r) GROUP BY ALL), h AS (SELECT DISTINCT item_id, substr(text, i, 11) AS w FROM (SELECT item_id, text, unnest(range(1, length(text) - 9)) AS i FROM benchmark)), f AS (SELECT parent_id, length, rate, draw, item_id, row_number() OVER (PARTITION BY parent_id, length, rate, draw ORDER BY sum(n) DESC, 'item' || item_id) AS rank FROM k JOIN h USING (w) GROUP BY parent_id, length, rate, draw, item_id QUALIFY rank <= 5) SELECT r.length, r.rate, count(*) AS n_reads, round(avg(CAST(coalesce(rank <= 1, false) AS INT)), 6) AS found_1, round(avg(CAST(coalesce(rank <= 5, false) AS INT)), 6) AS found_5 FROM r LEFT JOIN f ON f.parent_id = r.parent_id AND f.length = r.length AND f.rate = r.rate AND f.draw = r.draw AND f.item_id = r.parent_id GROUP BY 1, 2"),
+    "near_vectors": (near_vectors, _q("SELECT query_id, vector_id, round(s, 6) AS score FROM (SELECT query_id, vector_id, list_inner_product(q.e, v.e) AS s FROM q, v) WHERE s >= 0.35", _V)),
+    "validation": (validation, _q("SELECT rate, count(*) AS n_queries, round(avg(v), 6) AS recall FROM (SELECT query_id, CAST(sum(CASE WHEN rn <= 10 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM j GROUP BY 1) JOIN q USING (query_id) GROUP BY 1", _RUN_JUDGED)),
+    "rank_ceiling": (rank_ceiling, _q("SELECT query_id, round(CAST(sum(CASE WHEN pl <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel), 6) AS r_precision FROM (SELECT j1.query_id, j1.rel, j1.n_rel, z.pl, w.score FROM j j1 JOIN z USING (query_id, accession) JOIN (SELECT query_id, rn, score FROM j) w ON w.query_id = z.query_id AND w.rn = z.pl) GROUP BY 1", _JUDGED + ", nz AS (SELECT query_id, accession, max(s) AS s FROM (SELECT query_id, v.accession, list_inner_product(list_reverse(q.e), v.e) AS s, vector_id FROM q, v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vector_id) <= 10) GROUP BY ALL), z AS (SELECT j.query_id, j.accession, row_number() OVER (PARTITION BY j.query_id ORDER BY nz.s DESC NULLS LAST, CASE WHEN nz.s IS NULL THEN rn END, j.accession) AS pl FROM j LEFT JOIN nz USING (query_id, accession))")),
+    "whitened_sweep": (whitened_sweep, None),
     "alignment_search": (aligned_reads, None),
     "hard_negatives": (hard_negatives, None),
     "contained_items": (contained_items, None),

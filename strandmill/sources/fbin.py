@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from strandmill.functions import vectors as fv
+from strandmill.operators import ordering
 
 PIECE_BYTES = 10**9
 HEADER = 8
@@ -296,3 +297,48 @@ def centroid_estimate(spark: SparkSession, path: str, sample: int, block: int =
 
     sums = part.mapInArrow(run, "n long, total array<double>").select("n", F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()  # a row for each dimension
     return np.array([r["x"] / r["n"] for r in sums])
+
+
+def write_ground_truth(found: DataFrame, path: str, k: int) -> None:
+    """Hits (query_no from 0, rank from 1 to k, vector_id, score) as one file: uint32 queries and k, all ids as uint32, all scores as float32.
+
+    One task writes the file, as its two parts follow each other; a query without k hits raises.
+    """
+    n = found.agg(F.coalesce(F.max("query_no"), F.lit(-1))).first()[0] + 1
+
+    def run(batches):
+        store, at = open_fs(path)
+        scores, next_row = [], 0
+        with store.open_output_stream(f"{at}.tmp") as f:
+            f.write(np.array([n, k], np.uint32).tobytes())
+            for b in batches:
+                q, r = b.column("query_no").to_numpy(), b.column("rank").to_numpy()
+                if (q * k + r - 1 != np.arange(next_row, next_row + len(q))).any():
+                    raise ValueError(f"a query near {next_row // k} hasn't {k} hits")
+                next_row += len(q)
+                f.write(b.column("vector_id").to_numpy().astype(np.uint32).tobytes())
+                scores.append(b.column("score").to_numpy().astype(np.float32))
+            if next_row != n * k:
+                raise ValueError(f"{next_row} hits, not {n * k}")
+            for x in scores:
+                f.write(x.tobytes())
+        store.move(f"{at}.tmp", at)
+        yield pa.RecordBatch.from_arrays([pa.array([next_row])], ["rows"])
+
+    rows = found.select("query_no", "rank", "vector_id", "score").orderBy("query_no", "rank").coalesce(1).mapInArrow(run, "rows long")
+    rows.collect()  # one row
+
+
+def read_ground_truth(path: str) -> tuple[np.ndarray, np.ndarray]:
+    n, k = np.frombuffer(_read_at(path, 0, HEADER), np.uint32).tolist()
+    data = _read_at(path, HEADER, 8 * n * k)
+    return np.frombuffer(data, np.uint32, n * k).reshape(n, k), np.frombuffer(data, np.float32, n * k, 4 * n * k).reshape(n, k)
+
+
+def write_query_bundle(chunks: DataFrame, folder: str, dim: int, save) -> None:
+    """chunks(query_id, strand, chunk, embedding) as ``query`` pieces, forward chunks of a query first, and ``query_meta``: query_id, start_row, num_rows, num_forward."""
+    order = [F.col("query_id"), F.col("strand") != "+", F.col("chunk")]
+    placed = ordering.running(chunks, order, F.lit(1), "vector_id", save)
+    write_fbin(placed.select("vector_id", "embedding"), f"{folder}/query", dim)
+    meta = placed.groupBy("query_id").agg(F.min("vector_id").alias("start_row"), F.count("*").alias("num_rows"), F.count_if(F.col("strand") == "+").alias("num_forward"))
+    meta.write.parquet(f"{folder}/query_meta")

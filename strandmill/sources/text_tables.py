@@ -19,8 +19,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of the lines that aren't blank, trimmed."""
-    return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    """(row_id, value) of the lines that aren't blank, trimmed, numbered from 0 in the order of files and lines."""
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path).select(split.alias("split"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value")).where("value <> ''")
+    within = lines.withColumn("n", F.row_number().over(Window.partitionBy("split").orderBy("at")) - 1)
+    sizes = lines.groupBy("split").agg(F.count("*").alias("n"))
+    starts = sizes.select("split", F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row for each split
+    return within.join(F.broadcast(starts), "split").select((F.col("start") + F.col("n")).alias("row_id"), "value")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

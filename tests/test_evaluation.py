@@ -8,30 +8,42 @@ from strandmill.schemas import MISS_SCORE
 from strandmill.sources import text_tables as tt
 
 
-def plain_cutoff(scores, fpr):
-    s = sorted(scores, reverse=True)
-    m = int(np.floor(fpr * len(s)))
-    return np.nextafter(s[0], np.inf) if m == 0 else np.nextafter(MISS_SCORE, np.inf) if s[m - 1] <= MISS_SCORE else s[m - 1]
+RUNS = {"many": np.random.default_rng(3).normal(size=400).tolist(), "few": [0.3, 0.1, 0.1], "ties": [0.5] * 20 + [0.2] * 20, "misses": [0.4] + [MISS_SCORE] * 30}
+RATES = [0.01, 0.05, 0.2]
+
+
+def negatives(spark):
+    return spark.createDataFrame([(m, x) for m, xs in RUNS.items() for x in xs], "model string, score double")
 
 
 def test_cutoffs(spark):
-    rng = np.random.default_rng(3)
-    runs = {"many": rng.normal(size=400).tolist(), "few": [0.3, 0.1, 0.1], "ties": [0.5] * 20 + [0.2] * 20, "misses": [0.4] + [MISS_SCORE] * 30}
-    neg = spark.createDataFrame([(m, x) for m, xs in runs.items() for x in xs], "model string, score double")
-    rates = [0.01, 0.05, 0.2]
-    got = {(r["model"], r["fpr"]): r for r in ev.cutoffs(neg, rates, ["model"]).collect()}
-    assert set(got) == {(m, f) for m in runs for f in rates}
+    got = {(r["model"], r["fpr"]): r for r in ev.cutoffs(negatives(spark), RATES, ["model"]).collect()}
+    assert set(got) == {(m, f) for m in RUNS for f in RATES}
     for (m, f), r in got.items():
-        cut = plain_cutoff(runs[m], f)
-        assert r["cutoff"] == cut and r["n_negatives"] == len(runs[m])
-        assert abs(r["realized"] - np.mean(np.array(runs[m]) >= cut)) < 1e-12
-        assert abs(r["no_hit_fraction"] - np.mean(np.array(runs[m]) <= MISS_SCORE)) < 1e-12
-    for r in ev.cutoff_intervals(neg, rates, ["model"], 4000).collect():
-        draws = [plain_cutoff(rng.choice(runs[r["model"]], len(runs[r["model"]])), r["fpr"]) for _ in range(4000)]
+        x, cut, may = np.array(RUNS[m]), r["cutoff"], int(np.floor(f * len(RUNS[m])))
+        below = np.nextafter(cut, -np.inf)
+        reach = lambda c, x=x: int((x >= c).sum())
+        assert (x > cut).sum() < max(1, may)  # fewer than may pass lie above it
+        assert reach(cut) <= may or (x == cut).sum() > 1  # more reach it only where scores tie
+        assert reach(below) > reach(cut) or (x == cut).any()  # and no smaller value lets as few pass
+        assert cut > MISS_SCORE  # a miss never passes
+        assert r["n_negatives"] == len(x) and abs(r["realized"] - reach(cut) / len(x)) < 1e-12 and abs(r["no_hit_fraction"] - np.mean(x <= MISS_SCORE)) < 1e-12
+    # by hand: none may pass, two tie with the second best, and all that may pass are misses
+    assert got["few", 0.05]["cutoff"] == np.nextafter(0.3, 1) and got["few", 0.05]["realized"] == 0
+    assert got["ties", 0.05]["cutoff"] == 0.5 and got["ties", 0.05]["realized"] == 0.5
+    assert got["misses", 0.2]["cutoff"] == np.nextafter(-2.0, 0) and got["misses", 0.2]["realized"] == 1 / 31
+    assert ev.cutoffs(negatives(spark).where("false"), RATES, ["model"]).count() == 0
+
+
+def test_cutoff_intervals(spark):
+    rng = np.random.default_rng(4)
+    for r in ev.cutoff_intervals(negatives(spark), RATES, ["model"], 4000).collect():
+        x = np.array(RUNS[r["model"]])
+        place = max(1, int(np.floor(r["fpr"] * len(x))))
+        draws = [np.sort(rng.choice(x, len(x)))[-place] for _ in range(4000)]
         low, high = np.percentile(draws, [2.5, 97.5])
         wide = 0.25 if r["model"] == "many" else 1e-9
         assert abs(r["ci_low"] - low) < wide and abs(r["ci_high"] - high) < wide
-    assert ev.cutoffs(neg.where("false"), rates, ["model"]).count() == 0
 
 
 def test_true_positive_rates(spark):
@@ -53,7 +65,7 @@ def test_text_tables(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"k": "x", "n": 2}\n{"k": "y"}\n')
     assert [tuple(r) for r in tt.read_jsonl(spark, str(tmp_path / "a.jsonl"), "k string, n int").collect()] == [("x", 2), ("y", None)]
     (tmp_path / "a.txt").write_text(" one\n\ntwo \n")
-    assert [r[0] for r in tt.read_list(spark, str(tmp_path / "a.txt")).collect()] == ["one", "two"]
+    assert sorted(map(tuple, tt.read_list(spark, str(tmp_path / "a.txt")).collect())) == [(0, "one"), (1, "two")]
     runs = spark.createDataFrame([("q", 0.0), ("q", 0.1)], "query_id string, rate double")
     tt.write_runs(runs, str(tmp_path / "runs"))
     assert tt.read_runs(spark, str(tmp_path / "runs"), "query_id string, rate double").where("rate = 0.1").count() == 1
