@@ -8,9 +8,9 @@ stratum (language), how strict a level may be: levels are tried from lax to stri
 (Clopper-Pearson) upper bound of its false rejection rate, by all rules together,
 stays below ``risk``. The error is split over the strata (Bonferroni), so with
 probability 1 - ``error`` every stratum loses at most ``risk`` of its good documents.
-Strata with too few labelled rows to accept anything are pooled, told by their counts
-alone; the promise then holds for the pool as a whole. A stratum without any labelled
-row gets no level, so nothing is rejected there beyond the base rule.
+No stratum borrows another's rows: one whose own rows prove no level, about 220 good ones
+at least for these numbers, gets none, and nothing is rejected there beyond the base rule.
+The output's ``level`` says which level a row was judged by, null for none.
 
 Defined results: a null or empty text has no words and fails the base rule. A null
 language is a stratum of its own, apart from an empty one. Repeated rows are judged
@@ -115,7 +115,6 @@ def upper_bound(bad: int, n: int, level: float) -> float:
 
 
 LEVELS = max(map(len, CUTOFFS.values()))
-POOL = "pool"
 
 
 def cutoffs_at(level: int) -> dict[str, float]:
@@ -123,20 +122,14 @@ def cutoffs_at(level: int) -> dict[str, float]:
 
 
 def choose(counts: dict[str, tuple[int, list[int]]], risk: float, error: float) -> dict[str, int]:
-    """The strictest accepted level of each stratum. counts: good rows, and of those the rejected ones at each level."""
-    share = error / (len(counts) + 1)
-    small = [s for s, (n, _) in counts.items() if upper_bound(0, n, share) > risk]
-    tested = {s: x for s, x in counts.items() if s not in small}
-    if small:
-        tested[POOL] = (sum(counts[s][0] for s in small), [sum(x) for x in zip(*(counts[s][1] for s in small), strict=True)])
-    found: dict[str, int] = {}
-    for s, (n, bad) in tested.items():
+    """The strictest accepted level of each stratum that proves one. counts: good rows, and of those the rejected ones at each level."""
+    share, found = error / max(1, len(counts)), {}
+    for s, (n, bad) in counts.items():
         for level, x in enumerate(bad):
             if upper_bound(x, n, share) > risk:
                 break
             found[s] = level
-    pooled = found.pop(POOL, None)
-    return found | ({} if pooled is None else dict.fromkeys(small, pooled))
+    return found
 
 
 def stratum():
@@ -172,12 +165,20 @@ def verdict(levels: dict[str, int]):
     return ~rejected
 
 
+def level_of(levels: dict[str, int]):
+    """The level of the row's stratum, null if it has none."""
+    out = F.lit(None).cast("int")
+    for own, level in levels.items():
+        out = F.when(stratum() == own, F.lit(level)).otherwise(out)
+    return out
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, risk: float = RISK, error: float = ERROR) -> DataFrame:
     measured = scratch.save(features(docs), "measured")
     levels = fit(measured, labels, risk, error)
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(levels))
+    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(levels)).withColumn("level", level_of(levels))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "quality"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *CUTOFFS)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level", *CUTOFFS)
