@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.base import Scratch, sized, table
+from strandmill.llm.base import Scratch, join_spread, sized, table
 
 SHARDS, ROUNDS, BUCKETS = 16, 3, 256
 #: A hub of more than this share of a shard's quota is large. There are at most SHARDS / HUB_SHARE of them.
@@ -56,7 +56,7 @@ def propagate(nodes: DataFrame, rows: int, scratch: Scratch, shards: int = SHARD
     """(node, hub, shard) of nodes(node, hub), linked documents only; no shard above its quota is asked for more."""
     sizes = nodes.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
     most = max(1, rows // shards)
-    split = nodes.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.ceil(F.col("n") / most)))
+    split = join_spread(nodes, sizes, "hub", "node", scratch, "sizes").withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.ceil(F.col("n") / most)))
     split = scratch.save(split.select("node", F.concat_ws("/", "hub", "part").alias("hub")), "hubs")
     room, placed = quotas(rows, shards), []
     large = split.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > most * HUB_SHARE).collect()
