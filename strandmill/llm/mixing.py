@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.base import Scratch, sized, table
 
-SOURCE_POWER, BUDGET, ROUNDS, PASSES, TOLERANCE = 0.5, 0.6, 20, 3, 0.005
+SOURCE_POWER, BUDGET, ROUNDS, PASSES, TOLERANCE = 0.5, 0.6, 20, 50, 0.005
 LANGUAGE_SHARES = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 MARGINALS = ("source", "lang", "topic")
 SEED = 6
@@ -83,8 +83,22 @@ def rake(cells: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: fl
     return state
 
 
+def residual(raked: DataFrame) -> float:
+    """How far the raked shares are from their targets, as the largest relative gap of a marginal's value."""
+    worst = 0.0
+    for c in MARGINALS:
+        now = raked.groupBy(F.col(c).alias("value")).agg(F.sum("weight").alias("now"))
+        total = raked.agg(F.sum("weight").alias("all"))
+        gap = now.join(targets_of(raked, c), F.col("value").eqNullSafe(F.col(c))).crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("now") / F.col("all") / F.col("target") - 1)))  # total is one row
+        worst = max(worst, gap.first()[0] or 0.0)
+    return worst
+
+
 def probabilities(raked: DataFrame, scratch: Scratch, budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
-    """Cells with prob: wanted tokens over present ones, scaled until those below 1 use up the budget (a share of all tokens)."""
+    """Cells with prob: wanted tokens over present ones, scaled until those below 1 use up the budget (a share of all tokens).
+
+    A pass may bring further cells to 1, which leaves more for the others; when none is brought there, the budget is met.
+    """
     total = raked.agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_weight"))
     state = raked.crossJoin(F.broadcast(total)).withColumn("ratio", F.col("weight") / F.col("all_weight") * F.col("all_mass") * budget / F.col("mass"))  # total is one row
     state = state.withColumn("prob", F.least("ratio", F.lit(1.0)))
@@ -94,18 +108,23 @@ def probabilities(raked: DataFrame, scratch: Scratch, budget: float = BUDGET, pa
         grown = F.least(F.lit(1.0), F.col("prob") * F.greatest(F.lit(1.0), F.coalesce(F.col("left") / F.col("used"), F.lit(1.0))))
         state = state.crossJoin(F.broadcast(left)).withColumn("prob", F.when(full, 1.0).otherwise(grown)).drop("left", "used")  # left is one row
         state = scratch.save(state, f"pass_{step}")
+        now = state.where("prob >= 1").count()
+        if step and now == full_cells:
+            break
+        full_cells = now
     return scratch.save(state.select(*MARGINALS, "n_docs", "mass", "weight", "prob"), "probabilities")
 
 
 def mix(docs: DataFrame, scratch: Scratch, budget: float = BUDGET) -> DataFrame:
-    """(row, topic, n_tokens, prob, kept) of every document; row has its own columns."""
+    """(row, topic, n_tokens, prob, kept, residual) of every document; row has its own columns. residual, the same in all rows, says how closely the targets were met."""
     cells = scratch.save(cells_of(docs), "cells")
-    prob = probabilities(rake(cells, scratch), scratch, budget).select(*[F.col(c).alias(f"of_{c}") for c in MARGINALS], "prob")
+    raked = rake(cells, scratch)
+    prob = probabilities(raked, scratch, budget).select(*[F.col(c).alias(f"of_{c}") for c in MARGINALS], "prob")
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     out = docs.select(row, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic().alias("topic"), tokens().alias("n_tokens"), draw.alias("draw"))
     same = F.col("source").eqNullSafe(F.col("of_source")) & F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("topic") == F.col("of_topic"))
-    return out.join(sized(prob), same).select("row", "topic", "n_tokens", "prob", (F.col("draw") < F.col("prob")).alias("kept"))
+    return out.join(sized(prob), same).select("row", "topic", "n_tokens", "prob", (F.col("draw") < F.col("prob")).alias("kept"), F.lit(residual(raked)).alias("residual"))
 
 
 def keep_mixed(docs: DataFrame, scratch: Scratch, budget: float = BUDGET) -> DataFrame:
@@ -115,4 +134,4 @@ def keep_mixed(docs: DataFrame, scratch: Scratch, budget: float = BUDGET) -> Dat
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs, Scratch(spark, "mixing")).select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "prob", "kept")
+    return mix(docs, Scratch(spark, "mixing")).select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "prob", "kept", "residual")
