@@ -73,15 +73,30 @@ def rotation(d: int, seed: int = 0) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
+def _line(x: np.ndarray) -> np.ndarray:
+    """Floats as whole numbers in their order, neighbours one apart, both zeros at 0."""
+    bits = x.astype(np.float32).view(np.uint32).astype(np.int64)
+    return np.where(bits >> 31, -(bits & 0x7FFFFFFF), bits)
+
+
 def ulp_distance(a: Column, b: Column) -> Column:
     """Representable floats between two floats, across zero too; null where one isn't a number."""
     @F.arrow_udf("bigint")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        def line(v: pa.Array) -> np.ndarray:
-            bits = v.to_numpy(zero_copy_only=False).astype(np.float32).view(np.uint32).astype(np.int64)
-            return np.where(bits >> 31, -(bits & 0x7FFFFFFF), bits)
-
-        bad = ~(np.isfinite(x.to_numpy(zero_copy_only=False).astype(np.float32)) & np.isfinite(y.to_numpy(zero_copy_only=False).astype(np.float32)))
-        return pa.array(np.abs(line(x) - line(y)), mask=bad)
+        x, y = (v.to_numpy(zero_copy_only=False).astype(np.float32) for v in (x, y))
+        return pa.array(np.abs(_line(x) - _line(y)), mask=~(np.isfinite(x) & np.isfinite(y)))
 
     return run(a.cast("float"), b.cast("float"))
+
+
+def vector_ulps(a: Column, b: Column) -> Column:
+    """The largest distance of two vectors' components; null for vectors of other length."""
+    @F.arrow_udf("bigint")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for u, v in zip(x, y, strict=True):
+            same = u.is_valid and v.is_valid and len(u.values) == len(v.values)
+            out.append(int(np.abs(_line(u.values.to_numpy()) - _line(v.values.to_numpy())).max(initial=0)) if same else None)
+        return pa.array(out, pa.int64())
+
+    return run(a, b)

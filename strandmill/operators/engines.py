@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -102,6 +103,24 @@ def run(spark: SparkSession, root: str, vectors: DataFrame, queries: DataFrame,
     return read_results(spark, f"{root}/results").where((F.col("index") == index) & (F.col("search") == found_by) & (F.col("encoder") == about["encoder"]))
 
 
+def sweep(spark: SparkSession, root: str, vectors: DataFrame, queries: DataFrame, name: str, k: int, about: dict, grid: dict[str, list], **params) -> DataFrame:
+    """(parameters of the grid, n_found, recall): for every combination of search parameters the share of the exact first k that it finds, over one index."""
+    engine, of_index, _ = make_engine(name, **params)
+    path = f"{root}/index/{about['dataset']}/{about['encoder']}/{label(name, of_index)}"
+    if engine.build is not None:
+        catalog.built(spark, path, {"dataset": about["dataset"], "encoder": about["encoder"], "engine": name, **of_index}, lambda p: engine.build(vectors, p, of_index))
+    wanted = search.exact(queries, vectors, k).select("query_id", "vector_id", F.lit(1).alias("wanted"))
+    out = None
+    for values in itertools.product(*grid.values()):
+        chosen = dict(zip(grid, values, strict=True))
+        of_search = make_engine(name, **params, **chosen)[2]
+        found = engine.find(spark, path, queries, vectors, k, of_index | of_search if engine.build is not None else of_search)
+        row = wanted.join(found.select("query_id", "vector_id", F.lit(1).alias("hit")), ["query_id", "vector_id"], "left").agg(F.count("hit").alias("n_found"), (F.count("hit") / F.count("*")).alias("recall"))
+        row = row.select(*[F.lit(v).alias(c) for c, v in chosen.items()], "n_found", "recall")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def write_results(results: DataFrame, path: str, about: dict) -> None:
     """results(query_id, accession, score) with what is known of the run, as one folder of the tree; other runs stay."""
     columns = [c.split() for c in RESULTS_TREE.split(", ")]

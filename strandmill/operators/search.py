@@ -237,6 +237,16 @@ def rabitq_encode(vectors: DataFrame, center: np.ndarray, seed: int = 0) -> Data
     return vectors.select("vector_id", "accession", "embedding").mapInArrow(run, "vector_id long, accession string, code binary, norm float, dot float")
 
 
+def write_codes(codes: DataFrame, path: str, rows: int) -> None:
+    """Codes in a folder for each ``rows`` ids."""
+    codes.withColumn("shard", F.floor(F.col("vector_id") / rows)).repartitionByRange("vector_id").write.partitionBy("shard").parquet(path)
+
+
+def code_slice(codes: DataFrame, start: int, end: int, rows: int) -> DataFrame:
+    """Codes of the ids from start up to end, of a table of ``write_codes``; folders outside aren't read."""
+    return codes.where(F.col("shard").between(start // rows, (end - 1) // rows) & (F.col("vector_id") >= start) & (F.col("vector_id") < end)).drop("shard")
+
+
 def rabitq(queries: DataFrame, codes: DataFrame, center: np.ndarray, k: int, mode: str = "reference", seed: int = 0) -> DataFrame:
     """Estimated inner products from 1-bit codes; ``corrected`` scales by the residual norm once more."""
     turn, d = fv.rotation(len(center), seed), len(center)

@@ -10,8 +10,8 @@ from strandmill.functions import composition
 from strandmill.functions import sequences as sq
 from strandmill.functions import tables
 from strandmill.functions import vectors as fv
-from strandmill.operators import alignment_search, evaluation, hits, inverted_file, kmer_search, metrics, ordering, probing, search, survival, training_data
-from strandmill.sources import store
+from strandmill.operators import alignment_search, engines, evaluation, hits, inverted_file, kmer_search, metrics, ordering, probing, search, survival, training_data
+from strandmill.sources import catalog, store
 
 K = 10
 #: Cells of an inverted file, and the reach of a net's centres, for vectors as spread as these.
@@ -372,6 +372,26 @@ def ivf_pq_search(spark, sf) -> DataFrame:
     return _score_only(_shards_found(spark, sf))
 
 
+def probe_sweep(spark, sf) -> DataFrame:
+    """Recall by cells probed and length of the head, over one index."""
+    root = store.shared(spark, "sweep")
+    return rounded(engines.sweep(spark, root, vectors(spark, sf), query_vectors(spark, sf), "ivf_rabitq", K, {"dataset": "d", "encoder": "e"}, {"nprobe": [16, 64], "head": [200]}, cells=CELLS), "recall")
+
+
+def build_differences(spark, sf) -> DataFrame:
+    """Vectors against themselves rounded to 2 bytes where the id is even, every fifth left out."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
+    other = v.where("vector_id % 5 <> 0").withColumn("embedding", F.when(F.col("vector_id") % 2 == 0, fv.rounded("bf16")("embedding")).otherwise(F.col("embedding")))
+    return catalog.vector_differences(v, other).select("n_alone", "n_equal", "n_apart")
+
+
+def order_differences(spark, sf) -> DataFrame:
+    """Orders against those that a change of one status and the loss of some would leave."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"))
+    other = o.where("o_orderstatus <> 'P'").withColumn("price", F.col("price") + F.when(F.col("o_custkey") % 7 == 0, 0.25).otherwise(0.0))
+    return rounded(catalog.differences(o, other, ["o_custkey", "o_orderstatus"], ["price"]), "diff_price")
+
+
 def recall_of(spark, sf, find) -> DataFrame:
     return inverted_file.recall(find(spark, sf), found(spark, sf), 0.9)
 
@@ -739,6 +759,9 @@ _ALL = {
     "validation": (validation, _q("SELECT rate, count(*) AS n_queries, round(avg(v), 6) AS recall FROM (SELECT query_id, CAST(sum(CASE WHEN rn <= 10 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM j GROUP BY 1) JOIN q USING (query_id) GROUP BY 1", _RUN_JUDGED)),
     "rank_ceiling": (rank_ceiling, _q("SELECT query_id, round(CAST(sum(CASE WHEN pl <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel), 6) AS r_precision FROM (SELECT j1.query_id, j1.rel, j1.n_rel, z.pl, w.score FROM j j1 JOIN z USING (query_id, accession) JOIN (SELECT query_id, rn, score FROM j) w ON w.query_id = z.query_id AND w.rn = z.pl) GROUP BY 1", _JUDGED + ", nz AS (SELECT query_id, accession, max(s) AS s FROM (SELECT query_id, v.accession, list_inner_product(list_reverse(q.e), v.e) AS s, vector_id FROM q, v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vector_id) <= 10) GROUP BY ALL), z AS (SELECT j.query_id, j.accession, row_number() OVER (PARTITION BY j.query_id ORDER BY nz.s DESC NULLS LAST, CASE WHEN nz.s IS NULL THEN rn END, j.accession) AS pl FROM j LEFT JOIN nz USING (query_id, accession))")),
     "whitened_sweep": (whitened_sweep, None),
+    "probe_sweep": (probe_sweep, None),
+    "build_differences": (build_differences, "SELECT count(*) FILTER (vec_id % 5 = 0) AS n_alone, count(*) FILTER (vec_id % 5 <> 0 AND vec_id % 2 = 1) AS n_equal, count(*) FILTER (vec_id % 5 <> 0 AND vec_id % 2 = 0) AS n_apart FROM embeddings"),
+    "order_differences": (order_differences, "SELECT count(*) FILTER (o_orderstatus = 'P') AS only_one, CAST(0 AS BIGINT) AS only_two, round(max(CASE WHEN o_orderstatus <> 'P' AND o_custkey % 7 = 0 THEN 0.25 ELSE 0 END), 6) AS diff_price FROM orders"),
     "alignment_search": (aligned_reads, None),
     "hard_negatives": (hard_negatives, None),
     "contained_items": (contained_items, None),

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.functions import vectors as fv
 from strandmill.operators import hits
 from strandmill.sources import store
 
@@ -87,3 +88,11 @@ def differences(one: DataFrame, two: DataFrame, keys: list[str], values: list[st
         F.sum(F.greatest(n("a") - n("b"), F.lit(0))).alias("only_one"), F.sum(F.greatest(n("b") - n("a"), F.lit(0))).alias("only_two"),
         *[F.max(F.abs(F.col(f"a.{v}") - F.col(f"b.{v}"))).alias(f"diff_{v}") for v in values],
     )
+
+
+def vector_differences(one: DataFrame, two: DataFrame, key: str = "vector_id") -> DataFrame:
+    """One row over two builds of the same vectors: how many are in one build only, equal bit for bit, apart, and by how many representable floats at most."""
+    both = one.select(key, F.col("embedding").alias("_a")).join(two.select(key, F.col("embedding").alias("_b")), key, "full_outer")
+    ulps = both.withColumn("_u", fv.vector_ulps(F.col("_a"), F.col("_b")))
+    alone = F.col("_a").isNull() | F.col("_b").isNull()
+    return ulps.agg(F.count_if(alone).alias("n_alone"), F.count_if(F.col("_u") == 0).alias("n_equal"), F.count_if(~alone & ~(F.coalesce(F.col("_u"), F.lit(1)) == 0)).alias("n_apart"), F.max("_u").alias("most_ulps"))

@@ -156,3 +156,11 @@ def test_expressions(spark):
         tables.rate_of(F.lit("x/timing.parquet")).alias("none"), tables.any_of(F.lit(None).cast("boolean"), F.lit(False)).alias("no"), tables.model_key(F.lit(None).cast("string"), F.lit("i"), F.lit("s")).alias("m"), tables.compression_ratio(F.lit(0), F.lit(3)).alias("c"),
     ).first()
     assert tuple(row) == (None, "a", "b", None, False, "i/s", None)
+
+
+def test_sweep(spark, data, tmp_path):
+    v, q = data
+    own = q.where("rate = 0").select("query_id", "embedding")
+    rows = engines.sweep(spark, f"file://{tmp_path}", v, own, "ivf_rabitq", 10, {"dataset": "d", "encoder": "e"}, {"nprobe": [2, 8], "head": [20, 300]}, cells=8).collect()
+    got = {(r["nprobe"], r["head"]): r["recall"] for r in rows}
+    assert got[8, 300] == 1.0 and got[2, 300] <= got[8, 300] and got[8, 20] <= got[8, 300] and got[2, 20] <= got[2, 300] < 1.0

@@ -122,3 +122,24 @@ def test_whitened_sweep(spark):
     for alpha in (0.0, 0.25):
         one = {(r["query_id"], r["rank"]): r["vector_id"] for r in search.whitened(q, v, 5, alpha).collect()}
         assert {(r["query_id"], r["rank"]): r["vector_id"] for r in got.where(F.col("alpha") == alpha).collect()} == one
+
+
+def test_code_slices(spark, tmp_path):
+    codes = search.rabitq_encode(registry.vectors(spark, "/root/testdata/sf0.001"), np.zeros(64, np.float32))
+    search.write_codes(codes, str(tmp_path / "codes"), 100)
+    stored = spark.read.parquet(str(tmp_path / "codes"))
+    part = search.code_slice(stored, 150, 305, 100)
+    assert sorted(r["vector_id"] for r in part.collect()) == list(range(150, 305))
+    filters = [x for x in part._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in x]
+    assert filters and all("shard" in x.split("PartitionFilters: [")[1].split("]")[0] for x in filters)
+    whole = {r["vector_id"]: bytes(r["code"]) for r in codes.collect()}
+    assert all(bytes(r["code"]) == whole[r["vector_id"]] for r in part.collect())
+
+
+def test_vector_differences(spark):
+    from strandmill.sources import catalog
+
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, -1.0]), (3, [0.0]), (4, [1.0])], "vector_id long, embedding array<float>")
+    step = float(np.nextafter(np.float32(1), np.float32(2)))
+    two = spark.createDataFrame([(1, [1.0, 2.0]), (2, [step, -step]), (3, [0.0, 1.0]), (9, [1.0])], "vector_id long, embedding array<float>")
+    assert tuple(catalog.vector_differences(one, two).first()) == (2, 1, 2, 1)
