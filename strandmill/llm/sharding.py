@@ -25,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.base import Scratch, join_spread, sized, table
+from strandmill.llm.base import Scratch, sized, table
 
 SHARDS, ROUNDS, BUCKETS = 16, 3, 256
 #: A hub of more than this share of a shard's quota is large. There are at most SHARDS / HUB_SHARE of them.
 HUB_SHARE = 0.05
+#: A hub of more than one in so many documents is common; there are fewer than that.
+COMMON = 1024
 
 
 def ranked(df: DataFrame, group: str, rows: int, *order: str) -> DataFrame:
@@ -54,9 +56,12 @@ def _quota(shard, rows: int, shards: int):
 
 def propagate(nodes: DataFrame, rows: int, scratch: Scratch, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(node, hub, shard) of nodes(node, hub), linked documents only; no shard above its quota is asked for more."""
-    sizes = nodes.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = scratch.save(nodes.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     most = max(1, rows // shards)
-    split = join_spread(nodes, sizes, "hub", "node", scratch, "sizes").withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.ceil(F.col("n") / most)))
+    # the documents of common hubs meet them where they are; no other hub has many
+    common = F.broadcast(sizes.where(F.col("n") > rows / COMMON))  # fewer than COMMON rows, as the hubs' documents add up to ``rows``
+    others = nodes.join(common.select("hub"), "hub", "left_anti").join(sizes.where(F.col("n") <= rows / COMMON), "hub")
+    split = nodes.join(common, "hub").unionByName(others).withColumn("part", F.pmod(F.xxhash64("node", F.lit(8)), F.ceil(F.col("n") / most)))
     split = scratch.save(split.select("node", F.concat_ws("/", "hub", "part").alias("hub")), "hubs")
     room, placed = quotas(rows, shards), []
     large = split.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > most * HUB_SHARE).collect()
