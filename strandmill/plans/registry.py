@@ -353,11 +353,11 @@ def ivf_search(spark, sf) -> DataFrame:
 def _cells_found(spark, sf) -> DataFrame:
     path = store.shared(spark, "cells")
     inverted_file.build_cells(vectors(spark, sf), path, CELLS)
-    return inverted_file.search_cells(spark, path, query_vectors(spark, sf), K, CELLS // 2, 20 * K)
+    return inverted_file.search_cells(spark, path, query_vectors(spark, sf), K, CELLS // 2, 40 * K)
 
 
 def ivf_rabitq_search(spark, sf) -> DataFrame:
-    """Half of the cells probed by 1-bit codes, the head of 200 scored exactly."""
+    """Half of the cells probed by 1-bit codes, the head of 400 scored exactly."""
     return _score_only(_cells_found(spark, sf))
 
 

@@ -9,12 +9,19 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_training_pairs_whole_texts(spark):
+    """Every full window has a pair, of which one side at least is the window's own text, and the negative is a stretch beside both."""
     want = {}
     for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist():
         text = (r["text"] or "").upper()
-        if len(text) >= 150:
-            want |= {r["doc_id"] * 2**20 + k: text[k * 256 : k * 256 + 256] for k in range(-(-len(text) // 256)) if len(text) - k * 256 >= 150}
-    assert {r["window_id"]: r["ref"] for r in registry.training_pairs(spark, SF).collect()} == want
+        want |= {r["doc_id"] * 2**20 + k: text[k * 256 : k * 256 + 256] for k in range(len(text) // 256)}
+    got = registry.training_pairs(spark, SF).collect()
+    assert sorted(r["window_id"] for r in got) == sorted(want)
+    for r in got:
+        text = want[r["window_id"]]
+        assert r["query"] in text or r["ref"] in text
+        assert r["negative"] is None or (40 <= len(r["negative"]) <= 120 and r["negative"] in text)
+        assert 0.8 < r["identity"] <= 1
+    assert sum(r["query"] not in want[r["window_id"]] for r in got) > len(got) / 4 < sum(r["ref"] not in want[r["window_id"]] for r in got)
 
 
 def test_kmers_of_whole_texts(spark):
@@ -34,7 +41,7 @@ def test_all_rows(spark):
     assert {(r["one"], r["two"]) for r in registry.queries()["interval_overlap"](spark, "/root/testdata/sf0.01").collect()} == want
 
 
-@pytest.mark.parametrize("name", ["ivf_search", "rabitq_search"])
+@pytest.mark.parametrize("name", ["ivf_search", "rabitq_search", "ivf_rabitq_search", "ivf_pq_search", "pca_search"])
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
 def test_recall(spark, sf, name):
     want = {(r["query_id"], r["vector_id"]) for r in registry.found(spark, sf).collect()}
