@@ -16,10 +16,10 @@ scanned as well. Extra columns aren't read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.base import Scratch, table
+from strandmill.llm.base import Scratch, join_spread, sized, table
 
 RULE_VERSION = 1
 #: kind, pattern, is it a base kind. A pattern's matches are leftmost and don't overlap.
@@ -33,32 +33,29 @@ RULES = (
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", False),
 )
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_STEP = "array<struct<rank:int,kind:string,at:int,gap:int,size:int,ok:boolean>>"
 
 
-def spans_of(kind: str, pattern: str, rank: int) -> Column:
-    """Spans of one kind in ``text``."""
+def steps_of(kind: str, pattern: str, rank: int) -> Column:
+    """Of one kind in ``text``: what lies before each match and the match itself, as lengths, with the rest of the text as the last."""
     pieces, matches = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        keep = x["m"].isNotNull()
-        if kind == "assign":
-            keep = keep & (F.length(F.regexp_extract(x["m"], pattern, 1)) >= 6)
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.col("text").rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+    long_enough = F.transform(matches, lambda m: F.length(F.regexp_extract(m, pattern, 1)) >= 6 if kind == "assign" else F.lit(True))
+    steps = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(matches, F.length).alias("size"), long_enough.alias("ok"))
+    numbered = F.transform(steps, lambda x, i: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), i.alias("at"), x["gap"].alias("gap"), x["size"].alias("size"), x["ok"].alias("ok")))
+    return F.when(F.col("text").rlike(pattern), numbered).otherwise(F.array().cast(_STEP))
 
 
 def scan(blobs: DataFrame) -> DataFrame:
-    """(blob, spans) of blobs(blob, text) that have a span, sorted by start and kind."""
-    found = [spans_of(kind, pattern, i) for i, (kind, pattern, _) in enumerate(RULES)]
+    """(blob, spans) of blobs(blob, text) that have a span, sorted by start and kind. Only lengths leave the scan; running sums of them are the places."""
+    steps = F.concat(*[steps_of(kind, pattern, i) for i, (kind, pattern, _) in enumerate(RULES)])
     # the condition names the blob too, so that it isn't pushed below the join that leaves the unseen ones
     possible = F.when(F.col("blob").isNotNull(), F.col("text")).rlike("|".join(p for _, p, _ in RULES))
-    return blobs.where(possible).select("blob", F.array_sort(F.concat(*found)).alias("spans")).where(F.size("spans") > 0)
+    numbered = blobs.where(possible).select("blob", "text", F.monotonically_increasing_id().alias("row"))
+    rows = numbered.select("blob", "row", F.explode_outer(steps).alias("s")).select("blob", "row", "s.*")  # explode would search the texts once more, in a filter of its own
+    upto = Window.partitionBy("row", "rank").orderBy("at")
+    ends = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(upto).cast("int"))
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "rank", "end", "kind")
+    return ends.where("size is not null and ok").groupBy("row", "blob").agg(F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
 
 
 def scan_incremental(versions: DataFrame, scratch: Scratch, ledger: DataFrame | None = None, findings: DataFrame | None = None, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,7 +75,10 @@ def scan_incremental(versions: DataFrame, scratch: Scratch, ledger: DataFrame |
     added = unseen.select("blob", F.lit(rule_version).alias("rule_version"))
     every = new if findings is None else findings.unionByName(new)
     current = every.where(F.col("rule_version") == rule_version).select("blob", "spans")
-    joined = paths.join(current, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+    # paths without a finding need no join, and those of one common blob meet its finding in several places
+    found = sized(scratch.save(current.select("blob"), "found"))
+    hit = join_spread(paths.join(found, "blob", "left_semi").withColumn("_path", F.monotonically_increasing_id()), current, "blob", "_path", scratch, "hit").select("doc_id", "blob", "spans")
+    joined = hit.unionByName(paths.join(found, "blob", "left_anti").select("doc_id", "blob", F.array().cast(_SPAN).alias("spans")))
     return joined, added if ledger is None else ledger.unionByName(added), every
 
 
@@ -87,7 +87,10 @@ def _listed(spans: Column) -> Column:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, _ = scan_incremental(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "secrets"))
+    """Two runs: one over the versions of even ids, and one over all that scans what the first one's ledger hasn't seen."""
+    scratch, documents = Scratch(spark, "secrets"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, ledger, findings = scan_incremental(documents.where("doc_id % 2 = 0"), scratch)
+    found, _, _ = scan_incremental(documents, Scratch(spark, "secrets-again"), scratch.save(ledger, "ledger"), findings)
     base = [kind for kind, _, is_base in RULES if is_base]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, base), F.sha2(_listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
