@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import tempfile
 import uuid
@@ -11,14 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession, label: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share."""
+    """A new folder's path below ``spark.checkpoint.dir``, which driver and executors share; it is cleared when the interpreter ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="checkpoints-")  # one machine, as in tests
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_clear, spark, folder)
+    return folder
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    try:
+        delete(spark, folder)
+    except Exception:  # the session may be gone when the interpreter ends
+        return
 
 
 def scratch(spark: SparkSession, label: str) -> Callable[[DataFrame, str], DataFrame]:
