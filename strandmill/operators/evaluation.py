@@ -14,6 +14,7 @@ from strandmill.functions.sequences import bin_label
 from strandmill.functions.tables import cut
 from strandmill.operators import metrics, ordering
 from strandmill.schemas import MISS_SCORE
+from strandmill.sources import store
 
 
 def _next_up(c: Column) -> Column:
@@ -30,11 +31,17 @@ def _counts(negatives: DataFrame, rates: list[float], by: list[str]):
     return [(tuple(r[c] for c in by), fpr, r["n"], int(np.floor(fpr * r["n"]))) for r in n.collect() for fpr in rates]  # a row for each run
 
 
-def _scores_at(negatives: DataFrame, wanted: DataFrame, by: list[str], deepest: int) -> DataFrame:
-    """wanted(by, at, ..) with the score of rank ``at``. Only the ``deepest`` best rows of a run leave a task of the scan."""
-    best = Window.partitionBy(*by).orderBy(F.desc("score"))
-    ranks = negatives.select(*by, "score", F.row_number().over(best).alias("at")).where(F.col("at") <= deepest)
-    return wanted.join(ranks, [*by, "at"])
+def _scores_at(negatives: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """wanted(by, at, ..), a row for each run and rank asked for, with the score of rank ``at``, the best being 1. Scores are counted in sorted ranges."""
+    counts = negatives.groupBy(*by, "score").agg(F.count("*").alias("_n"))
+    placed = ordering.running(counts, [*[F.col(c) for c in by], F.desc("score")], F.col("_n"), "_before", store.scratch(negatives.sparkSession, "cutoffs"))
+    starts = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_before").alias("_start"))
+    asked = wanted.join(starts, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).withColumn("_at", F.col("_start") + F.col("at"))
+    inside = (F.col("_at") > F.col("x._before")) & (F.col("_at") <= F.col("x._before") + F.col("x._n"))
+    on = inside
+    for c in by:
+        on = on & F.col(f"x.{c}").eqNullSafe(F.col(f"y._{c}"))
+    return placed.alias("x").join(F.broadcast(asked).alias("y"), on).select(*[F.col(f"y.{c}").alias(c) for c in wanted.columns], "x.score")
 
 
 def cutoffs(negatives: DataFrame, rates: list[float], by: list[str]) -> DataFrame:
@@ -45,7 +52,7 @@ def cutoffs(negatives: DataFrame, rates: list[float], by: list[str]) -> DataFram
     asked = _counts(negatives, rates, by)
     schema = f"{negatives.select(*by).schema.simpleString()[7:-1]}, fpr double, n_negatives long, passing long, at int"
     wanted = negatives.sparkSession.createDataFrame([(*g, f, n, m, max(1, m)) for g, f, n, m in asked], schema)
-    at = _scores_at(negatives, wanted, by, max([1, *(m for *_, m in asked)]))
+    at = _scores_at(negatives, wanted, by)
     at = at.select(*by, "fpr", "n_negatives", _cutoff(F.col("score"), F.col("passing")).alias("cutoff"))
     share = lambda c: F.avg(c.cast("int"))
     return negatives.join(F.broadcast(at), by).groupBy(*by, "fpr", "n_negatives", "cutoff").agg(share(F.col("score") >= F.col("cutoff")).alias("realized"), share(F.col("score") <= MISS_SCORE).alias("no_hit_fraction"))  # a row for each run and rate
@@ -66,7 +73,7 @@ def cutoff_intervals(negatives: DataFrame, rates: list[float], by: list[str], sa
         asked += [(*group, fpr, m, low, "ci_low"), (*group, fpr, m, high, "ci_high")]
     schema = f"{negatives.select(*by).schema.simpleString()[7:-1]}, fpr double, passing long, at int, side string"
     wanted = negatives.sparkSession.createDataFrame(asked, schema)
-    at = _scores_at(negatives, wanted, by, max([1, *(r[-2] for r in asked)]))
+    at = _scores_at(negatives, wanted, by)
     at = at.select(*by, "fpr", "side", _cutoff(F.col("score"), F.col("passing")).alias("cutoff"))
     return at.groupBy(*by, "fpr").agg(*[F.max(F.when(F.col("side") == s, F.col("cutoff"))).alias(s) for s in ("ci_low", "ci_high")])
 
