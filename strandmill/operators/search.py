@@ -330,9 +330,10 @@ def rerank(hits: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> D
 
 
 def random_sample(vectors: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
-    """max(1, round half even(n / ratio)) rows of each accession, by hash."""
+    """max(1, round half even(n / ratio)) rows of each accession, those of lowest hash."""
     of = Window.partitionBy("accession")
-    ranked = vectors.withColumns({"_n": F.count("*").over(of), "_r": F.row_number().over(of.orderBy(F.xxhash64("vector_id", F.lit(seed)), "vector_id"))})
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("vector_id").cast("string")))
+    ranked = vectors.withColumns({"_n": F.count("*").over(of), "_r": F.row_number().over(of.orderBy(mixed, "vector_id"))})
     return ranked.where(F.col("_r") <= F.greatest(F.lit(1.0), F.rint(F.col("_n") / ratio))).drop("_n", "_r")
 
 

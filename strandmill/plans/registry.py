@@ -273,7 +273,7 @@ def cutoffs_applied(spark, sf) -> DataFrame:
 
 
 def random_rows(spark, sf) -> DataFrame:
-    return search.random_sample(vectors(spark, sf), 3.0).groupBy("accession").agg(F.count("*").alias("n"))
+    return search.random_sample(vectors(spark, sf), 3.0).select("accession", "vector_id")
 
 
 def centroids(spark, sf) -> DataFrame:
@@ -640,13 +640,22 @@ def _q(sql: str, with_: str) -> str:
     return f"WITH {with_} {sql}"
 
 
+def _swapped(sql: str, *pairs: tuple[str, str]) -> str:
+    """sql with each first text, which must be there, replaced once."""
+    for old, new in pairs:
+        if old not in sql:
+            raise ValueError(f"{old!r} isn't in the query")
+        sql = sql.replace(old, new, 1)
+    return sql
+
+
 _CONTIGS = "c AS (SELECT doc_id AS contig, source AS accession, coalesce(text, '') AS sequence FROM documents)"
 _NWIN = "CASE WHEN length(sequence) < 45 THEN 0 WHEN length(sequence) <= 256 THEN 1 ELSE (length(sequence) - 256) // 106 + 1 + CASE WHEN (length(sequence) - 256) % 106 > 50 THEN 1 ELSE 0 END END"
 _META = f"{_CONTIGS}, m AS (SELECT accession, CAST(sum({_NWIN}) AS BIGINT) AS num_rows FROM c GROUP BY 1), r AS (SELECT *, CAST(coalesce(sum(num_rows) OVER (ORDER BY accession ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_row FROM m)"
 _NEG = f"{_V}, s AS (SELECT query_id, accession, 'acc' || label AS own, list_inner_product(q.e, v.e) AS score, vector_id FROM q, v), h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) <= 100), n AS (SELECT query_id, max(score) AS score FROM h WHERE accession <> own GROUP BY 1), z AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS rn FROM n), f AS (SELECT unnest([0.05, 0.2])::DOUBLE AS fpr)"
 
-_RUNS = _RESULTS.replace("q AS (", "q0 AS (", 1).replace(", s AS (", ", q AS (SELECT query_id, 0.0::DOUBLE AS rate, e, label FROM q0 UNION ALL SELECT query_id || '-', 0.1::DOUBLE, list_reverse(e), label FROM q0), s AS (", 1)
-_RUN_JUDGED = _JUDGED.replace(_RESULTS, _RUNS) + ", p AS (SELECT query_id, rate, max(score) FILTER (score > -2 AND rel = 1) AS br, max(score) FILTER (score > -2 AND rel = 0) AS bi FROM j JOIN q USING (query_id) GROUP BY ALL)"
+_RUNS = _swapped(_RESULTS, ("q AS (", "q0 AS ("), (", s AS (", ", q AS (SELECT query_id, 0.0::DOUBLE AS rate, e, label FROM q0 UNION ALL SELECT query_id || '-', 0.1::DOUBLE, list_reverse(e), label FROM q0), s AS ("))
+_RUN_JUDGED = _swapped(_JUDGED, (_RESULTS, _RUNS)) + ", p AS (SELECT query_id, rate, max(score) FILTER (score > -2 AND rel = 1) AS br, max(score) FILTER (score > -2 AND rel = 0) AS bi FROM j JOIN q USING (query_id) GROUP BY ALL)"
 _CUTS = f"{_RUN_JUDGED}, n AS (SELECT rate, coalesce(bi, -2.0) AS score FROM p), z AS (SELECT rate, score, row_number() OVER (PARTITION BY rate ORDER BY score DESC) AS place, count(*) OVER (PARTITION BY rate) AS n FROM n), f AS (SELECT unnest([0.01, 0.05, 0.2])::DOUBLE AS fpr), k AS (SELECT rate, fpr, n AS n_negatives, score AS cutoff, floor(fpr * n) < 1 OR score <= -2 AS above FROM z, f WHERE place = greatest(1, floor(fpr * n)))"
 _SYSTEMS = "y AS (SELECT 'q' || vec_id AS query_id, 'm' || label % 3 AS model, CASE WHEN label % 3 > 0 THEN 'c' || label % 3 END AS chunk_type, CAST(vec_id % 5 AS DOUBLE) AS index_size_gb, CAST(vec_id // 20 % 7 AS DOUBLE) AS avg_time FROM embeddings WHERE vec_id % 20 = 0)"
 _BINS = "a AS (SELECT l_orderkey AS query_id, l_suppkey AS accession, 1 - 1.5 * CAST(l_discount AS DOUBLE) AS identity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY identity DESC, l_quantity DESC, l_linenumber = 1 DESC, l_suppkey) = 1), b AS (SELECT o_orderkey AS query_id, accession, identity, CASE WHEN identity IS NULL THEN 'unaligned' WHEN identity < 0.9 THEN 'lt0.90' WHEN identity < 0.95 THEN '0.90-0.95' WHEN identity < 0.99 THEN '0.95-0.99' ELSE 'ge0.99' END AS bin FROM orders LEFT JOIN a ON query_id = o_orderkey)"
@@ -654,7 +663,7 @@ _BINS = "a AS (SELECT l_orderkey AS query_id, l_suppkey AS accession, 1 - 1.5 *
 _WINDOWS = f"{_CONTIGS}, w0 AS (SELECT contig, accession, CAST(no - 1 AS INT) AS no, starts[no] AS start FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS no FROM (SELECT *, CASE WHEN length(sequence) <= 256 THEN [0] ELSE list_concat(range(0, length(sequence) - 255, 106), CASE WHEN (length(sequence) - 256) % 106 > 50 THEN [length(sequence) - 256] ELSE [] END) END AS starts FROM c))), m0 AS (SELECT accession, CAST(sum({_NWIN}) AS BIGINT) AS num_rows FROM c GROUP BY 1), r0 AS (SELECT accession, CAST(coalesce(sum(num_rows) OVER (ORDER BY accession ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_row FROM m0), w AS (SELECT start_row + row_number() OVER (PARTITION BY accession ORDER BY contig, no) - 1 AS vector_id, contig, accession, start FROM w0 JOIN r0 USING (accession))"
 _SPANS = f"{_WINDOWS}, p AS (SELECT query_id, accession, contig, start + 64 AS s, start + 192 AS e FROM w JOIN (SELECT 'q' || vec_id AS query_id, unnest([vec_id, vec_id - 5]) AS vector_id FROM embeddings WHERE vec_id % 20 = 0) USING (vector_id))"
 _COVER = f"{_SPANS}, x AS (SELECT p.query_id, p.accession, p.contig, s, vector_id, least(e, start + 256) - greatest(s, start) AS overlap, start <= s AND start + 256 >= e AS contains FROM p JOIN w ON w.contig = p.contig AND start < e AND start + 256 > s)"
-_PROBE = f"{_JUDGED.replace(', j0 AS', ', j1 AS')}, cc AS (SELECT vector_id AS cell, e FROM v WHERE vector_id < 32), a AS (SELECT vector_id, arg_max(cell, (p, -cell)) AS cell FROM (SELECT v.vector_id, cell, list_inner_product(v.e, cc.e) AS p FROM v, cc) GROUP BY 1), qp AS (SELECT query_id, cell, list_inner_product(q.e, cc.e) AS p FROM q, cc), o AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, cell) AS place, rank() OVER (PARTITION BY query_id ORDER BY p DESC) - 1 AS ahead FROM qp), n AS (SELECT cell, count(*) / (SELECT count(*) FROM v) AS share FROM a GROUP BY 1), pr AS (SELECT unnest([1, 2, 4, 8, 16, 32]) AS nprobe), hp AS (SELECT h.query_id, h.rank, h.accession, h.score, ahead FROM h JOIN a USING (vector_id) JOIN o ON o.query_id = h.query_id AND o.cell = a.cell), cov AS (SELECT nprobe, avg(CASE WHEN rank <= 1 THEN CAST(ahead < nprobe AS INT) END) AS top_1, avg(CAST(ahead < nprobe AS INT)) AS top_10 FROM hp, pr GROUP BY 1), scan AS (SELECT nprobe, sum(coalesce(share, 0)) / (SELECT count(*) FROM q) AS scanned FROM pr JOIN o ON place <= nprobe LEFT JOIN n USING (cell) GROUP BY 1), bp AS (SELECT nprobe, query_id, accession, max(score) AS score FROM hp, pr WHERE ahead < nprobe GROUP BY ALL), rp AS (SELECT nprobe, query_id, accession, coalesce(score, -2.0) AS score FROM (SELECT nprobe, q.query_id, accession FROM pr, q, (SELECT DISTINCT accession FROM v)) LEFT JOIN bp USING (nprobe, query_id, accession)), jp AS (SELECT rp.*, CASE WHEN t.accession IS NULL THEN 0 ELSE 1 END AS rel FROM rp LEFT JOIN t USING (query_id, accession)), jr AS (SELECT *, sum(rel) OVER (PARTITION BY nprobe, query_id) AS n_rel, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY score DESC, accession) AS rn FROM jp QUALIFY n_rel > 0), ce AS (SELECT nprobe, avg(v) AS r_precision FROM (SELECT nprobe, query_id, CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM jr GROUP BY ALL) GROUP BY 1)"
+_PROBE = f"{_JUDGED}, cc AS (SELECT vector_id AS cell, e FROM v WHERE vector_id < 32), a AS (SELECT vector_id, arg_max(cell, (p, -cell)) AS cell FROM (SELECT v.vector_id, cell, list_inner_product(v.e, cc.e) AS p FROM v, cc) GROUP BY 1), qp AS (SELECT query_id, cell, list_inner_product(q.e, cc.e) AS p FROM q, cc), o AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, cell) AS place, rank() OVER (PARTITION BY query_id ORDER BY p DESC) - 1 AS ahead FROM qp), n AS (SELECT cell, count(*) / (SELECT count(*) FROM v) AS share FROM a GROUP BY 1), pr AS (SELECT unnest([1, 2, 4, 8, 16, 32]) AS nprobe), hp AS (SELECT h.query_id, h.rank, h.accession, h.score, ahead FROM h JOIN a USING (vector_id) JOIN o ON o.query_id = h.query_id AND o.cell = a.cell), cov AS (SELECT nprobe, avg(CASE WHEN rank <= 1 THEN CAST(ahead < nprobe AS INT) END) AS top_1, avg(CAST(ahead < nprobe AS INT)) AS top_10 FROM hp, pr GROUP BY 1), scan AS (SELECT nprobe, sum(coalesce(share, 0)) / (SELECT count(*) FROM q) AS scanned FROM pr JOIN o ON place <= nprobe LEFT JOIN n USING (cell) GROUP BY 1), bp AS (SELECT nprobe, query_id, accession, max(score) AS score FROM hp, pr WHERE ahead < nprobe GROUP BY ALL), rp AS (SELECT nprobe, query_id, accession, coalesce(score, -2.0) AS score FROM (SELECT nprobe, q.query_id, accession FROM pr, q, (SELECT DISTINCT accession FROM v)) LEFT JOIN bp USING (nprobe, query_id, accession)), jp AS (SELECT rp.*, CASE WHEN t.accession IS NULL THEN 0 ELSE 1 END AS rel FROM rp LEFT JOIN t USING (query_id, accession)), jr AS (SELECT *, sum(rel) OVER (PARTITION BY nprobe, query_id) AS n_rel, row_number() OVER (PARTITION BY nprobe, query_id ORDER BY score DESC, accession) AS rn FROM jp QUALIFY n_rel > 0), ce AS (SELECT nprobe, avg(v) AS r_precision FROM (SELECT nprobe, query_id, CAST(sum(CASE WHEN rn <= n_rel AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM jr GROUP BY ALL) GROUP BY 1)"
 
 _BOOT = _JUDGED + ", rc AS (SELECT query_id, CAST(sum(CASE WHEN rn <= 3 AND score > -2 THEN rel ELSE 0 END) AS DOUBLE) / max(n_rel) AS v FROM j GROUP BY 1), rb AS (SELECT query_id, v, unnest(['label' || label, 'overall']) AS bin FROM rc JOIN q USING (query_id)), rs AS (SELECT *, CAST(CAST('0x' || substr(md5('0:' || s || ':' || query_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u FROM rb, (SELECT unnest(range(1, 41)) AS s)), rw AS (SELECT bin, s, v, " + " + ".join(f"CAST(u > {p:.8f} AS INT)" for p in metrics.POISSON) + " AS w FROM rs), rm AS (SELECT bin, s, sum(w * v) / nullif(sum(w), 0) AS m FROM rw GROUP BY 1, 2), rt AS (SELECT bin, count(*) AS n, avg(v) AS mean FROM rb GROUP BY 1), ru AS (SELECT bin, 1.96 * stddev_pop(m) AS margin FROM rm GROUP BY 1)"
 
@@ -662,7 +671,8 @@ _BOOT = _JUDGED + ", rc AS (SELECT query_id, CAST(sum(CASE WHEN rn <= 3 AND scor
 def _sweep_sql() -> str:
     parts = []
     for d in (16, 32, 64):
-        short = _JUDGED.replace("CAST(embedding AS DOUBLE[]) AS e", f"CAST(embedding AS DOUBLE[])[1:{d}] AS e")
+        whole, part = "CAST(embedding AS DOUBLE[]) AS e", f"CAST(embedding AS DOUBLE[])[1:{d}] AS e"
+        short = _swapped(_JUDGED, (whole, part), (whole, part))
         parts.append(f"SELECT {d} AS dims, {64 / d} AS ratio, round(avg(ap), 6) AS auprc FROM (WITH {short} SELECT query_id, sum(CAST(r AS DOUBLE) * cr / cn) / sum(r) AS ap FROM (SELECT query_id, r, sum(n) OVER w AS cn, sum(r) OVER w AS cr FROM (SELECT query_id, score, count(*) AS n, sum(rel) AS r FROM j GROUP BY ALL) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1)")
     return " UNION ALL ".join(parts)
 
@@ -713,7 +723,7 @@ _ALL = {
     "organism_bins": (organism_bins, _q("SELECT 'o' || accession % 3 AS organism, count(*) FILTER (bin = 'lt0.90') AS under_90, count(*) FILTER (bin = '0.90-0.95') AS from_90, count(*) FILTER (bin = '0.95-0.99') AS from_95, count(*) FILTER (bin = 'ge0.99') AS from_99 FROM b WHERE accession IS NOT NULL GROUP BY 1", _BINS)),
     "negatives": (lambda s, d: rounded(negatives(s, d), "score"), _q("SELECT query_id, round(score, 6) AS score FROM n", _NEG)),
     "apply_cutoffs": (cutoffs_applied, _q("SELECT query_id, accession, round(CASE WHEN score >= 0.35 THEN score ELSE -2.0 END, 6) AS score FROM r", _RESULTS)),
-    "random_sample": (random_rows, "SELECT 'acc' || label AS accession, CAST(greatest(1, round_even(count(*) / 3.0, 0)) AS BIGINT) AS n FROM embeddings GROUP BY 1"),
+    "random_sample": (random_rows, "SELECT 'acc' || label AS accession, vec_id AS vector_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) <= greatest(1, round_even(count(*) OVER (PARTITION BY label) / 3.0, 0))"),
     "centroids": (centroids, "SELECT accession, CAST(i - 1 AS INT) AS i, round(avg(x), 6) AS mean FROM (SELECT 'acc' || label AS accession, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2"),
     "pivot_bins": (pivot_bins, "SELECT o_orderstatus, count(*) FILTER (o_totalprice < 100000) AS low, count(*) FILTER (o_totalprice >= 100000 AND o_totalprice < 250000) AS mid, count(*) FILTER (o_totalprice >= 250000) AS high FROM orders GROUP BY 1"),
     "null_safe_join": (null_safe, "SELECT nullif(o_orderstatus, 'F') AS k, count(*) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1"),
@@ -738,7 +748,7 @@ _ALL = {
     "pca_recall": (lambda s, d: recall_of(s, d, _pca_found), _RECALL),
     "oracle_probe": (oracle_probe, _q("SELECT nprobe, round(scanned, 6) AS scanned, round(top_1, 6) AS top_1, round(top_10, 6) AS top_10, round(r_precision, 6) AS r_precision FROM cov JOIN scan USING (nprobe) JOIN ce USING (nprobe)", _PROBE)),
     "window_cover": (window_cover, _q("SELECT query_id, contig, s, vector_id, overlap, contains FROM x", _COVER)),
-    "window_recall": (window_recall, _q("SELECT query_id, accession, " + ", ".join(f"coalesce({f} <= {k}, false) AS {c}_{k}" for k in (3, 10) for c, f in (("acc", "acc"), ("win", "win"), ("contain", "con"))) + " FROM (SELECT DISTINCT query_id, accession FROM p) LEFT JOIN (SELECT f.query_id, f.accession, min(rank) AS acc, min(rank) FILTER (w2) AS win, min(rank) FILTER (c2) AS con FROM f LEFT JOIN (SELECT query_id, accession, vector_id, bool_or(overlap >= 64) AS w2, bool_or(contains) AS c2 FROM x GROUP BY ALL) z USING (query_id, accession, vector_id) GROUP BY ALL) USING (query_id, accession) WHERE query_id IN (SELECT query_id FROM f)", f"{_HITS}, {_COVER.replace(', p AS', ', p AS', 1)}, f AS (SELECT query_id, rank, vector_id, w.accession FROM h JOIN w USING (vector_id))")),
+    "window_recall": (window_recall, _q("SELECT query_id, accession, " + ", ".join(f"coalesce({f} <= {k}, false) AS {c}_{k}" for k in (3, 10) for c, f in (("acc", "acc"), ("win", "win"), ("contain", "con"))) + " FROM (SELECT DISTINCT query_id, accession FROM p) LEFT JOIN (SELECT f.query_id, f.accession, min(rank) AS acc, min(rank) FILTER (w2) AS win, min(rank) FILTER (c2) AS con FROM f LEFT JOIN (SELECT query_id, accession, vector_id, bool_or(overlap >= 64) AS w2, bool_or(contains) AS c2 FROM x GROUP BY ALL) z USING (query_id, accession, vector_id) GROUP BY ALL) USING (query_id, accession) WHERE query_id IN (SELECT query_id FROM f)", f"{_HITS}, {_COVER}, f AS (SELECT query_id, rank, vector_id, w.accession FROM h JOIN w USING (vector_id))")),
     "decoy_pairs": (decoy_pairs, "WITH r AS (SELECT event_id AS row_id, event_type AS rate, user_id AS query_id FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY rate ORDER BY md5('7:' || query_id), query_id, row_id) - 1 AS place, count(*) OVER (PARTITION BY rate) AS n FROM r), s AS (SELECT rate, max(c) AS step FROM (SELECT rate, query_id, count(*) AS c FROM r GROUP BY ALL) GROUP BY 1) SELECT x.row_id, CASE WHEN y.query_id <> x.query_id THEN y.row_id END AS decoy FROM o x JOIN s USING (rate) JOIN o y ON y.rate = x.rate AND y.place = (x.place + step) % x.n"),
     "alignment_audit": (audit, "SELECT rate, relevant, count(*) AS n_hits, round(avg(CAST(c >= 0.5 AS INT)), 6) AS pass_share, round(avg(CAST(i >= 0.75 AS INT)) FILTER (c >= 0.5), 6) AS share_75, round(avg(CAST(i >= 0.95 AS INT)) FILTER (c >= 0.5), 6) AS share_95, round(quantile_cont(i, 0.5) FILTER (c >= 0.5), 6) AS id_median, round(quantile_cont(i, 0.1) FILTER (c >= 0.5), 6) AS id_p10, round(quantile_cont(i, 0.9) FILTER (c >= 0.5), 6) AS id_p90 FROM (SELECT l_returnflag AS rate, l_linenumber = 1 AS relevant, 1 - 4 * CAST(l_discount AS DOUBLE) AS i, CAST(l_quantity AS DOUBLE) / 50 AS c FROM lineitem) GROUP BY 1, 2"),
     "audit_bins": (audit_bins, "SELECT rate, count(*) FILTER (c < 0.5) AS fail, " + ", ".join(f"count(*) FILTER (c >= 0.5 AND i > {low} AND i <= {high if high < 1 else 9}) AS under_{round(100 * high)}" for low, high in zip((-9, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95), (0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1))) + " FROM (SELECT l_returnflag AS rate, 1 - 4 * CAST(l_discount AS DOUBLE) + 0.001 AS i, CAST(l_quantity AS DOUBLE) / 50 AS c FROM lineitem) GROUP BY 1"),
