@@ -1,14 +1,16 @@
 """Every operator on empty tables, nulls, repeats, very long texts and columns whose names clash; and what the mixing draws."""
 
 import hashlib
+import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandmill.llm import decontamination, language, mixing, passages, quality, secrets, sharding, toxicity, url_filter
-from strandmill.llm.base import Scratch
+from strandmill.llm.base import Scratch, text_bytes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -87,6 +89,63 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(pages, listed.limit(0), scratch(spark)).collect()} == {"allow"}
 
 
+def test_code_lengths_against_plain_ppm(spark):
+    """Bits of texts under each language by a recursion over contexts, from the longest to none, with escapes."""
+    texts = {"en": "the quick brown fox jumps over the lazy dog and the cat. ÄÖ", "de": "der schnelle braune fuchs springt über den faulen hund und die katze"}
+    d = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    model = language.train(d)
+    k = language.CLASSES
+
+    def symbols(text):
+        return [0, 0, 0, *(int(language.BYTE_CLASS[b]) for b in text.encode())]
+
+    counts = {}
+    for lang, text in texts.items():
+        own = counts[lang] = {}
+        c = symbols(text)
+        for i in range(3, len(c)):
+            for order in range(4):
+                key = (order, tuple(c[i - order : i]))
+                own.setdefault(key, {}).setdefault(c[i], 0)
+                own[key][c[i]] += 1
+
+    def bits(own, context, symbol):
+        if context is None:
+            return math.log2(k)
+        seen = own.get((len(context), context), {})
+        shorter = context[1:] if context else None
+        if symbol in seen:
+            return -math.log2(seen[symbol] / (sum(seen.values()) + len(seen)))
+        escape = -math.log2(len(seen) / (sum(seen.values()) + len(seen))) if seen else 0.0
+        return escape + bits(own, shorter, symbol)
+
+    asked = ["the dog and the fox", "hund und katze", "", "xyz 123 über", "a"]
+    data, offsets = text_bytes(pa.array(asked))
+    got = model.lengths(data, offsets)
+    for row, text in zip(got, asked, strict=True):
+        c = symbols(text)
+        for i, lang in enumerate(model.langs):
+            want = sum(bits(counts[lang], tuple(c[j - 3 : j]), c[j]) for j in range(3, len(c)))
+            assert row[i] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_bloom_false_positives_are_removed(spark, monkeypatch):
+    """With a bit for each URL many unlisted ones pass the filter; the exact join takes all of them out again, and no listed one is lost."""
+    monkeypatch.setattr(url_filter, "BITS_PER_URL", 1)
+    listed = spark.createDataFrame([(f"site{i}.com/a",) for i in range(2000)], "canonical string")
+    pages = spark.createDataFrame([(i, f"http://site{i}.com/a/") for i in range(4000)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, listed, scratch(spark)).collect()}
+    assert got == {i: "block" if i < 2000 else "allow" for i in range(4000)}
+    n_blocks = 2000 // url_filter.BLOCK_BITS + 1
+    asked = spark.createDataFrame([(f"site{i}.com/a", i) for i in range(4000)], "canonical string, i long")
+    masks = [m.alias(f"q{k}") for k, m in enumerate(url_filter._masks(F.xxhash64("canonical", F.lit(7))))]
+    looked = asked.select("i", F.pmod(F.xxhash64("canonical"), F.lit(n_blocks)).alias("block"), *masks).join(url_filter.bloom(listed, n_blocks), "block")
+    for k in range(4):
+        looked = looked.where(F.col(f"m{k}").bitwiseAND(F.col(f"q{k}")) == F.col(f"q{k}"))
+    passed = {r["i"] for r in looked.collect()}
+    assert passed >= set(range(2000)) and len(passed) > 2500
+
+
 def test_secrets_of_one_text_with_many_matches(spark):
     text = " ".join(f"token=abcdefg{i}" for i in range(1500))
     got = secrets.scan_incremental(spark.createDataFrame([(1, text)], "doc_id long, text string"), scratch(spark))[0].first()
