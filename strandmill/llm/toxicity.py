@@ -19,8 +19,8 @@ together. Three of four train the dictionaries, which have at most ``ORDINARY_BY
 ``TOXIC_BYTES``, the fourth calibrates.
 
 Defined results: a null or empty text, and any text when the labels lack a class,
-scores the base rate, below 0.5. Null labels teach nothing. Repeated rows score
-alike; a text's score doesn't depend on any other row or column.
+scores the base rate, below 0.5. Null labels teach nothing; a doc_id that is labelled
+0 and 1 teaches both classes, and its repeated rows each teach. Repeated rows score alike; a text's score doesn't depend on any other row or column.
 """
 
 from __future__ import annotations
