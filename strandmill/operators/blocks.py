@@ -3,8 +3,9 @@
 ``pack`` turns consecutive rows into one row whose columns are arrays, and vectors into
 bytes. ``scan`` lets every block of queries meet every block of vectors: up to
 ``BROADCAST_QUERIES`` queries are broadcast as blocks and the vectors stay where they
-are read; more are joined by slices of the vectors, so neither the plan nor the driver
-grows with their number.
+are read; more are dealt to tiles, a slice of the vectors and a group of the queries
+each. A task holds one tile, whose size is bounded, and no pair of blocks is a row, so
+neither the plan nor the driver nor a task grows with their number.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandmill.functions import vectors as fv
 
-#: Rows of a block of vectors and of queries, and blocks of vectors of a slice.
+#: Rows of a block of vectors and of queries, and blocks of either of a tile at most.
 ROWS, QUERIES, SLICE = 1024, 256, 64
-BROADCAST_QUERIES = 16_384
+BROADCAST_QUERIES = 1024
 
 
 def pack(df: DataFrame, rows: int, *by: str) -> DataFrame:
@@ -116,14 +119,64 @@ def query_blocks(queries: DataFrame, rows: int, *by: str) -> DataFrame:
     return packed.select(*by, *[F.col(c).alias(f"q_{c}") for c in packed.columns if c not in by], F.monotonically_increasing_id().alias("q_block"))
 
 
+def meet(packed: DataFrame, asked: DataFrame, key: tuple[str, ...], make: Callable, schema: str) -> DataFrame:
+    """Blocks of vectors and of queries of equal ``key``, met in one task as ``met`` does; callers bound what a key has."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        parts = [unpack(b, i) for b in vectors.to_batches() for i in range(b.num_rows)]
+        out: list[pa.RecordBatch] = []
+        for b in queries.to_batches() if parts else ():
+            for i in range(b.num_rows):
+                own = make(unpack(b, i, "q_"), lambda c, b=b, i=i: b.column(c)[i])
+                for p in parts:
+                    own.add(p)
+                out += own.result()
+        return pa.Table.from_batches(out) if out else kinds.empty_table()
+
+    return packed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, schema)
+
+
+def by_cell(packed: DataFrame, asked: DataFrame, by: tuple[str, ...], n: int, large: int, make: Callable, schema: str, beside: DataFrame | None = None) -> DataFrame:
+    """``meet`` within cells: packed(by, block, ..) of a stored table, asked(by, query_id, embedding) of ``n`` queries.
+
+    A cell of more than ``large`` blocks is dealt to several tasks, and so are its queries beyond those of a tile.
+    ``make`` can also ask for the columns of ``beside``, a row for each value of the first of ``by``.
+    """
+    groups = max(1, -(-n // (QUERIES * SLICE)))
+    dealt = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    dealt = query_blocks(dealt.repartitionByRange(*by, "group", F.xxhash64("query_id")).sortWithinPartitions(*by, "group"), QUERIES, *by, "group")
+    if beside is not None:
+        dealt = dealt.join(beside, by[0])
+    size = packed.groupBy(*by).agg(F.ceil(F.count("*") / large).cast("int").alias("parts")).where("parts > 1")  # large cells only
+    packed = packed.join(size, list(by), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"), F.lit(0))).drop("parts", "block")
+    dealt = dealt.join(size, list(by), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    packed = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return meet(packed, dealt, (*by, "part", "group"), make, schema)
+
+
+def tiles(vectors: int, queries: int, least: int) -> tuple[int, int]:
+    """Slices of the vectors and groups of the queries: tiles of bounded size, ``least`` of them if there are rows enough; what adds fewer copies is cut."""
+    s, g = max(1, -(-vectors // (ROWS * SLICE))), max(1, -(-queries // (QUERIES * SLICE)))
+    while s * g < least:
+        if 2 * s * ROWS <= vectors and (queries * s <= vectors * g or 2 * g * QUERIES > queries):
+            s *= 2
+        elif 2 * g * QUERIES <= queries:
+            g *= 2
+        else:
+            break
+    return s, g
+
+
 def scan(queries: DataFrame, vectors: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """``met`` for every block of queries and every block of vectors."""
+    """Every block of queries and every block of vectors, met one by one (see ``met``)."""
     n = queries.count()
-    asked = query_blocks(queries.repartition(max(1, -(-n // QUERIES))), QUERIES)
-    packed = pack(vectors, ROWS)
     if n <= BROADCAST_QUERIES:
-        return met(packed.crossJoin(F.broadcast(asked)), ("q_block",), make, schema, hold=True)  # blocks of at most BROADCAST_QUERIES rows in all
-    slices = max(1, -(-vectors.count() // (ROWS * SLICE)))
-    packed = packed.withColumn("slice", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices)).cast("int")).repartition(slices, "slice")
-    spread = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return met(packed.hint("shuffle_hash").join(spread, "slice"), ("slice", "q_block"), make, schema)
+        asked = query_blocks(queries.repartition(max(1, -(-n // QUERIES))), QUERIES)
+        return met(pack(vectors, ROWS).crossJoin(F.broadcast(asked)), ("q_block",), make, schema, hold=True)  # blocks of at most BROADCAST_QUERIES rows in all
+    slices, groups = tiles(vectors.count(), n, 3 * queries.sparkSession.sparkContext.defaultParallelism)
+    packed = pack(vectors.repartition(slices), ROWS).withColumn("slice", F.spark_partition_id())
+    asked = query_blocks(queries.repartition(groups), QUERIES).withColumn("group", F.spark_partition_id())
+    packed = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return meet(packed, asked, ("slice", "group"), make, schema)

@@ -43,8 +43,7 @@ def _merged(spark: SparkSession, path: str, q: DataFrame, v: DataFrame, k: int,
 def _one_bit(spark: SparkSession, path: str, q: DataFrame, v: DataFrame, k: int, p: dict) -> DataFrame:
     n, total, _ = search.moments(v)
     center = (total / n).astype("float32")
-    head = search.rabitq(q, spark.read.parquet(f"{path}/codes"), center, max(k, p["head"]), p["mode"])
-    return search.rerank(head, q, v, k) if p["head"] else head
+    return search.rabitq(q, spark.read.parquet(f"{path}/codes"), center, k, p["mode"], vectors=v, head=p["head"])
 
 
 def _one_bit_codes(v: DataFrame, path: str, p: dict) -> None:

@@ -1,9 +1,9 @@
 """Inverted files of coded vectors, kept as tables: 1-bit codes by cell, product codes by shard and cell.
 
 An index is a folder of Parquet tables. Codes are stored as blocks of one cell, so a
-search is a join of blocks: the queries that probe a cell, packed, meet the cell's codes,
-packed, and a task scores them as matrices. The best candidates of a query are then
-scored exactly from the stored vectors.
+search lets blocks meet: the queries that probe a cell, packed, and the cell's codes,
+packed, and a task scores them as matrices. Those that the codes let through are scored
+exactly from the vectors, which lie beside the codes.
 """
 
 from __future__ import annotations
@@ -36,13 +36,14 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 
 class _Head:
-    """What a block of queries keeps of what it has met: the ``k`` best rows of each."""
+    """A block of queries and the ``k`` best rows of each by estimates."""
 
-    def __init__(self, asked: pa.RecordBatch, k: int):
-        self.own, self.q, self.best = asked.column("query_id"), fv.matrix(asked.column("embedding")), search._Best(k)
+    def __init__(self, asked: pa.RecordBatch, k: int, estimate):
+        self.estimate = estimate
+        self.own, self.q, self.best = asked.column("query_id"), fv.matrix(asked.column("embedding")), search._Best(k, len(asked))
 
-    def keep(self, scores: np.ndarray, part: pa.RecordBatch) -> None:
-        self.best.add(scores, part.column("vector_id").to_numpy(), part.column("accession"))
+    def add(self, part: pa.RecordBatch) -> None:
+        self.best.add(self.estimate(part), part.column("vector_id").to_numpy(), part.column("accession"))
 
     def result(self) -> Iterator[pa.RecordBatch]:
         if self.best.held:
@@ -54,7 +55,7 @@ class _Head:
 
 
 def residual_codes(assigned: DataFrame, centroids: np.ndarray, seed: int = 0) -> DataFrame:
-    """(cell, vector_id, accession, code, gain): signs of the turned residual, and the factor from a product with the signs to one with the residual."""
+    """(cell, vector_id, accession, code, gain, embedding): signs of the turned residual, and the factor from a product with the signs to one with the residual."""
     turn = fv.rotation(centroids.shape[1], seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,9 +64,9 @@ def residual_codes(assigned: DataFrame, centroids: np.ndarray, seed: int = 0) ->
                 x = fv.matrix(b.column("embedding")) - centroids[b.column("cell").to_numpy()]
                 y = x @ turn
                 gain = (x * x).sum(1) / np.maximum(np.abs(y).sum(1), 1e-30)
-                yield pa.RecordBatch.from_arrays([b.column("cell"), b.column("vector_id"), b.column("accession"), pa.array([c.tobytes() for c in fv.pack_signs(y)], pa.binary()), pa.array(gain.astype(np.float32))], ["cell", "vector_id", "accession", "code", "gain"])
+                yield pa.RecordBatch.from_arrays([b.column("cell"), b.column("vector_id"), b.column("accession"), pa.array([c.tobytes() for c in fv.pack_signs(y)], pa.binary()), pa.array(gain.astype(np.float32)), b.column("embedding")], ["cell", "vector_id", "accession", "code", "gain", "embedding"])
 
-    return assigned.select("cell", "vector_id", "accession", "embedding").mapInArrow(run, "cell int, vector_id long, accession string, code binary, gain float")
+    return assigned.select("cell", "vector_id", "accession", "embedding").mapInArrow(run, "cell int, vector_id long, accession string, code binary, gain float, embedding array<float>")
 
 
 def build_cells(vectors: DataFrame, path: str, cells: int, rounds: int = 10, seed: int = 0) -> None:
@@ -92,34 +93,38 @@ def _only(df: DataFrame, cells: list[int]) -> DataFrame:
     return df.where(F.col("cell").isin(cells)) if cells else df.limit(0)
 
 
-class _Signs(_Head):
-    def __init__(self, asked: pa.RecordBatch, k: int, center: np.ndarray, turn: np.ndarray):
-        super().__init__(asked, k)
-        self.base, self.turned = self.q @ center, self.q @ turn
+class _Signs:
+    """Estimates of a block of queries for codes of one cell."""
 
-    def add(self, part: pa.RecordBatch) -> None:
+    def __init__(self, q: np.ndarray, center: np.ndarray, turn: np.ndarray):
+        self.base, self.turned = q @ center, q @ turn
+
+    def __call__(self, part: pa.RecordBatch) -> np.ndarray:
         signs = fv.unpack_signs(_bytes(part.column("code")))
-        self.keep((self.base[:, None] + self.turned @ signs.T * part.column("gain").to_numpy()).astype(np.float64), part)
+        return (self.base[:, None] + self.turned @ signs.T * part.column("gain").to_numpy()).astype(np.float64)
+
+
+def _searched(queries: DataFrame, k: int, head: int, run) -> DataFrame:
+    """By the codes alone, or with a head by exact scores of those that they let through."""
+    if head:
+        return search.by_estimates(queries, k, head, run)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return top_k(run(queries, lambda asked, e: _Head(asked, k, e), f"query_id {kind}, accession string, score double, vector_id long"), k)
 
 
 def search_cells(spark: SparkSession, path: str, queries: DataFrame, k: int, nprobe: int, head: int, seed: int = 0) -> DataFrame:
-    """The k best of the ``nprobe`` nearest cells: the ``max(head, k)`` best by codes, scored exactly; head 0 gives the estimates."""
+    """The k best of the ``nprobe`` nearest cells: what the codes let through, the ``head`` best by codes at least, scored exactly (``search.by_estimates``); head 0 gives the estimates."""
     centroids = _centroids(spark, path)
-    turn, kept = fv.rotation(centroids.shape[1], seed), max(head, k)
-    asked = search.probes(queries, centroids, nprobe)
-    probed = sorted(r["cell"] for r in asked.select("cell").distinct().collect())  # at most a row for each cell
-    codes = _only(spark.read.parquet(f"{path}/codes"), probed).withColumn("cell", F.col("cell").cast("int"))
-    parts = F.broadcast(codes.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCKS).cast("int").alias("parts")))  # a row for each cell
-    codes = codes.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")).drop("parts", "block")
-    packed = blocks.query_blocks(asked.select("cell", "query_id", "embedding").repartitionByRange("cell", F.xxhash64("query_id")).sortWithinPartitions("cell"), blocks.QUERIES, "cell")
-    packed = packed.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    kind = queries.schema["query_id"].dataType.simpleString()
-    make = lambda a, at: _Signs(a, kept, centroids[at("cell").as_py()], turn)
-    best = blocks.met(codes.hint("shuffle_hash").join(packed, ["cell", "part"]), ("cell", "part", "q_block"), make, f"query_id {kind}, accession string, score double, vector_id long")
-    best = top_k(best, kept)
-    if not head:
-        return best.where(F.col("rank") <= k)
-    return search.rerank(best, queries, _only(spark.read.parquet(f"{path}/vectors"), probed).drop("cell"), k)
+    turn = fv.rotation(centroids.shape[1], seed)
+
+    def run(own: DataFrame, judge, schema: str) -> DataFrame:
+        asked = search.probes(own, centroids, nprobe)
+        probed = sorted(r["cell"] for r in asked.select("cell").distinct().collect())  # at most a row for each cell
+        codes = _only(spark.read.parquet(f"{path}/codes"), probed).withColumn("cell", F.col("cell").cast("int"))
+        make = lambda a, at: judge(a, _Signs(fv.matrix(a.column("embedding")), centroids[at("cell").as_py()], turn))
+        return blocks.by_cell(codes, asked.select("cell", "query_id", "embedding"), ("cell",), own.count(), CELL_BLOCKS, make, schema)
+
+    return _searched(queries, k, head, run)
 
 
 # --- product codes by shard and cell ------------------------------------------------
@@ -137,7 +142,9 @@ def _means(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator, nearest
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
+    """In pieces of rows, so that the distances of a sample aren't held at once."""
+    own = (c * c).sum(1)[None, :]
+    return np.concatenate([(own - 2 * x[i : i + 8192] @ c.T).argmin(1) for i in range(0, max(len(x), 1), 8192)])
 
 
 def train_shards(dealt: DataFrame, lists: int, parts: int, codes: int, sample: int, rounds: int = 10, seed: int = 0) -> DataFrame:
@@ -192,26 +199,25 @@ def build_shards(vectors: DataFrame, path: str, shards: int, lists: int, parts:
                 cell = _nearest(x, m.c)
                 code = np.stack([_nearest(p, c) for p, c in zip(np.split(x - m.c[cell], parts, axis=1), m.books, strict=True)], axis=1).astype(np.uint8)
                 shard = pa.array(np.full(len(x), b.column("shard")[i].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([shard, pa.array(cell.astype(np.int32)), part.column("vector_id"), part.column("accession"), pa.array([c.tobytes() for c in code], pa.binary())], ["shard", "cell", "vector_id", "accession", "code"])
+                yield pa.RecordBatch.from_arrays([shard, pa.array(cell.astype(np.int32)), part.column("vector_id"), part.column("accession"), pa.array([c.tobytes() for c in code], pa.binary()), part.column("embedding")], ["shard", "cell", "vector_id", "accession", "code", "embedding"])
 
     packed = blocks.pack(_by_cell(dealt.select("shard", "vector_id", "accession", "embedding"), "shard"), blocks.ROWS, "shard")
-    coded = packed.join(models, "shard").mapInArrow(encode, "shard int, cell int, vector_id long, accession string, code binary")
+    coded = packed.join(models, "shard").mapInArrow(encode, "shard int, cell int, vector_id long, accession string, code binary, embedding array<float>")
     blocks.pack(_by_cell(coded, "shard", "cell"), blocks.ROWS, "shard", "cell").withColumn("block", F.monotonically_increasing_id()).write.partitionBy("shard").parquet(f"{path}/codes")
 
 
-class _Lookup(_Head):
-    """Scores from tables: a query's products with every codebook entry, added up by the bytes of a code."""
+class _Lookup:
+    """Estimates from tables: a query's products with every codebook entry, added up by the bytes of a code."""
 
-    def __init__(self, asked: pa.RecordBatch, k: int, books: np.ndarray):
-        super().__init__(asked, k)
+    def __init__(self, asked: pa.RecordBatch, books: np.ndarray):
         self.base = asked.column("base").to_numpy()
-        self.table = np.stack([q @ b.T for q, b in zip(np.split(self.q, len(books), axis=1), books, strict=True)])  # parts x queries x entries
+        self.table = np.stack([q @ b.T for q, b in zip(np.split(fv.matrix(asked.column("embedding")), len(books), axis=1), books, strict=True)])  # parts x queries x entries
 
-    def add(self, part: pa.RecordBatch) -> None:
+    def __call__(self, part: pa.RecordBatch) -> np.ndarray:
         code, scores = _bytes(part.column("code")), np.repeat(self.base[:, None].astype(np.float64), len(part), axis=1)
         for m, t in enumerate(self.table):
             scores += t[:, code[:, m]]
-        self.keep(scores, part)
+        return scores
 
 
 def shard_probes(queries: DataFrame, models: DataFrame, nprobe: int, parts: int) -> DataFrame:
@@ -233,22 +239,20 @@ def shard_probes(queries: DataFrame, models: DataFrame, nprobe: int, parts: int)
     return pairs.mapInArrow(run, f"shard int, cell int, query_id {kind}, base float, embedding array<float>")
 
 
-def search_shards(spark: SparkSession, path: str, queries: DataFrame, vectors: DataFrame, k: int, nprobe: int, head: int, parts: int = 8) -> DataFrame:
-    """The k best over all shards, ``nprobe`` lists of each: the ``max(head, k)`` best by codes, scored exactly; head 0 gives the estimates."""
-    models, kept = spark.read.parquet(f"{path}/models"), max(head, k)
-    asked = shard_probes(queries, _sized(models), nprobe, parts)
-    by_cell = asked.repartitionByRange("shard", "cell", F.xxhash64("query_id")).sortWithinPartitions("shard", "cell")
-    packed = blocks.query_blocks(by_cell, blocks.QUERIES, "shard", "cell")
+def search_shards(spark: SparkSession, path: str, queries: DataFrame, vectors: DataFrame | None, k: int, nprobe: int, head: int, parts: int = 8) -> DataFrame:
+    """The k best over all shards, ``nprobe`` lists of each: what the codes let through, the ``head`` best by codes at least, scored exactly (``search.by_estimates``); head 0 gives the estimates.
+
+    The index holds the vectors beside their codes, so ``vectors`` isn't read.
+    """
+    models = spark.read.parquet(f"{path}/models")
     codes = spark.read.parquet(f"{path}/codes").withColumn("shard", F.col("shard").cast("int"))
-    size = codes.groupBy("shard", "cell").agg(F.ceil(F.count("*") / CELL_BLOCKS).cast("int").alias("parts")).where("parts > 1")  # large cells only
-    codes = codes.join(size, ["shard", "cell"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"), F.lit(0))).drop("parts", "block")
-    packed = packed.join(size, ["shard", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
-    pairs = codes.hint("shuffle_hash").join(packed, ["shard", "cell", "part"]).join(_sized(models.select("shard", "dims", F.col("books").alias("m_books"))), "shard")
-    kind = queries.schema["query_id"].dataType.simpleString()
-    make = lambda a, at: _Lookup(a, kept, _Model(at("dims").as_py(), parts, None, at("m_books")).books)
-    best = blocks.met(pairs, ("shard", "cell", "part", "q_block"), make, f"query_id {kind}, accession string, score double, vector_id long")
-    best = top_k(best, kept)
-    return search.rerank(best, queries, vectors, k) if head else best.where(F.col("rank") <= k)
+    books = _sized(models.select("shard", "dims", F.col("books").alias("m_books")))
+
+    def run(own: DataFrame, judge, schema: str) -> DataFrame:
+        make = lambda a, at: judge(a, _Lookup(a, _Model(at("dims").as_py(), parts, None, at("m_books")).books))
+        return blocks.by_cell(codes, shard_probes(own, _sized(models), nprobe, parts), ("shard", "cell"), own.count(), CELL_BLOCKS, make, schema, books)
+
+    return _searched(queries, k, head, run)
 
 
 def recall(found: DataFrame, wanted: DataFrame, least: float) -> DataFrame:

@@ -336,12 +336,11 @@ def _score_only(df: DataFrame) -> DataFrame:
 
 
 def rabitq_search(spark, sf, mode: str = "reference") -> DataFrame:
-    """The head of 200 by estimates, reranked."""
+    """What 1-bit codes let through, the head of 200 at least, scored exactly."""
     n, total, _ = search.moments(vectors(spark, sf))
     center = (total / n).astype("float32")
     v, q = vectors(spark, sf), query_vectors(spark, sf)
-    head = search.rabitq(q, search.rabitq_encode(v, center), center, 20 * K, mode)
-    return _score_only(search.rerank(head, q, v, K))
+    return _score_only(search.rabitq(q, search.rabitq_encode(v, center), center, K, mode, vectors=v, head=20 * K))
 
 
 def ivf_search(spark, sf) -> DataFrame:
@@ -357,7 +356,7 @@ def _cells_found(spark, sf) -> DataFrame:
 
 
 def ivf_rabitq_search(spark, sf) -> DataFrame:
-    """Half of the cells probed by 1-bit codes, the head of 400 scored exactly."""
+    """Half of the cells probed by 1-bit codes, what they let through, the head of 400 at least, scored exactly."""
     return _score_only(_cells_found(spark, sf))
 
 
@@ -368,7 +367,7 @@ def _shards_found(spark, sf) -> DataFrame:
 
 
 def ivf_pq_search(spark, sf) -> DataFrame:
-    """Two shards, half of each one's lists probed by product codes, the head of 100 scored exactly."""
+    """Two shards, half of each one's lists probed by product codes, what they let through, the head of 100 at least, scored exactly."""
     return _score_only(_shards_found(spark, sf))
 
 

@@ -4,6 +4,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from strandmill.functions import vectors as fv
@@ -199,3 +201,15 @@ def test_store(spark, tmp_path):
     assert store.read_text(spark, path) == "äc" and os.listdir(tmp_path / "x") and [n for n in store.names(spark, f"file://{tmp_path}/x") if not n.endswith(".crc")] == ["y.json"]
     store.delete(spark, path)
     assert not store.exists(spark, path)
+
+
+@pytest.mark.parametrize("name", ["_pca_found", "_cells_found"])
+def test_recall_of_larger_tables(spark, name, tmp_path):
+    """A head that is a smaller share of a larger table still lets nine tenths of the best through."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((10_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = pa.table({"vec_id": np.arange(len(x)), "embedding": fv.lists(x), "label": pa.array(np.arange(len(x)) % 10, pa.int32())})
+    pq.write_table(rows, tmp_path / "embeddings.parquet")
+    got = registry.recall_of(spark, str(tmp_path), getattr(registry, name)).first()
+    assert got == (500, 5000, True)
