@@ -184,7 +184,7 @@ def runs(spark, sf) -> tuple[DataFrame, DataFrame]:
     q, t = query_vectors(spark, sf), truth(spark, sf)
     noisy = F.concat("query_id", F.lit("-")).alias("query_id")
     both = q.select("query_id", "embedding").unionByName(q.select(noisy, F.reverse("embedding").alias("embedding")))
-    flat = search.exact(both, vectors(spark, sf), K)
+    flat = store.scratch(spark, "runs")(search.exact(both, vectors(spark, sf), K), "hits")  # several branches of a plan read it
     out = hits.regroup(flat, both, accessions(spark, sf), K)
     return out, t.unionByName(t.select(noisy, "accession"))
 
