@@ -213,3 +213,27 @@ def test_recall_of_larger_tables(spark, name, tmp_path):
     pq.write_table(rows, tmp_path / "embeddings.parquet")
     got = registry.recall_of(spark, str(tmp_path), getattr(registry, name)).first()
     assert got == (500, 5000, True)
+
+
+def test_tiles_are_bounded(spark):
+    """A task's rows don't grow with the table, and there are tasks enough for the cores."""
+    for vectors, queries in ((10_256, 1_026), (102_564, 10_258), (615_384, 61_540), (6_000_000, 300_000)):
+        s, g = blocks.tiles(vectors, queries, 36)
+        assert vectors / s <= blocks.ROWS * blocks.SLICE and queries / g <= blocks.QUERIES * blocks.SLICE
+        assert s * g >= min(36, vectors // (2 * blocks.ROWS) * max(1, queries // (2 * blocks.QUERIES)))
+
+
+@pytest.mark.parametrize("name", ["run_outcomes", "validation", "run_overlap", "exhaustive_scores"])
+def test_blocks_of_many_queries_meet_in_tiles(spark, monkeypatch, name):
+    """Beyond the queries of a few blocks no row is a pair of blocks."""
+    monkeypatch.setattr(blocks, "BROADCAST_QUERIES", 1)
+    met, pairs = [], blocks.meet
+    monkeypatch.setattr(blocks, "meet", lambda *a: met.append(a[2]) or pairs(*a))
+    plain = registry.queries()[name](spark, SF).collect()
+    monkeypatch.undo()
+    assert met and set(met) == {("slice", "group")} and sorted(map(repr, plain)) == sorted(map(repr, registry.queries()[name](spark, SF).collect()))
+
+
+def test_cells_meet_in_blocks(spark):
+    plan = registry.ivf_search(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "MergeJoin [cell" not in plan
