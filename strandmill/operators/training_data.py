@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,17 +37,26 @@ class PairRules:
         return beta_parameters(self.mean, self.sd, self.top)
 
 
+@functools.cache
+def _shares(weights: tuple[float, float, float]) -> np.ndarray:
+    upto = np.cumsum(weights)
+    return upto / upto[-1]
+
+
 def mutate(seq: str, identity: float, rng: np.random.Generator, kinds: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> tuple[str, float]:
     """round(len * (1 - identity)) places, each substituted, preceded by an insertion, or deleted; with the identity that comes of it."""
     n = min(round(len(seq) * (1 - identity)), len(seq))
     if n <= 0:
         return seq, 1.0
     out = list(seq)
-    for at, kind in zip(rng.choice(len(seq), size=n, replace=False), rng.choice(3, size=n, p=kinds), strict=True):
+    places = rng.choice(len(seq), size=n, replace=False).tolist()
+    # the draws that choice makes from weights and from short lists, without its checks
+    for at, kind in zip(places, _shares(kinds).searchsorted(rng.random(n), side="right").tolist(), strict=True):
         if kind == 0:
-            out[at] = rng.choice([b for b in BASES if b != out[at]])
+            others = [b for b in BASES if b != out[at]]
+            out[at] = others[rng.integers(len(others))]
         else:
-            out[at] = rng.choice(list(BASES)) + out[at] if kind == 1 else ""
+            out[at] = BASES[rng.integers(len(BASES))] + out[at] if kind == 1 else ""
     text = "".join(out)
     return text, 1 - n / max(len(seq), len(text))
 
@@ -104,11 +114,18 @@ def pairs(windows: DataFrame, seed: int = 0, rules: PairRules = PairRules()) ->
     return windows.where(F.length("seq") >= rules.least).select("window_id", "seq").mapInPandas(run, "window_id long, query string, ref string, negative string, identity double")
 
 
+#: Windows of a piece of text; a place in a string costs its distance from the start, so windows are cut from pieces.
+PIECE_WINDOWS = 40
+
+
 def full_windows(contigs: DataFrame, width: int, step: int) -> DataFrame:
     """(contig, start, seq): the full windows of contigs(contig, sequence), in upper case; a tail that fills none is left."""
     n = F.floor((F.length("sequence") - width) / step)
-    starts = contigs.where(F.length("sequence") >= width).select("contig", F.upper("sequence").alias("sequence"), F.explode(F.sequence(F.lit(0), n)).alias("no"))
-    return starts.select("contig", (F.col("no") * step).alias("start"), F.substring("sequence", (F.col("no") * step + 1).cast("int"), F.lit(width)).alias("seq"))
+    whole = contigs.where(F.length("sequence") >= width).select("contig", F.upper("sequence").alias("sequence"), n.alias("last"), F.explode(F.sequence(F.lit(0), F.floor(n / PIECE_WINDOWS))).alias("p"))
+    first = F.col("p") * PIECE_WINDOWS
+    pieces = whole.select("contig", first.alias("first"), F.least("last", first + PIECE_WINDOWS - 1).alias("last"), F.substring("sequence", (first * step + 1).cast("int"), F.lit((PIECE_WINDOWS - 1) * step + width)).alias("piece"))
+    starts = pieces.select("contig", "first", "piece", F.explode(F.sequence("first", "last")).alias("no"))
+    return starts.select("contig", (F.col("no") * step).alias("start"), F.substring("piece", ((F.col("no") - F.col("first")) * step + 1).cast("int"), F.lit(width)).alias("seq"))
 
 
 def batches(df: DataFrame, key: str, size: int, ranks: int, seed: int, epoch: int, save) -> DataFrame:
