@@ -9,13 +9,18 @@ where they overlap, all subsequences share both values, which is a key. There ar
 ``FUNCTIONS`` // 2 such pairs. At a similarity of 0.8 a subsequence shares a pair's key
 with a chance of 0.64, one of three with 0.95; longer passages have many subsequences.
 
-Within the group of a key no pairs are made: each run is linked with the smallest and
-the largest document of the group, so links are linear in runs. A link knows where the
+Within the group of a key each run is linked with the smallest and the largest document
+of the group, so these links are linear in runs. A link knows where the
 shared minimum stands in both texts. Along that diagonal, passages are the runs of
 windows with at least ``NEEDED`` equal tokens; links that lie in none of them are searched
 by nearest places, which finds passages with words inserted or removed. The token sets
 of the two passages must have a Jaccard similarity of 0.8 or more.
 
+Runs that neither link joins to the others of their group are compared with all of the
+group, in tiles of two blocks that a task holds (``_rest_of_groups``). Pairs already joined,
+such as copies, aren't, and a tile gives no more rows than it joins runs. So any two runs of a
+group that ``verify`` finds alike hang together by reported passages.
+
 Windows that repeat exactly share all three keys. Those that no passage covers yet are
 grouped by a hash of the whole window and linked with the smallest and the largest
 document of that group, so every word sequence of PASSAGE_WORDS words that two documents
@@ -43,6 +48,8 @@ WINDOW = PASSAGE_WORDS - SHINGLE + 1
 #: Tokens of a window that must match for a Jaccard similarity of 0.8 of equally long sets: 2 * 0.8 / 1.8.
 NEEDED = int(np.ceil(WINDOW * 1.6 / 1.8))
 SIMILARITY = 0.8
+#: Runs of a block, two of which a task compares.
+TILE = 256
 
 
 def sliding_min(v: np.ndarray, size: int) -> np.ndarray:
@@ -251,12 +258,13 @@ def verify(one: np.ndarray, two: np.ndarray, links: np.ndarray) -> list[tuple[in
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start_word", "end_word", "other_id", "other_start", "other_end", "similarity"]
+    """Passages, and as rows with a key the links (doc_id, start_word: place; other_id, other_start: place) that lie in none."""
     for batch in batches:
         rows = []
         lists = batch.column("links")
         flat = lists.flatten()
-        linked = np.column_stack([x for c in ("x", "y") for x in places(flat.field(c).to_numpy())[:3]])
+        packed = [flat.field(c).to_numpy() for c in ("key", "x", "y")]
+        linked = np.column_stack([x for c in packed[1:] for x in places(c)[:3]])
         ends = np.cumsum(lists.value_lengths().to_numpy())
         begin = [batch.column(c).to_numpy().astype(np.int64) for c in ("from_a", "from_b")]
         sizes = np.diff(ends, prepend=0)
@@ -264,11 +272,104 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ids = [x.tolist() if isinstance(x, np.ndarray) else x.to_pylist() for x in (batch.column("a"), batch.column("b"), *begin)]
         for k, (a, b, v, w) in enumerate(zip(*ids, strict=True)):
             one, two = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in ("tokens_a", "tokens_b"))
-            for i, j, p, q, s in verify(one, two, linked[ends[k - 1] if k else 0 : ends[k]]):
-                rows += [(a, i + v, j + v, b, p + w, q + w, s), (b, p + w, q + w, a, i + v, j + v, s)]
+            own = slice(ends[k - 1] if k else 0, ends[k])
+            links, left = linked[own], np.ones(sizes[k], bool)
+            for i, j, p, q, s in verify(one, two, links):
+                rows += [(*x, None) for x in _both_ways(a, i + v, j + v, b, p + w, q + w, s)]
+                left &= ~((links[:, 2] >= i) & (links[:, 2] < j) & (links[:, 5] >= p) & (links[:, 5] < q))
+            rows += [(a, x, None, b, y, None, None, g) for g, x, y in zip(*(c[own][left].tolist() for c in packed), strict=True)]
         if rows:
-            kinds = [batch.schema.field("a").type, pa.int64(), pa.int64(), batch.schema.field("a").type, pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays(*_columns(rows, batch.schema.field("a").type))
+
+
+def _both_ways(a, i, j, b, p, q, s) -> list[tuple]:
+    return [(a, i, j, b, p, q, s), (b, p, q, a, i, j, s)]
+
+
+def _columns(rows: list[tuple], kind: pa.DataType) -> tuple[list[pa.Array], list[str]]:
+    """Columns of passages, with key if the rows have one, and their names."""
+    names = ["doc_id", "start_word", "end_word", "other_id", "other_start", "other_end", "similarity", "key"][: len(rows[0])]
+    kinds = [kind, pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+    return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=False)], names
+
+
+def _classes(slices: list[np.ndarray], links: np.ndarray, kinds: np.ndarray, caps: tuple[int, int] | None) -> list[tuple]:
+    """A name for each token slice; ``verify`` gives the same, but for shifts, for slices of one name against any made of kinds.
+
+    It has what lies between the first and the last token of kinds, where the minimum stands, and how much room is around, as far as that counts:
+    the run's extent or, for slices that come second, what stays free of clipping beyond caps.
+    """
+    out = []
+    for x, (l, r, at) in zip(slices, links.tolist(), strict=True):
+        inside = np.flatnonzero(kinds[np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)] == x) if len(kinds) else np.zeros(0, np.int64)
+        if not len(inside):
+            out.append(())
+            continue
+        i, j = int(inside[0]), int(inside[-1]) + 1
+        room = (min(i, WINDOW), min(len(x) - j, WINDOW)) if caps is None else (min(i, WINDOW - NEEDED), min(len(x) - j, WINDOW - NEEDED), min(at, caps[0]), min(len(x) - at, caps[1]))
+        out.append((x[i:j].tobytes(), at - i, *room, *((l - at, r - at) if caps is None else ())))
+    return out
+
+
+def _alike(one: list[np.ndarray], two: list[np.ndarray], kinds: np.ndarray):
+    """For each token slice of the one its number and those of the other that have tokens in NEEDED places of one of its windows, without which ``verify`` finds nothing."""
+    flat, of = np.concatenate(two), np.repeat(np.arange(len(two)), [len(x) for x in two])
+    has = np.zeros((len(kinds) + 1, len(two)), bool)  # by tokens of both sides, the last for all others
+    at = np.searchsorted(kinds, flat)
+    known = np.flatnonzero(at < len(kinds))
+    known = known[kinds[at[known]] == flat[known]]
+    has[at[known], of[known]] = True
+    for i, x in enumerate(one):
+        at = np.minimum(np.searchsorted(kinds, x), max(len(kinds) - 1, 0))
+        at = np.where(kinds[at] == x, at, len(kinds)) if len(kinds) else np.zeros(len(x), np.int64)
+        if len(x) < WINDOW or (at < len(kinds)).sum() < NEEDED:
+            continue
+        sums = np.cumsum(np.concatenate([np.zeros((1, len(two)), bool), has[at]]), axis=0, dtype=np.int32)
+        most = (sums[WINDOW:] - sums[:-WINDOW]).max(0)
+        near = np.flatnonzero(most >= NEEDED)
+        if len(near):
+            yield i, near[np.argsort(-most[near], kind="stable")].tolist()
+
+
+def _join_tile(key: tuple, left: pa.Table, right: pa.Table) -> list[tuple]:
+    """Passages that join runs of two blocks of a group. Runs of equal ``part`` hang together already; each passage joins two parts."""
+    same = key[1:3] == key[3:5]
+    side = []
+    for t in (left, right) if key[1] == key[3] else (right, left):  # runs that hang together come second
+        t = t.combine_chunks()
+        tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("tokens")]
+        begin = t.column("begin").to_numpy()
+        link = np.column_stack([x - begin for x in places(t.column("place").to_numpy())[:3]])
+        side.append((t.column("doc_id").to_pylist(), t.column("part").to_pylist(), begin.tolist(), link, tokens))
+    (ids, part, begin, link, one), (other_ids, other_part, other_begin, other_link, two) = side
+    kinds = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    caps = int((link[:, 2] - link[:, 0]).max()) + 1, int((link[:, 1] - link[:, 2]).max()) + 1
+    members: dict = {}
+    for j, c in enumerate(_classes(two, other_link, kinds, caps)):
+        members.setdefault(c, []).append(j)
+    alike, held = _classes(one, link, kinds, None), list(members.values())
+    root: dict = {}
+
+    def top(x):
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    rows, unlike = [], set()
+    for i, near in _alike(one, [two[m[0]] for m in held], kinds):
+        for c, j in ((c, j) for c in near for j in held[c]):
+            a, b = ids[i], other_ids[j]
+            if (alike[i], c) in unlike or a == b or (same and a > b) or (x := top(part[i])) == (y := top(other_part[j])):
+                continue
+            met = verify(one[i], two[j], np.concatenate([link[i], other_link[j]])[None, :])
+            if met:
+                root[y] = x
+            else:
+                unlike.add((alike[i], c))
+            v, w = begin[i], other_begin[j]
+            for s, e, p, q, similarity in met:
+                rows += _both_ways(a, s + v, e + v, b, p + w, q + w, similarity)
+    return rows
 
 
 def _exact_batches(only_open: bool):
@@ -318,6 +419,60 @@ def _with_tokens(pairs: DataFrame, tokens: DataFrame, key: str, other: str, side
     return joined.withColumn(f"from_{key}", first).withColumn(f"tokens_{key}", F.substring("tokens", F.col(f"from_{key}") * 4 + 1, size * 4)).drop("tokens")
 
 
+def _rest_of_groups(runs: DataFrame, reps: DataFrame, failed: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """Passages that join runs of a group which the links to its smallest and largest document, the representatives, leave apart.
+
+    failed: links (doc_id, start_word, other_id, other_start, key) that no passage holds. A run is
+    of kind 0 if it hangs together with the one representative, 1 with the other only, 2 with neither. Blocks
+    are of one kind; those of kind 0 or 1 aren't compared with their like.
+    """
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    side = lambda doc, place, bit: failed.select("key", F.col(doc).alias("doc_id"), F.col(place).alias("place"), F.lit(bit).alias("bit"))
+    bits = scratch.save(side("other_id", "other_start", 1).unionByName(side("doc_id", "start_word", 2)).groupBy("key", "doc_id", "place").agg(F.bit_or("bit").alias("bits")), "bits")
+    asked = scratch.save(bits.select("key").distinct(), "unjoined")
+    own, rep = F.col("doc_id"), F.col("place")
+    within = runs.join(sized(asked), "key").join(reps, "key").where(~((own == F.col("lo")) & (rep == F.col("lo_place"))) & ~((own == F.col("hi")) & (rep == F.col("hi_place"))))
+    within = within.join(bits, ["key", "doc_id", "place"], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+    no_lo, no_hi = (F.col("bits").bitwiseAND(b) > 0 for b in (1, 2))
+    no_lo, no_hi = no_lo | (own == F.col("lo")), no_hi | (own == F.col("hi"))  # a document isn't linked with itself
+    within = scratch.save(within.select("key", "doc_id", "place", F.when(~no_lo, F.when(~no_hi, 3).otherwise(0)).otherwise(F.when(~no_hi, 1).otherwise(2)).alias("kind")), "within")
+    # kind 3 hangs together with both, so that 0, 1 and 3 are one
+    sizes = within.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.max("kind") == 3).alias("one"), *[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(4)]).where("least <> most")
+    of = lambda n: F.ceil(n / TILE).cast("int")
+    total = F.when(F.col("one"), F.col("n0") + F.col("n1") + F.col("n3"))
+    sizes = sizes.select("key", "one", F.array(of(F.coalesce(total, F.col("n0"))), of(F.when(F.col("one"), 0).otherwise(F.col("n1"))), of(F.col("n2"))).alias("blocks"))
+    sizes = sizes.where((F.col("blocks")[2] > 0) | ((F.col("blocks")[0] > 0) & (F.col("blocks")[1] > 0)))
+    sizes = scratch.save(sizes, "sizes")
+    dealt = within.join(sizes, "key").withColumn("kind", F.when((F.col("kind") == 3) | (F.col("one") & (F.col("kind") == 1)), 0).otherwise(F.col("kind")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "place"), F.col("blocks")[F.col("kind")]).cast("int"))
+    dealt = dealt.withColumn("part", F.when(F.col("kind") == 2, F.xxhash64("doc_id", "place")).otherwise(F.col("kind").cast("long")))
+    dealt = join_spread(scratch.save(dealt.drop("one"), "dealt"), tokens, "doc_id", "key", scratch, "dealt")
+    first = F.greatest(F.shiftright("place", 23) - WINDOW, F.lit(0)).cast("int")
+    last = F.shiftright("place", 23) + F.shiftright("place", 8).bitwiseAND(0x7FFF)
+    dealt = dealt.withColumn("begin", first).withColumn("tokens", F.substring("tokens", F.col("begin") * 4 + 1, ((last + WINDOW + 1 - F.col("begin")) * 4).cast("int")))
+    dealt = scratch.save(dealt, "blocks")
+    # a block meets itself and those behind it, of its own kind if that is 2, and of further kinds
+    partners = lambda f: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), f))
+    numbers = lambda n: F.slice(F.sequence(F.lit(0), n), 1, n)
+    tile = lambda k1, b1, k2, b2: F.struct(k1.cast("int").alias("k1"), b1.alias("b1"), k2.cast("int").alias("k2"), b2.alias("b2"))
+    k, b = F.col("kind"), F.col("block")
+    as_first = partners(lambda o: F.transform(F.filter(numbers(F.col("blocks")[o]), lambda x: (o > k) | ((o == k) & (k == 2) & (x >= b))), lambda x: tile(k, b, o, x)))
+    as_second = partners(lambda o: F.transform(F.filter(numbers(F.col("blocks")[o]), lambda x: (o < k) | ((o == k) & (k == 2) & (x <= b))), lambda x: tile(o, x, k, b)))
+    columns, by = ["doc_id", "place", "part", "begin", "tokens"], ["key", "k1", "b1", "k2", "b2"]
+    meet = [dealt.withColumn("tile", F.explode(x)).select("key", "tile.*", *columns).groupBy(*by) for x in (as_first, as_second)]
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        doc = (left if left.num_rows else right).schema.field("doc_id").type
+        rows = _join_tile(tuple(x.as_py() for x in key), left, right) if left.num_rows and right.num_rows else []
+        columns, names = _columns(rows or [(None,) * 7], doc)
+        return pa.table(columns, names).slice(0, len(rows))
+
+    schema = f"doc_id {kind}, start_word long, end_word long, other_id {kind}, other_start long, other_end long, similarity double"
+    out = scratch.save(meet[0].cogroup(meet[1]).applyInArrow(run, schema), "joined")
+    scratch.drop("bits", "unjoined", "within", "sizes", "dealt", "blocks")
+    return out
+
+
 def _exact_rest(runs: DataFrame, tokens: DataFrame, passages: DataFrame, scratch: Scratch) -> DataFrame:
     """Passages of windows that another document has word for word and no passage covers yet."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
@@ -354,18 +509,20 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("keys")
     of_lo, of_hi = (F.min(F.when(F.col("doc_id") == F.col(c), F.col("place"))).alias(f"{c}_place") for c in ("lo", "hi"))
     reps = scratch.save(runs.where("doc_id = lo or doc_id = hi").groupBy("key").agg(of_lo, of_hi), "reps")
-    link = lambda a, x, b, y: F.struct(a.alias("a"), b.alias("b"), F.struct(x.alias("x"), y.alias("y")).alias("link"))
+    link = lambda a, x, b, y: F.struct(a.alias("a"), b.alias("b"), F.struct("key", x.alias("x"), y.alias("y")).alias("link"))
     own, place, lo, hi, lo_place, hi_place = (F.col(c) for c in ("doc_id", "place", "lo", "hi", "lo_place", "hi_place"))
     to = F.array_compact(F.array(F.when(own != lo, link(lo, lo_place, own, place)), F.when(own != hi, link(own, place, hi, hi_place))))
     links = runs.join(reps.hint("merge"), "key").select(F.explode(to).alias("to")).select("to.*")
     pairs = scratch.save(links.groupBy("a", "b").agg(F.collect_set("link").alias("links")), "pairs")
-    scratch.drop("reps")
     needed = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
     tokens = scratch.save(docs.join(sized(needed), "doc_id", "left_semi").mapInArrow(_token_batches, f"doc_id {kind}, tokens binary"), "tokens")
     schema = f"doc_id {kind}, start_word long, end_word long, other_id {kind}, other_start long, other_end long, similarity double"
     both = _with_tokens(_with_tokens(pairs, tokens, "b", "a", "y", scratch), tokens, "a", "b", "x", scratch)
-    found = scratch.save(both.select("a", "b", "links", "from_a", "from_b", "tokens_a", "tokens_b").mapInArrow(_verify_batches, schema), "passages")
+    verified = scratch.save(both.select("a", "b", "links", "from_a", "from_b", "tokens_a", "tokens_b").mapInArrow(_verify_batches, f"{schema}, key long"), "passages")
     scratch.drop("pairs", "needed")
+    found, failed = verified.where("key is null").drop("key"), verified.where("key is not null")
+    found = found.unionByName(_rest_of_groups(runs, reps, failed, tokens, scratch))
+    scratch.drop("reps")
     return found.unionByName(_exact_rest(runs, tokens, found, scratch))
 
 

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from strandmill.llm import passages
 from strandmill.llm.base import Scratch, table
 
@@ -124,3 +127,54 @@ def test_odd_rows(spark):
     assert not uncovered(repeated_windows(texts), got) and {r.doc_id for r in got} == set(texts)
     check_rows(texts, got)
     assert passages.repeated_passages(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_groups_hang_together(spark):
+    """Variants that differ widely from the smallest and the largest: any two runs of a key that are alike hang together, also where blocks are small."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}_{k}" for k in range(80)]
+        for i in range(24):
+            q = list(base)
+            for at in rng.sample(range(80), rng.randrange(10)):
+                q[at] = f"z{g}_{i // 2}_{at}" if rng.randrange(2) else f"y{g}_{i}_{at}"
+            rows.append((24 * g + i, " ".join([f"u{rng.randrange(10**7)}" for _ in range(60)] + q + [f"u{rng.randrange(10**7)}" for _ in range(60)])))
+    rows += [(100 + i, "same " * 30 + f"v{i} " + "same " * 60) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    tokens = {r["doc_id"]: np.frombuffer(r["tokens"], np.uint32) for b in passages._token_batches([batch]) for r in b.to_pylist()}
+    groups = {}
+    for b in passages._window_batches([batch]):
+        for r in b.to_pylist():
+            groups.setdefault(r["key"], []).append((r["doc_id"], r["place"]))
+    alike = set()
+    for runs in groups.values():
+        for a, x in runs:
+            for b, y in runs:
+                if a < b and (a, b) not in alike:
+                    (l, r, at, _), (m, s, to, _) = (passages.places(np.array([z])) for z in (x, y))
+                    v, w = max(0, l[0] - passages.WINDOW), max(0, m[0] - passages.WINDOW)
+                    one, two = tokens[a][v : r[0] + passages.WINDOW + 1], tokens[b][w : s[0] + passages.WINDOW + 1]
+                    if passages.verify(one, two, np.array([[l[0] - v, r[0] - v, at[0] - v, m[0] - w, s[0] - w, to[0] - w]])):
+                        alike.add((a, b))
+    old = getattr(passages, "TILE", None)
+    for size in (old, 5):
+        passages.TILE = size
+        try:
+            got = passages.repeated_passages(docs, Scratch(spark, "t")).collect()
+        finally:
+            passages.TILE = old
+        root = {i: i for i, _ in rows}
+
+        def top(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for r in got:
+            root[top(r.doc_id)] = top(r.other_id)
+        apart = [p for p in alike if top(p[0]) != top(p[1])]
+        print("alike", len(alike), "apart", len(apart))
+        assert len(alike) > 80 and not apart
+        check_rows(dict(rows), got)
