@@ -48,8 +48,8 @@ WINDOW = PASSAGE_WORDS - SHINGLE + 1
 #: Tokens of a window that must match for a Jaccard similarity of 0.8 of equally long sets: 2 * 0.8 / 1.8.
 NEEDED = int(np.ceil(WINDOW * 1.6 / 1.8))
 SIMILARITY = 0.8
-#: Runs of a block, two of which a task compares.
-TILE = 256
+#: Runs of a block, two of which a tile compares, and of the tiles that are dealt to one call, about.
+TILE, BUNCH = 256, 4096
 
 
 def sliding_min(v: np.ndarray, size: int) -> np.ndarray:
@@ -205,6 +205,14 @@ def _points(one: np.ndarray, two: np.ndarray, links: np.ndarray) -> tuple[np.nda
     return known // (m + 1), known % (m + 1)
 
 
+def _filled(one: np.ndarray, two: np.ndarray, links: np.ndarray) -> bool:
+    """Whether a window of one has NEEDED tokens within the links' extents that two has; nearest places find no passage otherwise."""
+    order = np.sort(two)
+    hit = (order[np.minimum(np.searchsorted(order, one), len(order) - 1)] == one) & _covered(len(one), links[:, 0], links[:, 1])
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    return bool((sums[WINDOW:] - sums[:-WINDOW]).max() >= NEEDED)
+
+
 def verify(one: np.ndarray, two: np.ndarray, links: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Passages (start and end word in one, in two, similarity). links: rows of l, r and place of the minimum in one, then in two.
 
@@ -217,7 +225,7 @@ def verify(one: np.ndarray, two: np.ndarray, links: np.ndarray) -> list[tuple[in
     if n < WINDOW or len(two) < WINDOW:
         return []
     out, links = along_diagonals(one, two, links)
-    if not len(links):
+    if not len(links) or not _filled(one, two, links):
         return [(*k, s) for k, s in sorted(out.items())]
     todo = [_points(one, two, links)]
     while todo:
@@ -311,43 +319,78 @@ def _classes(slices: list[np.ndarray], links: np.ndarray, kinds: np.ndarray, cap
     return out
 
 
-def _alike(one: list[np.ndarray], two: list[np.ndarray], kinds: np.ndarray):
-    """For each token slice of the one its number and those of the other that have tokens in NEEDED places of one of its windows, without which ``verify`` finds nothing."""
-    flat, of = np.concatenate(two), np.repeat(np.arange(len(two)), [len(x) for x in two])
+def _alike(one: list[np.ndarray], links: np.ndarray, two: list[np.ndarray], other_at: np.ndarray, kinds: np.ndarray):
+    """For each token slice of the one its number, those of the other with which ``verify`` may find passages and how much they share.
+
+    It finds none without a window around the minimum that has NEEDED equal tokens where the minima stand on each other or, within
+    the run's extent, NEEDED tokens in a window that the other slice has anywhere. Both are counted for all other slices at once.
+    """
+    size = [len(x) for x in two]
+    flat, of = np.concatenate(two), np.repeat(np.arange(len(two)), size)
+    code = np.minimum(np.searchsorted(kinds, flat), len(kinds) - 1)
+    known = np.flatnonzero(kinds[code] == flat)
+    code, of = code[known], of[known]
     has = np.zeros((len(kinds) + 1, len(two)), bool)  # by tokens of both sides, the last for all others
-    at = np.searchsorted(kinds, flat)
-    known = np.flatnonzero(at < len(kinds))
-    known = known[kinds[at[known]] == flat[known]]
-    has[at[known], of[known]] = True
-    for i, x in enumerate(one):
-        at = np.minimum(np.searchsorted(kinds, x), max(len(kinds) - 1, 0))
-        at = np.where(kinds[at] == x, at, len(kinds)) if len(kinds) else np.zeros(len(x), np.int64)
-        if len(x) < WINDOW or (at < len(kinds)).sum() < NEEDED:
+    has[code, of] = True
+    center = max(int(links[:, 2].max()), int(other_at.max()))
+    aligned = np.full((center + max(max(len(x) - at for x, at in zip(one, links[:, 2].tolist(), strict=True)), int((size - other_at).max())), len(two)), -1, np.int32)
+    aligned[(known - (np.cumsum(size) - size)[of]) + center - other_at[of], of] = code  # minima in one row
+
+    def most(hits: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(hits) + 1, hits.shape[1]), np.int32)
+        np.cumsum(hits, axis=0, out=sums[1:])
+        return (sums[WINDOW:] - sums[:-WINDOW]).max(0)
+
+    def full(hits: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(np.count_nonzero(hits, axis=0) >= NEEDED)
+        return some[most(hits[:, some]) >= NEEDED] if len(some) else some
+
+    for i, (x, (l, r, at)) in enumerate(zip(one, links.tolist(), strict=True)):
+        own = np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)
+        own = np.where(kinds[own] == x, own, len(kinds))
+        if len(x) < WINDOW or np.count_nonzero(own < len(kinds)) < NEEDED:
             continue
-        sums = np.cumsum(np.concatenate([np.zeros((1, len(two)), bool), has[at]]), axis=0, dtype=np.int32)
-        most = (sums[WINDOW:] - sums[:-WINDOW]).max(0)
-        near = np.flatnonzero(most >= NEEDED)
+        low, high = max(0, at - WINDOW + 1), min(len(x), at + WINDOW)  # windows that hold the minimum
+        near = full(aligned[center - at + low : center - at + high] == own[low:high, None])
+        inside = own[l : r + 1]
+        if np.count_nonzero(inside < len(kinds)) >= NEEDED:
+            near = np.union1d(near, full(has[inside]))
         if len(near):
-            yield i, near[np.argsort(-most[near], kind="stable")].tolist()
+            yield i, near.tolist(), most(has[own][:, near]).tolist()
+
+
+#: Doc ids, parts, first tokens, links and tokens of runs.
+_Side = tuple[list, list[int], list[int], np.ndarray, list[np.ndarray]]
 
 
-def _join_tile(key: tuple, left: pa.Table, right: pa.Table) -> list[tuple]:
+def _side(t: pa.Table) -> _Side:
+    tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("tokens")]
+    begin = t.column("begin").to_numpy()
+    link = np.column_stack([x - begin for x in places(t.column("place").to_numpy())[:3]])
+    return t.column("doc_id").to_pylist(), t.column("part").to_pylist(), begin.tolist(), link, tokens
+
+
+def _join_tiles(left: pa.Table, right: pa.Table) -> list[tuple]:
+    """``_join_tile`` for every tile that both tables have rows of."""
+    by, sides = ["key", "k1", "b1", "k2", "b2"], []
+    for t in (left, right):
+        t = t.sort_by([(c, "ascending") for c in by]).combine_chunks()
+        names = np.column_stack([t.column(c).to_numpy() for c in by])
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
+        sides.append((_side(t), {tuple(names[a].tolist()): slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}))
+    (one, own), (two, other) = sides
+    return [row for key, s in own.items() if key in other for row in _join_tile(key, tuple(x[s] for x in one), tuple(x[other[key]] for x in two))]
+
+
+def _join_tile(key: tuple, left: _Side, right: _Side) -> list[tuple]:
     """Passages that join runs of two blocks of a group. Runs of equal ``part`` hang together already; each passage joins two parts."""
     same = key[1:3] == key[3:5]
-    side = []
-    for t in (left, right) if key[1] == key[3] else (right, left):  # runs that hang together come second
-        t = t.combine_chunks()
-        tokens = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("tokens")]
-        begin = t.column("begin").to_numpy()
-        link = np.column_stack([x - begin for x in places(t.column("place").to_numpy())[:3]])
-        side.append((t.column("doc_id").to_pylist(), t.column("part").to_pylist(), begin.tolist(), link, tokens))
-    (ids, part, begin, link, one), (other_ids, other_part, other_begin, other_link, two) = side
+    # runs that hang together come second
+    (ids, part, begin, link, one), (other_ids, other_part, other_begin, other_link, two) = (left, right) if key[1] == key[3] else (right, left)
     kinds = np.intersect1d(np.concatenate(one), np.concatenate(two))
-    caps = int((link[:, 2] - link[:, 0]).max()) + 1, int((link[:, 1] - link[:, 2]).max()) + 1
-    members: dict = {}
-    for j, c in enumerate(_classes(two, other_link, kinds, caps)):
-        members.setdefault(c, []).append(j)
-    alike, held = _classes(one, link, kinds, None), list(members.values())
+    if not len(kinds):
+        return []
+    names: tuple[list, list] | None = None  # of the slices of both sides, of tiles that need them
     root: dict = {}
 
     def top(x):
@@ -356,16 +399,22 @@ def _join_tile(key: tuple, left: pa.Table, right: pa.Table) -> list[tuple]:
         return x
 
     rows, unlike = [], set()
-    for i, near in _alike(one, [two[m[0]] for m in held], kinds):
-        for c, j in ((c, j) for c in near for j in held[c]):
-            a, b = ids[i], other_ids[j]
-            if (alike[i], c) in unlike or a == b or (same and a > b) or (x := top(part[i])) == (y := top(other_part[j])):
+    for i, near, most in _alike(one, link, two, other_link[:, 2], kinds):
+        if names is None:
+            caps = int((link[:, 2] - link[:, 0]).max()) + 1, int((link[:, 1] - link[:, 2]).max()) + 1
+            names = _classes(one, link, kinds, None), _classes(two, other_link, kinds, caps)
+        first: dict = {}
+        for j in near:
+            first.setdefault(names[1][j], j)
+        for _, _, j in sorted((-n, first[names[1][j]], j) for j, n in zip(near, most, strict=True)):
+            a, b, kind = ids[i], other_ids[j], (names[0][i], names[1][j])
+            if kind in unlike or a == b or (same and a > b) or (x := top(part[i])) == (y := top(other_part[j])):
                 continue
             met = verify(one[i], two[j], np.concatenate([link[i], other_link[j]])[None, :])
             if met:
                 root[y] = x
             else:
-                unlike.add((alike[i], c))
+                unlike.add(kind)
             v, w = begin[i], other_begin[j]
             for s, e, p, q, similarity in met:
                 rows += _both_ways(a, s + v, e + v, b, p + w, q + w, similarity)
@@ -459,11 +508,13 @@ def _rest_of_groups(runs: DataFrame, reps: DataFrame, failed: DataFrame, tokens:
     as_first = partners(lambda o: F.transform(F.filter(numbers(F.col("blocks")[o]), lambda x: (o > k) | ((o == k) & (k == 2) & (x >= b))), lambda x: tile(k, b, o, x)))
     as_second = partners(lambda o: F.transform(F.filter(numbers(F.col("blocks")[o]), lambda x: (o < k) | ((o == k) & (k == 2) & (x <= b))), lambda x: tile(o, x, k, b)))
     columns, by = ["doc_id", "place", "part", "begin", "tokens"], ["key", "k1", "b1", "k2", "b2"]
-    meet = [dealt.withColumn("tile", F.explode(x)).select("key", "tile.*", *columns).groupBy(*by) for x in (as_first, as_second)]
+    # most tiles are small, so that several are dealt to one call
+    bunches = -(-(dealt.agg(F.sum(F.size(as_first) + F.size(as_second))).first()[0] or 1) // BUNCH)
+    meet = [dealt.withColumn("tile", F.explode(x)).select("key", "tile.*", *columns).groupBy(F.pmod(F.xxhash64(*by), F.lit(bunches))) for x in (as_first, as_second)]
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         doc = (left if left.num_rows else right).schema.field("doc_id").type
-        rows = _join_tile(tuple(x.as_py() for x in key), left, right) if left.num_rows and right.num_rows else []
+        rows = _join_tiles(left, right) if left.num_rows and right.num_rows else []
         columns, names = _columns(rows or [(None,) * 7], doc)
         return pa.table(columns, names).slice(0, len(rows))
 

@@ -178,3 +178,25 @@ def test_groups_hang_together(spark):
         print("alike", len(alike), "apart", len(apart))
         assert len(alike) > 80 and not apart
         check_rows(dict(rows), got)
+
+
+def test_tiles_verify_few_pairs(monkeypatch):
+    """Of runs that share tokens, ``verify`` sees nearly only those in which it finds passages, and all of them."""
+    rng, pair = np.random.default_rng(5), passages.verify
+    base = np.arange(1000, 1140, dtype=np.uint32)
+    slices = []
+    for i in range(40):
+        x = base.copy()
+        at = rng.choice(140, 24 if i % 4 else 4, replace=False)
+        x[at] = 10_000 + 200 * i + at
+        slices.append(x)
+    link = np.array([47, 100, 70])
+    places = [int(47 << 23 | 53 << 8 | 23 << 2)] * 40
+    t = pa.table({"key": [1] * 40, "k1": [2] * 40, "b1": [0] * 40, "k2": [2] * 40, "b2": [0] * 40, "doc_id": range(40), "place": places, "part": range(40), "begin": [0] * 40, "tokens": [x.tobytes() for x in slices]})
+    alike = [(i, j) for i in range(40) for j in range(i + 1, 40) if pair(slices[i], slices[j], np.concatenate([link, link])[None, :])]
+    seen = []
+    monkeypatch.setattr(passages, "verify", lambda *a: seen.append(pair(*a)) or seen[-1])
+    rows = passages._join_tiles(t, t)
+    near = {i: near for i, near, _ in passages._alike(slices, np.tile(link, (40, 1)), slices, np.full(40, 70), np.unique(np.concatenate(slices)))}
+    assert alike and all(j in near.get(i, ()) for i, j in alike)
+    assert rows and sum(bool(x) for x in seen) > 0.5 * len(seen)
