@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandmill.functions import vectors as fv
 from strandmill.operators import blocks, search
@@ -23,6 +25,8 @@ from strandmill.operators.hits import top_k
 CELL_BLOCKS = 64
 #: Bytes of models that are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 64_000_000
+#: Rows of a shard that meet its model in one call.
+CODED_ROWS = 16_384
 
 
 def _by_cell(df: DataFrame, *by: str) -> DataFrame:
@@ -147,12 +151,17 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(own - 2 * x[i : i + 8192] @ c.T).argmin(1) for i in range(0, max(len(x), 1), 8192)])
 
 
+def _largest(dealt: DataFrame) -> int:
+    """Rows of the largest shard."""
+    return dealt.groupBy("shard").count().agg(F.max("count")).first()[0] or 1
+
+
 def train_shards(dealt: DataFrame, lists: int, parts: int, codes: int, sample: int, rounds: int = 10, seed: int = 0) -> DataFrame:
     """(shard, dims, centroids, books) of dealt(shard, vector_id, embedding), each shard's in a task of its own.
 
     A shard learns from about ``sample`` of its rows, taken by hash; a task holds no more.
     """
-    most = dealt.groupBy("shard").count().agg(F.max("count")).first()[0] or 1
+    most = _largest(dealt)
     share = min(1.0, sample / most)
     drawn = dealt.where(F.pmod(F.xxhash64("vector_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
 
@@ -170,9 +179,21 @@ def train_shards(dealt: DataFrame, lists: int, parts: int, codes: int, sample: i
 
 
 class _Model:
-    def __init__(self, dims: int, parts: int, centroids: pa.Scalar | None, books: pa.Scalar):
+    def __init__(self, dims: int, parts: int, centroids: pa.Scalar | None, books: pa.Scalar | None):
         self.c = None if centroids is None else np.frombuffer(centroids.as_buffer(), np.float32).reshape(-1, dims)
-        self.books = np.frombuffer(books.as_buffer(), np.float32).reshape(parts, -1, dims // parts)
+        self.books = None if books is None else np.frombuffer(books.as_buffer(), np.float32).reshape(parts, -1, dims // parts)
+
+
+def _by_model(rows: DataFrame, models: DataFrame, key: str, pieces: int, run, schema: str) -> DataFrame:
+    """Rows of a shard, dealt to ``pieces`` by a hash of ``key``, meet its model: ``run(shard, rows, model)`` gives a table."""
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    dealt = rows.withColumn("piece", F.pmod(F.xxhash64(key), F.lit(pieces)).cast("int"))
+    beside = models.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+
+    def met(own: pa.Table, model: pa.Table) -> pa.Table:
+        return run(pa.array(np.full(len(own), model["shard"][0].as_py(), np.int32)), own, model) if len(own) and len(model) else empty
+
+    return dealt.groupBy("shard", "piece").cogroup(beside.groupBy("shard", "piece")).applyInArrow(met, schema)
 
 
 def _sized(models: DataFrame) -> DataFrame:
@@ -189,20 +210,15 @@ def build_shards(vectors: DataFrame, path: str, shards: int, lists: int, parts:
     rows = (vectors.agg(F.max("vector_id")).first()[0] or 0) + 1
     dealt = vectors.withColumn("shard", F.floor(F.col("vector_id") * shards / rows).cast("int"))
     train_shards(dealt, lists, parts, codes, sample, rounds, seed).write.parquet(f"{path}/models")
-    models = _sized(spark.read.parquet(f"{path}/models"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                m, part = _Model(b.column("dims")[i].as_py(), parts, b.column("centroids")[i], b.column("books")[i]), blocks.unpack(b.drop_columns(["centroids", "books"]), i)
-                x = fv.matrix(part.column("embedding"))
-                cell = _nearest(x, m.c)
-                code = np.stack([_nearest(p, c) for p, c in zip(np.split(x - m.c[cell], parts, axis=1), m.books, strict=True)], axis=1).astype(np.uint8)
-                shard = pa.array(np.full(len(x), b.column("shard")[i].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([shard, pa.array(cell.astype(np.int32)), part.column("vector_id"), part.column("accession"), pa.array([c.tobytes() for c in code], pa.binary()), part.column("embedding")], ["shard", "cell", "vector_id", "accession", "code", "embedding"])
-
-    packed = blocks.pack(_by_cell(dealt.select("shard", "vector_id", "accession", "embedding"), "shard"), blocks.ROWS, "shard")
-    coded = packed.join(models, "shard").mapInArrow(encode, "shard int, cell int, vector_id long, accession string, code binary, embedding array<float>")
+    def encode(shard: pa.Array, rows: pa.Table, model: pa.Table) -> pa.Table:
+        m, x = _Model(model["dims"][0].as_py(), parts, model["centroids"][0], model["books"][0]), fv.matrix(rows["embedding"])
+        cell = _nearest(x, m.c)
+        code = np.stack([_nearest(p, c) for p, c in zip(np.split(x - m.c[cell], parts, axis=1), m.books, strict=True)], axis=1).astype(np.uint8)
+        return pa.table({"shard": shard, "cell": pa.array(cell.astype(np.int32)), "vector_id": rows["vector_id"], "accession": rows["accession"], "code": pa.array([c.tobytes() for c in code], pa.binary()), "embedding": rows["embedding"]})
+
+    rows = dealt.select("shard", "vector_id", "accession", "embedding")
+    coded = _by_model(rows, spark.read.parquet(f"{path}/models"), "vector_id", -(-_largest(dealt) // CODED_ROWS), encode, "shard int, cell int, vector_id long, accession string, code binary, embedding array<float>")
     blocks.pack(_by_cell(coded, "shard", "cell"), blocks.ROWS, "shard", "cell").withColumn("block", F.monotonically_increasing_id()).write.partitionBy("shard").parquet(f"{path}/codes")
 
 
@@ -220,23 +236,21 @@ class _Lookup:
         return scores
 
 
-def shard_probes(queries: DataFrame, models: DataFrame, nprobe: int, parts: int) -> DataFrame:
-    """(shard, cell, query_id, base, embedding): in every shard the lists of highest product, and that product."""
+def shard_probes(queries: DataFrame, n: int, models: DataFrame, nprobe: int) -> DataFrame:
+    """(shard, cell, query_id, base, embedding) of ``n`` queries: in every shard the lists of highest product, and that product."""
     kind = queries.schema["query_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                m, asked = _Model(b.column("dims")[i].as_py(), parts, b.column("centroids")[i], b.column("books")[i]), blocks.unpack(b, i, "q_")
-                s = fv.matrix(asked.column("embedding")) @ m.c.T
-                cell = np.argsort(-s, axis=1, kind="stable")[:, :nprobe]
-                at = np.repeat(np.arange(len(s)), cell.shape[1])
-                shard = pa.array(np.full(len(at), b.column("shard")[i].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([shard, pa.array(cell.ravel().astype(np.int32)), asked.column("query_id").take(pa.array(at)), pa.array(s[at, cell.ravel()]), asked.column("embedding").take(pa.array(at))], ["shard", "cell", "query_id", "base", "embedding"])
+    def run(shard: pa.Array, asked: pa.Table, model: pa.Table) -> pa.Table:
+        m = _Model(model["dims"][0].as_py(), 0, model["centroids"][0], None)
+        s = fv.matrix(asked["embedding"]) @ m.c.T
+        cell = np.argsort(-s, axis=1, kind="stable")[:, :nprobe]
+        at = pa.array(np.arange(len(s) + 1, dtype=np.int32) * cell.shape[1])
+        near = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (cell.astype(np.int32), np.take_along_axis(s, cell, 1))]
+        return pa.table({"shard": shard, "query_id": asked["query_id"], "embedding": asked["embedding"], "cell": near[0], "base": near[1]})
 
-    packed = blocks.query_blocks(queries.select("query_id", "embedding"), blocks.QUERIES)
-    pairs = packed.crossJoin(models)  # a row for each shard meets the blocks of queries
-    return pairs.mapInArrow(run, f"shard int, cell int, query_id {kind}, base float, embedding array<float>")
+    asked = queries.select("query_id", "embedding").crossJoin(F.broadcast(models.select(F.col("shard").alias("shard"))))  # a row for each shard
+    found = _by_model(asked, models.select("shard", "dims", "centroids"), "query_id", max(1, -(-n // blocks.QUERIES)), run, f"shard int, query_id {kind}, embedding array<float>, cell array<int>, base array<float>")
+    return found.select("shard", "query_id", "embedding", F.explode(F.arrays_zip("cell", "base")).alias("at")).select("shard", "at.cell", "query_id", "at.base", "embedding")
 
 
 def search_shards(spark: SparkSession, path: str, queries: DataFrame, vectors: DataFrame | None, k: int, nprobe: int, head: int, parts: int = 8) -> DataFrame:
@@ -250,7 +264,8 @@ def search_shards(spark: SparkSession, path: str, queries: DataFrame, vectors: D
 
     def run(own: DataFrame, judge, schema: str) -> DataFrame:
         make = lambda a, at: judge(a, _Lookup(a, _Model(at("dims").as_py(), parts, None, at("m_books")).books))
-        return blocks.by_cell(codes, shard_probes(own, _sized(models), nprobe, parts), ("shard", "cell"), own.count(), CELL_BLOCKS, make, schema, books)
+        n = own.count()
+        return blocks.by_cell(codes, shard_probes(own, n, models, nprobe), ("shard", "cell"), n, CELL_BLOCKS, make, schema, books)
 
     return _searched(queries, k, head, run)
 
