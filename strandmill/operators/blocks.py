@@ -5,7 +5,8 @@ bytes. ``scan`` lets every block of queries meet every block of vectors: up to
 ``BROADCAST_QUERIES`` queries are broadcast as blocks and the vectors stay where they
 are read; more are dealt to tiles, a slice of the vectors and a group of the queries
 each. A task holds one tile, whose size is bounded, and no pair of blocks is a row, so
-neither the plan nor the driver nor a task grows with their number.
+neither the plan nor the driver nor a task grows with their number. Each step of Python
+in a stage has a worker of its own for every core, so a stage has one step.
 """
 
 from __future__ import annotations
@@ -87,30 +88,27 @@ def unpack(b: pa.RecordBatch, i: int, prefix: str = "") -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names)
 
 
-def met(pairs: DataFrame, key: tuple[str, ...], make: Callable, schema: str, hold: bool = False) -> DataFrame:
-    """Joined blocks, those of queries with columns ``q_..``, met one by one.
+def spread(queries: DataFrame, vectors: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """Blocks of up to ``BROADCAST_QUERIES`` queries, sent to all tasks, meet the vectors as a task reads them.
 
-    ``make(queries, row)`` gives an object with ``add(vectors)`` and ``result()``, which yields
-    batches. One object serves the pairs of equal ``key``: those that follow each other or,
-    with ``hold``, all of a task's.
+    ``make(queries, None)`` gives an object with ``add(vectors)`` and ``result()``, which yields batches.
+    It holds Spark's batches of rows one at a time, however large the partition is.
     """
+    rows, asked = ROWS, queries.toArrow().combine_chunks().to_batches(max_chunksize=QUERIES)  # as few as a broadcast join takes
+    sent = queries.sparkSession.sparkContext.broadcast([b for b in asked if b.num_rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, object] = {}
+        held: list = []
         for b in batches:
-            for i in range(b.num_rows):
-                own = tuple(b.column(c)[i].as_py() for c in key)
-                if own not in held:
-                    if not hold:
-                        for x in held.values():
-                            yield from x.result()
-                        held.clear()
-                    held[own] = make(unpack(b, i, "q_"), lambda c, b=b, i=i: b.column(c)[i])
-                held[own].add(unpack(b, i))
-        for x in held.values():
+            if b.num_rows and not held:
+                held = [make(q, None) for q in sent.value]
+            for lo in range(0, b.num_rows, rows):
+                for x in held:
+                    x.add(b.slice(lo, rows))
+        for x in held:
             yield from x.result()
 
-    return pairs.mapInArrow(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
 def query_blocks(queries: DataFrame, rows: int, *by: str) -> DataFrame:
@@ -120,7 +118,10 @@ def query_blocks(queries: DataFrame, rows: int, *by: str) -> DataFrame:
 
 
 def meet(packed: DataFrame, asked: DataFrame, key: tuple[str, ...], make: Callable, schema: str) -> DataFrame:
-    """Blocks of vectors and of queries of equal ``key``, met in one task as ``met`` does; callers bound what a key has."""
+    """Blocks of vectors and of queries of equal ``key``, met in one task; callers bound what a key has.
+
+    ``make(queries, row)`` is as for ``spread``; ``row`` gives the other columns of the block of queries.
+    """
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
@@ -169,11 +170,10 @@ def tiles(vectors: int, queries: int, least: int) -> tuple[int, int]:
 
 
 def scan(queries: DataFrame, vectors: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """Every block of queries and every block of vectors, met one by one (see ``met``)."""
+    """Every block of queries and every block of vectors, met one by one (see ``spread``)."""
     n = queries.count()
     if n <= BROADCAST_QUERIES:
-        asked = query_blocks(queries.repartition(max(1, -(-n // QUERIES))), QUERIES)
-        return met(pack(vectors, ROWS).crossJoin(F.broadcast(asked)), ("q_block",), make, schema, hold=True)  # blocks of at most BROADCAST_QUERIES rows in all
+        return spread(queries, vectors, make, schema)
     slices, groups = tiles(vectors.count(), n, 3 * queries.sparkSession.sparkContext.defaultParallelism)
     packed = pack(vectors.repartition(slices), ROWS).withColumn("slice", F.spark_partition_id())
     asked = query_blocks(queries.repartition(groups), QUERIES).withColumn("group", F.spark_partition_id())

@@ -24,7 +24,7 @@ def most_steps(df):
     return most
 
 
-@pytest.mark.parametrize("name", ["ivf_pq_search"])
+@pytest.mark.parametrize("name", ["ivf_pq_search", "rabitq_search", "pca_search", "run_overlap"])
 def test_one_step_in_a_stage(spark, monkeypatch, name):
     packed, pack = [], blocks.pack
     monkeypatch.setattr(blocks, "pack", lambda df, *a: packed.append(most_steps(df)) or pack(df, *a))
