@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandmill.operators import blocks, inverted_file
@@ -32,6 +33,28 @@ def test_one_step_in_a_stage(spark, monkeypatch, name):
     assert max(packed, default=0) <= 1
 
 
+def test_few_queries_meet_rows_as_they_are_read(spark, monkeypatch):
+    """All rows of a partition, a bounded part at a time, and all queries, in one step."""
+    class Seen:
+        """Rows of each meeting."""
+
+        def __init__(self, asked):
+            self.asked, self.rows = asked, []
+
+        def add(self, part):
+            self.rows.append(part.num_rows)
+
+        def result(self):
+            yield pa.RecordBatch.from_arrays([pa.array([len(self.asked)]), pa.array([sum(self.rows)]), pa.array([max(self.rows)])], ["queries", "rows", "most"])
+
+    monkeypatch.setattr(blocks, "ROWS", 16)
+    monkeypatch.setattr(blocks, "QUERIES", 8)
+    rows = spark.range(500).coalesce(1).selectExpr("id as vector_id")
+    met = blocks.scan(spark.range(20).selectExpr("id as query_id"), rows, lambda asked, _: Seen(asked), "queries long, rows long, most long")
+    assert most_steps(met) == 1
+    assert sorted(map(tuple, met.collect())) == [(4, 500, 16), (8, 500, 16), (8, 500, 16)]
+
+
 def test_probes_of_all_shards(spark):
     """Every query has the lists of highest product of every shard, however the queries are dealt."""
     rng = np.random.default_rng(2)
